@@ -70,8 +70,8 @@ def learned_dictionaries(training: DataFrame) -> dict[str, bytes]:
     return {r["lang"]: b"\n".join(evidence(t["text"]) for t in r["texts"])[:DICTIONARY] for r in joined.toLocalIterator()}
 
 
-def identify(docs: DataFrame, training: Column, narrow: float = NARROW) -> DataFrame:
-    """doc_id, lang_pred, score, margin, rejected for every row of `docs` (doc_id, text, lang; others ignored).
+def identify(docs: DataFrame, training: Column, narrow: float = NARROW, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang_pred, score, margin, rejected for every row of `docs` (doc_id, text, lang), and its columns in `carry`.
 
     `training` is a condition on `docs`: only the text and lang of rows that meet it are learned from. A text's
     evidence is compressed with each language's dictionary and the smallest wins. `rejected` is true for `und` and for
@@ -87,7 +87,13 @@ def identify(docs: DataFrame, training: Column, narrow: float = NARROW) -> DataF
         languages = Languages(dictionaries)
         for b in batches:
             got = [languages.decide(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.float64())], ["doc_id", "lang_pred", "score", "margin"])
-
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, margin double")
-    return out.withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("margin") < narrow))
+            found = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.float64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *found, *b.columns[2:]], ["doc_id", "lang_pred", "score", "margin", *carried])
+
+    # carried columns have names of their own on the way, so they may be called like the results
+    carried = [f"_{i}" for i in range(len(carry))]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(x) for c, x in zip(carry, carried, strict=True)])
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+    out = rows.mapInArrow(run, "doc_id long, lang_pred string, score double, margin double" + kinds)
+    rejected = (F.col("lang_pred") == "und") | (F.col("margin") < narrow)
+    return out.select("doc_id", "lang_pred", "score", "margin", rejected.alias("rejected"), *[F.col(x).alias(c) for c, x in zip(carry, carried, strict=True)])

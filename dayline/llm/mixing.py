@@ -44,7 +44,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     name is added, and a document is emitted once per integer boundary that its step crosses: floor or ceiling of its
     expectation, so never more than `most` times. The order by size class keeps the words taken near the target.
 
-    Prefix sums never need a source in one task: rows are numbered within chunks (source, size class, first three md5
+    Prefix sums never need a source in one task: rows are numbered within chunks (source, size class, first two md5
     digits), and only the bounded table of chunk counts is summed along a source. Rows with null text have size 0 and
     are never counted as words; null sources form the last source; repeated rows each count; reruns agree because no
     step depends on partitions. An empty table gives an empty table.
@@ -53,8 +53,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     slim = staged(
         docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
         .withColumn("digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-        .withColumn("grade", (digits * 10 + F.substring(F.col("size").cast("string"), 1, 1).cast("int")).cast("int"))
-        .withColumn("slot", F.substring("digest", 1, 3)),
+        .withColumn("grade", (digits * 1000 + F.substring(F.col("size").cast("string"), 1, 3).cast("int")).cast("int"))
+        .withColumn("slot", F.substring("digest", 1, 2)),
         "mix-sizes",
     )
     chunks = staged(slim.groupBy("source", "grade", "slot").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chunk_size")), "mix-chunks")

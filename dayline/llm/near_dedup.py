@@ -14,13 +14,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayline.llm.common import WordHash, staged, words
 from dayline.llm.components import connected_components
 
 REGISTERS, PICK_BITS, MANTISSA, BANDS = 128, 7, 10, 32
+#: Finer sketches for buckets that hold several components (2 ** FINE_BITS registers), and rows of a block there.
+FINE_BITS, BLOCK = 9, 512
 SHINGLE = 5
 #: Odd multipliers that make a shingle's hash depend on the order of its words.
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -48,14 +50,14 @@ def shingle_set(text: str | None, hashes: WordHash) -> np.ndarray:
     return np.unique(_mixed(s))
 
 
-def registers(shingles: np.ndarray) -> np.ndarray:
-    """The 128 compressed registers of a sorted set."""
-    out = np.zeros(REGISTERS, np.uint16)
+def registers(shingles: np.ndarray, pick_bits: int = PICK_BITS) -> np.ndarray:
+    """The 2 ** pick_bits compressed registers of a sorted set."""
+    out = np.zeros(1 << pick_bits, np.uint16)
     if not len(shingles):
         return out
-    picks = (shingles >> np.uint64(64 - PICK_BITS)).astype(np.int64)
+    picks = (shingles >> np.uint64(64 - pick_bits)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, picks[1:] != picks[:-1]])  # the set is sorted: the first of a register is its least
-    rest = (shingles[first] << np.uint64(PICK_BITS)) >> np.uint64(11)  # 53 bits, exact as doubles
+    rest = (shingles[first] << np.uint64(pick_bits)) >> np.uint64(11)  # 53 bits, exact as doubles
     fraction, exponent = np.frexp(rest.astype(np.float64))
     zeros = np.where(rest > 0, 53 - exponent, 53)
     mantissa = np.where(rest > 0, ((fraction * 2 - 1) * (1 << MANTISSA)).astype(np.int64), 0)
@@ -63,17 +65,20 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def estimated_jaccard(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimates and their standard error at the threshold, for rows of registers and set sizes n and m.
+def may_reach(same: np.ndarray, filled: np.ndarray, n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of sizes n and m can have a Jaccard similarity of `least`, as far as their registers tell.
 
-    Of the registers that either set fills, matching ones estimate J plus chance matches; with equal sizes a
-    register pair collides with probability 0.1699 / 2**MANTISSA, less with unequal ones (published approximation).
+    Of the `filled` registers that either set fills, the `same` ones estimate J plus chance matches; with equal sizes a
+    register pair collides with probability 0.1699 / 2**MANTISSA, less with unequal ones (published approximation). The
+    corrected estimate may fall short by five standard errors of a sample of `filled` out of the union's shingles.
     """
-    filled = ((a > 0) | (b > 0)).sum(axis=1)
-    same = ((a == b) & (a > 0)).sum(axis=1)
-    ratio = np.maximum(n, m) / np.maximum(np.minimum(n, m), 1)
+    small, large = np.maximum(np.minimum(n, m), 1), np.maximum(n, m)
+    ratio, filled = large / small, np.maximum(filled, 1)
     chance = 0.169919487159739 / (1 << MANTISSA) * 4 * ratio / (1 + ratio) ** 2
-    return (same / np.maximum(filled, 1) - chance) / (1 - chance), np.sqrt(0.75 * 0.25 / np.maximum(filled, 1))
+    estimate = (same / filled - chance) / (1 - chance)
+    union = np.maximum((n + m) / (1 + least), filled)
+    error = np.sqrt(least * (1 - least) / filled * (1 - filled / union)) + 0.5 / filled
+    return (estimate + 5 * error >= least) & (small >= least * large)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,14 +99,45 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), hashes).tobytes() for t in b.column(1)], pa.binary())], ["id", "shingles"])
 
 
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHash()
+    for b in batches:
+        sets = [shingle_set(t.as_py(), hashes) for t in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([registers(s, FINE_BITS).tobytes() for s in sets], pa.binary())], ["rep", "fine"])
+
+
+def _blocked(percent: int):
+    """Pairs of a bucket's two blocks that lie in different components and may reach the threshold by fine registers."""
+
+    def run(t: pa.Table) -> pa.Table:
+        side, rep, at, n = (t.column(c).to_numpy() for c in ("side", "rep", "at", "n"))
+        band = t.column("band")[0].as_py()
+        fine = np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint16).reshape(len(rep), -1)
+        bands = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.int64).reshape(len(rep), BANDS)
+        filled = (fine > 0).sum(axis=1)
+        right = np.flatnonzero(side != 1)
+        out: list[tuple[int, int]] = []
+        for i in np.flatnonzero(side != 2):
+            j = right[(right > i) if side[i] == 3 else slice(None)]
+            j = j[at[j] != at[i]]
+            j = j[((bands[j] == bands[i]) & (bands[i] != 0)).argmax(axis=1) == band]  # the pair's first band is the one to report it
+            if len(j):
+                same = ((fine[j] == fine[i]) & (fine[i] > 0)).sum(axis=1)
+                either = filled[j] + filled[i] - ((fine[j] > 0) & (fine[i] > 0)).sum(axis=1)
+                out += [(int(rep[i]), int(rep[x])) for x in j[may_reach(same, either, n[j], n[i], percent / 100)]]
+        return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
+
+    return run
+
+
 def _hopeful(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sig_a", "sig_b"))
-            est, err = estimated_jaccard(x, y, b.column("n_a").to_numpy(zero_copy_only=False), b.column("n_b").to_numpy(zero_copy_only=False))
-            yield b.select(["a", "b"]).filter(pa.array(est + 5 * err >= threshold))
+            n, m = (b.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
+            yield b.select(["a", "b"]).filter(pa.array(may_reach(((x == y) & (x > 0)).sum(axis=1), ((x > 0) | (y > 0)).sum(axis=1), n, m, threshold)))
 
     return run
 
@@ -119,14 +155,15 @@ def _verified(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs` (columns doc_id long, text string; others ignored).
 
     Documents link when 100 * |A and B| >= percent * |A or B| on their whole shingle sets. Copies of one set meet by
     the set's 128-bit mark before banding, so a group of copies is one vertex however large. A bucket is first compared
-    with one centre (linear in its size); while it still spans several components, members are compared with other
-    centres, and after `star_rounds` of these every pair that lies in different components, so no pair that shares a
-    bucket is lost and near copies of one text don't meet in all pairs.
+    with one centre (linear in its size), and once more with the best member of its second component. Buckets that still
+    hold several components compare all pairs of different ones by finer registers, in blocks within tasks: only pairs
+    that may reach the threshold leave a block, once, so no pair that shares a bucket is lost and near copies of one
+    text don't meet in all pairs.
 
     Null or blank text: n_shingles 0, linked with nothing. Null doc_id: linked with nothing, component_id null, kept
     true. Repeated rows count as copies and each gets a row. Ties need none: the smallest id stands for a component.
@@ -135,43 +172,69 @@ def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 2) ->
     base = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sketch, "doc_id long, n_shingles long, mark binary, sig binary"), "near-base")
     known = base.where("doc_id is not null and n_shingles > 0")
     reps = staged(known.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "near-reps")
-    bands = reps.select(F.col("rep"), F.explode(F.expr(f"filter(transform(sequence(0, {BANDS - 1}), i -> struct(i as band, substring(sig, i * 8 + 1, 8) as bits)), s -> s.bits != X'0000000000000000')")).alias("s")).select("rep", F.xxhash64("s.band", "s.bits").alias("key"))
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("centre")).where("n > 1")
+    bands = reps.select(F.col("rep"), F.explode(F.expr(f"filter(transform(sequence(0, {BANDS - 1}), i -> struct(i as band, substring(sig, i * 8 + 1, 8) as bits)), s -> s.bits != X'0000000000000000')")).alias("s")).select("rep", "s.band", F.xxhash64("s.band", "s.bits").alias("key"))
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = staged(bands.join(shared, "key"), "near-buckets")
+    # the centre of a bucket is the member that shares the most bands with others: of a group of near copies, the least changed
+    degree = buckets.groupBy("rep").agg(F.sum("members").alias("degree"))
+    buckets = staged(buckets.join(degree, "rep"), "near-degrees")
+    centre = F.max(F.struct(F.col("degree"), (-F.col("rep")).alias("minus")))
 
     def pairs_of(df: DataFrame) -> DataFrame:
         return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
+    def sets_of(ids: DataFrame, run=_sets, schema: str = "id long, shingles binary") -> DataFrame:
+        texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+        return texts.join(ids, "id", "left_semi").mapInArrow(run, schema)
+
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda k: reps.select(F.col("rep").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("n").alias(f"n_{k}"))
         hopeful = staged(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_hopeful(percent / 100), "a long, b long").distinct(), "near-hopeful")
         ids = hopeful.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi").mapInArrow(_sets, "id long, shingles binary").dropDuplicates()
+        sets = sets_of(ids).dropDuplicates()
         side = lambda k: sets.select(F.col("id").alias(k), F.col("shingles").alias(f"set_{k}"))
         return staged(hopeful.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified(percent), "a long, b long").distinct(), "near-links")
 
-    tried = pairs_of(buckets.select(F.col("rep").alias("a"), F.col("centre").alias("b")))
+    tried = staged(pairs_of(buckets.join(buckets.groupBy("key").agg((-centre["minus"]).alias("centre")), "key").select(F.col("rep").alias("a"), F.col("centre").alias("b"))), "near-first")
     links = verify(tried)
     found = staged(connected_components(links), "near-found")
-    open_ = buckets.where("n > 2").select("key", "rep")
-    for k in range(star_rounds + 1):
-        at = open_.join(found, open_.rep == found.id, "left").select("key", "rep", F.coalesce("component", "rep").alias("at"))
-        spread = at.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.min(F.col("rep").bitwiseXOR(F.lit(0x5A5A5A5A5A5A5A5 >> k))).bitwiseXOR(F.lit(0x5A5A5A5A5A5A5A5 >> k)).alias("centre")).where("lo != hi")
-        wide = staged(at.join(spread.select("key", "centre"), "key"), "near-open")
-        if k < star_rounds:
-            hub = wide.where("rep = centre").select("key", F.col("at").alias("hub_at"))
-            more = wide.join(hub, "key").where("at != hub_at").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
-        else:
-            other = wide.select("key", F.col("rep").alias("b"), F.col("at").alias("b_at"))
-            more = wide.join(other, "key").where("rep < b and at != b_at").select(F.col("rep").alias("a"), "b")
-        more = staged(pairs_of(more).join(tried, ["a", "b"], "left_anti"), "near-more")
-        if more.isEmpty() and k == star_rounds:
+    open_ = buckets.where("members > 2").select("key", "band", "rep", "degree")
+
+    def settle(more: DataFrame) -> bool:
+        """Verifies further pairs; whether that linked anything."""
+        nonlocal tried, links, found
+        new = verify(more)
+        if new.isEmpty():
+            return False
+        links = links.unionByName(new)
+        found = staged(connected_components(links), "near-found")
+        return True
+
+    def spanning(rows: DataFrame) -> DataFrame:
+        """The rows of buckets that hold several components, with each row's component."""
+        at = rows.join(found, rows.rep == found.id, "left").select("key", "band", "rep", "degree", F.coalesce("component", "rep").alias("at"))
+        wide = at.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi")
+        return staged(at.join(wide.select("key", "size"), "key"), "near-open")
+
+    open_ = spanning(open_)
+    for _ in range(star_rounds):
+        # the largest components have been compared with their centre: now the best member of the others is one
+        main = open_.groupBy("key", "at").agg(F.count(F.lit(1)).alias("held"), centre.alias("best"))
+        second = Window.partitionBy("key").orderBy(F.col("held").desc(), F.col("best").desc())
+        hub = main.withColumn("place", F.row_number().over(second)).where("place = 2").select("key", F.col("at").alias("hub_at"), (-F.col("best.minus")).alias("centre"))
+        more = pairs_of(open_.join(hub, "key").where("at != hub_at").select(F.col("rep").alias("a"), F.col("centre").alias("b")))
+        more = staged(more.join(tried, ["a", "b"], "left_anti"), "near-more")
+        tried = tried.unionByName(more)
+        if not settle(more):
             break
-        if not more.isEmpty():
-            tried = tried.unionByName(more)
-            links = links.unionByName(verify(more))
-            found = staged(connected_components(links), "near-found")
-        open_ = wide.select("key", "rep")
+        open_ = spanning(open_.select("key", "band", "rep", "degree"))
+    fine = sets_of(open_.select(F.col("rep").alias("id")).distinct(), _fine, "rep long, fine binary").dropDuplicates(["rep"])
+    rows = open_.join(fine, "rep").join(reps.select("rep", "sig", "n"), "rep").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    # a row of block k stands on the left of block pairs (k, y > k), on the right of (x < k, k), on both sides of (k, k)
+    pairs_in = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda y: F.struct(F.least(F.col("own"), y).alias("x"), F.greatest(F.col("own"), y).alias("y"), F.when(y == F.col("own"), 3).when(y > F.col("own"), 1).otherwise(2).alias("side")))
+    rows = rows.withColumn("t", F.explode(pairs_in)).select("key", "band", F.col("t.x").alias("x"), F.col("t.y").alias("y"), F.col("t.side").alias("side"), "rep", "at", "n", "sig", "fine")
+    rest = rows.groupBy("key", "x", "y").applyInArrow(_blocked(percent), "a long, b long").distinct()
+    settle(staged(rest.join(tried, ["a", "b"], "left_anti"), "near-rest"))
 
     named = reps.select("mark", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("mark", F.coalesce("component", "rep").alias("at"))
     out = base.join(named, "mark", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("at", "doc_id")).alias("component_id"))

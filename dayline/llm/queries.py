@@ -81,7 +81,7 @@ with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
          md5(coalesce(doc_id::varchar, '')) as digest
   from documents),
-g as (select *, length(size::varchar) * 10 + left(size::varchar, 1)::int as grade, left(digest, 3) as slot from d),
+g as (select *, length(size::varchar) * 1000 + left(size::varchar, 3)::int as grade, left(digest, 2) as slot from d),
 s as (select source, sum(size)::bigint as source_size from g group by 1),
 w as (select *, [5, 2, 1][1 + (row_number() over (order by source nulls last) - 1) % 3]::double as weight,
              source_size::double * 3 as cap from s),
