@@ -15,8 +15,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is rejected: no letter, or two languages that explain them equally well."""
-    found = langid.identify(docs, ~held_out(F.col("doc_id"), 4)).where("not rejected").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(found, "doc_id", "left_semi").select(COLUMNS)
+    found = langid.identify(docs, ~held_out(F.col("doc_id"), 4), carry=("text", "lang", "source", "n_chars"))
+    return found.where("not rejected").select(COLUMNS)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
