@@ -172,38 +172,41 @@ def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 1) ->
     base = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sketch, "doc_id long, n_shingles long, mark binary, sig binary"), "near-base")
     known = base.where("doc_id is not null and n_shingles > 0")
     reps = staged(known.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "near-reps")
-    bands = reps.select(F.col("rep"), F.explode(F.expr(f"filter(transform(sequence(0, {BANDS - 1}), i -> struct(i as band, substring(sig, i * 8 + 1, 8) as bits)), s -> s.bits != X'0000000000000000')")).alias("s")).select("rep", "s.band", F.xxhash64("s.band", "s.bits").alias("key"))
+    bands = reps.select("rep", F.col("n").alias("size"), F.explode(F.expr(f"filter(transform(sequence(0, {BANDS - 1}), i -> struct(i as band, substring(sig, i * 8 + 1, 8) as bits)), s -> s.bits != X'0000000000000000')")).alias("s")).select("rep", "size", "s.band", F.xxhash64("s.band", "s.bits").alias("key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = staged(bands.join(shared, "key"), "near-buckets")
     # the centre of a bucket is the member that shares the most bands with others: of a group of near copies, the least changed
     degree = buckets.groupBy("rep").agg(F.sum("members").alias("degree"))
     buckets = staged(buckets.join(degree, "rep"), "near-degrees")
-    centre = F.max(F.struct(F.col("degree"), (-F.col("rep")).alias("minus")))
+    centre = F.max(F.struct(F.col("degree"), (-F.col("rep")).alias("minus"), F.col("size").alias("hub_size")))
 
     def pairs_of(df: DataFrame) -> DataFrame:
-        return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+        """Pairs of rows (rep, size) and centres (best), but for those whose sizes alone rule a link out."""
+        fits = (F.col("rep") != -F.col("best.minus")) & (100 * F.least("size", "best.hub_size") >= percent * F.greatest("size", "best.hub_size"))
+        b = -F.col("best.minus")
+        return df.where(fits).select(F.least(F.col("rep"), b).alias("a"), F.greatest(F.col("rep"), b).alias("b")).distinct()
 
     def sets_of(ids: DataFrame, run=_sets, schema: str = "id long, shingles binary") -> DataFrame:
         texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
         return texts.join(ids, "id", "left_semi").mapInArrow(run, schema)
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, screened: bool = False) -> DataFrame:
         side = lambda k: reps.select(F.col("rep").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("n").alias(f"n_{k}"))
-        hopeful = staged(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_hopeful(percent / 100), "a long, b long").distinct(), "near-hopeful")
+        hopeful = pairs if screened else staged(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_hopeful(percent / 100), "a long, b long").distinct(), "near-hopeful")
         ids = hopeful.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         sets = sets_of(ids).dropDuplicates()
         side = lambda k: sets.select(F.col("id").alias(k), F.col("shingles").alias(f"set_{k}"))
         return staged(hopeful.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified(percent), "a long, b long").distinct(), "near-links")
 
-    tried = staged(pairs_of(buckets.join(buckets.groupBy("key").agg((-centre["minus"]).alias("centre")), "key").select(F.col("rep").alias("a"), F.col("centre").alias("b"))), "near-first")
+    tried = staged(pairs_of(buckets.join(buckets.groupBy("key").agg(centre.alias("best")), "key")), "near-first")
     links = verify(tried)
     found = staged(connected_components(links), "near-found")
-    open_ = buckets.where("members > 2").select("key", "band", "rep", "degree")
+    open_ = buckets.where("members > 2").select("key", "band", "rep", "size", "degree")
 
-    def settle(more: DataFrame) -> bool:
+    def settle(more: DataFrame, screened: bool = False) -> bool:
         """Verifies further pairs; whether that linked anything."""
         nonlocal tried, links, found
-        new = verify(more)
+        new = verify(more, screened)
         if new.isEmpty():
             return False
         links = links.unionByName(new)
@@ -212,29 +215,29 @@ def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 1) ->
 
     def spanning(rows: DataFrame) -> DataFrame:
         """The rows of buckets that hold several components, with each row's component."""
-        at = rows.join(found, rows.rep == found.id, "left").select("key", "band", "rep", "degree", F.coalesce("component", "rep").alias("at"))
-        wide = at.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi")
-        return staged(at.join(wide.select("key", "size"), "key"), "near-open")
+        at = rows.join(found, rows.rep == found.id, "left").select("key", "band", "rep", "size", "degree", F.coalesce("component", "rep").alias("at"))
+        wide = at.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo != hi")
+        return staged(at.join(wide.select("key", "members"), "key"), "near-open")
 
     open_ = spanning(open_)
     for _ in range(star_rounds):
         # the largest components have been compared with their centre: now the best member of the others is one
         main = open_.groupBy("key", "at").agg(F.count(F.lit(1)).alias("held"), centre.alias("best"))
         second = Window.partitionBy("key").orderBy(F.col("held").desc(), F.col("best").desc())
-        hub = main.withColumn("place", F.row_number().over(second)).where("place = 2").select("key", F.col("at").alias("hub_at"), (-F.col("best.minus")).alias("centre"))
-        more = pairs_of(open_.join(hub, "key").where("at != hub_at").select(F.col("rep").alias("a"), F.col("centre").alias("b")))
+        hub = main.withColumn("place", F.row_number().over(second)).where("place = 2").select("key", F.col("at").alias("hub_at"), "best")
+        more = pairs_of(open_.join(hub, "key").where("at != hub_at"))
         more = staged(more.join(tried, ["a", "b"], "left_anti"), "near-more")
         tried = tried.unionByName(more)
         if not settle(more):
             break
-        open_ = spanning(open_.select("key", "band", "rep", "degree"))
+        open_ = spanning(open_.select("key", "band", "rep", "size", "degree"))
     fine = sets_of(open_.select(F.col("rep").alias("id")).distinct(), _fine, "rep long, fine binary").dropDuplicates(["rep"])
-    rows = open_.join(fine, "rep").join(reps.select("rep", "sig", "n"), "rep").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    rows = open_.join(fine, "rep").join(reps.select("rep", "sig", "n"), "rep").withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     # a row of block k stands on the left of block pairs (k, y > k), on the right of (x < k, k), on both sides of (k, k)
     pairs_in = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda y: F.struct(F.least(F.col("own"), y).alias("x"), F.greatest(F.col("own"), y).alias("y"), F.when(y == F.col("own"), 3).when(y > F.col("own"), 1).otherwise(2).alias("side")))
     rows = rows.withColumn("t", F.explode(pairs_in)).select("key", "band", F.col("t.x").alias("x"), F.col("t.y").alias("y"), F.col("t.side").alias("side"), "rep", "at", "n", "sig", "fine")
     rest = rows.groupBy("key", "x", "y").applyInArrow(_blocked(percent), "a long, b long").distinct()
-    settle(staged(rest.join(tried, ["a", "b"], "left_anti"), "near-rest"))
+    settle(staged(rest.join(tried, ["a", "b"], "left_anti"), "near-rest"), screened=True)
 
     named = reps.select("mark", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("mark", F.coalesce("component", "rep").alias("at"))
     out = base.join(named, "mark", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("at", "doc_id")).alias("component_id"))
