@@ -51,3 +51,9 @@ class WordHash(dict):
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
+
+
+def semi_join(rows: DataFrame, ids: DataFrame, on: str, most: int = 2_000_000) -> DataFrame:
+    """Rows whose `on` is in `ids`. Up to `most` counted ids are sent to all tasks, so that the rows needn't move."""
+    ids = staged(ids, "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= most else ids, on, "left_semi")

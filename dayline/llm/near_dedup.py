@@ -17,11 +17,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayline.llm.common import WordHash, staged, words
+from dayline.llm.common import WordHash, semi_join, staged, words
 from dayline.llm.components import connected_components
 
 REGISTERS, PICK_BITS, MANTISSA, BANDS = 128, 7, 10, 32
-#: Finer sketches for buckets that hold several components (2 ** FINE_BITS registers), and rows of a block there.
+#: Finer sketches for buckets that hold several components (2 ** FINE_BITS registers of a byte), and rows of a block there.
 FINE_BITS, BLOCK = 9, 512
 SHINGLE = 5
 #: Odd multipliers that make a shingle's hash depend on the order of its words.
@@ -65,16 +65,21 @@ def registers(shingles: np.ndarray, pick_bits: int = PICK_BITS) -> np.ndarray:
     return out
 
 
-def may_reach(same: np.ndarray, filled: np.ndarray, n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+def narrowed(r: np.ndarray) -> np.ndarray:
+    """Registers in a byte: up to fifteen for the leading zeros, and the first four bits of the mantissa."""
+    return np.where(r > 0, (np.minimum(r >> MANTISSA, 15) << 4) | ((r >> (MANTISSA - 4)) & 15), 0).astype(np.uint8)
+
+
+def may_reach(same: np.ndarray, filled: np.ndarray, n: np.ndarray, m: np.ndarray, least: float, mantissa: int = MANTISSA) -> np.ndarray:
     """Whether sets of sizes n and m can have a Jaccard similarity of `least`, as far as their registers tell.
 
     Of the `filled` registers that either set fills, the `same` ones estimate J plus chance matches; with equal sizes a
-    register pair collides with probability 0.1699 / 2**MANTISSA, less with unequal ones (published approximation). The
+    register pair collides with probability 0.1699 / 2**mantissa, less with unequal ones (published approximation). The
     corrected estimate may fall short by five standard errors of a sample of `filled` out of the union's shingles.
     """
     small, large = np.maximum(np.minimum(n, m), 1), np.maximum(n, m)
     ratio, filled = large / small, np.maximum(filled, 1)
-    chance = 0.169919487159739 / (1 << MANTISSA) * 4 * ratio / (1 + ratio) ** 2
+    chance = 0.169919487159739 / (1 << mantissa) * 4 * ratio / (1 + ratio) ** 2
     estimate = (same / filled - chance) / (1 - chance)
     union = np.maximum((n + m) / (1 + least), filled)
     error = np.sqrt(least * (1 - least) / filled * (1 - filled / union)) + 0.5 / filled
@@ -103,7 +108,7 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHash()
     for b in batches:
         sets = [shingle_set(t.as_py(), hashes) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([registers(s, FINE_BITS).tobytes() for s in sets], pa.binary())], ["rep", "fine"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([narrowed(registers(s, FINE_BITS)).tobytes() for s in sets], pa.binary())], ["rep", "fine"])
 
 
 def _blocked(percent: int):
@@ -111,8 +116,8 @@ def _blocked(percent: int):
 
     def run(t: pa.Table) -> pa.Table:
         side, rep, at, n = (t.column(c).to_numpy() for c in ("side", "rep", "at", "n"))
-        band = t.column("band")[0].as_py()
-        fine = np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint16).reshape(len(rep), -1)
+        band = t.column("key")[0].as_py() & (BANDS - 1)
+        fine = np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint8).reshape(len(rep), -1)
         bands = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.int64).reshape(len(rep), BANDS)
         filled = (fine > 0).sum(axis=1)
         right = np.flatnonzero(side != 1)
@@ -124,7 +129,7 @@ def _blocked(percent: int):
             if len(j):
                 same = ((fine[j] == fine[i]) & (fine[i] > 0)).sum(axis=1)
                 either = filled[j] + filled[i] - ((fine[j] > 0) & (fine[i] > 0)).sum(axis=1)
-                out += [(int(rep[i]), int(rep[x])) for x in j[may_reach(same, either, n[j], n[i], percent / 100)]]
+                out += [(int(rep[i]), int(rep[x])) for x in j[may_reach(same, either, n[j], n[i], percent / 100, 4)]]
         return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
 
     return run
@@ -172,12 +177,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 1) ->
     base = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sketch, "doc_id long, n_shingles long, mark binary, sig binary"), "near-base")
     known = base.where("doc_id is not null and n_shingles > 0")
     reps = staged(known.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "near-reps")
-    bands = reps.select("rep", F.col("n").alias("size"), F.explode(F.expr(f"filter(transform(sequence(0, {BANDS - 1}), i -> struct(i as band, substring(sig, i * 8 + 1, 8) as bits)), s -> s.bits != X'0000000000000000')")).alias("s")).select("rep", "size", "s.band", F.xxhash64("s.band", "s.bits").alias("key"))
+    # a key's last five bits are its band
+    bands = reps.select("rep", F.explode(F.expr(f"filter(transform(sequence(0, {BANDS - 1}), i -> struct(i as band, substring(sig, i * 8 + 1, 8) as bits)), s -> s.bits != X'0000000000000000')")).alias("s")).select("rep", F.xxhash64("s.bits").bitwiseAND(F.lit(~(BANDS - 1))).bitwiseOR(F.col("s.band")).alias("key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = staged(bands.join(shared, "key"), "near-buckets")
     # the centre of a bucket is the member that shares the most bands with others: of a group of near copies, the least changed
     degree = buckets.groupBy("rep").agg(F.sum("members").alias("degree"))
-    buckets = staged(buckets.join(degree, "rep"), "near-degrees")
+    buckets = staged(buckets.join(degree, "rep").join(reps.select("rep", F.col("n").alias("size")), "rep"), "near-degrees")
     centre = F.max(F.struct(F.col("degree"), (-F.col("rep")).alias("minus"), F.col("size").alias("hub_size")))
 
     def pairs_of(df: DataFrame) -> DataFrame:
@@ -188,7 +194,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 1) ->
 
     def sets_of(ids: DataFrame, run=_sets, schema: str = "id long, shingles binary") -> DataFrame:
         texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-        return texts.join(ids, "id", "left_semi").mapInArrow(run, schema)
+        return semi_join(texts, ids, "id").mapInArrow(run, schema)
 
     def verify(pairs: DataFrame, screened: bool = False) -> DataFrame:
         side = lambda k: reps.select(F.col("rep").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("n").alias(f"n_{k}"))
@@ -201,7 +207,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 1) ->
     tried = staged(pairs_of(buckets.join(buckets.groupBy("key").agg(centre.alias("best")), "key")), "near-first")
     links = verify(tried)
     found = staged(connected_components(links), "near-found")
-    open_ = buckets.where("members > 2").select("key", "band", "rep", "size", "degree")
+    open_ = buckets.where("members > 2").select("key", "rep", "size", "degree")
 
     def settle(more: DataFrame, screened: bool = False) -> bool:
         """Verifies further pairs; whether that linked anything."""
@@ -215,7 +221,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 1) ->
 
     def spanning(rows: DataFrame) -> DataFrame:
         """The rows of buckets that hold several components, with each row's component."""
-        at = rows.join(found, rows.rep == found.id, "left").select("key", "band", "rep", "size", "degree", F.coalesce("component", "rep").alias("at"))
+        at = rows.join(found, rows.rep == found.id, "left").select("key", "rep", "size", "degree", F.coalesce("component", "rep").alias("at"))
         wide = at.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo != hi")
         return staged(at.join(wide.select("key", "members"), "key"), "near-open")
 
@@ -230,12 +236,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 1) ->
         tried = tried.unionByName(more)
         if not settle(more):
             break
-        open_ = spanning(open_.select("key", "band", "rep", "size", "degree"))
+        open_ = spanning(open_.select("key", "rep", "size", "degree"))
     fine = sets_of(open_.select(F.col("rep").alias("id")).distinct(), _fine, "rep long, fine binary").dropDuplicates(["rep"])
     rows = open_.join(fine, "rep").join(reps.select("rep", "sig", "n"), "rep").withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     # a row of block k stands on the left of block pairs (k, y > k), on the right of (x < k, k), on both sides of (k, k)
     pairs_in = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda y: F.struct(F.least(F.col("own"), y).alias("x"), F.greatest(F.col("own"), y).alias("y"), F.when(y == F.col("own"), 3).when(y > F.col("own"), 1).otherwise(2).alias("side")))
-    rows = rows.withColumn("t", F.explode(pairs_in)).select("key", "band", F.col("t.x").alias("x"), F.col("t.y").alias("y"), F.col("t.side").alias("side"), "rep", "at", "n", "sig", "fine")
+    rows = rows.withColumn("t", F.explode(pairs_in)).select("key", F.col("t.x").alias("x"), F.col("t.y").alias("y"), F.col("t.side").alias("side"), "rep", "at", "n", "sig", "fine")
     rest = rows.groupBy("key", "x", "y").applyInArrow(_blocked(percent), "a long, b long").distinct()
     settle(staged(rest.join(tried, ["a", "b"], "left_anti"), "near-rest"), screened=True)
 
