@@ -136,3 +136,27 @@ def social_rhythm(anchors: DataFrame, days: int = 7, band: float = 1.5, least: i
     per_day = a.groupBy("pid", "day", "n").agg(F.count_if(F.col("held") >= least).alias("used"), F.count_if((F.col("held") >= least) & (F.abs(F.col("hours") - F.col("median")) <= band)).alias("hits"))
     per_day = per_day.withColumn("history", F.count(F.lit(1)).over(Window.partitionBy("pid").orderBy("n").rangeBetween(-days, -1)))
     return per_day.where((F.col("history") >= least) & (F.col("used") > 0)).select("pid", "day", (F.col("hits") / F.col("used")).alias("srm"), F.least(F.lit(1.0), F.col("history") / days).alias("coverage"))
+
+
+def marker_days(locked: DataFrame, dark: DataFrame, places: DataFrame, apps: DataFrame, comm: DataFrame, spine: DataFrame, home: str, least: int = 5, least_comm: int = 3) -> DataFrame:
+    """One wide row of all ten markers for each day of the spine, null where a stream gives no evidence, with coverage."""
+    keys = ["pid", "day"]
+    sleep = sleep_episodes(locked, dark, spine)
+    total = screen_minutes(locked, spine, "4 hours", "28 hours")
+    parts = [
+        sleep.select(*keys, F.col("onset").alias("sleep_onset_hour"), F.col("duration").alias("sleep_duration_hours"), F.lit(1.0).alias("c_sleep")),
+        sleep_regularity(sleep, spine).select(*keys, F.col("sri").alias("sleep_regularity_index"), F.col("coverage").alias("c_regularity")),
+        screen_minutes(locked, spine, "-1 hours", "4 hours").select(*keys, F.col("minutes").alias("late_night_screen_min"), F.col("coverage").alias("c_late")),
+        total.select(*keys, F.col("minutes").alias("total_screen_min"), F.col("coverage").alias("c_screen")),
+        app_switching(apps, total, least).select(*keys, F.col("rate").alias("app_switching_rate")),
+        mobility(dwell(places, least=least)).select(*keys, F.col("entropy").alias("mobility_entropy"), F.col("revisit").alias("location_revisit_ratio"), F.col("coverage").alias("c_mobility")),
+        social_rhythm(daily_anchors(locked, places, comm, home)).select(*keys, F.col("srm").alias("social_rhythm_metric"), F.col("coverage").alias("c_rhythm")),
+        comm_reciprocity(comm, least_comm).select(*keys, F.col("reciprocity").alias("comm_reciprocity")),
+    ]
+    out = spine
+    for part in parts:
+        out = out.join(part, keys, "left")
+    given = {"sleep_onset_hour": "c_sleep", "sleep_duration_hours": "c_sleep", "sleep_regularity_index": "c_regularity", "late_night_screen_min": "c_late", "total_screen_min": "c_screen", "mobility_entropy": "c_mobility", "location_revisit_ratio": "c_mobility", "social_rhythm_metric": "c_rhythm"}
+    cover = [x for m, c in given.items() for x in (F.lit(m), F.coalesce(F.col(c), F.lit(0.0)))]
+    cover += [x for m in ("app_switching_rate", "comm_reciprocity") for x in (F.lit(m), F.when(F.col(m).isNotNull(), 1.0).otherwise(0.0))]
+    return out.withColumn("coverage", F.create_map(*cover)).drop(*set(given.values()))

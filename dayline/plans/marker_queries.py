@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dayline.functions import registry
 from dayline.functions.columns import behavioural_day, seconds_between
 from dayline.operators import markers as M
 from dayline.operators.intervals import clip_intervals, day_windows, intersect_intervals, merge_intervals
@@ -102,6 +103,12 @@ def q_social_rhythm(spark: SparkSession, d: str) -> DataFrame:
     return M.social_rhythm(_anchors(spark, d)).select("pid", "day", *r6("srm", "coverage"))
 
 
+def q_raw_marker_days(spark: SparkSession, d: str) -> DataFrame:
+    """All markers from the raw streams, one row a day."""
+    m = M.marker_days(locked(spark, d), dark(spark, d), locations(spark, d), apps(spark, d), comm(spark, d), _spine(spark, d), "^L0$", MIN, MIN)
+    return m.select("pid", "day", *r6(*[n for n in registry.NAMES if n != "app_switching_rate"]), F.round("app_switching_rate", 8).alias("app_switching_rate"))
+
+
 QUERIES = {k[2:]: v for k, v in globals().items() if k.startswith("q_")}
 
 _CTE = {
@@ -196,3 +203,9 @@ select pid, day, round(hits / used::double, 6) as srm, round(least(1.0, history
       select *, count(hours) over w as held, quantile_cont(hours, 0.5) over w as med from (select *, (day - date '1970-01-01') as n from anchors)
       window w as (partition by pid, anchor order by n range between 7 preceding and 1 preceding)) group by all)) where history >= 3 and used > 0"""),
 }
+
+SQL["raw_marker_days"] = (
+    "select s.pid, s.day, onset as sleep_onset_hour, duration as sleep_duration_hours, sri as sleep_regularity_index, l.minutes as late_night_screen_min, t.minutes as total_screen_min, rate as app_switching_rate, entropy as mobility_entropy, revisit as location_revisit_ratio, srm as social_rhythm_metric, reciprocity as comm_reciprocity "
+    f"from ({SQL['day_spine']}) s"
+    + "".join(f" left join ({SQL[q]}) {a} on {a}.pid = s.pid and {a}.day = s.day" for q, a in (("sleep_episode", "e"), ("sleep_regularity", "g"), ("late_night_screen", "l"), ("total_screen", "t"), ("app_switching", "w"), ("mobility_entropy", "n"), ("revisit_ratio", "r"), ("social_rhythm", "y"), ("comm_reciprocity", "c")))
+)

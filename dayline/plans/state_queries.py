@@ -173,6 +173,25 @@ def q_blank_journals(spark: SparkSession, d: str) -> DataFrame:
     return j.where("content is null or trim(content) = ''").groupBy("user").agg(F.array_join(F.sort_array(F.collect_list("place")).cast("array<string>"), ",").alias("blank"))
 
 
+def q_expand_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Search texts of each day: up to four deviations, up to three patterns, and one for its risk."""
+    from dayline.functions.columns import shortened
+
+    s = _state(spark, d).where("warm")
+    dev = F.transform(F.slice("deviations", 1, 4), lambda x: F.concat(F.replace(x["marker"], F.lit("_"), F.lit(" ")), F.lit(" "), x["direction"]))
+    pat = F.transform(F.slice("patterns", 1, 3), lambda x: F.replace(x["pattern"], F.lit("-"), F.lit(" ")))
+    none = F.array().cast("array<string>")
+    q = s.select("pid", "day", F.posexplode(F.concat(F.coalesce(dev, none), F.coalesce(pat, none))).alias("n", "query"))
+    return q.select("pid", "day", "n", shortened(F.col("query"), 80).alias("query"))
+
+
+def q_scheduler_payload(spark: SparkSession, d: str) -> DataFrame:
+    """The newest warm state of each person with their feedback, as one JSON text."""
+    f = _feedback(spark, d).groupBy(F.col("user").alias("pid")).agg(F.count(F.lit(1)).alias("feedback"))
+    s = S.latest_warm(_state(spark, d)).join(f, "pid", "left")
+    return s.select("pid", "day", F.to_json(F.struct("confidence", "deviations", "patterns", "notes", F.coalesce("feedback", F.lit(0)).alias("feedback"))).alias("payload"))
+
+
 QUERIES = {k[2:]: v for k, v in globals().items() if k.startswith("q_")}
 
 _Q7 = f"select *, {quality_sql('a')} as quality from (select *, avg(coverage) over {framed(-6, 0)} as a from long)"
@@ -211,3 +230,9 @@ select user_ as "user", kind, case kind when 'avoid' then 'Avoid: ' when 'prefer
     "journals_by_day": 'select u as "user", day, n from (select *, row_number() over (partition by u order by day desc) as rn from (select o_custkey as u, o_orderdate::date as day, count(*) as n from orders group by all)) where rn <= 10',
     "blank_journals": """select conv_id as "user", string_agg(turn::varchar, ',' order by turn) as blank from conversations where turn % 3 = 0 or text is null or trim(text) = '' group by 1""",
 }
+
+SQL["expand_queries"] = with_(["devs", "pats", "history"], """
+select pid, day, (row_number() over (partition by pid, day order by kind, place) - 1)::int as n, query from (
+  select d.pid, d.day, 0 as kind, row_number() over (partition by d.pid, d.day order by position) as place, replace(marker, '_', ' ') || ' ' || direction as query from devs d
+  union all select pid, day, 1, row_number() over (partition by pid, day order by pattern_position), replace(pattern, '-', ' ') from pats) q
+where place <= case kind when 0 then 4 else 3 end and exists (select 1 from history h where h.pid = q.pid and h.day = q.day and h.history >= 10)""")

@@ -196,6 +196,15 @@ def q_bucket_counts(spark: SparkSession, d: str) -> DataFrame:
     return long.groupBy("bucket").agg(F.count(F.lit(1)).alias("fires"), F.count("stress").alias("labelled"), F.count_distinct("pid").alias("people"))
 
 
+def q_predictor_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Every flag by Welch's test and every number by rank correlation, in one table."""
+    j = _joined(spark, d)
+    t = S.binary_outcomes(j, {c: F.col(c) for c in FLAGS}, "stress").select("label", F.lit("welch").alias("test"), F.col("diff").alias("effect"), "p")
+    for x in ("n_dev", "n_pat", "risk_index", "n_markers_present"):
+        t = t.unionByName(S.spearman(j, x, "stress").select(F.lit(x).alias("label"), F.lit("spearman").alias("test"), F.col("r").alias("effect"), "p"))
+    return t.select("label", "test", *r6("effect", "p"))
+
+
 QUERIES = {k[2:]: v for k, v in globals().items() if k.startswith("q_")}
 
 _EXTRA = {
@@ -286,3 +295,4 @@ from (select *, greatest(2 * (ll - max(ll0) over ()), 0) as lrt from (
     "cohort_summary": _Q("select count(*) as warm_days, count(distinct pid) as people, count(stress) as labelled_days, count(*) filter (any_pattern) as pattern_days from joined"),
     "bucket_counts": _Q("select bucket, count(*) as fires, count(stress) as labelled, count(distinct pid) as people from (" + " union all ".join(f"select '{c}' as bucket, pid, stress, {c} as flag from joined" for c in FLAGS) + ") where flag group by bucket"),
 }
+SQL["predictor_comparison"] = _Q("select label, test, round(effect, 6) as effect, round(p, 6) as p from (select label, 'welch' as test, diff as effect, p from (" + _tests_sql(_FLAGS_LONG) + ")" + "".join(f" union all select '{x}', 'spearman', r, p from ({_spearman_sql('joined', x, 'stress')})" for x in ("n_dev", "n_pat", "risk_index", "n_markers_present")) + ")")

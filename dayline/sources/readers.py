@@ -74,7 +74,7 @@ def parse_journals(files: DataFrame, limit: int | None = None) -> DataFrame:
     newest = files.agg(F.max_by("text", F.struct("modified", "path")).alias("text"))
     part = newest.select(F.explode(F.split("text", r"={40,}")).alias("part"))
     get = lambda p: F.regexp_extract("part", p, 1)
-    e = part.select(get(r"(?i)entry\s*#?\s*(\d+)").try_cast("int").alias("number"), F.trim(get(r"(?im)^created:\s*(.+)$")).alias("created"), F.trim(get(r"(?im)^period:\s*(.+)$")).alias("period"), F.trim(get(r"(?s)\n\s*\n(.+)$")).alias("content")).where("number is not null")
+    e = part.select(get(r"(?i)entry\s*#?\s*(\d+)").try_cast("int").alias("number"), F.trim(get(r"(?im)^created:\s*(.+)$")).alias("created"), F.trim(get(r"(?im)^period:\s*(.+)$")).alias("period"), F.regexp_replace(get(r"(?s)\n\s*\n(.+)$"), r"^\s+|\s+$", "").alias("content")).where("number is not null")
     e = e.orderBy(F.col("number").desc())
     return e.limit(limit) if limit else e
 
