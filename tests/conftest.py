@@ -4,6 +4,8 @@ import tempfile
 
 import pytest
 
+# before numpy is loaded: its own threads can hang in a process that has started a JVM
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
