@@ -40,3 +40,18 @@ def intersect_intervals(left: DataFrame, right: DataFrame, keys: list[str]) -> D
     other = right.select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e"))
     both = left.join(other, keys).withColumn("start", F.greatest("start", "_s")).withColumn("end", F.least("end", "_e"))
     return both.where("end > start").drop("_s", "_e")
+
+
+def raw_records(days: DataFrame, intervals: DataFrame, points: DataFrame) -> DataFrame:
+    """(pid, day, stream, n, records): the raw rows of each wanted (pid, day), each stream within its own window.
+
+    `intervals` (stream, pid, start, end, record) count from the evening before, 20:00, and `points` (stream, pid, ts,
+    record) from 04:00, both to 04:00 of the next day. Intervals are exploded to the days that they can touch, so both
+    joins are equi-joins. A person's day of one stream bounds the list; records are sorted.
+    """
+    wanted = day_windows(days.select("pid", "day").distinct(), "-4 hours", "28 hours")
+    touched = F.sequence(F.to_date(F.col("start") - F.expr("INTERVAL 28 HOURS")), F.to_date(F.col("end") + F.expr("INTERVAL 4 HOURS")))
+    spans = intervals.withColumn("day", F.explode(touched)).join(wanted, ["pid", "day"]).where("end > lo and start < hi")
+    dots = points.withColumn("day", F.to_date(F.col("ts") - F.expr("INTERVAL 4 HOURS"))).join(wanted, ["pid", "day"])
+    rows = spans.select("pid", "day", "stream", "record").unionByName(dots.select("pid", "day", "stream", "record"))
+    return rows.groupBy("pid", "day", "stream").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("record")).alias("records"))

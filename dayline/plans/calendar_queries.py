@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from dayline.functions.columns import clock
 from dayline.operators import calendar as C
 from dayline.operators import evaluation as E
-from dayline.plans.fixtures import table
+from dayline.operators import intervals as I
+from dayline.plans.fixtures import events, locked, table, with_
 
 r6 = lambda *cs: [F.round(c, 6).alias(c) for c in cs]
 
@@ -184,6 +185,45 @@ def q_recovery(spark: SparkSession, d: str) -> DataFrame:
     return E.with_total(a, "pattern", ["detected"]).select("pattern", "n", *r6("detected")).join(F.broadcast(once))
 
 
+_PATTERNS = list(E.MECHANISM)
+_SAID = ["cancel the gym", "Move lunch by an hour", "add a walk", "keep a wake time", "put the phone away", "rest"]
+_GROUND = ["sleep_onset_hour", "mobility_entropy", "app_switching_rate", ""]
+_pick = lambda words, c: F.get(F.array(*[F.lit(w) for w in words]), c.cast("int"))
+
+
+def q_fixed_protection(spark: SparkSession, d: str) -> DataFrame:
+    said = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), _pick(_SAID, F.col("l_partkey") % 6).alias("text"))
+    said = said.groupBy("case_id").agg(F.array_join(F.sort_array(F.collect_list("text")), "; ").alias("text"))
+    o = F.col("o_orderkey")
+    both = F.array(*[F.struct(F.lit(t).alias("title"), F.lit(kind).alias("event_type"), (o % n == 0).alias("fixed")) for t, kind, n in [("Gym", "fitness", 3), ("Lunch", "social_meal", 2)]])
+    plans = table(spark, d, "orders").select(o.alias("case_id"), F.explode(both).alias("e")).select("case_id", "e.*")
+    return E.fixed_protection(said, plans).select("case_id", "passed", F.array_join("touched", ",").alias("touched"))
+
+
+def q_lever_credit(spark: SparkSession, d: str) -> DataFrame:
+    credit = E.lever_credit(_pick(_PATTERNS, F.col("l_orderkey") % 4), _pick(_SAID, F.col("l_partkey") % 6), _pick(_GROUND, F.col("l_suppkey") % 4), F.col("l_linestatus") == "O")
+    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("case_id"), F.col("l_linestatus").alias("arm")).agg(F.max(credit).alias("credit"))
+
+
+def q_decision_cases(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_custkey").alias("pid"), F.col("o_orderdate").cast("date").alias("day"))
+    cases = o.withColumn("pattern", _pick(_PATTERNS, F.col("case_id") % 4))
+    states = o.groupBy("pid", "day").agg(F.max("case_id").alias("k")).select("pid", "day", F.array(_pick(_PATTERNS, F.col("pid") % 4)).alias("early"), F.array(_pick(_PATTERNS, F.col("k") % 3)).alias("later"))
+    loads = o.groupBy("pid", "day").agg(F.count(F.lit(1)).alias("events"))
+    results = _arms(spark, d).groupBy("case_id", "arm").agg(F.max("lever_pass").alias("lever_pass"), F.round(F.sum("burden"), 6).alias("burden"))
+    out = E.decision_cases(cases, states, loads, results, "O")
+    return out.select("case_id", "arm", "pid", "day", "pattern", F.array_join("names", ",").alias("names"), "events", "detected", "evidence", "lever_pass", "burden")
+
+
+def q_raw_records(spark: SparkSession, d: str) -> DataFrame:
+    """Raw rows of every person's days, as the digest of each stream's sorted records."""
+    e = events(spark, d)
+    days = e.select("pid", "day").distinct()
+    spans = locked(spark, d).select(F.lit("lock").alias("stream"), "pid", "start", "end", F.concat_ws("/", F.unix_seconds(F.col("start").cast("timestamp")).cast("string"), F.unix_seconds(F.col("end").cast("timestamp")).cast("string")).alias("record"))
+    points = e.select(F.col("kind").alias("stream"), "pid", "ts", F.col("event_id").cast("string").alias("record"))
+    return I.raw_records(days, spans, points).select("pid", "day", "stream", "n", F.md5(F.array_join("records", ",").cast("binary")).alias("digest"))
+
+
 QUERIES = {k[2:]: v for k, v in globals().items() if k.startswith("q_")}
 
 _CAL = "cal as (select o_custkey as pid, o_orderkey % 5000 as id, s, s + to_minutes(30 * (1 + o_orderkey % 4)) as e, 'E' || o_orderkey as title, o_orderstatus = 'F' as fixed, o_orderkey % 10 = 0 as exam, o_orderkey % 7 = 0 as private, o_orderpriority as calendar, o_orderkey as okey from (select *, o_orderdate::timestamp + to_hours(o_orderkey % 24) as s from orders))"
@@ -193,6 +233,11 @@ _ARMS = "arms as (select *, lever_pass and burden_pass and specificity_pass as a
 _HM = lambda x: f"(lpad(((floor({x})::int + case when round_even(({x} - floor({x})) * 60, 0) = 60 then 1 else 0 end) % 24)::varchar, 2, '0') || ':' || lpad((round_even(({x} - floor({x})) * 60, 0)::int % 60)::varchar, 2, '0'))"
 _SUGG = f"sugg as (select l_orderkey as case_id, l_linenumber as line, {_WORDS!r}[1 + l_partkey % 6] as change, case when l_linenumber % 4 > 0 then (l_partkey % 20) * 60 end as a, (l_partkey % 20) * 60 + (l_suppkey % 13) * 15 as b from lineitem)"
 _AVG = ", ".join(f"round(avg({c}::int), 6) as {c}" for c in PASSES)
+_ANY = lambda x, ws: "(" + " or ".join(f"contains({x}, '{w}')" for w in ws) + ")"
+_BY = lambda x, words: "case p " + " ".join(f"when '{p}' then {_ANY(x, ws)}" for p, ws in words.items()) + " end"
+_TOUCH = rf"regexp_matches(text, '\b({E.CHANGES})\b.{{0,{E.NEAR}}}\b' || lower(title) || '\b|\b' || lower(title) || '\b.{{0,{E.NEAR}}}\b({E.CHANGES})\b')"
+_LOCKED = "lockd as (select pid, s, e from (select pid, ts + to_seconds(floor(value)::int) as s, lead(ts) over (partition by pid order by ts, event_id) as e from ev) where e > s)"
+
 SQL = {
     "merge_calendars": f'with {_CAL} select pid, id, s as start, e as "end", title from (select *, row_number() over (partition by pid, id order by s, calendar) as rn from cal where s < timestamp \'{HI}\' and e > timestamp \'{LO}\' and not private) where rn = 1',
     "schedule_summary": f"with {_CAL}, d as (select pid, s::date as day, count(*) as n, sum(date_sub('second', s, e) / 3600.0) as h from cal group by all) select pid, sum(n)::bigint as event_count, round(sum(h), 1)::double as total_hours, first(day order by n desc, day) as busiest_day, count(*) as days_covered from d group by pid",
@@ -221,4 +266,15 @@ SQL = {
     "rater_summary": "with p as (select o_orderkey as case_id, ('0x' || left(md5('blind|' || o_orderkey), 2))::int % 2 = 1 as swap from orders), r as (select case_id, 'A' as side, case when swap then 'plain' else 'aware' end as arm, case_id * 3 % 5 as rating from p union all select case_id, 'B', case when swap then 'aware' else 'plain' end, case_id * 5 % 5 from p) select arm, count(*) as n, round(avg(rating), 6) as mean_rating, round(avg((rn = 1)::int), 6) as preference_rate from (select *, row_number() over (partition by case_id order by rating desc, side) as rn from r) group by arm",
     "suggestion_text": f"with {_SUGG} select case_id, md5(string_agg(n || '. ' || change, chr(10) order by n)) as digest from (select *, row_number() over (partition by case_id order by line, change) as n from sugg) group by case_id",
     "recovery": f"with {_ARMS} select coalesce(pattern::varchar, 'all') as pattern, count(*) as n, round(avg(detected::int), 6) as detected, (select round(avg(o::int), 6) from (select case_id % 500 as p, bool_or(detected) as o from arms group by 1)) as people_once from arms group by rollup (pattern)",
+    "fixed_protection": f"""with said as (select l_orderkey as case_id, lower(string_agg(t, '; ' order by t)) as text from (select l_orderkey, {_SAID!r}[1 + l_partkey % 6] as t from lineitem) group by 1), plans as (select o_orderkey as case_id, 'Gym' as title, 'fitness' as kind, o_orderkey % 3 = 0 as fixed from orders union all select o_orderkey, 'Lunch', 'social meal', o_orderkey % 2 = 0 from orders),
+      j as (select case_id, text, title, coalesce(fixed and contains(text, lower(title)) and {_TOUCH}, false) as changed, coalesce(not fixed and (contains(text, lower(title)) or contains(text, kind)), false) or {_ANY("text", E.SUPPORT)} as aimed from said left join plans using (case_id))
+      select case_id, not bool_or(changed) and bool_or(aimed) and bool_or(trim(text) <> '') as passed, coalesce(string_agg(distinct title, ',' order by title) filter (changed), '') as touched from j group by case_id""",
+    "lever_credit": f"""with r as (select l_orderkey as case_id, l_linestatus as arm, {_PATTERNS!r}[1 + l_orderkey % 4] as p, lower({_SAID!r}[1 + l_partkey % 6]) as t, {_GROUND!r}[1 + l_suppkey % 4] as g from lineitem)
+      select case_id, arm, bool_or({_BY("t", E.MECHANISM)} or (arm = 'O' and (contains(g, p) or {_BY("g", E.GROUNDS)} or {_BY("t", E.ACTIONS)}))) as credit from r group by all""",
+    "decision_cases": f"""with {_ARMS}, o as (select o_orderkey as case_id, o_custkey as pid, o_orderdate::date as day from orders), st as (select pid, day, list_sort(list_distinct([{_PATTERNS!r}[1 + pid % 4], {_PATTERNS!r}[1 + max(case_id) % 3]])) as names, count(*) as events from o group by pid, day),
+      r as (select case_id, arm, bool_or(lever_pass) as lever_pass, round(sum(burden), 6)::double as burden from arms group by all), c as (select *, {_PATTERNS!r}[1 + case_id % 4] as pattern from o)
+      select case_id, arm, pid, day, pattern, array_to_string(names, ',') as names, events, list_contains(names, pattern) as detected, list_contains(names, pattern) and arm = 'O' as evidence, lever_pass, burden from c join st using (pid, day) join r using (case_id)""",
+    "raw_records": with_(["ev"], """select pid, day, stream, count(*) as n, md5(string_agg(record, ',' order by record)) as digest from (
+      select d.pid, d.day, 'lock' as stream, floor(epoch(s))::bigint || '/' || floor(epoch(e))::bigint as record from days d join lockd l on l.pid = d.pid and e > d.day::timestamp - interval 4 hours and s < d.day::timestamp + interval 28 hours
+      union all select d.pid, d.day, kind, event_id::varchar from days d join ev on ev.pid = d.pid and ts >= d.day::timestamp + interval 4 hours and ts < d.day::timestamp + interval 28 hours) group by all""", {"days": "select distinct pid, day from ev", "lockd": _LOCKED.split(" as ", 1)[1][1:-1]}),
 }

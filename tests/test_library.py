@@ -263,3 +263,38 @@ def test_every_query_with_sql_names_the_same_columns():
 def test_burden(spark):
     s = spark.createDataFrame([(1, "Cancel and move the run", "07:00", "07:20"), (1, None, None, None), (2, "rest", "09:00", "11:00")], "case_id int, change string, start_time string, end_time string")
     assert {r.case_id: (r.burden, r.high_burden) for r in E.burden_score(s).collect()} == {1: (2.5, True), 2: (1.2, False)}
+
+
+def test_fixed_events_are_protected(spark):
+    texts = spark.createDataFrame([(1, "Cancel the C++ (lab)?"), (2, "move lunch; the C++ lab stays " + "." * 60 + " gym"), (3, "  "), (4, None), (5, "sleep well"), (6, "a study block helps")], "case_id int, text string")
+    plans = [(c, t, k, f) for c in (1, 2, 5) for t, k, f in [("Gym", "fitness", True), ("Lunch", "social_meal", False)]]
+    plans += [(1, "C++ (lab", "lab", True), (6, None, None, None)]
+    out = E.fixed_protection(texts, spark.createDataFrame(plans, "case_id int, title string, event_type string, fixed boolean")).collect()
+    got = {r.case_id: (r.passed, r.touched) for r in out}
+    assert got == {1: (False, ["C++ (lab"]), 2: (True, []), 3: (False, []), 4: (False, []), 5: (False, []), 6: (True, [])}
+
+
+def test_levers_need_the_mechanism_or_evidence(spark):
+    sleep = "phone-mediated-sleep-delay"
+    rows = [(1, sleep, "put the Phone away", None, False), (2, sleep, "a wind-down", None, False), (3, sleep, "a wind-down", None, True), (4, sleep, "rest", "late_night_screen_min up", True), (5, sleep, "rest", "late_night_screen_min up", None), (6, "other", "phone", "x", True), (7, None, None, None, True)]
+    df = spark.createDataFrame(rows, "i int, p string, t string, g string, e boolean")
+    got = [r.c for r in df.select("i", E.lever_credit(F.col("p"), F.col("t"), F.col("g"), F.col("e")).alias("c")).orderBy("i").collect()]
+    assert got == [True, False, True, True, False, False, False]
+
+
+def test_only_the_informed_arm_has_evidence(spark):
+    cases = spark.createDataFrame([(1, 7, 1, "p"), (2, 8, 1, "p")], "case_id int, pid int, day int, pattern string")
+    states = spark.createDataFrame([(7, 1, ["q"], ["p", "q"])], "pid int, day int, early array<string>, later array<string>")
+    loads = spark.createDataFrame([(7, 1, 2)], "pid int, day int, events int")
+    results = spark.createDataFrame([(c, a) for c in (1, 2) for a in ("aware", "plain")], "case_id int, arm string")
+    got = {(r.case_id, r.arm): (r.names, r.detected, r.evidence, r.events) for r in E.decision_cases(cases, states, loads, results, "aware").collect()}
+    assert got[1, "aware"] == (["p", "q"], True, True, 2) and got[1, "plain"] == (["p", "q"], True, False, 2)
+    assert got[2, "aware"] == ([], False, False, None)
+
+
+def test_raw_records_have_their_own_windows(spark):
+    days = spark.sql("select 1 pid, date'2024-01-02' day")
+    spans = spark.sql("select 'lock' stream, 1 pid, timestamp_ntz'2024-01-01 19:00:00' start, explode(array(timestamp_ntz'2024-01-01 20:00:00', timestamp_ntz'2024-01-01 20:01:00', timestamp_ntz'2024-01-09 00:00:00')) `end`").withColumn("record", F.col("end").cast("string"))
+    points = spark.sql("select 'app' stream, 1 pid, explode(array(timestamp_ntz'2024-01-02 03:59:59', timestamp_ntz'2024-01-02 04:00:00', timestamp_ntz'2024-01-03 03:59:59', timestamp_ntz'2024-01-03 04:00:00')) ts").withColumn("record", F.col("ts").cast("string"))
+    got = {r.stream: (r.n, r.records) for r in I.raw_records(days, spans, points).collect()}
+    assert got == {"lock": (2, ["2024-01-01 20:01:00", "2024-01-09 00:00:00"]), "app": (2, ["2024-01-02 04:00:00", "2024-01-03 03:59:59"])}
