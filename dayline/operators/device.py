@@ -159,3 +159,31 @@ def recent_motion(rows: DataFrame, n: int = 10) -> DataFrame:
     """The last `n` detections of each device, oldest first, as text."""
     r = rows.withColumn("_n", F.row_number().over(Window.partitionBy("device").orderBy(F.col("ts").desc(), F.col("seq").desc()))).where(F.col("_n") <= n)
     return r.groupBy("device").agg(F.array_join(F.sort_array(F.collect_list(F.struct((-F.col("_n")).alias("o"), "motion")))["motion"], ",").alias("motions"))
+
+
+def marker_days(contexts: DataFrame, nights: DataFrame, comm: DataFrame, full_hours: float = 12.0) -> DataFrame:
+    """(device, day, markers, coverage): a device's days assembled from its logs, each marker with its coverage.
+
+    `contexts` (device, day, place, secs, active_hour) give entropy, the share of the three longest places and the
+    nearness of the first active hour to the device's upper median; `nights` (device, day, start, hours) give onset and
+    duration; `comm` (device, day, incoming, outgoing) gives reciprocity. Days of any table count; a marker without
+    its source is null with coverage 0.
+    """
+    stay = contexts.groupBy("device", "day", "place").agg(F.sum(F.greatest("secs", F.lit(0))).cast("double").alias("s"), F.min("active_hour").alias("hour"))
+    part = F.when(F.col("s") > 0, F.col("s") * F.ln("s")).otherwise(0.0)
+    longest = F.slice(F.sort_array(F.collect_list("s"), asc=False), 1, 3)
+    day = stay.groupBy("device", "day").agg(F.sum("s").alias("total"), F.sum(part).alias("sls"), F.aggregate(longest, F.lit(0.0), lambda a, x: a + x).alias("top"), F.min("hour").alias("hour"))
+    hours = day.groupBy("device").agg(F.array_sort(F.collect_list("hour")).alias("hs"))
+    day = day.join(hours.select("device", F.get("hs", F.floor(F.size("hs") / 2).cast("int")).alias("usual")), "device")
+    some = F.col("total") > 0
+    seen = F.when(some, F.least(F.col("total") / (full_hours * 3600), F.lit(1.0))).otherwise(0.0)
+    day = day.select("device", "day", seen.alias("seen"), F.when(some, F.ln("total") - F.col("sls") / F.col("total")).alias("mobility_entropy"), F.when(some, F.col("top") / F.col("total")).alias("location_revisit_ratio"), clip(1 - F.abs(F.col("hour") - F.col("usual")) / 3, 0.0, 1.0).alias("social_rhythm_metric"))
+    onset = F.hour("start") + F.minute("start") / 60
+    night = nights.select("device", "day", F.when(onset < 12, onset + 24).otherwise(onset).alias("sleep_onset_hour"), F.col("hours").alias("sleep_duration_hours"))
+    both = F.col("incoming") + F.col("outgoing")
+    talk = comm.select("device", "day", F.when(both > 0, F.col("outgoing") / both).alias("comm_reciprocity"))
+    d = day.join(night, ["device", "day"], "full").join(talk, ["device", "day"], "full")
+    cover = {"mobility_entropy": F.coalesce("seen", F.lit(0.0)), "location_revisit_ratio": F.coalesce("seen", F.lit(0.0)), "social_rhythm_metric": F.coalesce("seen", F.lit(0.0))}
+    names = [*cover, "sleep_onset_hour", "sleep_duration_hours", "comm_reciprocity"]
+    pairs = lambda f: F.create_map(*[x for m in names for x in (F.lit(m), f(m))])
+    return d.select("device", "day", pairs(F.col).alias("markers"), pairs(lambda m: F.when(F.col(m).isNotNull(), cover.get(m, F.lit(1.0))).otherwise(0.0)).alias("coverage"))

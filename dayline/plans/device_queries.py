@@ -122,6 +122,14 @@ def q_recent_motion(spark: SparkSession, d: str) -> DataFrame:
     return D.recent_motion(_samples(spark, d).withColumnRenamed("kind", "motion"))
 
 
+def q_device_marker_days(spark: SparkSession, d: str) -> DataFrame:
+    s = _samples(spark, d)
+    hour = F.when((F.hour("ts") >= 4) & (F.col("k") >= 30), F.hour("ts") + F.minute("ts") / 60)
+    contexts = s.select("device", "day", (F.col("k") % 7).alias("place"), (F.col("k") * 60).alias("secs"), hour.alias("active_hour"))
+    m = D.marker_days(contexts, D.night_episode(_pairs(spark, d)), q_comm_counts(spark, d))
+    return m.select("device", "day", F.explode("markers").alias("marker", "value"), "coverage").select("device", "day", "marker", F.round("value", 6).alias("value"), F.round(F.col("coverage")[F.col("marker")], 6).alias("coverage"))
+
+
 QUERIES = {k[2:]: v for k, v in globals().items() if k.startswith("q_")}
 
 _PAIRS = "pairs as (select device, ts as start, coalesce(nt, timestamp '2024-02-01') as e, lux from (select pid as device, ts, kind = 'view' as off, k::double as lux, lead(kind = 'view') over w as no, lead(ts) over w as nt from ev window w as (partition by pid order by ts, event_id)) where off and (no is null or not no) and coalesce(nt, timestamp '2024-02-01') > ts)"
@@ -150,4 +158,12 @@ SQL = {
     "battery_runs": _X(_RUNS, "select place, drop_ as drop, round(per_hour, 6) as per_hour, array_to_string(list_filter([case when minutes < 30 then 'short' end, case when e > s then 'charging' end, case when s < 50 then 'low start' end], lambda x: x is not null), ',') as warnings from runs"),
     "battery_pairs": _X(_RUNS, "select platform, round(a - b, 6) as delta, abs(am - bm) <= 15 as comparable, case when a - b is null then 'unpaired' when abs(am - bm) > 15 then 'not comparable' when a - b <= 1 then 'low' when a - b <= 3 then 'moderate' else 'high' end as level from (select platform, arg_max(per_hour, place) filter (profile = 'active') as a, arg_max(minutes, place) filter (profile = 'active') as am, arg_max(per_hour, place) filter (profile = 'baseline') as b, arg_max(minutes, place) filter (profile = 'baseline') as bm from runs group by platform)"),
     "recent_motion": _E("select device, string_agg(kind, ',' order by n desc) as motions from (select pid as device, kind, row_number() over (partition by pid order by ts desc, event_id desc) as n from ev) where n <= 10 group by device"),
+    "device_marker_days": _X(_NIGHT, """, st as (select pid as device, day, k % 7 as place, sum(k * 60)::double as s, min(case when hour(ts) >= 4 and k >= 30 then hour(ts) + minute(ts) / 60.0::double end) as h from ev group by all),
+      d0 as (select device, day, sum(s) as total, sum(case when s > 0 then s * ln(s) else 0 end) as sls, list_sum(list_sort(list(s), 'DESC')[1:3]) as top, min(h) as h from st group by device, day),
+      us as (select device, list_sort(list(h) filter (h is not null)) as hs from d0 group by device),
+      dd as (select device, day, case when total > 0 then least(total / 43200, 1) else 0 end as seen, case when total > 0 then ln(total) - sls / total end as me, case when total > 0 then top / total end as lr, case when h is not null then greatest(0, least(1, 1 - abs(h - hs[len(hs) // 2 + 1]) / 3)) end as sr from d0 join us using (device)),
+      ng as (select device, day, hour(start) + minute(start) / 60.0::double + case when hour(start) < 12 then 24 else 0 end as onset, hours from night),
+      cm as (select pid as device, day, count(*) filter (k % 2 = 1) / count(*)::double as cr from ev where kind in ('click', 'purchase') group by all),
+      al as (select * from dd full join ng using (device, day) full join cm using (device, day))
+      select device, day, m.marker, round(m.v, 6) as value, case when m.v is null then 0 else round(m.c, 6) end::double as coverage from (select device, day, unnest([{'marker': 'mobility_entropy', 'v': me::double, 'c': coalesce(seen, 0)::double}, {'marker': 'location_revisit_ratio', 'v': lr, 'c': coalesce(seen, 0)}, {'marker': 'social_rhythm_metric', 'v': sr, 'c': coalesce(seen, 0)}, {'marker': 'sleep_onset_hour', 'v': onset, 'c': 1}, {'marker': 'sleep_duration_hours', 'v': hours, 'c': 1}, {'marker': 'comm_reciprocity', 'v': cr, 'c': 1}]) as m from al)"""),
 }

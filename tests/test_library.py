@@ -298,3 +298,17 @@ def test_raw_records_have_their_own_windows(spark):
     points = spark.sql("select 'app' stream, 1 pid, explode(array(timestamp_ntz'2024-01-02 03:59:59', timestamp_ntz'2024-01-02 04:00:00', timestamp_ntz'2024-01-03 03:59:59', timestamp_ntz'2024-01-03 04:00:00')) ts").withColumn("record", F.col("ts").cast("string"))
     got = {r.stream: (r.n, r.records) for r in I.raw_records(days, spans, points).collect()}
     assert got == {"lock": (2, ["2024-01-01 20:01:00", "2024-01-09 00:00:00"]), "app": (2, ["2024-01-02 04:00:00", "2024-01-03 03:59:59"])}
+
+
+def test_device_days_without_a_source_have_no_coverage(spark):
+    contexts = spark.createDataFrame([("d", 1, "a", 21600, 8.0), ("d", 1, "b", 0, None), ("d", 2, "a", 43200, None), ("d", 3, None, 0, 9.5)], "device string, day int, place string, secs long, active_hour double")
+    nights = spark.sql("select 'd' device, 4 day, timestamp_ntz'2024-01-04 01:30:00' start, 6.5d hours")
+    comm = spark.createDataFrame([("d", 1, 1, 3), ("d", 2, 0, 0)], "device string, day int, incoming long, outgoing long")
+    got = {r.day: (r.markers, r.coverage) for r in D.marker_days(contexts, nights, comm).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    markers, coverage = got[1]
+    assert abs(markers["mobility_entropy"]) < 1e-12 and markers["location_revisit_ratio"] == 1.0 and markers["social_rhythm_metric"] == 0.5 and markers["comm_reciprocity"] == 0.75
+    assert coverage["mobility_entropy"] == 0.5 and coverage["comm_reciprocity"] == 1.0 and coverage["sleep_onset_hour"] == 0.0
+    assert got[2][0]["social_rhythm_metric"] is None and got[2][0]["comm_reciprocity"] is None
+    assert got[3][0]["mobility_entropy"] is None and got[3][1]["mobility_entropy"] == 0.0
+    assert got[4][0]["sleep_onset_hour"] == 25.5 and got[4][0]["sleep_duration_hours"] == 6.5 and got[4][0]["mobility_entropy"] is None
