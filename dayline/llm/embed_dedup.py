@@ -15,12 +15,20 @@ from dayline.llm.components import connected_components
 
 #: Vectors a cell should hold, most cells, sample rows a cell (the bound of the sample is CELLS * SAMPLE), rounds of k-means.
 CELL, CELLS, SAMPLE, ROUNDS = 2000, 2048, 32, 8
-#: A vector also visits cells whose boundary with its own is nearer than this (a sine).
-MARGIN = 0.12
+#: Added to the margin of cells for rounding.
+SLACK = 1e-6
 #: Rows on either side of a block.
 BLOCK = 1024
 
 
+def margin_of(least: float) -> float:
+    """How near a cell boundary one of two unit vectors on its two sides lies at most, if their cosine is `least` or more.
+
+    Their distances from the boundary add up to no more than their own distance, sqrt(2 - 2 * least).
+    """
+    return float(np.sqrt(max(0.0, 1 - least) / 2)) + SLACK
+
+
 def spherical_kmeans(x: np.ndarray, k: int, seed: int, rounds: int = ROUNDS) -> np.ndarray:
     """k unit centres of unit rows; fewer where rows are fewer."""
     k = min(k, len(x))
@@ -132,13 +140,14 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
     return [(int(v), int(label[v])) for v in np.unique(np.r_[i, j]) if label[v] != v]
 
 
-def embedding_duplicates(vectors: DataFrame, least: float = 0.93, margin: float = MARGIN, cell_size: int = CELL, block: int = BLOCK, seed: int = 5) -> DataFrame:
+def embedding_duplicates(vectors: DataFrame, least: float = 0.93, margin: float | None = None, cell_size: int = CELL, block: int = BLOCK, seed: int = 5) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of `vectors` (vec_id, embedding array of numbers, label; others ignored).
 
     Two vectors link when their labels are equal and not null, they have the same length, and the cosine of their
     doubles is at least `least`. Equal vectors of a label become one with a count. Centres come from k-means on a
     bounded sample (at most CELLS * SAMPLE vectors, the first by hash); every vector gets a home cell and visits those
-    whose boundary is nearer than `margin`, so a near pair meets although a boundary lies between. A cell's residents
+    whose boundary is nearer than `margin`. The default, `margin_of(least)`, is wide enough that of any two vectors that
+    link one visits the other's home, so no link is lost; a smaller one loses links. A cell's residents
     are split into blocks of `block` rows at most in the mean, and block pairs are compared as matrix products: a large
     cell is many tasks. A block sends on link counts and a spanning forest, not its pairs, so a group of near copies
     gives as many rows as it has members. The smallest vec_id of a component is kept.
@@ -158,7 +167,7 @@ def embedding_duplicates(vectors: DataFrame, least: float = 0.93, margin: float
         by_dim.setdefault(len(r["unit"]) // 8, []).append(bytes(r["unit"]))
     centres = {d: spherical_kmeans(np.frombuffer(b"".join(rows), np.float64).reshape(-1, d), k, seed) for d, rows in by_dim.items()}
 
-    placed = staged(reps.mapInArrow(_placed(centres, margin), "rep long, label string, copies long, unit binary, cell int, near array<int>"), "vector-cells")
+    placed = staged(reps.mapInArrow(_placed(centres, margin_of(least) if margin is None else margin), "rep long, label string, copies long, unit binary, cell int, near array<int>"), "vector-cells")
     home = F.col("near")[0] == F.col("cell")
     sizes = placed.groupBy("label", "cell").agg(F.ceil(F.count_if(home) / block).alias("blocks"), F.ceil(F.count_if(~home) / block).alias("guests"))
     p = placed.join(sizes.where("blocks > 0"), ["label", "cell"]).withColumn("own", F.when(home, F.pmod(F.xxhash64("rep"), F.col("blocks"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("guests"))))

@@ -208,6 +208,22 @@ def test_embeddings_equal_brute_force(spark):
     assert embed_dedup.embedding_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("least", [0.93, 0.8])
+def test_embeddings_of_a_hot_group_lose_no_link_over_many_cells(spark, least):
+    """A third of the vectors lies in two directions around one centre, so that many cells cut through it."""
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(1200, 24))
+    v[:500] = 0.0
+    v[:500, 0] = 1.0
+    v[:500, 1:3] = rng.normal(size=(500, 2)) * 0.5
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    near = u @ u.T >= least
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, [float(x) for x in e], 1) for i, e in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = embed_dedup.embedding_duplicates(df, least=least, cell_size=20, block=64).collect()
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(near.sum(axis=1).tolist()))
+
+
 def test_language_identification(spark):
     rng = random.Random(8)
     lexicon = {"aa": WORDS[:130], "bb": WORDS[130:260], "cc": WORDS[260:]}
