@@ -8,16 +8,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayline.llm.common import staged
+from dayline.llm.common import WordHash, staged
 
 #: Tokens of a repeated run, and the distinct pages that must hold it.
 RUN, PAGES = 6, 3
 #: A block outside the article is boilerplate when repeated runs cover this share of its tokens.
 COVERED = 0.5
-#: Bytes of html that one suffix array takes; hosts with more are split by page.
+#: Bytes of html that one suffix array takes; hosts with more are split by page, and their runs counted by hash.
 CHUNK_BYTES = 4_000_000
 
 _PIECES = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|([^<]+|<)", re.S)
@@ -125,9 +126,10 @@ def _region(name: str, attributes: str, outer: int) -> int:
     return outer if outer == ARTICLE else main
 
 
-def repeated(streams: list[np.ndarray], run: int = RUN, pages: int = PAGES) -> list[np.ndarray]:
+def repeated(streams: list[np.ndarray], run: int = RUN, pages: int = PAGES, contents: list[int] | None = None) -> list[np.ndarray]:
     """For each page's token ids, which positions lie in a run of `run` or more tokens that `pages` distinct pages hold.
 
+    Pages are distinct when their numbers in `contents` are; without it each stream is a page of its own.
     The streams are put one after another with separators that differ, and the suffixes are sorted by prefix doubling
     up to `run` tokens: suffixes with equal rank share a run, and a longer repeat is the union of its runs.
     """
@@ -139,7 +141,7 @@ def repeated(streams: list[np.ndarray], run: int = RUN, pages: int = PAGES) -> l
     for p, s in enumerate(streams):
         flat[at : at + len(s)] = s
         flat[at + len(s)] = -1 - p
-        owner[at : at + len(s) + 1] = p
+        owner[at : at + len(s) + 1] = p if contents is None else contents[p]
         at += len(s) + 1
         ends.append(at - 1)
     rank, length = np.unique(flat, return_inverse=True)[1].astype(np.int64), 1
@@ -158,16 +160,52 @@ def repeated(streams: list[np.ndarray], run: int = RUN, pages: int = PAGES) -> l
     starts = np.flatnonzero(hit)
     starts = starts[starts + run <= n]
     starts = starts[tail[starts + run] == tail[starts]]  # no run crosses the end of a page
-    delta = np.zeros(n + 1, np.int64)
-    np.add.at(delta, starts, 1)
-    np.add.at(delta, starts + run, -1)
-    covered, out, at = np.cumsum(delta[:-1]) > 0, [], 0
+    covered, out, at = _covered(starts, n, run), [], 0
     for end in ends:
         out.append(covered[at:end])
         at = end + 1
     return out
 
 
+def _covered(starts: np.ndarray, n: int, run: int) -> np.ndarray:
+    """Which of n positions lie in a run that begins at one of `starts`."""
+    delta = np.zeros(n + 1, np.int64)
+    np.add.at(delta, starts, 1)
+    np.add.at(delta, starts + run, -1)
+    return np.cumsum(delta[:-1]) > 0
+
+
+def _judged(page: list[dict]) -> list[list[str]]:
+    """Tokens of each block that repeats decide: within an article or main element every run stays, shared passages too."""
+    return [b["text"].lower().split() if b["region"] != ARTICLE and b["region"] != MAIN else [] for b in page]
+
+
+def _content(page: list[dict]) -> int:
+    """A number for a page's tokens, articles' too: equal for copies of one page only."""
+    h = xxhash.xxh3_64()
+    for b in page:
+        h.update("\0".join([str(b["region"]), *b["text"].lower().split(), "\n"]))
+    return h.intdigest() - (1 << 63)
+
+
+def _best(page: list[dict]) -> int:
+    """The region that a page's text comes from."""
+    return max((b["region"] for b in page if b["region"] != CHROME), key=lambda r: {ARTICLE: 2, MAIN: 1}.get(r, 0), default=OUTSIDE)
+
+
+def _runs(judged: list[list[str]], hashes: WordHash) -> np.ndarray:
+    """Hashes of the runs of RUN tokens that begin at each position of a page's judged tokens."""
+    t = np.array([hashes[w] for ws in judged for w in ws], np.uint64)
+    n = len(t) - RUN + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    h = np.zeros(n, np.uint64)
+    for i in range(RUN):
+        h = (h ^ t[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("region", pa.int32()), ("text", pa.string())]))
     for whole in batches:
@@ -177,16 +215,43 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("host"), b.column("chunk"), pa.array(parsed, kind)], ["page_id", "url", "host", "chunk", "blocks"])
 
 
-def _extracted(group: pa.Table) -> pa.Table:
-    ids: dict[str, int] = {}
-    pages = group.column("blocks").to_pylist()
-    best = [max((b["region"] for b in p if b["region"] != CHROME), key=lambda r: {ARTICLE: 2, MAIN: 1}.get(r, 0), default=OUTSIDE) for p in pages]
-    # within an article or main element every run stays, shared passages too; the array judges all other text
-    judged = [[b["text"].lower().split() if b["region"] != ARTICLE and b["region"] != MAIN else [] for b in p] for p in pages]
-    cover = repeated([np.array([ids.setdefault(w, len(ids)) for ws in p for w in ws], np.int64) for p in judged])
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, chunk, run, content, wanted) of parsed pages, once in a batch: of a chunk's run PAGES contents at most, which settle it.
+
+    `wanted` marks runs of pages whose text repeats decide.
+    """
+    hashes = WordHash()
+    for b in batches:
+        pages = b.column("blocks").to_pylist()
+        groups: dict[tuple[str, int], int] = {}
+        group = np.array([groups.setdefault(k, len(groups)) for k in zip(b.column("host").to_pylist(), b.column("chunk").to_pylist(), strict=True)], np.int64)
+        runs = [np.unique(_runs(_judged(p), hashes)) for p in pages]
+        at = np.repeat(np.arange(len(pages)), [len(r) for r in runs])
+        run = np.concatenate([*runs, np.empty(0, np.int64)])
+        content, wanted = np.array([_content(p) for p in pages], np.int64)[at], np.array([_best(p) == OUTSIDE for p in pages], bool)[at]
+        order = np.lexsort((content, run, group[at]))
+        g, run, content, wanted = group[at][order], run[order], content[order], wanted[order]
+        first = np.ones(len(run), bool)
+        first[1:] = (g[1:] != g[:-1]) | (run[1:] != run[:-1])
+        new = first.copy()
+        new[1:] |= content[1:] != content[:-1]
+        starts = np.flatnonzero(first)
+        if len(starts):
+            sizes = np.diff(np.r_[starts, len(run)])
+            wanted = np.repeat(np.logical_or.reduceat(wanted, starts), sizes)
+            place = np.cumsum(new) - np.repeat(np.cumsum(new)[starts], sizes)
+            new &= place < PAGES
+        names = list(groups)
+        g = g[new]
+        host = pa.array([n[0] for n in names], pa.string()).take(pa.array(g))
+        chunk = pa.array([n[1] for n in names], pa.int64()).take(pa.array(g))
+        yield pa.RecordBatch.from_arrays([host, chunk, pa.array(run[new]), pa.array(content[new]), pa.array(wanted[new])], ["host", "chunk", "run", "content", "wanted"])
+
+
+def _texts(group: pa.Table, pages: list, judged: list, cover: list[np.ndarray]) -> pa.Table:
     texts = []
-    for p, ws, c, region in zip(pages, judged, cover, best, strict=True):
-        kept, at = [], 0
+    for p, ws, c in zip(pages, judged, cover, strict=True):
+        region, kept, at = _best(p), [], 0
         for b, w in zip(p, ws, strict=True):
             share = c[at : at + len(w)].mean() if w else 0.0
             at += len(w)
@@ -196,6 +261,23 @@ def _extracted(group: pa.Table) -> pa.Table:
     return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(texts, pa.string())})
 
 
+def _extracted(group: pa.Table) -> pa.Table:
+    """Texts of a whole host's pages."""
+    ids: dict[str, int] = {}
+    pages = group.column("blocks").to_pylist()
+    judged = [_judged(p) for p in pages]
+    cover = repeated([np.array([ids.setdefault(w, len(ids)) for ws in p for w in ws], np.int64) for p in judged], contents=[_content(p) for p in pages])
+    return _texts(group, pages, judged, cover)
+
+
+def _extracted_by(group: pa.Table, marked: pa.Table) -> pa.Table:
+    """Texts of a part of a host's pages, by the runs that are repeated in the whole host."""
+    hashes, pages = WordHash(), group.column("blocks").to_pylist()
+    judged, runs = [_judged(p) for p in pages], marked.column("run").to_numpy()
+    cover = [_covered(np.flatnonzero(np.isin(_runs(ws, hashes), runs)), sum(map(len, ws)), RUN) for ws in judged]
+    return _texts(group, pages, judged, cover)
+
+
 def extract(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """page_id, url, text for every row of `pages` (page_id, url, html; others ignored).
 
@@ -206,7 +288,9 @@ def extract(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     cover at least half of them. Runs inside an article stay even if many pages share them.
 
     A host with more than `chunk_bytes` is split by hash of the page into parts of about that size, so that no group
-    grows with the host. Null and empty html give an empty text; a page without url counts to the host ''; repeated
+    grows with the host. Its runs are then counted by 64-bit hash over all its parts, and each part gets those of its
+    runs that are repeated in the host: the result is that of one array. Copies of one page (equal tokens) and repeated
+    rows count as one page. Null and empty html give an empty text; a page without url counts to the host ''; repeated
     rows each give a row; a page cut off in a tag or reference is read as far as it goes. An empty table gives an empty
     table.
     """
@@ -215,7 +299,15 @@ def extract(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     # few hosts are that large: once written, the table's size tells Spark whether to broadcast it, so that the pages
     # needn't move for this join
     sizes = staged(p.groupBy("host").agg(F.ceil(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))) / chunk_bytes).alias("chunks")).where("chunks > 1"), "page-hosts")
-    p = p.join(sizes, "host", "left").withColumn("chunk", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("chunks", F.lit(1))))
     kind = "array<struct<region: int, text: string>>"
-    parsed = p.select("page_id", "url", "host", "chunk", "html").mapInArrow(_parsed, f"page_id long, url string, host string, chunk long, blocks {kind}")
-    return parsed.groupBy("host", "chunk").applyInArrow(_extracted, "page_id long, url string, text string")
+    parsed = lambda df: df.select("page_id", "url", "host", "chunk", "html").mapInArrow(_parsed, f"page_id long, url string, host string, chunk long, blocks {kind}")
+    out = "page_id long, url string, text string"
+    if sizes.isEmpty():
+        return parsed(p.withColumn("chunk", F.lit(0).cast("long"))).groupBy("host").applyInArrow(_extracted, out)
+    small = parsed(p.join(sizes, "host", "left_anti").withColumn("chunk", F.lit(0).cast("long"))).groupBy("host").applyInArrow(_extracted, out)
+    large = parsed(p.join(sizes, "host").withColumn("chunk", F.pmod(F.xxhash64("page_id", "url", "html"), F.col("chunks"))))
+    seen = staged(large.mapInArrow(_seen, "host string, chunk long, run long, content long, wanted boolean"), "page-runs")
+    marked = seen.select("host", "run", "content").distinct().groupBy("host", "run").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= PAGES)
+    marked = seen.where("wanted").select("host", "chunk", "run").distinct().join(marked.select("host", "run"), ["host", "run"])
+    by = lambda df: df.groupBy("host", "chunk")
+    return small.unionByName(by(large).cogroup(by(marked)).applyInArrow(_extracted_by, out))

@@ -384,3 +384,16 @@ def test_html_extraction(spark):
     t = {r.page_id: r.text for r in html_extract.extract(df).collect()}
     assert all(t[i] == f"Unique body number {i} with words {WORDS[i]}" for i in range(6))
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_html_repeats_are_those_of_the_whole_host(spark):
+    """A large host gives the same texts as one in a single array; copies of a page and repeated rows count once."""
+    notice, twice, copied = ("<div>All our pages carry this very same long notice text</div>", "<div>Only two of our pages ever held this line of text</div>", "<div>One page was stored under three addresses with this line of text</div>")
+    rows = [(i, f"http://big.example/{i}", page((notice if i % 3 == 0 else "") + (twice if i in (1, 2) else "") + f"<div>Unique body number {i} with words {WORDS[i]}</div>")) for i in range(12)]
+    rows += [(100 + i, f"http://big.example/copy{i}", page(copied)) for i in range(3)] + [(200, "http://big.example/again", page("<div>This row was read three times by the crawler</div>"))] * 3
+    want = {i: "\n\n".join(([] if i not in (1, 2) else ["Only two of our pages ever held this line of text"]) + [f"Unique body number {i} with words {WORDS[i]}"]) for i in range(12)}
+    want |= {100 + i: "One page was stored under three addresses with this line of text" for i in range(3)} | {200: "This row was read three times by the crawler"}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for chunk in (4_000_000, 300):
+        got = html_extract.extract(df, chunk).collect()
+        assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want
