@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from dayline.llm.common import staged
 
-#: Labelled rows of each class that the examples are taken from (first by hash), terms of the index, votes, block size.
-EXAMPLES, TERMS, VOTES, BLOCK = 3072, 4000, 15, 64
+#: Labelled rows of each class that the examples are taken from (first by hash), votes, block size.
+EXAMPLES, VOTES, BLOCK = 3072, 15, 64
 #: A term is a word, or the first bytes of a longer one.
 STEM = 5
-#: Chi-square with one degree of freedom from which a term counts as told apart by the label, and rows it must be in.
-CHI2, LEAST_ROWS = 30.0, 4
+#: A term counts as told apart by the label from this chi-square with one degree of freedom on, or from this ratio of its
+#: shares in the two labels' rows (half a row added) on, which doesn't grow stricter with more rows; and rows it must be in.
+CHI2, RATIO, LEAST_ROWS = 30.0, 8.0, 4
 #: Weight of the share of toxic rows against one vote of cosine 1.
 PRIOR_WEIGHT = 0.25
 
@@ -47,9 +48,12 @@ class BlockMaxIndex:
         self.docs = [np.array([d for d, _ in p], np.int64) for p in posts]
         self.weights = [np.array([w for _, w in p]) for p in posts]
         self.blocks = -(-len(rows) // BLOCK)
-        self.top = np.zeros((len(idf), self.blocks))
-        for t, (d, w) in enumerate(zip(self.docs, self.weights, strict=True)):
-            np.maximum.at(self.top[t], d // BLOCK, w)
+        # only blocks that hold the term, so that memory grows with the postings
+        self.held, self.top = [], []
+        for d, w in zip(self.docs, self.weights, strict=True):
+            held, first = np.unique(d // BLOCK, return_index=True)
+            self.held.append(held)
+            self.top.append(np.maximum.reduceat(w, first) if len(w) else w)
 
     def unit(self, counts: dict[int, int]) -> dict[int, float]:
         w = {t: (1 + np.log(n)) * self.idf[t] for t, n in counts.items()}
@@ -69,7 +73,7 @@ class BlockMaxIndex:
         if not q or not self.blocks:
             return np.empty(0, np.int64), np.empty(0)
         ts = sorted(q)
-        bound = np.array([q[t] for t in ts]) @ self.top[ts]
+        bound = np.bincount(np.concatenate([self.held[t] for t in ts]), np.concatenate([q[t] * self.top[t] for t in ts]), self.blocks)
         order = np.argsort(-bound, kind="stable")
         first = order[: max(1, -(-4 * k // BLOCK))]
         score = self._score(q, ts, first)
@@ -148,8 +152,8 @@ def _frequency(vocabulary: dict[bytes, int]):
 def fitted(docs: DataFrame, labels: DataFrame, training: Column) -> tuple[BlockMaxIndex | None, float, tuple[float, float]]:
     """The index, the share of toxic rows among all labelled training rows, and the calibration.
 
-    Examples are EXAMPLES rows of each label at most (the first by hash of the text); of their terms, those that chi-square
-    tells apart by the label, TERMS at most. Document frequencies of these are counted over all documents.
+    Examples are EXAMPLES rows of each label at most (the first by hash of the id); of their terms in LEAST_ROWS rows or
+    more, all that chi-square or the ratio of shares tells apart by the label: the examples bound their number. Document frequencies of these are counted over all documents.
     """
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.where(training & F.col("doc_id").isNotNull()).select("doc_id", "text").join(marked, "doc_id")
@@ -167,8 +171,10 @@ def fitted(docs: DataFrame, labels: DataFrame, training: Column) -> tuple[BlockM
     d = a * n0 - b * n1
     # chi-square of the two by two table of label and presence
     chi2 = n * d * d / (F.lit(n1 * n0) * (a + b) * (F.lit(n) - a - b)) if n1 and n0 else F.lit(0.0)
-    table = counts.groupBy("term").agg(a.alias("a"), b.alias("b"), F.when((a + b) < n, chi2).otherwise(0.0).alias("chi2")).where((F.col("chi2") >= CHI2) & (F.col("a") + F.col("b") >= LEAST_ROWS))
-    chosen_terms = [bytes(r["term"]) for r in table.orderBy(F.col("chi2").desc(), "term").limit(TERMS).select("term").collect()]
+    ratio = (a + 0.5) * (n0 + 1) / ((b + 0.5) * (n1 + 1)) if n1 and n0 else F.lit(1.0)
+    table = counts.groupBy("term").agg(a.alias("a"), b.alias("b"), F.when((a + b) < n, chi2).otherwise(0.0).alias("chi2"), ratio.alias("ratio"))
+    apart = (F.col("chi2") >= CHI2) | (F.col("ratio") >= RATIO) | (F.col("ratio") <= 1 / RATIO)
+    chosen_terms = [bytes(r["term"]) for r in table.where(apart & (F.col("a") + F.col("b") >= LEAST_ROWS)).select("term").collect()]
     vocabulary = {t: i for i, t in enumerate(sorted(chosen_terms))}
     if not vocabulary:
         return None, float(rate[0]), (1.0, 0.0)
@@ -180,7 +186,7 @@ def fitted(docs: DataFrame, labels: DataFrame, training: Column) -> tuple[BlockM
     names = docs.sparkSession.createDataFrame([(bytearray(t),) for t in vocabulary], "term binary")
     by_doc: dict[int, dict[int, int]] = {}
     label = {r["doc_id"]: int(r["toxic"] == 1) for r in chosen.collect()}
-    for r in counts.join(F.broadcast(names), "term").collect():  # EXAMPLES * 2 rows of at most TERMS known terms
+    for r in counts.join(F.broadcast(names), "term").collect():  # known terms of EXAMPLES * 2 rows
         by_doc.setdefault(r["doc_id"], {})[vocabulary[bytes(r["term"])]] = r["tf"]
     ids = sorted(by_doc)
     index = BlockMaxIndex(vocabulary, idf, [by_doc[i] for i in ids], np.array([label[i] for i in ids], float), np.array(ids, np.int64))

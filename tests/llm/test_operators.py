@@ -341,6 +341,21 @@ def test_toxicity_scores(spark):
     assert toxicity.score(d.limit(0), lab, F.lit(True)).count() == 0
 
 
+def test_toxicity_knows_rare_words_of_many_examples_and_of_few(spark):
+    """A word in 10 of 3,072 toxic examples and in no clean one is evidence; so is one of fewer than 30 labelled rows."""
+    rng = random.Random(12)
+    neutral = lambda: text_of(6, rng)
+    rows = [(i, neutral() + (" rareslur" if i % 2 and i < 20 else " nastyword" if i % 2 else "")) for i in range(6144)]
+    labels = [(i, 1, i % 2) for i in range(6144)]
+    rows += [(9000, neutral() + " rareslur"), (9001, neutral())]
+    got = {r.doc_id: r for r in toxicity.score(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.col("doc_id") < 9000).where("doc_id >= 9000").collect()}
+    slurs = {i for i in range(1, 20, 2)}
+    assert slurs <= {e.doc_id for e in got[9000].evidence} and got[9000].score >= 0.5 > got[9001].score
+    few = spark.createDataFrame([(i, 1, int(i in slurs)) for i in range(1, 26)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(docs_of(spark, rows[:26] + rows[-2:]), few, F.col("doc_id") < 9000).where("doc_id >= 9000").collect()}
+    assert slurs <= {e.doc_id for e in got[9000].evidence} and got[9000].score > got[9001].score
+
+
 def page(main, host="h.example", nav="Home About"):
     return f"<!DOCTYPE html><html><head><title>T</title><script>if (a<b) {{x='</p>'}}</script></head><body class='has-sidebar'><nav><ul><li>{nav}</ul></nav><div class=\"ad\">Buy</div>{main}<footer>&copy; us</footer></body></html>"
 
