@@ -9,32 +9,46 @@ from pyspark.sql import functions as F
 from dayline.llm import bpe, exact_dedup, langid, mixing, near_dedup
 from dayline.llm.common import held_out, staged
 
-#: Columns of documents, which every stage but the last returns.
+#: Columns of documents, which every stage but the last returns, with the row number of the first stage.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """Adds `row`, a number of its own for each row, in order of doc_id (nulls last); written, so that it stays the same.
+
+    Stages tell rows apart by it, so ids may be null or repeat: a row with a null id is a document like any other.
+    """
+    if "row" in docs.columns:
+        return docs.select(*COLUMNS, "row")
+    keys = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    return staged(docs.select(COLUMNS).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is rejected: no letter, or two languages that explain them equally well."""
-    found = langid.identify(docs, ~held_out(F.col("doc_id"), 4), carry=("text", "lang", "source", "n_chars"))
-    return found.where("not rejected").select(COLUMNS)
+    found = langid.identify(numbered(docs), ~held_out(F.col("doc_id"), 4), carry=("text", "lang", "source", "n_chars", "row"))
+    return found.where("not rejected").select(*COLUMNS, "row")
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal texts."""
-    kept = exact_dedup.exact_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(kept, "doc_id", "left_semi").select(COLUMNS)
+    """Keeps one row of each group of equal texts: the longest, then the smallest id, nulls last; one of repeated rows."""
+    docs = numbered(docs)
+    kept = exact_dedup.exact_duplicates(docs.select(F.col("row").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("row"))
+    return docs.join(kept, "row", "left_semi").select(*COLUMNS, "row")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(kept, "doc_id", "left_semi").select(COLUMNS)
+    """Keeps the row with the smallest id, nulls last, of each group of near duplicates; one of repeated rows."""
+    docs = numbered(docs)
+    kept = near_dedup.near_duplicates(docs.select(F.col("row").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("row"))
+    return docs.join(kept, "row", "left_semi").select(*COLUMNS, "row")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Emits every document as often as the mix takes it: not at all, or up to three times."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    return docs.select(COLUMNS).join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(COLUMNS)
+    """Emits every row as often as the mix takes it: not at all, or up to three times."""
+    docs = numbered(docs)
+    taken = mixing.mix(docs, carry=("row",)).where("copies > 0").select("row", "copies")
+    return docs.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS, "row")
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +74,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Compression, sketches and merge ranks have no SQL; tests hold the rows against a brute-force version.
+#: Compression, sketches and merge ranks have no SQL; tests/test_pipeline.py holds the stages after the first against brute force.
 ORACLE_SQL = None

@@ -36,8 +36,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return s.select("source", "source_size", F.coalesce(F.least("cap", F.col("weight") * F.col("level")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
-    """Rows of `docs` (doc_id, text, source; others kept out) with size, source_size, target, copies and taken.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of `docs` (doc_id, text, source; others kept out) with size, source_size, target, copies and taken, and its columns in `carry`.
 
     Every document of a source is expected target / source_size times. Along the order (size class, md5 of the id,
     size, id) of its source the expected copies are summed up, one offset drawn by md5 from the seed and the source's
@@ -51,7 +51,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     """
     digits = F.length(F.col("size").cast("string"))
     slim = staged(
-        docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+        docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *carry)
         .withColumn("digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
         .withColumn("grade", (digits * 1000 + F.substring(F.col("size").cast("string"), 1, 3).cast("int")).cast("int"))
         .withColumn("slot", F.substring("digest", 1, 2)),
@@ -67,7 +67,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     starts = starts.join(target, starts.source.eqNullSafe(target.source)).drop(target.source)
     starts = starts.select(F.col("source").alias("s"), F.col("grade").alias("g"), F.col("slot").alias("d"), "start", "source_size", "target", "rate", "offset")
     rows = slim.join(starts, slim.source.eqNullSafe(starts.s) & (slim.grade == starts.g) & (slim.slot == starts.d))
-    place = F.col("start") + F.row_number().over(Window.partitionBy("source", "grade", "slot").orderBy("digest", "size", "doc_id"))
+    place = F.col("start") + F.row_number().over(Window.partitionBy("source", "grade", "slot").orderBy("digest", "size", "doc_id", *carry))
     rows = rows.withColumn("place", place)
     copies = F.floor(F.col("place") * F.col("rate") + F.col("offset")) - F.floor((F.col("place") - 1) * F.col("rate") + F.col("offset"))
-    return rows.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carry)

@@ -1,0 +1,28 @@
+"""The pipeline's stages after the first on null and repeated ids, against brute force."""
+
+from collections import Counter
+
+import public_tokenizers
+import tiktoken
+
+import corpus_pipeline as P
+from dayline.llm import mixing
+from llm.test_operators import RANKS, WORDS
+
+
+def test_rows_with_null_and_repeated_ids(spark):
+    text = [" ".join(WORDS[40 * k : 40 * k + 30]) for k in range(8)]
+    rows = [(1, text[0]), (1, text[0]), (1, text[1]), (2, text[1]), (None, text[2]), (None, text[2]), (None, text[3]), (4, text[3]), (5, text[4] + " tail"), (5, text[4]), (6, text[5]), (6, text[6])]
+    docs = spark.createDataFrame([(i, t, "aa", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    exact = P.exact_dedup_stage(spark, docs, "")
+    want = [(1, text[0]), (1, text[1]), (None, text[2]), (4, text[3]), (5, text[4] + " tail"), (5, text[4]), (6, text[5]), (6, text[6])]
+    assert Counter((r.doc_id, r.text) for r in exact.collect()) == Counter(want)
+    near = P.near_dedup_stage(spark, exact, "").collect()
+    left = Counter((r.doc_id, r.text) for r in near)
+    assert sum(left.values()) == 7 and all(left[w] == 1 for w in want if w[0] != 5) and left[5, want[4][1]] + left[5, want[5][1]] == 1
+    mixed = P.mixing_stage(spark, docs, "")
+    took = mixing.mix(docs).collect()
+    assert Counter(r.doc_id for r in mixed.collect()) == Counter(r.doc_id for r in took for _ in range(r.copies))
+    coded = P.byte_bpe(spark, mixed, "").collect()
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+    assert Counter((r.doc_id, r.n_tokens) for r in coded) == Counter((r.doc_id, len(library.encode_ordinary(r.text))) for r in mixed.collect())
