@@ -14,19 +14,23 @@ SPACE = r"\x20\x09-\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode only (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors. It goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,7 +57,14 @@ class WordHash(dict):
         return h
 
 
-def semi_join(rows: DataFrame, ids: DataFrame, on: str, most: int = 2_000_000) -> DataFrame:
-    """Rows whose `on` is in `ids`. Up to `most` counted ids are sent to all tasks, so that the rows needn't move."""
+def small_batches(spark: SparkSession, most: int = 1000) -> None:
+    """Sets the session's Arrow batches to `most` rows at most: a row here is a whole text, and a task holds a batch of them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= most:
+        spark.conf.set(key, most)
+
+
+def semi_join(rows: DataFrame, ids: DataFrame, on: str, most: int = 500_000) -> DataFrame:
+    """Rows whose `on` is in `ids`. Up to `most` counted ids (8 bytes each) are sent to all tasks, so that the rows needn't move."""
     ids = staged(ids, "ids")
     return rows.join(F.broadcast(ids) if ids.count() <= most else ids, on, "left_semi")
