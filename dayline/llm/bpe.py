@@ -10,8 +10,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Entries that each memo of an encoder holds before it starts anew.
-MEMO = 250_000
+from dayline.llm.common import small_batches
+
+#: Entries of an encoder's two memos before each starts anew, and bytes of the longest piece remembered: some 40 MB at most.
+PIECES, PAIRS, SHORT = 60_000, 150_000, 32
 
 
 class TreeEncoder:
@@ -20,23 +22,25 @@ class TreeEncoder:
     The encodings of the two halves of a piece are joined at their boundary. A sequence of tokens is the encoding of
     its bytes exactly when every two neighbours are the encoding of theirs, so if the tokens at the boundary pass, the
     halves' encodings just follow each other. Else the bytes of a window of tokens round the boundary are encoded
-    afresh, and the window grows on the side where its edge token doesn't pass with the neighbour outside: once both
-    edges pass, the tokens outside are final.
+    afresh, and the window doubles on the side where its edge token doesn't pass with the neighbour outside: once both
+    edges pass, the tokens outside are final. Encoding a window takes time in proportion to its length, so a piece of n
+    bytes takes n log n at most.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.token = {v: k for k, v in ranks.items()}
+        lengths: dict[bytes, set[int]] = {}
+        for t in ranks:
+            lengths.setdefault(t[:2], {1}).add(len(t))
+        #: Lengths of the tokens that begin with two bytes, longest first.
+        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
         self.pieces: dict[bytes, tuple[int, ...]] = {}
-        self.windows: dict[bytes, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def merged(self, raw: bytes) -> tuple[int, ...]:
-        """Encoding of a short window: lowest rank first, leftmost of equals."""
-        got = self.windows.get(raw)
-        if got is not None:
-            return got
+        """Encoding of the bytes of two tokens by the merges themselves: lowest rank first, leftmost of equals."""
         ranks, parts = self.ranks, [raw[i : i + 1] for i in range(len(raw))]
         while len(parts) > 1:
             low, at = None, -1
@@ -47,33 +51,54 @@ class TreeEncoder:
             if low is None:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        got = tuple(ranks[p] for p in parts)
-        if len(self.windows) >= MEMO:
-            self.windows.clear()
-        self.windows[raw] = got
-        return got
+        return tuple(ranks[p] for p in parts)
 
     def passes(self, a: int, b: int) -> bool:
+        """Whether the encoding of the two tokens' bytes is just these two."""
         got = self.pairs.get((a, b))
         if got is None:
-            if len(self.pairs) >= MEMO:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             got = self.pairs[a, b] = self.merged(self.token[a] + self.token[b]) == (a, b)
         return got
 
+    def window(self, raw: bytes) -> tuple[int, ...]:
+        """Encoding of a window: from the left the longest token that passes with the one before it, else back a token.
+
+        A place that led nowhere is never tried again, so each place is left at most once.
+        """
+        ranks, passes, end = self.ranks, self.passes, len(raw)
+        dead = bytearray(end + 1)
+        out: list[int] = []
+        at, most = 0, end
+        while at < end:
+            for n in self.lengths.get(raw[at : at + 2], (1,)):
+                if n <= most and not dead[at + n]:
+                    t = ranks.get(raw[at : at + n])
+                    if t is not None and (not out or passes(out[-1], t)):
+                        out.append(t)
+                        at += n
+                        most = end - at
+                        break
+            else:
+                dead[at] = 1
+                most = len(self.token[out.pop()])
+                at -= most
+        return tuple(out)
+
     def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         if not left or not right:
             return left or right
         if self.passes(left[-1], right[0]):
             return left + right
-        i, j = len(left) - 1, 1
+        i, j = 1, 1  # tokens of the window on either side
         while True:
-            window = self.merged(b"".join(self.token[t] for t in left[i:] + right[:j]))
-            fits_left = i == 0 or self.passes(left[i - 1], window[0])
+            window = self.window(b"".join([self.token[t] for t in left[-i:] + right[:j]]))
+            fits_left = i == len(left) or self.passes(left[-i - 1], window[0])
             fits_right = j == len(right) or self.passes(window[-1], right[j])
             if fits_left and fits_right:
-                return left[:i] + window + right[j:]
-            i, j = (i if fits_left else i - 1), (j if fits_right else j + 1)
+                return left[:-i] + window + right[j:]
+            i, j = (i if fits_left else min(2 * i, len(left))), (j if fits_right else min(2 * j, len(right)))
 
     def piece(self, raw: bytes) -> tuple[int, ...]:
         got = self.pieces.get(raw)
@@ -85,8 +110,8 @@ class TreeEncoder:
         else:
             half = len(raw) // 2
             got = self.join(self.piece(raw[:half]), self.piece(raw[half:]))
-        if len(raw) <= 64:
-            if len(self.pieces) >= MEMO:
+        if len(raw) <= SHORT:
+            if len(self.pieces) >= PIECES:
                 self.pieces.clear()
             self.pieces[raw] = got
         return got
@@ -118,14 +143,16 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFra
 
     `ranks_path` names a file that every worker has. Null and empty texts have no tokens; rows are independent, so
     repeated rows, null ids and extra columns need no care; texts are encoded whole however long. A text with a lone
-    surrogate can't come from Spark. An empty table gives an empty table.
+    surrogate can't come from Spark. A long match that merges badly (a ruler of one character) takes n log n steps. An
+    empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TreeEncoder(read_ranks(ranks_path), pattern)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                b = whole.slice(lo, 512)
+            for lo in range(0, whole.num_rows, 128):
+                b = whole.slice(lo, 128)
                 ids = [encoder.encode(t.as_py() or "") for t in b.column(1)]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), pa.array(map(len, ids), pa.int64()), pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary()), pa.array([encoder.decode(x) for x in ids], pa.binary())],
