@@ -10,15 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayline.llm.common import staged
+from dayline.llm.common import small_batches, staged
 
-#: Labelled rows of each class that the examples are taken from (first by hash), votes, block size.
-EXAMPLES, VOTES, BLOCK = 3072, 15, 64
+#: Labelled rows of each class that are examples (the first by hash, or about so many), votes, examples in a block.
+EXAMPLES, VOTES, BLOCK = 1024, 15, 64
 #: A term is a word, or the first bytes of a longer one.
 STEM = 5
-#: A term counts as told apart by the label from this chi-square with one degree of freedom on, or from this ratio of its
-#: shares in the two labels' rows (half a row added) on, which doesn't grow stricter with more rows; and rows it must be in.
-CHI2, RATIO, LEAST_ROWS = 30.0, 8.0, 4
 #: Weight of the share of toxic rows against one vote of cosine 1.
 PRIOR_WEIGHT = 0.25
 
@@ -36,71 +33,80 @@ def terms(text: str | None) -> Counter:
     return out
 
 
+def label_weights(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """How surely a term in `a` of n1 toxic and `b` of n0 other examples tells the labels apart.
+
+    The square of its log odds ratio (half a row added) in standard errors; no term is left out. Without examples of
+    both labels every term weighs 1.
+    """
+    if not n1 or not n0:
+        return np.ones(len(a))
+    return np.log((a + 0.5) * (n0 + 1) / ((b + 0.5) * (n1 + 1))) ** 2 / (1 / (a + 0.5) + 1 / (b + 0.5))
+
+
+def _spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All positions of the spans, one after another."""
+    return np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
+
+
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of examples as postings by term, with the largest weight of each term in each block."""
-
-    def __init__(self, vocabulary: dict[bytes, int], idf: np.ndarray, rows: list[dict[int, int]], toxic: np.ndarray, ids: np.ndarray):
-        self.vocabulary, self.idf, self.toxic, self.ids = vocabulary, idf, toxic, ids
-        posts: list[list[tuple[int, float]]] = [[] for _ in idf]
-        for d, row in enumerate(rows):
-            for t, w in self.unit(row).items():
-                posts[t].append((d, w))
-        self.docs = [np.array([d for d, _ in p], np.int64) for p in posts]
-        self.weights = [np.array([w for _, w in p]) for p in posts]
-        self.blocks = -(-len(rows) // BLOCK)
-        # only blocks that hold the term, so that memory grows with the postings
-        self.held, self.top = [], []
-        for d, w in zip(self.docs, self.weights, strict=True):
-            held, first = np.unique(d // BLOCK, return_index=True)
-            self.held.append(held)
-            self.top.append(np.maximum.reduceat(w, first) if len(w) else w)
-
-    def unit(self, counts: dict[int, int]) -> dict[int, float]:
-        w = {t: (1 + np.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = np.sqrt(sum(x * x for x in w.values()))
-        return {t: x / norm for t, x in w.items()} if norm else {}
-
-    def known(self, text: str | None) -> dict[int, int]:
-        return {self.vocabulary[t]: n for t, n in terms(text).items() if t in self.vocabulary}
-
-    def nearest(self, counts: dict[int, int], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples with the largest cosines above 0, exactly, smaller positions first among equals.
+    """Unit vectors of examples as postings by term and block of examples, with the largest weight of each such span."""
+
+    def __init__(self, vocabulary: dict[bytes, int], weight: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray, toxic: np.ndarray, ids: np.ndarray):
+        """`row`, `term`, `tf`: one entry for each term of each example; `weight` of each term, by its number."""
+        self.vocabulary, self.weight = vocabulary, weight
+        w = (1 + np.log(tf)) * weight[term]
+        norm = np.sqrt(np.bincount(row, w * w, len(ids)))
+        # examples with the same heaviest term stand together, so that few blocks hold what matters to a text
+        order = np.lexsort((w, row))
+        last = np.flatnonzero(np.r_[row[order][1:] != row[order][:-1], True]) if len(row) else np.empty(0, np.int64)
+        heaviest = np.full(len(ids), -1)
+        heaviest[row[order][last]] = term[order][last]
+        place = np.lexsort((ids, heaviest, toxic))
+        self.toxic, self.ids, at = toxic[place], ids[place], np.argsort(place)
+        doc, w = at[row], w / np.maximum(norm[row], 1e-300)
+        order = np.lexsort((doc, term))
+        self.doc, self.w, term = doc[order].astype(np.int32), w[order], term[order]
+        self.blocks = -(-len(ids) // BLOCK)
+        span = term * max(self.blocks, 1) + self.doc // BLOCK
+        self.first = np.flatnonzero(np.r_[True, span[1:] != span[:-1]]) if len(span) else np.empty(0, np.int64)
+        self.top = np.maximum.reduceat(self.w, self.first) if len(span) else self.w
+        self.block = (self.doc[self.first] // BLOCK).astype(np.int32)
+        self.first = np.r_[self.first, len(span)]
+        self.terms = np.searchsorted(term[self.first[:-1]] if len(span) else term, np.arange(len(weight) + 1))
+
+    def nearest(self, text: str | None, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples with the largest cosines above 0, exactly, smaller positions first among equals; not the id `without`.
 
         A block's bound is the sum of its largest weights. The blocks with the highest bounds are scored first; those
         whose bound stays below the k-th cosine found can't hold a nearer example and are never scored.
         """
-        q = self.unit(counts)
-        if not q or not self.blocks:
+        found = {self.vocabulary[t]: n for t, n in terms(text).items() if t in self.vocabulary}
+        ts = np.fromiter(found, np.int64, len(found))
+        q = (1 + np.log(np.fromiter(found.values(), np.float64, len(found)))) * self.weight[ts]
+        norm = np.sqrt((q * q).sum())
+        if not norm or not self.blocks:
             return np.empty(0, np.int64), np.empty(0)
-        ts = sorted(q)
-        bound = np.bincount(np.concatenate([self.held[t] for t in ts]), np.concatenate([q[t] * self.top[t] for t in ts]), self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        first = order[: max(1, -(-4 * k // BLOCK))]
-        score = self._score(q, ts, first)
-        if without >= 0:
-            score[without] = 0
-        kth = np.partition(score, len(score) - k)[len(score) - k] if len(score) >= k else 0.0
-        rest = order[len(first) :]
-        rest = rest[bound[rest] >= kth - 1e-12]
-        rest = rest[bound[rest] > 0]
-        if len(rest):
-            score += self._score(q, ts, rest)
-            if without >= 0:
-                score[without] = 0
+        spans = _spans(self.terms[ts], n := self.terms[ts + 1] - self.terms[ts])
+        q, block = np.repeat(q / norm, n), self.block[spans]
+        bound = np.bincount(block, q * self.top[spans], self.blocks)
+        score, done = np.zeros(len(self.ids)), np.zeros(self.blocks, bool)
+        best = np.argsort(-bound, kind="stable")
+        for these in (best[: -(-4 * k // BLOCK)], best):
+            kth = np.partition(score, -k)[-k] if len(score) >= k else 0.0
+            use = np.zeros(self.blocks, bool)
+            use[these] = True
+            use &= ~done & (bound >= kth - 1e-12) & (bound > 0)
+            s, qs = spans[use[block]], q[use[block]]
+            at = _spans(self.first[s], n := self.first[s + 1] - self.first[s])
+            score += np.bincount(self.doc[at], np.repeat(qs, n) * self.w[at], len(score))
+            done |= use
+            if without is not None:
+                score[self.ids == without] = 0
         best = np.argsort(-np.round(score, 12), kind="stable")[:k]
         best = best[score[best] > 0]
         return best, score[best]
 
-    def _score(self, q: dict[int, float], ts: list[int], blocks: np.ndarray) -> np.ndarray:
-        use = np.zeros(self.blocks, bool)
-        use[blocks] = True
-        out = np.zeros(self.blocks * BLOCK)
-        for t in ts:
-            d, w = self.docs[t], self.weights[t]
-            m = use[d // BLOCK]
-            out[d[m]] += q[t] * w[m]
-        return out
-
     def vote(self, best: np.ndarray, cosines: np.ndarray, prior: float) -> float:
         """Share of toxic votes, weighted by cosine; the prior has a small weight of its own."""
         w = cosines * cosines
@@ -130,11 +136,12 @@ def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at.append(i)
                 term.append(w)
                 tf.append(n)
-        take = pa.array(at, pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("toxic").take(take), pa.array(term, pa.binary()), pa.array(tf, pa.int64())], ["doc_id", "toxic", "term", "tf"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(term, pa.binary()), pa.array(tf, pa.int64())], ["doc_id", "term", "tf"])
 
 
 def _frequency(vocabulary: dict[bytes, int]):
+    """Texts of a task that hold each term."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(len(vocabulary), np.int64)
         for b in batches:
@@ -152,55 +159,54 @@ def _frequency(vocabulary: dict[bytes, int]):
 def fitted(docs: DataFrame, labels: DataFrame, training: Column) -> tuple[BlockMaxIndex | None, float, tuple[float, float]]:
     """The index, the share of toxic rows among all labelled training rows, and the calibration.
 
-    Examples are EXAMPLES rows of each label at most (the first by hash of the id); of their terms in LEAST_ROWS rows or
-    more, all that chi-square or the ratio of shares tells apart by the label: the examples bound their number. Document frequencies of these are counted over all documents.
+    Examples are EXAMPLES rows of each label at most (the first by hash of the id), the bounded sample this classifier
+    is fitted on. All their terms are indexed. A term's weight is its idf, from its document frequency over all
+    documents, times what the examples say of it (label_weights).
     """
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.where(training & F.col("doc_id").isNotNull()).select("doc_id", "text").join(marked, "doc_id")
-    rate = rows.agg(F.avg("toxic"), F.count(F.lit(1))).first()
-    if not rate[1]:
+    rows = docs.where(training & F.col("doc_id").isNotNull()).select("doc_id").join(marked, "doc_id").select("doc_id", F.when(F.col("toxic") == 1, 1).otherwise(0).alias("toxic"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("by"))
+    counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}  # two rows
+    if not counts:
         return None, 0.0, (1.0, 0.0)
-    ranked = rows.select("doc_id", "toxic", F.xxhash64("doc_id").alias("by")).withColumn("at", F.row_number().over(Window.partitionBy("toxic").orderBy("by", "doc_id"))).where(F.col("at") <= EXAMPLES)
-    chosen = ranked.select("doc_id", "toxic").distinct()
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # EXAMPLES ids of each label
-    counts = staged(sample.mapInArrow(_terms_of, "doc_id long, toxic int, term binary, tf long"), "toxic-terms")
-    sizes = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
-    n1, n0 = float(sizes.get(1, 0)), float(sum(sizes.values()) - sizes.get(1, 0))
-    a, b = F.count_if(F.col("toxic") == 1).cast("double"), F.count_if(F.col("toxic") != 1).cast("double")
-    n = n1 + n0
-    d = a * n0 - b * n1
-    # chi-square of the two by two table of label and presence
-    chi2 = n * d * d / (F.lit(n1 * n0) * (a + b) * (F.lit(n) - a - b)) if n1 and n0 else F.lit(0.0)
-    ratio = (a + 0.5) * (n0 + 1) / ((b + 0.5) * (n1 + 1)) if n1 and n0 else F.lit(1.0)
-    table = counts.groupBy("term").agg(a.alias("a"), b.alias("b"), F.when((a + b) < n, chi2).otherwise(0.0).alias("chi2"), ratio.alias("ratio"))
-    apart = (F.col("chi2") >= CHI2) | (F.col("ratio") >= RATIO) | (F.col("ratio") <= 1 / RATIO)
-    chosen_terms = [bytes(r["term"]) for r in table.where(apart & (F.col("a") + F.col("b") >= LEAST_ROWS)).select("term").collect()]
-    vocabulary = {t: i for i, t in enumerate(sorted(chosen_terms))}
-    if not vocabulary:
-        return None, float(rate[0]), (1.0, 0.0)
-    total = docs.count()
-    df = np.zeros(len(vocabulary))
-    for r in docs.select("text").mapInArrow(_frequency(vocabulary), "t int, df long").groupBy("t").agg(F.sum("df").alias("df")).collect():
-        df[r["t"]] = r["df"]
-    idf = np.log((total + 1) / (df + 1)) + 1
-    names = docs.sparkSession.createDataFrame([(bytearray(t),) for t in vocabulary], "term binary")
-    by_doc: dict[int, dict[int, int]] = {}
-    label = {r["doc_id"]: int(r["toxic"] == 1) for r in chosen.collect()}
-    for r in counts.join(F.broadcast(names), "term").collect():  # known terms of EXAMPLES * 2 rows
-        by_doc.setdefault(r["doc_id"], {})[vocabulary[bytes(r["term"])]] = r["tf"]
-    ids = sorted(by_doc)
-    index = BlockMaxIndex(vocabulary, idf, [by_doc[i] for i in ids], np.array([label[i] for i in ids], float), np.array(ids, np.int64))
-    votes, truth = [], []
-    for at, i in enumerate(ids):  # each example by the others
-        votes.append(index.vote(*index.nearest(by_doc[i], VOTES, at), float(rate[0])))
-        truth.append(label[i])
-    for i in label.keys() - by_doc.keys():  # examples without a known term have only the prior
-        votes.append(float(rate[0]))
-        truth.append(label[i])
-    share, y = n1 / n, np.array(truth, float)
+    rate = counts.get(1, 0) / sum(counts.values())
+    # first a share by hash that holds EXAMPLES rows of each label all but surely, so that no task ranks a whole label
+    bound = F.when(F.col("toxic") == 1, _share(counts.get(1, 0))).otherwise(_share(counts.get(0, 0)))
+    ranked = rows.where(F.col("by") < bound).withColumn("at", F.row_number().over(Window.partitionBy("toxic").orderBy("by", "doc_id"))).where(F.col("at") <= EXAMPLES)
+    chosen = staged(ranked.select("doc_id", "toxic").distinct(), "toxic-examples")
+    sample = staged(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "toxic-texts")  # EXAMPLES ids of each label
+    label = {r["doc_id"]: r["toxic"] for r in chosen.collect()}
+    found = sample.mapInArrow(_terms_of, "doc_id long, term binary, tf long").toArrow()  # the terms of EXAMPLES * 2 texts
+    ids = np.array(sorted(label), np.int64)
+    toxic = np.array([label[i] for i in ids], np.float64)
+    row = np.searchsorted(ids, found.column("doc_id").to_numpy())
+    coded = found.column("term").combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    term, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    vocabulary = {t: i for i, t in enumerate(names)}
+    tf = found.column("tf").to_numpy().astype(np.float64)
+    del found, coded, names
+    total, df = docs.count(), np.zeros(len(vocabulary))
+    sums = docs.select("text").mapInArrow(_frequency(vocabulary), "t int, df long").groupBy("t").agg(F.sum("df").alias("df")).toArrow()  # a row for each term
+    df[sums.column("t").to_numpy()] = sums.column("df").to_numpy()
+    a, b = (np.bincount(term[toxic[row] == k], minlength=len(df)).astype(np.float64) for k in (1, 0))
+    n1 = int(toxic.sum())
+    index = BlockMaxIndex(vocabulary, (np.log((total + 1) / (df + 1)) + 1) * label_weights(a, b, n1, len(ids) - n1), row, term, tf, toxic, ids)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            votes = [index.vote(*index.nearest(t.as_py(), VOTES, i.as_py()), rate) for i, t in zip(*x.columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(votes, pa.float64())], ["doc_id", "vote"])
+
+    votes = sample.select("doc_id", "text").mapInArrow(others, "doc_id long, vote double").collect()  # each example by the others
+    y, share = np.array([label[r["doc_id"]] for r in votes], np.float64), n1 / len(ids)
     # classes are weighted back to their shares among all labelled rows
-    weight = np.where(y == 1, rate[0] / max(share, 1e-9), (1 - rate[0]) / max(1 - share, 1e-9))
-    return index, float(rate[0]), calibration(np.array(votes), y, weight)
+    weight = np.where(y == 1, rate / max(share, 1e-9), (1 - rate) / max(1 - share, 1e-9))
+    return index, rate, calibration(np.array([r["vote"] for r in votes]), y, weight)
+
+
+def _share(rows: int) -> int:
+    """Bound on a 30-bit hash that leaves EXAMPLES of `rows` rows and six standard errors more, or all."""
+    return min(1 << 30, int((1 << 30) * (EXAMPLES + 6 * EXAMPLES**0.5) / max(rows, 1)))
 
 
 def score(docs: DataFrame, labels: DataFrame, training: Column) -> DataFrame:
@@ -215,17 +221,19 @@ def score(docs: DataFrame, labels: DataFrame, training: Column) -> DataFrame:
     labelled training rows the score is 0. Repeated rows score alike; whole texts are read however long. An empty table
     gives an empty table.
     """
-    index, prior, (slope, shift) = fitted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")), training)
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    index, prior, (slope, shift) = fitted(docs, labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")), training)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             scores, why = [], []
             for t in b.column(1):
-                best, cos = index.nearest(index.known(t.as_py()), VOTES) if index else (np.empty(0, np.int64), np.empty(0))
+                best, cos = index.nearest(t.as_py(), VOTES) if index else (np.empty(0, np.int64), np.empty(0))
                 v = index.vote(best, cos, prior) if index else prior
                 scores.append(float(1 / (1 + np.exp(-(slope * v + shift)))) if index else prior)
                 why.append([{"doc_id": int(index.ids[i]), "toxic": int(index.toxic[i]), "cosine": float(c)} for i, c in zip(best, cos, strict=True)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(why, kind)], ["doc_id", "score", "evidence"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id: long, toxic: int, cosine: double>>")
+    return docs.mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id: long, toxic: int, cosine: double>>")
