@@ -1,4 +1,4 @@
-"""Main text of web pages: markup regions, and a suffix array over each host's pages for what markup doesn't settle."""
+"""Main text of web pages: a suffix array over each host's pages finds what repeats, markup decides the rest."""
 
 from __future__ import annotations
 
@@ -12,11 +12,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayline.llm.common import WordHash, staged
+from dayline.llm.common import WordHash, small_batches, staged
 
 #: Tokens of a repeated run, and the distinct pages that must hold it.
 RUN, PAGES = 6, 3
-#: A block outside the article is boilerplate when repeated runs cover this share of its tokens.
+#: A block outside articles is boilerplate when repeated runs cover this share of its tokens.
 COVERED = 0.5
 #: Bytes of html that one suffix array takes; hosts with more are split by page, and their runs counted by hash.
 CHUNK_BYTES = 4_000_000
@@ -24,6 +24,8 @@ CHUNK_BYTES = 4_000_000
 _PIECES = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "select", "title", "canvas", "audio", "video", "xmp"}
+#: Elements whose content lasts to the end of the page if they aren't closed.
+_TO_THE_END = {"script", "style", "textarea", "title", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _CHROME = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "head"} | _RAW
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
@@ -34,8 +36,8 @@ _CHROME_NAMES = re.compile(
 _MAIN_NAMES = re.compile(r"(?:^|\s)(?:main|content|main-content|article|article-body|post-content|entry-content|articleBody|post|entry)(?:$|\s)", re.I)
 _BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 _SPACED = {"br", "td", "th", "option", "wbr"}
-#: Regions of a page.
-OUTSIDE, CHROME, ARTICLE, MAIN = range(4)
+#: Regions of a page: NAMED ones are chrome by the names that their authors gave them, CHROME ones by element or role.
+OUTSIDE, CHROME, ARTICLE, MAIN, NAMED = range(5)
 
 
 def blocks_of(page: str | None) -> list[tuple[int, str]]:
@@ -86,7 +88,8 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
         if name in _RAW:
             if not m[3].rstrip().endswith("/"):  # its content is no markup: go on at its end tag
                 end = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
-                at = end.start() if end else len(page)
+                if end or name in _TO_THE_END:
+                    at = end.start() if end else len(page)
             continue
         if name in _VOID:
             continue
@@ -117,8 +120,8 @@ def _region(name: str, attributes: str, outer: int) -> int:
                 return CHROME
             elif k == "role" and value.lower() == "main" or k == "itemprop" and value == "articleBody":
                 main = max(main, MAIN)
-    if names and _CHROME_NAMES.search(names) and name not in ("article", "main") or names and re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", names, re.I):
-        return CHROME
+    if outer == NAMED or names and _CHROME_NAMES.search(names) and name not in ("article", "main") or names and re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", names, re.I):
+        return NAMED
     if name == "article":
         return ARTICLE
     if name == "main" or names and name in ("div", "section", "td") and _MAIN_NAMES.search(names):
@@ -176,8 +179,8 @@ def _covered(starts: np.ndarray, n: int, run: int) -> np.ndarray:
 
 
 def _judged(page: list[dict]) -> list[list[str]]:
-    """Tokens of each block that repeats decide: within an article or main element every run stays, shared passages too."""
-    return [b["text"].lower().split() if b["region"] != ARTICLE and b["region"] != MAIN else [] for b in page]
+    """Tokens of each block that repeats decide: all but those of articles, which share passages that belong to them."""
+    return [b["text"].lower().split() if b["region"] != ARTICLE else [] for b in page]
 
 
 def _content(page: list[dict]) -> int:
@@ -188,9 +191,16 @@ def _content(page: list[dict]) -> int:
     return h.intdigest() - (1 << 63)
 
 
-def _best(page: list[dict]) -> int:
-    """The region that a page's text comes from."""
-    return max((b["region"] for b in page if b["region"] != CHROME), key=lambda r: {ARTICLE: 2, MAIN: 1}.get(r, 0), default=OUTSIDE)
+def _sought(page: list[dict]) -> set[int]:
+    """The regions that a page's text comes from: articles and the main element round them, else what lies outside chrome.
+
+    A name alone can't drop most of a page: where NAMED blocks hold more words than the rest, they count as OUTSIDE.
+    """
+    has = {b["region"] for b in page}
+    if has & {ARTICLE, MAIN}:
+        return {ARTICLE, MAIN}
+    size = {r: sum(len(b["text"].split()) for b in page if b["region"] == r) for r in (OUTSIDE, NAMED)}
+    return {OUTSIDE, NAMED} if size[NAMED] > size[OUTSIDE] else {OUTSIDE}
 
 
 def _runs(judged: list[list[str]], hashes: WordHash) -> np.ndarray:
@@ -218,7 +228,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, chunk, run, content, wanted) of parsed pages, once in a batch: of a chunk's run PAGES contents at most, which settle it.
 
-    `wanted` marks runs of pages whose text repeats decide.
+    `wanted` marks runs of pages that have a block which repeats may drop.
     """
     hashes = WordHash()
     for b in batches:
@@ -228,7 +238,7 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = [np.unique(_runs(_judged(p), hashes)) for p in pages]
         at = np.repeat(np.arange(len(pages)), [len(r) for r in runs])
         run = np.concatenate([*runs, np.empty(0, np.int64)])
-        content, wanted = np.array([_content(p) for p in pages], np.int64)[at], np.array([_best(p) == OUTSIDE for p in pages], bool)[at]
+        content, wanted = np.array([_content(p) for p in pages], np.int64)[at], np.array([any(b["region"] in s and b["region"] != ARTICLE for s in [_sought(p)] for b in p) for p in pages], bool)[at]
         order = np.lexsort((content, run, group[at]))
         g, run, content, wanted = group[at][order], run[order], content[order], wanted[order]
         first = np.ones(len(run), bool)
@@ -249,13 +259,14 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(group: pa.Table, pages: list, judged: list, cover: list[np.ndarray]) -> pa.Table:
+    """First what repeats cover goes, then what markup doesn't hold for the page's text."""
     texts = []
     for p, ws, c in zip(pages, judged, cover, strict=True):
-        region, kept, at = _best(p), [], 0
+        sought, kept, at = _sought(p), [], 0
         for b, w in zip(p, ws, strict=True):
-            share = c[at : at + len(w)].mean() if w else 0.0
+            unique = not w or c[at : at + len(w)].mean() < COVERED
             at += len(w)
-            if b["region"] == region and (region != OUTSIDE or share < COVERED):
+            if unique and b["region"] in sought:
                 kept.append(b["text"])
         texts.append("\n\n".join(kept))
     return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(texts, pa.string())})
@@ -283,9 +294,11 @@ def extract(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
 
     Every page is parsed into blocks whose region the markup tells: chrome (menus, headers, footers, sidebars, notices,
     adverts, forms, comments), an article, a main element, or none of them. The pages of a host then meet, the tokens
-    outside articles are put into one suffix array, and runs of RUN or more tokens that PAGES distinct pages hold are
-    marked. A page's text is that of its articles, else of its main element, else its other blocks unless repeated runs
-    cover at least half of them. Runs inside an article stay even if many pages share them.
+    of all blocks outside articles are put into one suffix array, and runs of RUN or more tokens that PAGES distinct
+    pages hold are marked. Blocks that marked runs cover at least half are boilerplate and go. Of the rest a page's text is
+    what stands in its articles and in a main element beside them, or, where it has neither, what chrome doesn't hold. The array
+    alone can't decide: adverts and reader comments needn't repeat, and the pages of a small host show no repeats. Runs
+    inside an article stay even if many pages share them.
 
     A host with more than `chunk_bytes` is split by hash of the page into parts of about that size, so that no group
     grows with the host. Its runs are then counted by 64-bit hash over all its parts, and each part gets those of its
@@ -294,6 +307,7 @@ def extract(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     rows each give a row; a page cut off in a tag or reference is read as far as it goes. An empty table gives an empty
     table.
     """
+    small_batches(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host)
     # few hosts are that large: once written, the table's size tells Spark whether to broadcast it, so that the pages
