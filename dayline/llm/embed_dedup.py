@@ -10,11 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayline.llm.common import staged
+from dayline.llm.common import small_batches, staged
 from dayline.llm.components import connected_components
 
-#: Vectors a cell should hold, most cells, sample rows a cell (the bound of the sample is CELLS * SAMPLE), rounds of k-means.
-CELL, CELLS, SAMPLE, ROUNDS = 2000, 2048, 32, 8
+#: Vectors a cell should hold, sample vectors a cell, rounds of k-means.
+CELL, SAMPLE, ROUNDS = 2000, 32, 8
+#: Bytes of all centres, which every task holds. Cells grow in number with the table up to this, and beyond it in size.
+CENTRE_BYTES = 1 << 26
 #: Added to the margin of cells for rounding.
 SLACK = 1e-6
 #: Rows on either side of a block.
@@ -29,20 +31,55 @@ def margin_of(least: float) -> float:
     return float(np.sqrt(max(0.0, 1 - least) / 2)) + SLACK
 
 
-def spherical_kmeans(x: np.ndarray, k: int, seed: int, rounds: int = ROUNDS) -> np.ndarray:
-    """k unit centres of unit rows; fewer where rows are fewer."""
-    k = min(k, len(x))
-    rng = np.random.default_rng(seed)
-    c = x[rng.permutation(len(x))[:k]].copy()
-    for _ in range(rounds):
-        at = np.argmax(x @ c.T, axis=1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, at, x)
-        norms = np.linalg.norm(sums, axis=1)
-        c = np.where(norms[:, None] > 1e-12, sums / np.maximum(norms, 1e-12)[:, None], c)
+def _summed(centres: np.ndarray):
+    """Sums of a task's vectors by their nearest centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, held = np.zeros_like(centres), np.zeros(len(centres), bool)
+        for b in batches:
+            raw = b.column(0).to_pylist()
+            for lo in range(0, len(raw), 256):
+                x = np.frombuffer(b"".join(raw[lo : lo + 256]), np.float64).reshape(-1, centres.shape[1])
+                at = np.argmax(x @ centres.T, axis=1)
+                np.add.at(sums, at, x)
+                held[at] = True
+        cells = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array([sums[c].tobytes() for c in cells], pa.binary())], ["cell", "total"])
+
+    return run
+
+
+def _added(group: pa.Table) -> pa.Table:
+    total = np.sum([np.frombuffer(x, np.float64) for x in group.column("total").to_pylist()], axis=0)
+    return pa.table({"cell": group.column("cell")[:1], "total": pa.array([total.tobytes()], pa.binary())})
+
+
+def spherical_kmeans(units: DataFrame, dim: int, k: int, rounds: int = ROUNDS) -> np.ndarray:
+    """k unit centres of a sample of the column `unit` (fewer where vectors are fewer); only centres reach the driver.
+
+    The sample is about SAMPLE * k vectors by hash, the first centres about k of them. A round sums the sample's vectors by
+    nearest centre in its tasks, one row for each centre and task, and the sums of a centre meet in one of them.
+    """
+    rows = units.where(F.length("unit") == 8 * dim).select("unit", F.pmod(F.xxhash64("unit"), F.lit(1 << 30)).alias("by"))
+    n = rows.count()
+    sample = staged(rows.where(F.col("by") < _share(SAMPLE * k, n)), "vector-sample")
+    first = sample.where(F.col("by") < _share(k, n)).collect()  # about k vectors
+    c = np.frombuffer(b"".join(r["unit"] for r in sorted(first, key=lambda r: (r["by"], r["unit"]))[:k]), np.float64).reshape(-1, dim).copy()
+    for _ in range(rounds if len(c) > 1 else 0):
+        found = sample.select("unit").mapInArrow(_summed(c), "cell long, total binary").groupBy("cell").applyInArrow(_added, "cell long, total binary").collect()  # a row for each centre
+        for r in found:
+            total = np.frombuffer(r["total"], np.float64)
+            norm = np.linalg.norm(total)
+            if norm > 1e-12:
+                c[r["cell"]] = total / norm
     return c
 
 
+def _share(wanted: int, rows: int) -> int:
+    """Bound on a 30-bit hash below which `wanted` of `rows` rows and six standard errors more lie, or all."""
+    return min(1 << 30, int((1 << 30) * (wanted + 6 * wanted**0.5) / max(rows, 1)))
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unit vectors as doubles with a mark of their bytes; rows that can't link get none."""
     for b in batches:
@@ -140,12 +177,12 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
     return [(int(v), int(label[v])) for v in np.unique(np.r_[i, j]) if label[v] != v]
 
 
-def embedding_duplicates(vectors: DataFrame, least: float = 0.93, margin: float | None = None, cell_size: int = CELL, block: int = BLOCK, seed: int = 5) -> DataFrame:
+def embedding_duplicates(vectors: DataFrame, least: float = 0.93, margin: float | None = None, cell_size: int = CELL, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of `vectors` (vec_id, embedding array of numbers, label; others ignored).
 
     Two vectors link when their labels are equal and not null, they have the same length, and the cosine of their
     doubles is at least `least`. Equal vectors of a label become one with a count. Centres come from k-means on a
-    bounded sample (at most CELLS * SAMPLE vectors, the first by hash); every vector gets a home cell and visits those
+    sample of SAMPLE vectors for each of them; every vector gets a home cell and visits those
     whose boundary is nearer than `margin`. The default, `margin_of(least)`, is wide enough that of any two vectors that
     link one visits the other's home, so no link is lost; a smaller one loses links. A cell's residents
     are split into blocks of `block` rows at most in the mean, and block pairs are compared as matrix products: a large
@@ -156,16 +193,16 @@ def embedding_duplicates(vectors: DataFrame, least: float = 0.93, margin: float
     A null vec_id links with nothing, component_id null, kept true. Rows that repeat a vector link with each other and
     count as other vectors. An empty table gives an empty table.
     """
+    small_batches(vectors.sparkSession)
     base = staged(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label")).mapInArrow(_units, "vec_id long, label string, unit binary, mark binary"), "vectors")
     valid = base.where("vec_id is not null and mark is not null")
     reps = staged(valid.groupBy("label", "mark").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit")), "vector-reps")
-    n = reps.count()
-    k = max(1, min(CELLS, -(-n // cell_size)))
-    fit = reps.select("unit", F.xxhash64("unit").alias("by")).orderBy("by", "unit").limit(k * SAMPLE).collect()
-    by_dim: dict[int, list[bytes]] = {}
-    for r in fit:
-        by_dim.setdefault(len(r["unit"]) // 8, []).append(bytes(r["unit"]))
-    centres = {d: spherical_kmeans(np.frombuffer(b"".join(rows), np.float64).reshape(-1, d), k, seed) for d, rows in by_dim.items()}
+    dims = {r["bytes"] // 8: r["count"] for r in reps.groupBy(F.length("unit").alias("bytes")).count().collect()}  # one, unless lengths are mixed
+    centres = {}
+    for dim, n in dims.items():
+        k = min(-(-n // cell_size), max(1, CENTRE_BYTES // len(dims) // (8 * dim)))
+        if k > 1:
+            centres[dim] = spherical_kmeans(reps, dim, k)
 
     placed = staged(reps.mapInArrow(_placed(centres, margin_of(least) if margin is None else margin), "rep long, label string, copies long, unit binary, cell int, near array<int>"), "vector-cells")
     home = F.col("near")[0] == F.col("cell")
