@@ -12,9 +12,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dayline.llm.common import small_batches, staged
 
-#: Bytes of a language's dictionary, most rows it is taken from, and most languages: together the bound of the sample.
-DICTIONARY, ROWS, LANGUAGES = 131_072, 160, 256
+#: Bytes of a language's dictionary, most rows it is taken from, and bytes of all dictionaries: the bound of the sample.
+#: With more than DICTIONARIES / DICTIONARY languages each gets its share, so that none is left out.
+DICTIONARY, ROWS, DICTIONARIES = 131_072, 160, 1 << 26
 #: Rows up to so many characters come first in a sample.
 SHORT = 8192
 LEVEL = 5
@@ -57,17 +59,27 @@ class Languages:
         return self.names[best], float(1 / odds.sum()), margin
 
 
+def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([evidence(t) for t in b.column(2).to_pylist()], pa.binary())], ["lang", "at", "evidence"])
+
+
 def learned_dictionaries(training: DataFrame) -> dict[str, bytes]:
     """Dictionaries from (text, lang): up to ROWS rows of each language, short texts first, then by hash of the text.
 
-    This is the bounded sample the classifier is fitted on: LANGUAGES * DICTIONARY bytes at most reach the driver.
-    Languages beyond LANGUAGES (by code point) get no dictionary.
+    This is the bounded sample the classifier is fitted on. A row's whole evidence goes in, or none of it where it
+    doesn't fit any more; a language whose first text alone is larger than a dictionary gets that text.
     """
-    rows = training.where("lang is not null and text is not null and length(trim(text)) > 0").select("lang", F.when(F.length("text") <= SHORT, F.col("text")).otherwise(F.substring("text", 1, SHORT)).alias("text"), (F.length("text") > SHORT).alias("long"), F.xxhash64("text").alias("by"))
+    rows = training.where("lang is not null and text is not null and length(trim(text)) > 0").select("lang", "text", (F.length("text") > SHORT).alias("long"), F.xxhash64("text").alias("by"))
     first = rows.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("long", "by"))).where(F.col("at") <= ROWS)
-    named = first.join(F.broadcast(training.where("lang is not null").select("lang").distinct().orderBy("lang").limit(LANGUAGES)), "lang")
-    joined = named.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "text"))).alias("texts"))  # ROWS texts of SHORT characters at most
-    return {r["lang"]: b"\n".join(evidence(t["text"]) for t in r["texts"])[:DICTIONARY] for r in joined.toLocalIterator()}
+    found = staged(first.select("lang", "at", "text").mapInArrow(_evidence, "lang string, at int, evidence binary"), "language-sample")
+    most = min(DICTIONARY, DICTIONARIES // max(found.select("lang").distinct().count(), 1))
+    size = F.octet_length("evidence") + 1
+    up_to = F.sum(size).over(Window.partitionBy("lang").orderBy("at"))
+    texts: dict[str, list[bytes]] = {}
+    for r in found.where(size > 1).withColumn("up_to", up_to).where((F.col("up_to") <= most) | (F.col("up_to") == size)).orderBy("lang", "at").toLocalIterator():
+        texts.setdefault(r["lang"], []).append(bytes(r["evidence"]))
+    return {k: b"\n".join(v) for k, v in texts.items()}
 
 
 def identify(docs: DataFrame, training: Column, narrow: float = NARROW, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -81,6 +93,7 @@ def identify(docs: DataFrame, training: Column, narrow: float = NARROW, carry: t
     sizes: the first language by code point, rejected. Rows are independent: repeats, null ids and very long texts
     need no care. An empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     dictionaries = learned_dictionaries(docs.where(training).select("text", "lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
