@@ -16,14 +16,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayline.llm.common import WordHash, staged, words
+from dayline.llm.common import WordHash, small_batches, staged, words
 
 #: Words with a class of their own, classes for the rest, words whose counts every task holds, states.
 OWN, HASHED, HEAD, STATES = 4096, 1024, 65_536, 8
-#: Passes over all training texts, and the sample (rows, passes) from which the first parameters come.
-ROUNDS, SAMPLE_ROWS, SAMPLE_ROUNDS = 4, 384, 12
-#: Training cuts texts into runs of this many tokens; scoring does not.
-RUN, GROUP = 256, 131_072
+#: Passes over all training texts, and the sample (runs, passes) from which the first parameters come.
+ROUNDS, SAMPLE_RUNS, SAMPLE_ROUNDS = 4, 512, 12
+#: Training counts a text in runs of RUN tokens side by side, each with AROUND tokens of the text before and after it, by
+#: which the recursion has forgotten where it began. Scoring does not cut. Tokens that are counted at once.
+RUN, AROUND, GROUP = 384, 24, 131_072
 #: The end of a text; no word holds white space.
 END = np.int64(np.uint64(xxhash.xxh3_64_intdigest(b"\n")).astype(np.int64))
 
@@ -91,12 +92,16 @@ class Parameters:
     emit: np.ndarray  # classes x states
 
 
-def expected_counts(runs: list[np.ndarray], p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts (start, move, emit) of class sequences, all at once: row r of a step is the r-th longest run."""
-    runs = sorted((r for r in runs if len(r)), key=len, reverse=True)
+def expected_counts(runs: list[tuple[np.ndarray, int, int]], p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Baum-Welch counts (start, move, emit) of runs, all at once: row r of a step is the r-th longest run.
+
+    A run is a class sequence and the part of it that counts: positions from `lo` to before `hi`. What stands around that
+    part only tells the states at its edges. A move counts with the token it leads to, a start where a run counts from 0.
+    """
+    runs = sorted((r for r in runs if len(r[0])), key=lambda r: len(r[0]), reverse=True)
     k = len(p.start)
-    lens = np.array([len(r) for r in runs])
-    flat, first = np.concatenate(runs).astype(np.int64), np.r_[0, np.cumsum(lens)[:-1]]
+    lens, lo, hi = (np.array(x) for x in ([len(r[0]) for r in runs], [r[1] for r in runs], [r[2] for r in runs]))
+    flat, first = np.concatenate([r[0] for r in runs]).astype(np.int64), np.r_[0, np.cumsum(lens)[:-1]]
     active = [int(np.searchsorted(-lens, -t, side="left")) for t in range(lens[0])]
     alphas, emits, scales = [], [], []
     a = np.broadcast_to(p.start, (len(runs), k))
@@ -111,13 +116,15 @@ def expected_counts(runs: list[np.ndarray], p: Parameters) -> tuple[np.ndarray,
     move, emit, ids, gammas = np.zeros((k, k)), np.zeros(p.emit.shape), [], []
     beta = np.ones((active[-1], k))
     for t in range(len(active) - 1, -1, -1):
-        gammas.append(alphas[t] * beta)
-        ids.append(flat[first[: active[t]] + t])
+        n = active[t]
+        counts = ((lo[:n] <= t) & (t < hi[:n])).astype(np.float64)[:, None]
+        gammas.append(alphas[t] * beta * counts)
+        ids.append(flat[first[:n] + t])
         if t:
             right = emits[t] * beta / scales[t]
-            move += alphas[t - 1][: active[t]].T @ right
+            move += alphas[t - 1][:n].T @ (right * counts)
             beta = np.ones((active[t - 1], k))
-            beta[: active[t]] = right @ p.move.T
+            beta[:n] = right @ p.move.T
     g, i = np.concatenate(gammas), np.concatenate(ids)
     for s in range(k):
         emit[:, s] = np.bincount(i, weights=g[:, s], minlength=len(emit))
@@ -132,9 +139,27 @@ def maximised(start: np.ndarray, move: np.ndarray, emit: np.ndarray, prior: np.n
     return Parameters(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def _runs(raw: bytes) -> list[np.ndarray]:
+def _runs(raw: bytes) -> list[tuple[np.ndarray, int, int]]:
+    """The runs of a whole text, which count each of its tokens once."""
     x = np.frombuffer(raw, np.int16)
-    return [x[i : i + RUN] for i in range(0, len(x), RUN)]
+    return [(x[max(0, i - AROUND) : i + RUN + AROUND], min(i, AROUND), min(i, AROUND) + min(RUN, len(x) - i)) for i in range(0, len(x), RUN)]
+
+
+def _drawn(least: int):
+    """Runs whose hash, salted by their place in the text, is below `least`, with that hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for raw in b.column(0):
+                for at, (x, lo, hi) in enumerate(_runs(raw.as_py())):
+                    by = xxhash.xxh3_64_intdigest(x.tobytes(), seed=at) >> 1
+                    if by < least:
+                        found.append((by, x.tobytes(), lo, hi))
+            by, x, lo, hi = zip(*found, strict=True) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(by, pa.int64()), pa.array(x, pa.binary()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["by", "cls", "lo", "hi"])
+
+    return run
 
 
 def _gathered(p: Parameters):
@@ -143,7 +168,7 @@ def _gathered(p: Parameters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(p.start)
         start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros(p.emit.shape)
-        group: list[np.ndarray] = []
+        group: list[tuple[np.ndarray, int, int]] = []
         size = 0
 
         def flush() -> None:
@@ -159,7 +184,7 @@ def _gathered(p: Parameters):
                 got = _runs(raw.as_py())
                 for lo in range(0, len(got), GROUP // RUN):
                     group += got[lo : lo + GROUP // RUN]
-                    size += sum(map(len, got[lo : lo + GROUP // RUN]))
+                    size += sum(len(r[0]) for r in got[lo : lo + GROUP // RUN])
                     if size >= GROUP:
                         flush()
         flush()
@@ -202,25 +227,34 @@ def _scorer(p: Parameters):
     return run
 
 
-def hmm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, seed: int = 11) -> DataFrame:
-    """Scores of every whole text of `docs` (doc_id, text, held_out boolean), learned from the rows that aren't held out.
+@dataclass
+class Model:
+    """What a fit leaves: coded texts, word counts, their sum and number, and the parameters after every round."""
 
-    Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (this model), in
-    log10. Word counts are summed over partitions; tasks hold only the counts of the HEAD most frequent words, the rest
-    meet theirs in a join. Parameters start from Baum-Welch on SAMPLE_ROWS rows (the first by hash; only the start
-    depends on them), then every round sums the expected counts of all training texts: one row for each class and task,
-    so a round sends states x classes numbers, whatever the corpus holds.
+    coded: DataFrame
+    counts: DataFrame
+    total: int
+    distinct: int
+    vocabulary: Vocabulary
+    rounds: list[Parameters]
 
-    Null text counts as empty: its only token is the end. Null held_out counts as false. Repeated rows count as often as
-    they occur and each is scored. Without training rows every text has probability by uniform parameters. An empty
-    table gives an empty table.
-    """
+
+def fitted(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, seed: int = 11) -> Model:
+    """Word counts, classes and parameters of (doc_id, text, held_out): see hmm_scores."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "text")
     counts = staged(docs.where("not held_out").select("text").mapInArrow(_counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "hmm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    # written first: the tasks' own heads meet in an executor, not in the driver
-    head = sorted(staged(counts.orderBy(F.col("c").desc(), "h").limit(HEAD), "hmm-head").collect(), key=lambda r: (-r["c"], r["h"]))  # HEAD rows at most
+    # the head is what lies above a count that at most HEAD words reach, found from a histogram of counts in sixteenths of an octave
+    grade = F.floor(F.log2("c") * 16)
+    above, least = 0, 0
+    for r in sorted(counts.groupBy(grade.alias("grade")).count().collect(), key=lambda r: -r["grade"]):  # 1,024 rows at most
+        above += r["count"]
+        if above > HEAD:
+            least = r["grade"] + 1
+            break
+    head = sorted(counts.where(grade >= least).collect(), key=lambda r: (-r["c"], r["h"]))  # HEAD rows at most
     own = spark.createDataFrame([(r["h"],) for r in head[:OWN]], "h long")
     rest = counts.join(F.broadcast(own), "h", "left_anti")  # OWN rows at most
     # the class of a word is its unsigned hash modulo HASHED, a power of two
@@ -237,14 +271,16 @@ def hmm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, seed
     classes = OWN + HASHED
     emit = prior[:, None] * np.exp(rng.normal(0, 1, (classes, states)))
     p = Parameters(np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit / emit.sum(axis=0))
-    training = coded.where("not held_out").select("cls", "uid", F.xxhash64("doc_id", F.crc32("cls")).alias("by"))
-    first = staged(training.select("by", "uid").orderBy("by", "uid").limit(SAMPLE_ROWS), "hmm-sample").select("uid")
-    rows = sorted(training.join(F.broadcast(first), "uid").select("by", "cls").collect(), key=lambda r: (r["by"], r["cls"]))  # SAMPLE_ROWS rows at most
-    sample = [x for r in rows for x in _runs(r["cls"])[:64]]
+    training = coded.where("not held_out").select("cls")
+    runs = training.agg(F.coalesce(F.sum(F.ceil(F.octet_length("cls") / (2 * RUN))), F.lit(0))).first()[0]
+    drawn = training.mapInArrow(_drawn(min((1 << 63) - 1, (SAMPLE_RUNS << 63) // max(runs, 1))), "by long, cls binary, lo int, hi int")
+    sample = sorted((r["by"], bytes(r["cls"]), r["lo"], r["hi"]) for r in drawn.distinct().collect())  # about SAMPLE_RUNS runs at most, copies once
+    sample = [(np.frombuffer(x, np.int16), lo, hi) for _, x, lo, hi in sample]
     for _ in range(SAMPLE_ROUNDS if sample else 0):
         p = maximised(*expected_counts(sample, p), prior)
-    for _ in range(rounds if sample else 0):
-        sums = training.select("cls").mapInArrow(_gathered(p), "cls int, " + ", ".join(f"s{s} double" for s in range(states))).groupBy("cls").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(states)]).collect()
+    passed = [p]
+    for _ in range(rounds if runs else 0):
+        sums = training.mapInArrow(_gathered(p), "cls int, " + ", ".join(f"s{s} double" for s in range(states))).groupBy("cls").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(states)]).collect()
         start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((classes, states))
         for r in sums:
             row = np.array(r[1:])
@@ -255,7 +291,25 @@ def hmm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, seed
             else:
                 move[-2 - r["cls"]] = row
         p = maximised(start, move, emit, prior)
+        passed.append(p)
+    return Model(coded, counts, total, distinct, vocabulary, passed)
+
+
+def hmm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, seed: int = 11) -> DataFrame:
+    """Scores of every whole text of `docs` (doc_id, text, held_out boolean), learned from the rows that aren't held out.
 
+    Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (this model), in
+    log10. Word counts are summed over partitions; tasks hold only the counts of the HEAD most frequent words, the rest
+    meet theirs in a join. Parameters start from Baum-Welch on about SAMPLE_RUNS runs of all training texts, drawn by hash (only
+    the start depends on them), then every round sums the expected counts of all training texts, whole: one row for each
+    class and task, so a round sends states x classes numbers, whatever the corpus holds.
+
+    Null text counts as empty: its only token is the end. Null held_out counts as false. Repeated rows count as often as
+    they occur and each is scored. Without training rows every text has probability by uniform parameters. An empty
+    table gives an empty table.
+    """
+    m = fitted(docs, states, rounds, seed)
+    coded, counts, total, distinct, p = m.coded, m.counts, m.total, m.distinct, m.rounds[-1]
     pairs = coded.select("uid", F.explode(F.arrays_zip("tail", "tf")).alias("x")).select("uid", F.col("x.tail").alias("h"), F.col("x.tf").alias("tf"))
     tails = pairs.join(counts, "h").groupBy("uid").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("tail_sum"), F.sum("tf").alias("tail_n"))
     scored = coded.select("cls", "uid", "doc_id", "held_out", "n_tokens", "head_n", "head_sum", "own_sum", "den").mapInArrow(_scorer(p), "forward double, uid long, doc_id long, held_out boolean, n_tokens long, head_n long, head_sum double, own_sum double, den double")
