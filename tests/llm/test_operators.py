@@ -4,11 +4,13 @@ import base64
 import hashlib
 import itertools
 import random
+import time
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -126,8 +128,55 @@ def test_hmm_likelihood_is_exact_and_counts_are_right(spark):
     for s, got in zip(seqs, hmm.log10_likelihood(seqs, p), strict=True):
         total = sum(p.start[q[0]] * p.emit[s[0], q[0]] * np.prod([p.move[q[i - 1], q[i]] * p.emit[s[i], q[i]] for i in range(1, len(s))]) for q in itertools.product(range(3), repeat=len(s)))
         assert abs(got - np.log10(total)) < 1e-9
-    start, move, emit = hmm.expected_counts(seqs, p)
-    assert abs(start.sum() - 3) < 1e-9 and abs(move.sum() - 5) < 1e-9 and np.allclose(emit.sum(axis=1), np.bincount(np.concatenate(seqs), minlength=6))
+    start, move, emit = hmm.expected_counts([(s, 0, len(s)) for s in seqs], p)
+    want_start, want_move, want_emit = np.zeros(3), np.zeros((3, 3)), np.zeros((6, 3))
+    for s in seqs:
+        paths = list(itertools.product(range(3), repeat=len(s)))
+        each = [p.start[q[0]] * p.emit[s[0], q[0]] * np.prod([p.move[q[i - 1], q[i]] * p.emit[s[i], q[i]] for i in range(1, len(s))]) for q in paths]
+        for q, share in zip(paths, np.array(each) / sum(each), strict=True):
+            want_start[q[0]] += share
+            for i, c in enumerate(s):
+                want_emit[c, q[i]] += share
+                if i:
+                    want_move[q[i - 1], q[i]] += share
+    assert np.allclose(start, want_start) and np.allclose(move, want_move) and np.allclose(emit, want_emit)
+
+
+def test_hmm_runs_count_what_the_whole_text_counts(monkeypatch):
+    rng = np.random.default_rng(3)
+    p = hmm.Parameters(rng.dirichlet(np.ones(4)), rng.dirichlet(np.ones(4) * 2, 4), rng.dirichlet(np.ones(9), 4).T)
+    texts = [rng.integers(0, 9, n).astype(np.int16) for n in (1, 39, 40, 41, 500, 1203)]
+    whole = hmm.expected_counts([(t, 0, len(t)) for t in texts], p)
+    monkeypatch.setattr(hmm, "RUN", 40)
+    runs = [r for t in texts for r in hmm._runs(t.tobytes())]
+    assert sum(hi - lo for _, lo, hi in runs) == sum(map(len, texts))
+    for got, want in zip(hmm.expected_counts(runs, p), whole, strict=True):
+        assert np.allclose(got, want, rtol=1e-5, atol=1e-6)
+
+
+def test_hmm_rounds_over_partitions(spark):
+    """A round's sums over partitions are those of one machine, the likelihood rises, and scores are those of the last parameters."""
+    rng = random.Random(9)
+    a, b = WORDS[:150], WORDS[150:300]
+    rows = [(i, " ".join(rng.choice(a if (i + k // 30) % 2 else b) for k in range(rng.randint(1, 90)))) for i in range(150)]
+    d = docs_of(spark, rows).withColumn("held_out", F.col("doc_id") % 7 == 2)
+    m = hmm.fitted(d.repartition(5), rounds=3)
+    coded = {r.doc_id: np.frombuffer(r.cls, np.int16) for r in m.coded.collect()}
+    train = [coded[i] for i in coded if i % 7 != 2]
+    like = [hmm.log10_likelihood(train, p).sum() for p in m.rounds]
+    assert all(y > x for x, y in zip(like, like[1:], strict=False))
+    classes = np.bincount(np.concatenate(train), minlength=hmm.OWN + hmm.HASHED) + 1e-3
+    one = hmm.maximised(*hmm.expected_counts([(t, 0, len(t)) for t in train], m.rounds[0]), classes / classes.sum())
+    assert np.allclose(one.move, m.rounds[1].move) and np.allclose(one.emit, m.rounds[1].emit) and np.allclose(one.start, m.rounds[1].start)
+    counts = {r.h: r.c for r in m.counts.collect()}
+    memo = hmm.WordHash()
+    texts, got = dict(rows), {r.doc_id: r.score for r in hmm.hmm_scores(d, rounds=3).collect()}
+    for i in coded:
+        want = float(hmm.log10_likelihood([coded[i]], m.rounds[-1])[0])
+        for h, c in zip(hmm._hashes(texts[i], memo).tolist(), coded[i].tolist(), strict=True):
+            if c >= hmm.OWN:  # a word's share of its class
+                want += np.log10(counts.get(h, 0) + 1) - m.vocabulary.class_log[c - hmm.OWN]
+        assert abs(got[i] - want) < 1e-6
 
 
 def test_hmm_scores(spark):
@@ -166,9 +215,19 @@ def test_bpe_equals_the_library(text):
     assert ENCODER.decode(ids) == text.encode()
 
 
+@pytest.mark.parametrize("text", ["=" * 100_000, "\n" * 100_000, "a" * 100_000, "aB" * 50_000, "".join(random.Random(1).choice("abcdefghijklmnop") for _ in range(100_000)), "漢字" * 15_000])
+def test_bpe_of_one_very_long_match(text):
+    fresh = bpe.TreeEncoder(RANKS, public_tokenizers.PATTERN)
+    began = time.process_time()
+    ids = fresh.encode(text)
+    assert time.process_time() - began < 5 and ids == LIBRARY.encode_ordinary(text)
+    assert len(fresh.pieces) <= bpe.PIECES and max(map(len, fresh.pieces)) <= bpe.SHORT
+
+
 def test_bpe_rows(spark):
     rows = [(1, None), (2, ""), (None, "a b"), (3, "antidisestablishmentarianism" * 400), (3, "x"), (3, "x")]
     got = bpe.encode_and_decode(docs_of(spark, rows), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    assert bpe.encode_and_decode(docs_of(spark, rows).limit(0), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
     assert sorted((r.n_tokens, bytes(r.ids).hex(), bytes(r.decoded)) for r in got) == sorted((len(x := LIBRARY.encode_ordinary(t or "")), np.array(x, "<u4").tobytes().hex(), (t or "").encode()) for _, t in rows)
 
 
@@ -301,21 +360,51 @@ def test_exact_duplicates_equal_brute_force(spark, hot_share):
 
 
 def test_block_max_search_is_exact():
+    """Against dense cosines, over an index of many blocks."""
     rng = np.random.default_rng(3)
     rows = [{int(t): int(rng.integers(1, 4)) for t in rng.choice(40, int(rng.integers(1, 9)), replace=False)} for _ in range(400)]
-    idf = rng.uniform(1, 4, 40)
-    index = toxicity.BlockMaxIndex({bytes([t]): t for t in range(40)}, idf, rows, np.zeros(400), np.arange(400))
+    weight, names = rng.uniform(0, 4, 40) ** 3, [b"t%d" % t for t in range(40)]
+    row, term, tf = (np.array(x) for x in zip(*[(d, t, n) for d, r in enumerate(rows) for t, n in r.items()], strict=True))
+    ids = np.arange(400) + 1000
+    index = toxicity.BlockMaxIndex({n: t for t, n in enumerate(names)}, weight, row, term, tf.astype(float), rng.integers(0, 2, 400).astype(float), ids)
+    assert index.blocks > 4
     dense = np.zeros((400, 40))
-    for d, r in enumerate(rows):
-        for t, w in index.unit(r).items():
-            dense[d, t] = w
-    for q in rows[:60]:
-        v = np.zeros(40)
-        for t, w in index.unit(q).items():
-            v[t] = w
-        cos = np.round(dense @ v, 12)
-        want = [i for i in np.argsort(-cos, kind="stable")[:15] if cos[i] > 0]
-        assert index.nearest(q, 15)[0].tolist() == want
+    dense[row, term] = (1 + np.log(tf)) * weight[term]
+    dense /= np.linalg.norm(dense, axis=1)[:, None]
+    for d, r in enumerate(rows[:60]):
+        best, cos = index.nearest(" ".join(names[t].decode() + " " for t, n in r.items() for _ in range(n)), 15, 1000 + d)
+        want = dense @ dense[d]
+        want[d] = 0
+        assert np.allclose(cos, np.sort(want)[::-1][: len(cos)]) and (len(cos) == 15 or (want > 1e-12).sum() == len(cos))
+        assert np.allclose(cos, want[index.ids[best] - 1000])
+
+
+def test_toxicity_equals_dense_cosines(spark):
+    """The whole score but for the logistic curve: terms, frequencies over all documents, weights, cosines and votes."""
+    rng = random.Random(14)
+    rows = [(i, text_of(rng.randint(3, 40), rng) + (" vileterm" if i % 5 == 0 else "")) for i in range(160)]
+    lab = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(160)], "doc_id long, quality int, toxic int")
+    got = toxicity.score(docs_of(spark, rows), lab, F.col("doc_id") % 4 != 2).collect()
+    tc = {i: toxicity.terms(t) for i, t in rows}
+    train = [i for i, _ in rows if i % 4 != 2]
+    names = sorted({t for i in train for t in tc[i]})
+    at = {t: k for k, t in enumerate(names)}
+    df = np.array([sum(t in c for c in tc.values()) for t in names])
+    a, b = (np.array([sum(t in tc[i] for i in train if (i % 5 == 0) == k) for t in names], float) for k in (True, False))
+    n1 = sum(i % 5 == 0 for i in train)
+    w = (np.log(161 / (df + 1)) + 1) * np.log((a + 0.5) * (len(train) - n1 + 1) / ((b + 0.5) * (n1 + 1))) ** 2 / (1 / (a + 0.5) + 1 / (b + 0.5))
+
+    def unit(c):
+        v = np.zeros(len(names))
+        for t, n in c.items():
+            if t in at:
+                v[at[t]] = (1 + np.log(n)) * w[at[t]]
+        return v / max(np.linalg.norm(v), 1e-300)
+
+    dense = np.array([unit(tc[i]) for i in train])
+    for r in got:
+        cos = np.sort(dense @ unit(tc[r.doc_id]))[::-1][: toxicity.VOTES]
+        assert np.allclose([e.cosine for e in r.evidence], cos[: len(r.evidence)]) and (cos[len(r.evidence) :] < 1e-9).all()
 
 
 def test_toxicity_scores(spark):
@@ -342,11 +431,11 @@ def test_toxicity_scores(spark):
 
 
 def test_toxicity_knows_rare_words_of_many_examples_and_of_few(spark):
-    """A word in 10 of 3,072 toxic examples and in no clean one is evidence; so is one of fewer than 30 labelled rows."""
+    """A word in 10 of all toxic examples and in no clean one is evidence; so is one of fewer than 30 labelled rows."""
     rng = random.Random(12)
     neutral = lambda: text_of(6, rng)
-    rows = [(i, neutral() + (" rareslur" if i % 2 and i < 20 else " nastyword" if i % 2 else "")) for i in range(6144)]
-    labels = [(i, 1, i % 2) for i in range(6144)]
+    rows = [(i, neutral() + (" rareslur" if i % 2 and i < 20 else " nastyword" if i % 2 else "")) for i in range(2 * toxicity.EXAMPLES)]
+    labels = [(i, 1, i % 2) for i in range(2 * toxicity.EXAMPLES)]
     rows += [(9000, neutral() + " rareslur"), (9001, neutral())]
     got = {r.doc_id: r for r in toxicity.score(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.col("doc_id") < 9000).where("doc_id >= 9000").collect()}
     slurs = {i for i in range(1, 20, 2)}
@@ -412,3 +501,104 @@ def test_html_repeats_are_those_of_the_whole_host(spark):
     for chunk in (4_000_000, 300):
         got = html_extract.extract(df, chunk).collect()
         assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want
+
+
+def test_html_keeps_what_markup_cut_short(spark):
+    """Unclosed elements that aren't raw text, text of a main element beside articles, and names that would drop most of a page."""
+    texts = lambda h: [t for r, t in html_extract.blocks_of(h) if r == html_extract.ARTICLE]
+    for name in ("select", "object", "noscript", "iframe", "svg", "math", "canvas"):
+        assert texts(f"<article><p>before<{name}><p>after</article>") == ["before", "after"]
+        assert texts(f"<article><p>before<{name}>inside</{name}><p>after</article>") == ["before", "after"]
+    assert texts("<article><p>before<script>var a = '<p>x</p>'") == ["before"]
+    rows = [
+        (1, "http://a.example/", "<main><p>Our index of many things</p><article>first teaser</article><article>second teaser</article></main><footer>us</footer>"),
+        (2, "http://b.example/", "<nav>Home</nav><div class='page with-sidebar'><p>All the words of this page stand here</p></div><p>short</p>"),
+        (3, "http://b.example/x", "<div><p>All the words of this page stand here too</p></div><div class='sidebar'>short</div>"),
+    ]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Our index of many things\n\nfirst teaser\n\nsecond teaser", 2: "All the words of this page stand here\n\nshort", 3: "All the words of this page stand here too"}
+
+
+def test_html_extraction_equals_brute_force(spark):
+    """The final texts of pages without articles: blocks that runs of three distinct pages of the host cover by half are dropped."""
+    rng = random.Random(21)
+    notices = [text_of(9, rng) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        blocks = [text_of(rng.randint(3, 14), rng) for _ in range(4)] + [n for n in notices if rng.random() < 0.2] + [notices[0][: len(notices[0]) // 2] + " " + text_of(8, rng)]
+        rng.shuffle(blocks)
+        rows.append((i, f"http://h{i % 4}.example/{i}", "".join(f"<div>{b}</div>" for b in blocks), blocks))
+    run, grams = html_extract.RUN, {}
+    streams = {i: [w for b in blocks for w in b.split()] for i, _, _, blocks in rows}
+    for i, s in streams.items():
+        for k in range(len(s) - run + 1):
+            grams.setdefault((i % 4, *s[k : k + run]), set()).add(i)
+    want = {}
+    for i, _, _, blocks in rows:
+        s, at, kept = streams[i], 0, []
+        hit = [False] * len(s)
+        for k in range(len(s) - run + 1):
+            if len(grams[(i % 4, *s[k : k + run])]) >= html_extract.PAGES:
+                hit[k : k + run] = [True] * run
+        for b in blocks:
+            n = len(b.split())
+            if sum(hit[at : at + n]) / n < html_extract.COVERED:
+                kept.append(b)
+            at += n
+        want[i] = "\n\n".join(kept)
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    for chunk in (4_000_000, 1500):
+        assert {r.page_id: r.text for r in html_extract.extract(df, chunk).collect()} == want
+
+
+def test_language_is_the_smallest_compression(spark):
+    """The decision by each dictionary on its own, ties by code point; a language whose texts are all long or few is learned whole."""
+    rng = random.Random(31)
+    lexicon = {"aa": WORDS[:130], "bb": WORDS[130:260], "cc": WORDS[260:]}
+    rows = [(i, " ".join(rng.choice(lexicon[k]) for _ in range(rng.randint(3, 40))), k) for i, k in enumerate(["aa", "bb", "cc"] * 30)]
+    rows += [(500, " ".join(rng.choice(lexicon["aa"]) for _ in range(9000)), "zz"), (501, "qqqq zzzz", None), (502, "a", None)]
+    d = docs_of(spark, rows)
+    dictionaries = langid.learned_dictionaries(d.select("text", "lang"))
+    assert sorted(dictionaries) == ["aa", "bb", "cc", "zz"] and set(dictionaries["zz"].split()) == set(rows[90][1].encode().split())
+    for k in lexicon:
+        assert set(dictionaries[k].split()) == {w for r in rows if r[2] == k for w in r[1].encode().split()}
+    got = {r.doc_id: r for r in langid.identify(d, F.lit(True)).collect()}
+    for i, t, _ in rows:
+        sizes = {}
+        for k, raw in dictionaries.items():
+            c = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[k] = len(c.compress(langid.evidence(t)))
+        best = min(sizes, key=lambda k: (sizes[k], k))
+        assert got[i].lang_pred == best and got[i].rejected == (sorted(sizes.values())[1] == sizes[best] or got[i].margin < langid.NARROW)
+
+
+def test_sharding_deals_by_the_matrix_and_shuffles_uniformly(spark):
+    """Counts from each logical partition are those of the matrix; over many seeds each row meets each shard and slot alike."""
+    rows = spark.range(600).select(F.col("id").alias("doc_id"))
+    n, shards = 600, 5
+    where = np.zeros((n, shards))
+    first = []
+    for seed in range(12):
+        got = {r.doc_id: (r.shard, r.slot) for r in sharding.shuffle_into_shards(rows, ["doc_id"], shards, seed, rows_per_partition=100).collect()}
+        assert sorted(got.values()) == [(s, k) for s in range(shards) for k in range(n // shards)]
+        part = {r.doc_id: r.p for r in rows.select("doc_id", F.pmod(F.xxhash64(F.lit(seed), F.lit("partition"), "doc_id"), F.lit(6)).alias("p")).collect()}
+        counts = [sum(p == k for p in part.values()) for k in range(6)]
+        matrix = sharding.communication_matrix(counts, shards, seed)
+        assert all(sum(part[i] == p and got[i][0] == s for i in got) == matrix[p, s] for p in range(6) for s in range(shards))
+        for i, (s, _) in got.items():
+            where[i, s] += 1
+        first.append([i for i, x in sorted(got.items(), key=lambda kv: kv[1])])
+    expected = 12 / shards
+    chi2 = ((where - expected) ** 2 / expected).sum()
+    assert abs(chi2 - n * (shards - 1)) < 6 * (2 * n * (shards - 1)) ** 0.5
+    corr = np.corrcoef(np.array(first))
+    assert np.abs(corr[np.triu_indices(12, 1)]).max() < 0.25
+    assert abs(np.corrcoef(first[0], np.arange(n))[0, 1]) < 0.2
+
+
+@pytest.mark.parametrize("run", [
+    lambda d: near_dedup.near_duplicates(d), lambda d: hmm.hmm_scores(d.withColumn("held_out", F.lit(False))), lambda d: mixing.mix(d), lambda d: langid.identify(d, F.lit(True)),
+    lambda d: exact_dedup.exact_duplicates(d), lambda d: sharding.shuffle_into_shards(d.select("doc_id", "text"), ["doc_id", "text"]),
+])
+def test_empty_tables(spark, run):
+    assert run(docs_of(spark, [(1, "a")]).limit(0)).count() == 0
