@@ -2,9 +2,10 @@
 
 A document's set holds its distinct five-word shingles. A sketch has 128 registers: a shingle's 64-bit hash picks a
 register with seven bits, and of the smallest remainder the register keeps the count of leading zeros and the ten bits
-after the leading one (16 bits in all, 0 for an empty register). Bands of four registers propose pairs, the registers
-of a pair give a Jaccard estimate corrected for chance collisions, and pairs that may reach the threshold are verified
-on the full sets.
+after the leading one (16 bits in all, 0 for an empty register). For banding, an empty register borrows the value of
+a full one by a fixed order of its own, so that bands of small sets are as selective as those of large ones. Bands of
+four registers propose pairs, the registers of a pair give a Jaccard estimate corrected for chance collisions, and pairs
+that may reach the threshold are verified on the full sets, which travel once for each group of comparisons.
 """
 
 from __future__ import annotations
@@ -14,19 +15,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayline.llm.common import WordHash, semi_join, staged, words
+from dayline.llm.common import WordHash, semi_join, small_batches, staged, words
 from dayline.llm.components import connected_components
 
 REGISTERS, PICK_BITS, MANTISSA, BANDS = 128, 7, 10, 32
-#: Finer sketches for buckets that hold several components (2 ** FINE_BITS registers of a byte), and rows of a block there.
-FINE_BITS, BLOCK = 9, 512
+#: Registers of the finer sketches that screen pairs within a task (2 ** FINE_BITS).
+FINE_BITS = 9
+#: Members of a block, and shingles of all its members, in the mean at most.
+BLOCK, BLOCK_SHINGLES = 512, 500_000
 SHINGLE = 5
 #: Odd multipliers that make a shingle's hash depend on the order of its words.
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: For each register the order in which it looks for a full one.
+_BORROW = np.argsort(np.random.Generator(np.random.PCG64(1)).random((REGISTERS, REGISTERS)), axis=1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -47,7 +52,8 @@ def shingle_set(text: str | None, hashes: WordHash) -> np.ndarray:
     s = h[:n] * _ODD[0]
     for j in range(1, SHINGLE):
         s += h[j : j + n] * _ODD[j]
-    return np.unique(_mixed(s))
+    s = np.sort(_mixed(s))
+    return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
 def registers(shingles: np.ndarray, pick_bits: int = PICK_BITS) -> np.ndarray:
@@ -65,6 +71,17 @@ def registers(shingles: np.ndarray, pick_bits: int = PICK_BITS) -> np.ndarray:
     return out
 
 
+def band_keys(r: np.ndarray) -> np.ndarray:
+    """A signed 64-bit key for each band of a filled sketch; its last five bits are the band's number."""
+    full = r > 0
+    dense = r.copy()
+    empty = np.flatnonzero(~full)
+    if len(empty):
+        dense[empty] = r[_BORROW[empty, full[_BORROW[empty]].argmax(axis=1)]]
+    band = np.arange(BANDS, dtype=np.uint64)
+    return ((_mixed(dense.view(np.uint64) * _ODD[0] + band * _ODD[1]) & ~np.uint64(BANDS - 1)) | band).view(np.int64)
+
+
 def narrowed(r: np.ndarray) -> np.ndarray:
     """Registers in a byte: up to fifteen for the leading zeros, and the first four bits of the mantissa."""
     return np.where(r > 0, (np.minimum(r >> MANTISSA, 15) << 4) | ((r >> (MANTISSA - 4)) & 15), 0).astype(np.uint8)
@@ -89,162 +106,190 @@ def may_reach(same: np.ndarray, filled: np.ndarray, n: np.ndarray, m: np.ndarray
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHash()
     for b in batches:
-        size, mark, sig = [], [], []
+        size, mark, sig, keys = [], [], [], []
         for text in b.column(1):
             s = shingle_set(text.as_py(), hashes)
+            r = registers(s) if len(s) else None
             size.append(len(s))
             mark.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            sig.append(registers(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(mark, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "mark", "sig"])
+            sig.append(r.tobytes() if len(s) else None)
+            if len(s):
+                keys.append(band_keys(r))
+        at = np.cumsum([0, *(BANDS * (n > 0) for n in size)])
+        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(mark, pa.binary()), pa.array(sig, pa.binary()), lists], ["doc_id", "n_shingles", "mark", "sig", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHash()
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), hashes).tobytes() for t in b.column(1)], pa.binary())], ["id", "shingles"])
+        for lo in range(0, b.num_rows, 256):
+            s = b.slice(lo, 256)
+            yield pa.RecordBatch.from_arrays([s.column(0), pa.array([shingle_set(t.as_py(), hashes).tobytes() for t in s.column(1)], pa.binary())], ["id", "shingles"])
 
 
-def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHash()
-    for b in batches:
-        sets = [shingle_set(t.as_py(), hashes) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([narrowed(registers(s, FINE_BITS)).tobytes() for s in sets], pa.binary())], ["rep", "fine"])
+def _hopeful(percent: int):
+    """Pairs (id, hub) whose registers leave a link possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sig", "hub_sig"))
+            n, m = (b.column(c).to_numpy(zero_copy_only=False) for c in ("n", "hub_n"))
+            keep = may_reach(((x == y) & (x > 0)).sum(axis=1), ((x > 0) | (y > 0)).sum(axis=1), n, m, percent / 100)
+            yield b.select(["id", "hub", "n"]).filter(pa.array(keep))
+
+    return run
+
+
+def _common(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements of the sorted set `one` each of `others` (none empty) holds."""
+    if not others:
+        return np.empty(0, np.int64)
+    flat = np.concatenate(others)
+    found = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    return np.add.reduceat(found, np.r_[0, np.cumsum([len(o) for o in others])[:-1]], dtype=np.int64)
+
+
+def _sets_in(t: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+
+
+def _star(percent: int):
+    """Links (a, b) of a hub with the members of its group, on full sets."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, hub, sets = t.column("id").to_numpy(), t.column("hub")[0].as_py(), _sets_in(t)
+        members, out = np.flatnonzero(ids != hub), set()
+        for h in np.flatnonzero(ids == hub):  # one, or each text of a repeated id
+            both, sizes = _common(sets[h], [sets[i] for i in members]), np.array([len(sets[i]) for i in members], np.int64)
+            out |= {int(ids[i]) for i in members[100 * both >= percent * (sizes + len(sets[h]) - both)]}
+        return pa.table({"a": pa.array(sorted(out), pa.int64()), "b": pa.array([hub] * len(out), pa.int64())})
+
+    return run
 
 
-def _blocked(percent: int):
-    """Pairs of a bucket's two blocks that lie in different components and may reach the threshold by fine registers."""
+def _candidates(percent: int):
+    """Members of a block pair that may link with a member of another component there, by their sketches."""
 
     def run(t: pa.Table) -> pa.Table:
-        side, rep, at, n = (t.column(c).to_numpy() for c in ("side", "rep", "at", "n"))
+        side, at, n = (t.column(c).to_numpy() for c in ("side", "at", "n"))
         band = t.column("key")[0].as_py() & (BANDS - 1)
-        fine = np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint8).reshape(len(rep), -1)
-        bands = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.int64).reshape(len(rep), BANDS)
-        filled = (fine > 0).sum(axis=1)
-        right = np.flatnonzero(side != 1)
-        out: list[tuple[int, int]] = []
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(at), -1)
+        keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(at), BANDS)
+        right, hit = np.flatnonzero(side != 1), np.zeros(len(at), bool)
         for i in np.flatnonzero(side != 2):
             j = right[(right > i) if side[i] == 3 else slice(None)]
-            j = j[at[j] != at[i]]
-            j = j[((bands[j] == bands[i]) & (bands[i] != 0)).argmax(axis=1) == band]  # the pair's first band is the one to report it
+            j = j[(at[j] != at[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+            j = j[(keys[j] == keys[i]).argmax(axis=1) == band]  # the pair's first band is the one to compare it
             if len(j):
-                same = ((fine[j] == fine[i]) & (fine[i] > 0)).sum(axis=1)
-                either = filled[j] + filled[i] - ((fine[j] > 0) & (fine[i] > 0)).sum(axis=1)
-                out += [(int(rep[i]), int(rep[x])) for x in j[may_reach(same, either, n[j], n[i], percent / 100, 4)]]
-        return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
+                same, either = ((sig[j] == sig[i]) & (sig[i] > 0)).sum(axis=1), ((sig[j] > 0) | (sig[i] > 0)).sum(axis=1)
+                j = j[may_reach(same, either, n[j], n[i], percent / 100)]
+                hit[j] = True
+                hit[i] |= len(j) > 0
+        return t.select(["key", "x", "y", "side", "id", "at"]).filter(pa.array(hit))
 
     return run
 
 
-def _hopeful(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sig_a", "sig_b"))
-            n, m = (b.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
-            yield b.select(["a", "b"]).filter(pa.array(may_reach(((x == y) & (x > 0)).sum(axis=1), ((x > 0) | (y > 0)).sum(axis=1), n, m, threshold)))
-
-    return run
+def _linked(percent: int):
+    """A forest of the links between members of different components of a block pair: fewer rows than members.
 
+    Finer registers made from the sets at hand screen the pairs; what may link is decided on the full sets.
+    """
 
-def _verified(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both) and both > 0)
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def run(t: pa.Table) -> pa.Table:
+        side, ids, sets = t.column("side").to_numpy(), t.column("id").to_numpy(), _sets_in(t)
+        at = np.unique(t.column("at").to_numpy(), return_inverse=True)[1]
+        n = np.array([len(s) for s in sets], np.int64)
+        fine = np.stack([narrowed(registers(s, FINE_BITS)) for s in sets])
+        right, a, b = np.flatnonzero(side != 1), [], []
+        for i in np.flatnonzero(side != 2):
+            j = right[(right > i) if side[i] == 3 else slice(None)]
+            j = j[(at[j] != at[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+            same, either = ((fine[j] == fine[i]) & (fine[i] > 0)).sum(axis=1), ((fine[j] > 0) | (fine[i] > 0)).sum(axis=1)
+            j = j[may_reach(same, either, n[j], n[i], percent / 100, 4)]
+            both = _common(sets[i], [sets[k] for k in j])
+            for k in j[100 * both >= percent * (n[j] + n[i] - both)]:
+                if at[k] != at[i]:
+                    a.append(ids[i])
+                    b.append(ids[k])
+                    at[at == at[k]] = at[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 1) -> DataFrame:
+def _parts(members: Column, shingles: Column) -> Column:
+    """Blocks that a group with so many members and shingles is split into."""
+    return F.greatest(F.ceil(members / BLOCK), F.ceil(shingles / BLOCK_SHINGLES))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs` (columns doc_id long, text string; others ignored).
 
     Documents link when 100 * |A and B| >= percent * |A or B| on their whole shingle sets. Copies of one set meet by
-    the set's 128-bit mark before banding, so a group of copies is one vertex however large. A bucket is first compared
-    with one centre (linear in its size), and once more with the best member of its second component. Buckets that still
-    hold several components compare all pairs of different ones by finer registers, in blocks within tasks: only pairs
-    that may reach the threshold leave a block, once, so no pair that shares a bucket is lost and near copies of one
-    text don't meet in all pairs.
+    the set's 128-bit mark before banding, so a group of copies is one vertex however large. First every vertex is
+    compared with one hub: of the best members of its buckets the one it shares most bands with. So near copies of one
+    text meet their likely source, not each other. Buckets that then still hold several components compare all pairs of
+    different ones, in blocks of bounded size within tasks: by their sketches, then, where a member may link, on full
+    sets. A task gives out a forest, fewer rows than its members; no pair leaves it, and none that shares a bucket is lost.
 
     Null or blank text: n_shingles 0, linked with nothing. Null doc_id: linked with nothing, component_id null, kept
-    true. Repeated rows count as copies and each gets a row. Ties need none: the smallest id stands for a component.
-    An empty table gives an empty table.
+    true. Repeated rows count as copies and each gets a row; texts of one repeated id are one vertex. Ties need no rule:
+    the smallest id stands for a component. An empty table gives an empty table.
     """
-    base = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sketch, "doc_id long, n_shingles long, mark binary, sig binary"), "near-base")
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    base = staged(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, mark binary, sig binary, keys array<long>"), "near-base")
     known = base.where("doc_id is not null and n_shingles > 0")
-    reps = staged(known.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "near-reps")
-    # a key's last five bits are its band
-    bands = reps.select("rep", F.explode(F.expr(f"filter(transform(sequence(0, {BANDS - 1}), i -> struct(i as band, substring(sig, i * 8 + 1, 8) as bits)), s -> s.bits != X'0000000000000000')")).alias("s")).select("rep", F.xxhash64("s.bits").bitwiseAND(F.lit(~(BANDS - 1))).bitwiseOR(F.col("s.band")).alias("key"))
+    reps = staged(known.groupBy("mark").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n")), "near-reps")
+
+    # buckets with several members; their keys by member, so that later joins need one row for each member
+    bands = reps.select("mark", "id", "n", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets = staged(bands.join(shared, "key"), "near-buckets")
-    # the centre of a bucket is the member that shares the most bands with others: of a group of near copies, the least changed
-    degree = buckets.groupBy("rep").agg(F.sum("members").alias("degree"))
-    buckets = staged(buckets.join(degree, "rep").join(reps.select("rep", F.col("n").alias("size")), "rep"), "near-degrees")
-    centre = F.max(F.struct(F.col("degree"), (-F.col("rep")).alias("minus"), F.col("size").alias("hub_size")))
-
-    def pairs_of(df: DataFrame) -> DataFrame:
-        """Pairs of rows (rep, size) and centres (best), but for those whose sizes alone rule a link out."""
-        fits = (F.col("rep") != -F.col("best.minus")) & (100 * F.least("size", "best.hub_size") >= percent * F.greatest("size", "best.hub_size"))
-        b = -F.col("best.minus")
-        return df.where(fits).select(F.least(F.col("rep"), b).alias("a"), F.greatest(F.col("rep"), b).alias("b")).distinct()
-
-    def sets_of(ids: DataFrame, run=_sets, schema: str = "id long, shingles binary") -> DataFrame:
-        texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-        return semi_join(texts, ids, "id").mapInArrow(run, schema)
-
-    def verify(pairs: DataFrame, screened: bool = False) -> DataFrame:
-        side = lambda k: reps.select(F.col("rep").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("n").alias(f"n_{k}"))
-        hopeful = pairs if screened else staged(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_hopeful(percent / 100), "a long, b long").distinct(), "near-hopeful")
-        ids = hopeful.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = sets_of(ids).dropDuplicates()
-        side = lambda k: sets.select(F.col("id").alias(k), F.col("shingles").alias(f"set_{k}"))
-        return staged(hopeful.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified(percent), "a long, b long").distinct(), "near-links")
-
-    tried = staged(pairs_of(buckets.join(buckets.groupBy("key").agg(centre.alias("best")), "key")), "near-first")
-    links = verify(tried)
-    found = staged(connected_components(links), "near-found")
-    open_ = buckets.where("members > 2").select("key", "rep", "size", "degree")
-
-    def settle(more: DataFrame, screened: bool = False) -> bool:
-        """Verifies further pairs; whether that linked anything."""
-        nonlocal tried, links, found
-        new = verify(more, screened)
-        if new.isEmpty():
-            return False
-        links = links.unionByName(new)
-        found = staged(connected_components(links), "near-found")
-        return True
-
-    def spanning(rows: DataFrame) -> DataFrame:
-        """The rows of buckets that hold several components, with each row's component."""
-        at = rows.join(found, rows.rep == found.id, "left").select("key", "rep", "size", "degree", F.coalesce("component", "rep").alias("at"))
-        wide = at.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo != hi")
-        return staged(at.join(wide.select("key", "members"), "key"), "near-open")
-
-    open_ = spanning(open_)
-    for _ in range(star_rounds):
-        # the largest components have been compared with their centre: now the best member of the others is one
-        main = open_.groupBy("key", "at").agg(F.count(F.lit(1)).alias("held"), centre.alias("best"))
-        second = Window.partitionBy("key").orderBy(F.col("held").desc(), F.col("best").desc())
-        hub = main.withColumn("place", F.row_number().over(second)).where("place = 2").select("key", F.col("at").alias("hub_at"), "best")
-        more = pairs_of(open_.join(hub, "key").where("at != hub_at"))
-        more = staged(more.join(tried, ["a", "b"], "left_anti"), "near-more")
-        tried = tried.unionByName(more)
-        if not settle(more):
-            break
-        open_ = spanning(open_.select("key", "rep", "size", "degree"))
-    fine = sets_of(open_.select(F.col("rep").alias("id")).distinct(), _fine, "rep long, fine binary").dropDuplicates(["rep"])
-    rows = open_.join(fine, "rep").join(reps.select("rep", "sig", "n"), "rep").withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    # a row of block k stands on the left of block pairs (k, y > k), on the right of (x < k, k), on both sides of (k, k)
-    pairs_in = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda y: F.struct(F.least(F.col("own"), y).alias("x"), F.greatest(F.col("own"), y).alias("y"), F.when(y == F.col("own"), 3).when(y > F.col("own"), 1).otherwise(2).alias("side")))
-    rows = rows.withColumn("t", F.explode(pairs_in)).select("key", F.col("t.x").alias("x"), F.col("t.y").alias("y"), F.col("t.side").alias("side"), "rep", "at", "n", "sig", "fine")
-    rest = rows.groupBy("key", "x", "y").applyInArrow(_blocked(percent), "a long, b long").distinct()
-    settle(staged(rest.join(tried, ["a", "b"], "left_anti"), "near-rest"), screened=True)
-
-    named = reps.select("mark", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("mark", F.coalesce("component", "rep").alias("at"))
-    out = base.join(named, "mark", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("at", "doc_id")).alias("component_id"))
+    member = bands.join(shared, "key").groupBy("mark", "id", "n").agg(F.collect_list("key").alias("open"), F.sum("members").alias("degree"))  # BANDS keys at most
+    member = staged(member, "near-members")
+
+    # the hub of a bucket is the member that shares the most bands with others: of a group of near copies, the least changed
+    rows = member.select("id", "n", "degree", F.explode("open").alias("key"))
+    hubs = rows.groupBy("key").agg(F.max(F.struct(F.col("degree"), (-F.col("id")).alias("minus"))).alias("best")).select("key", (-F.col("best.minus")).alias("hub"), F.col("best.degree").alias("d"))
+    met = rows.join(hubs, "key").where("id != hub").groupBy("id").agg(F.collect_list(F.struct("hub", "d")).alias("met"))  # BANDS hubs at most
+    votes = F.transform(F.array_distinct("met"), lambda h: F.struct(F.size(F.filter("met", lambda x: x == h)).alias("votes"), h["d"].alias("d"), (-h["hub"]).alias("minus")))
+    pairs = met.select("id", (-F.array_max(votes)["minus"]).alias("hub"))
+    known_of = lambda **names: reps.select(*[F.col(c).alias(a) for c, a in names.items()])
+    pairs = pairs.join(known_of(id="id", sig="sig", n="n"), "id").join(known_of(id="hub", sig="hub_sig", n="hub_n"), "hub")
+    pairs = pairs.where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+    hopeful = staged(pairs.mapInArrow(_hopeful(percent), "id long, hub long, n long").distinct(), "near-hopeful")
+
+    def with_sets(of: DataFrame) -> DataFrame:
+        """`of` with the shingles of its column `id`, every text of that id."""
+        sets = semi_join(texts, of.select("id").distinct(), "id").mapInArrow(_sets, "id long, shingles binary")
+        return of.join(sets, "id").where(F.length("shingles") > 0)
+
+    stars = hopeful.groupBy("hub").agg(_parts(F.count(F.lit(1)) / 16, F.sum("n")).alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts"))
+    asked = hopeful.join(stars, "hub").select("id", "hub", part.alias("part"))
+    asked = staged(asked.unionByName(stars.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))), "near-asked")
+    links = staged(with_sets(asked).groupBy("hub", "part").applyInArrow(_star(percent), "a long, b long"), "near-links")
+    found = connected_components(links)
+
+    # the rest: buckets of several components
+    placed = member.join(found, "id", "left").select("mark", "id", "n", "open", F.coalesce("component", "id").alias("at"))
+    placed = staged(placed, "near-placed")
+    wide = placed.select("id", "n", "at", F.explode("open").alias("key")).groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), _parts(F.count(F.lit(1)), F.sum("n")).alias("blocks")).where("lo != hi").select("key", "blocks")
+    rest = placed.select("mark", "id", "at", F.explode("open").alias("key")).join(wide, "key").groupBy("mark", "id", "at").agg(F.collect_list(F.struct("key", "blocks")).alias("open"))
+    rest = rest.join(reps.select("mark", "id", "n", "sig", "keys"), ["mark", "id"])
+    # a member of block k stands on the left of block pairs (k, y > k), on the right of (x < k, k), on both sides of (k, k)
+    own = F.pmod(F.xxhash64("id"), F.col("o.blocks"))
+    block_pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("o.blocks") - 1), lambda y: F.struct(F.least(own, y).alias("x"), F.greatest(own, y).alias("y"), F.when(y == own, 3).when(y > own, 1).otherwise(2).alias("side")))
+    rest = rest.withColumn("o", F.explode("open")).withColumn("t", F.explode(block_pairs)).select(F.col("o.key").alias("key"), F.col("t.x").alias("x"), F.col("t.y").alias("y"), F.col("t.side").alias("side"), "id", "at", "n", "sig", "keys")
+    able = staged(rest.groupBy("key", "x", "y").applyInArrow(_candidates(percent), "key long, x long, y long, side int, id long, at long"), "near-able")
+    more = staged(with_sets(able).groupBy("key", "x", "y").applyInArrow(_linked(percent), "a long, b long"), "near-more")
+    if not more.isEmpty():
+        found = connected_components(found.toDF("a", "b").unionByName(more))
+
+    named = reps.select("mark", "id").join(found, "id", "left").select("mark", F.coalesce("component", "id").alias("at"))
+    out = base.select("doc_id", "n_shingles", "mark").join(named, "mark", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("at", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
