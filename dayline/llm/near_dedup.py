@@ -268,7 +268,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         sets = semi_join(texts, of.select("id").distinct(), "id").mapInArrow(_sets, "id long, shingles binary")
         return of.join(sets, "id").where(F.length("shingles") > 0)
 
-    stars = hopeful.groupBy("hub").agg(_parts(F.count(F.lit(1)) / 16, F.sum("n")).alias("parts"))
+    stars = hopeful.groupBy("hub").agg(_parts(4 * F.count(F.lit(1)), F.sum("n")).alias("parts"))  # of 128 members
     part = F.pmod(F.xxhash64("id"), F.col("parts"))
     asked = hopeful.join(stars, "hub").select("id", "hub", part.alias("part"))
     asked = staged(asked.unionByName(stars.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))), "near-asked")
