@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayline.functions.columns import clip
 
 
-def chunk_pages(pages: DataFrame, n: int = 6) -> DataFrame:
-    """Chunks of up to `n` pages of (doc_id, page, text): trimmed texts that aren't empty, joined by a blank line."""
+def chunk_pages(pages: DataFrame, n: int = 6, fallback: str = "untitled") -> DataFrame:
+    """Chunks of up to `n` pages of (doc_id, page, text): trimmed texts that aren't empty, joined by a blank line.
+
+    A chunk is labelled by its first page's first line, cut at 80 characters, or by `fallback` where that has no word.
+    """
     p = pages.withColumn("chunk", F.floor(F.col("page") / n)).withColumn("text", F.trim("text")).where("text <> ''")
     c = p.groupBy("doc_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("t"))  # n pages at most
     c = c.withColumn("content", F.array_join("t.text", "\n\n"))
-    return c.select("doc_id", "chunk", F.size("t").alias("pages"), F.concat_ws("-", "doc_id", "chunk").alias("chunk_id"), "content")
+    return c.select("doc_id", "chunk", F.size("t").alias("pages"), F.concat_ws("-", "doc_id", "chunk").alias("chunk_id"), F.when(F.col("content").rlike(r"^[^\n]*\w"), F.substring(F.regexp_extract("content", r"^[^\n]*", 0), 1, 80)).otherwise(fallback).alias("label"), "content")
 
 
 def token_set(text: Column) -> Column:
@@ -23,14 +30,21 @@ def token_set(text: Column) -> Column:
 def fuzzy_match(files: DataFrame, titles: DataFrame, threshold: float = 0.30) -> DataFrame:
     """Best title of each file: shared tokens over the file's tokens, first title on ties, at least `threshold`.
 
-    Files (file_id, name) and titles (title_id, title) meet on tokens, not in a cross join.
+    A file of n tokens that shares ceil(threshold * n) of them with a title shares one of any n - ceil(threshold * n) + 1,
+    so files (file_id, name) meet titles (title_id, title) on their tokens that the fewest titles hold only; what meets is
+    scored on the whole token sets. Files with equal token sets are scored once.
     """
-    f = files.select("file_id", token_set(F.col("name")).alias("toks")).withColumn("n", F.size("toks")).where("n > 0")
-    left = f.select("file_id", "n", F.explode("toks").alias("tok"))
-    right = titles.select("title_id", F.explode(token_set(F.col("title"))).alias("tok"))
-    s = left.join(right, "tok").groupBy("file_id", "n", "title_id").agg((F.count(F.lit(1)) / F.first("n")).alias("score"))
-    best = s.where(F.col("score") >= threshold).withColumn("_at", F.row_number().over(Window.partitionBy("file_id").orderBy(F.col("score").desc(), "title_id")))
-    return best.where("_at = 1").select("file_id", "title_id", "score")
+    f = files.select("file_id", F.array_sort(token_set(F.col("name"))).alias("toks")).where(F.size("toks") > 0)
+    sets = f.select("toks").distinct().withColumn("key", F.xxhash64("toks"))
+    t = titles.select("title_id", token_set(F.col("title")).alias("held"))
+    tok = t.select("title_id", F.explode("held").alias("tok"))
+    common = tok.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    long = sets.select("key", F.size("toks").alias("n"), F.explode("toks").alias("tok")).join(common, "tok", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rare = long.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("df", "tok"))).where(F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
+    pairs = rare.where("df > 0").join(tok, "tok").select("key", "title_id").distinct()
+    s = pairs.join(sets, "key").join(t, "title_id").select("toks", "title_id", (F.size(F.array_intersect("toks", "held")) / F.size("toks")).alias("score")).where(F.col("score") >= threshold)
+    best = s.groupBy("toks").agg(F.max(F.struct(F.col("score"), (-F.col("title_id")).alias("minus"))).alias("best"))
+    return f.join(best, "toks").select("file_id", (-F.col("best.minus")).alias("title_id"), F.col("best.score").alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -47,26 +61,152 @@ def unit(v: Column) -> Column:
     return bound(norm, lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)))
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, most_queries: int = 10_000, same: str | None = None) -> DataFrame:
-    """(query_id, id, cosine, place): the k nearest rows of corpus (id, vector, ...) for each of (query_id, vector).
+def _units(rows: list[list[float]]) -> np.ndarray:
+    x = np.array(rows, np.float64)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _usable(v: Column) -> Column:
+    return v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0)
+
+
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k largest of each row of scores, smallest id among equals; -inf scores come last."""
+    k = min(k, scores.shape[1])
+    kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+    out = np.empty((len(scores), k), np.int64)
+    for i in range(len(scores)):
+        at = np.flatnonzero(scores[i] >= kth[i])
+        out[i] = at[np.lexsort((ids[at], -scores[i, at]))[:k]]
+    return out
+
+
+def _search(query_ids: np.ndarray, q: np.ndarray, category: np.ndarray | None, k: int, skip_self: bool, step: int = 1 << 21):
+    """The k best of a task's rows (id, vector[, category]) for each query, kept from batch to batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, ids = np.full((len(q), 0), -np.inf), np.empty((len(q), 0), np.int64)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, max(1, step // max(len(q), 1))):
+                b = whole.slice(lo, max(1, step // max(len(q), 1)))
+                own = b.column(0).to_numpy(zero_copy_only=False)
+                score = np.round(q @ _units(b.column(1).to_pylist()).T, 9)
+                if category is not None:
+                    score[category[:, None] != b.column(2).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
+                if skip_self:
+                    score[query_ids[:, None] == own[None, :]] = -np.inf
+                at = best_of(score, own, k)
+                top, ids = np.hstack([top, np.take_along_axis(score, at, 1)]), np.hstack([ids, own[at]])
+                if top.shape[1] > 4 * k:
+                    top, ids = _kept(top, ids, k)
+        top, ids = _kept(top, ids, k)
+        hit = np.isfinite(top)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, hit.sum(axis=1))), pa.array(ids[hit]), pa.array(top[hit])], ["query_id", "id", "cosine"])
+
+    return run
+
+
+def _kept(top: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((ids, -top), axis=1)[:, :k]
+    return np.take_along_axis(top, order, 1), np.take_along_axis(ids, order, 1)
+
+
+def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, same: str | None = None, skip_self: bool = False, block: int = 16_384) -> DataFrame:
+    """(query_id, id, cosine, place): the k nearest rows of corpus (id, vector) for each of (query_id, vector).
+
+    Exact: queries against all rows, in blocks of about `block` queries. A block is counted, travels to all tasks, and each
+    task multiplies its rows with it and sends on the k best of each query. `same` names an integer column that must be
+    equal in both; `skip_self` leaves out the row whose id is the query's. Cosines are rounded to 9 decimals, equal ones go
+    by id. Vectors that are null, empty, zero or hold null or NaN find nothing and are never found.
+    """
+    extra = [F.col(same).cast("long").alias("category")] if same else []
+    q = queries.where(_usable(F.col("vector"))).select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"), *extra)
+    c = corpus.where(_usable(F.col("vector"))).select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), *extra)
+    blocks = max(1, -(-q.count() // block))
+    found = None
+    for b in range(blocks):
+        t = (q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else q).toArrow()  # about `block` rows
+        category = t.column("category").to_numpy() if same else None
+        units = _units(t.column("vector").to_pylist()) if t.num_rows else np.empty((0, 0))
+        if t.num_rows:
+            part = c.mapInArrow(_search(t.column("query_id").to_numpy(), units, category, k, skip_self), "query_id long, id long, cosine double")
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = c.limit(0).select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("cosine"))
+    w = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "id")
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def _cells_of(centres: np.ndarray, probes: int):
+    """A row (id, vector, cell) for each of the `probes` nearest cells of a vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                near = np.argsort(-(_units(b.column(1).to_pylist()) @ centres.T), axis=1, kind="stable")[:, :probes]
+                take = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(near.ravel().astype(np.int32))], ["id", "vector", "cell"])
+
+    return run
+
+
+def _cell_search(k: int, skip_self: bool):
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        empty = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+        if not queries.num_rows or not rows.num_rows:
+            return empty
+        search = _search(queries.column("id").to_numpy(), _units(queries.column("vector").to_pylist()), None, k, skip_self)
+        return pa.Table.from_batches(search(iter(rows.select(["id", "vector"]).to_batches())))
+
+    return run
+
+
+def vector_topk_lsh(queries: DataFrame, corpus: DataFrame, k: int, recall: float = 0.95, skip_self: bool = False, cell: int = 1000, part: int = 4096, seed: int = 3) -> DataFrame:
+    """(query_id, id, cosine, place) of an approximate search: every row is indexed by the nearest of k-means centres.
 
-    `same` names a column that must be equal. Scores are kept to the k best within each task before they are
-    exchanged. Up to `most_queries` queries are sent to all tasks; more are scored block by block.
+    The centres are fitted on 64 rows for each of them, drawn by hash, one centre for `cell` rows, 4,096 at most. How
+    many cells a query probes is measured, not guessed: 256 queries drawn by hash are answered exactly, and `probes` is the
+    number of nearest cells that hold the share `recall` of their true neighbours. Queries and rows meet by cell, in parts
+    of about `part` of either, so that a hot cell is many tasks; within a part cosines are exact.
     """
-    q = queries.select("query_id", unit(F.col("vector")).alias("qv"), *([F.col(same).alias("_same")] if same else [])).where("qv is not null")
-    c = corpus.withColumn("cv", unit(F.col("vector"))).where("cv is not null")
-    few = q.count() <= most_queries
-    scored = c.join(F.broadcast(q), F.col(same) == F.col("_same")) if same and few else c.join(q, F.col(same) == F.col("_same")) if same else c.join(F.broadcast(q) if few else q)
-    scored = scored.select("query_id", *[x for x in corpus.columns if x != "vector"], F.round(dot(F.col("cv"), F.col("qv")), 9).alias("cosine"))
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = corpus.where(_usable(F.col("vector"))).select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    asked = queries.where(_usable(F.col("vector"))).select(F.col("query_id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    n, many = rows.count(), asked.count()
+    cells = max(1, min(4096, n // cell))
+    drawn = lambda df, wanted, of: df.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, wanted / max(of, 1)))))
+    if cells == 1 or not many:
+        return vector_topk(queries, corpus, k, skip_self=skip_self)
+    fit = KMeans(k=cells, seed=seed, distanceMeasure="cosine", maxIter=10).fit(drawn(rows, 64 * cells, n).select(array_to_vector("vector").alias("features")))
+    centres = _units([list(c) for c in fit.clusterCenters()])
+    trial = drawn(asked, 256, many)
+    trial = trial if not trial.isEmpty() else asked.limit(256)
+    true = vector_topk(trial.select(F.col("id").alias("query_id"), "vector"), rows, k, skip_self=skip_self).select("query_id", "id")
+    at_home = rows.mapInArrow(_cells_of(centres, 1), "id long, vector array<double>, cell int")
+    order = trial.mapInArrow(_cells_of(centres, len(centres)), "id long, vector array<double>, cell int").groupBy("id").agg(F.collect_list("cell").alias("order"))  # 256 queries
+    ranks = true.join(at_home.select("id", "cell"), "id").join(F.broadcast(order.withColumnRenamed("id", "query_id")), "query_id").select(F.array_position("order", F.col("cell")).alias("rank"))
+    probes = int(np.ceil(ranks.agg(F.coalesce(F.percentile("rank", F.lit(recall)), F.lit(1.0))).first()[0]))
+
+    probing = asked.mapInArrow(_cells_of(centres, probes), "id long, vector array<double>, cell int")
+    parts = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / part).alias(name))
+    sizes = F.broadcast(parts(probing, "qs").join(parts(at_home, "rs"), "cell"))  # a row for each cell
+    spread = lambda df, own, other: df.join(sizes, "cell").select("id", "vector", "cell", F.pmod(F.xxhash64("id"), F.col(own)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other))
+    keys = ["cell", "qs", "rs"]
+    found = spread(probing, "qs", "rs").groupBy(*keys).cogroup(spread(at_home, "rs", "qs").groupBy(*keys)).applyInArrow(_cell_search(k, skip_self), "query_id long, id long, cosine double")
     w = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "id")
-    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def nearest_category(rows: DataFrame, centres: DataFrame) -> DataFrame:
+def nearest_category(rows: DataFrame, centres: DataFrame, most: int = 4096) -> DataFrame:
     """(id, category): the category of centres (category, vector) with the largest cosine, the smallest on ties.
 
-    There are few categories: they travel as one array, and no row is multiplied.
+    Up to `most` counted categories travel as one array, and no row is multiplied; more are searched as vectors.
     """
+    if centres.count() > most:
+        top = vector_topk(rows.select(F.col("id").alias("query_id"), "vector"), centres.select(F.col("category").alias("id"), "vector"), 1)
+        return top.select(F.col("query_id").alias("id"), F.col("id").alias("category"))
     all_ = centres.agg(F.collect_list(F.struct("category", unit(F.col("vector")).alias("v"))).alias("cs"))
     score = lambda u: F.array_max(F.transform("cs", lambda c: F.struct(F.round(dot(u, c["v"]), 9).alias("cosine"), (-c["category"]).alias("minus"))))
     best = bound(unit(F.col("vector")), score)

@@ -12,17 +12,22 @@ K = 5
 r6 = lambda *cs: [F.round(c, 6).alias(c) for c in cs]
 
 
+#: Columns of the corpus that hits carry.
+_META = ["id", "category", "source"]
+
+
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").where("vec_id % 50 <> 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").alias("category"), (F.col("vec_id") % 40).alias("source"))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").alias("category"), (F.col("vec_id") % 40).alias("source"))
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("wanted"))
+    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("wanted"))
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    q = _queries(spark, d)
-    return R.vector_topk(q, _corpus(spark, d), K).join(q.select("query_id", "wanted"), "query_id").withColumn("hit", F.col("category") == F.col("wanted"))
+    """The K nearest rows of each query among all others, with what is known of both."""
+    q, c = _queries(spark, d), _corpus(spark, d)
+    return R.vector_topk(q, c, K, skip_self=True).join(c.select(*_META), "id").join(q.select("query_id", "wanted"), "query_id").withColumn("hit", F.col("category") == F.col("wanted"))
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
@@ -30,7 +35,7 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_chunk_pages(spark: SparkSession, d: str) -> DataFrame:
-    return R.chunk_pages(_pages(spark, d)).select("doc_id", F.col("chunk").cast("long").alias("chunk"), "pages", "chunk_id", F.md5(F.col("content").cast("binary")).alias("digest"))
+    return R.chunk_pages(_pages(spark, d)).select("doc_id", F.col("chunk").cast("long").alias("chunk"), "pages", "chunk_id", "label", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
 def q_assign_category(spark: SparkSession, d: str) -> DataFrame:
@@ -44,8 +49,8 @@ def q_token_sets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.split("text", "\n")[0].alias("name"))
-    titles = table(spark, d, "benchmark").select(F.col("item_id").alias("title_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("title"))
+    files = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("name"))
+    titles = table(spark, d, "benchmark").select(F.col("item_id").alias("title_id"), F.col("text").alias("title"))
     return R.fuzzy_match(files, titles).select("file_id", "title_id", *r6("score"))
 
 
@@ -53,13 +58,21 @@ def q_vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return _hits(spark, d).select("query_id", "id", *r6("cosine"), "place")
 
 
+def q_vector_topk_lsh(spark: SparkSession, d: str) -> DataFrame:
+    """How much of the exact answer the approximate search finds, over all queries."""
+    q, c = _queries(spark, d), _corpus(spark, d)
+    near = R.vector_topk_lsh(q, c, K, skip_self=True).select("query_id", "id", F.lit(1).alias("found"))
+    both = R.vector_topk(q, c, K, skip_self=True).select("query_id", "id").join(near, ["query_id", "id"], "left")
+    return both.agg(F.count(F.lit(1)).alias("wanted"), (F.count("found") / F.count(F.lit(1)) >= 0.9).alias("recall_reached"))
+
+
 def _filtered(spark, d):
     q = _queries(spark, d)
-    return R.vector_topk(q.withColumn("category", F.when(F.col("query_id") % 100 == 0, F.col("wanted")).otherwise(-1)), _corpus(spark, d), K, same="category")
+    return R.vector_topk(q.withColumn("category", F.when(F.col("query_id") % 100 == 0, F.col("wanted")).otherwise(-1)), _corpus(spark, d), K, same="category", skip_self=True)
 
 
 def q_topk_fallback(spark: SparkSession, d: str) -> DataFrame:
-    whole = R.vector_topk(_queries(spark, d), _corpus(spark, d), K)
+    whole = R.vector_topk(_queries(spark, d), _corpus(spark, d), K, skip_self=True)
     return R.with_fallback(_filtered(spark, d), whole).select("query_id", "id", *r6("cosine"), "place")
 
 
@@ -110,9 +123,12 @@ def q_distance_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _responses(spark, d):
-    k = F.col("turn") % 4
-    text = F.when(k == 0, F.concat(F.lit('{"score": 0.'), F.col("turn").cast("string"), F.lit("}"))).when(k == 1, F.concat(F.lit("I give 0."), (F.col("conv_id") % 10).cast("string"))).when(k == 2, F.lit("no number")).otherwise(F.lit('{"score": 3}'))
-    return table(spark, d, "conversations").select("conv_id", "turn", "role", text.alias("response"))
+    """Answers of three kinds made of the whole text of a turn: JSON with a score from it, the text itself, and text after a number."""
+    n = F.length("text") % 10
+    digit = F.concat(F.lit("0."), n.cast("string"))
+    k = F.col("turn") % 3
+    response = F.when(k == 0, F.concat(F.lit('{"score": '), digit, F.lit("}"))).when(k == 1, F.col("text")).otherwise(F.concat(F.lit("I give "), digit, F.lit(": "), F.col("text")))
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", response.alias("response"))
 
 
 def q_judge_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +141,7 @@ def q_judge_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def q_context_pack(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "conversations").select(F.col("conv_id").alias("pid"), F.col("turn").alias("place"), "text")
-    return R.pack_context(e, 600).select("pid", "entries", "chars", F.md5(F.col("context").cast("binary")).alias("digest"))
+    return R.pack_context(e).select("pid", "entries", "chars", F.md5(F.col("context").cast("binary")).alias("digest"))
 
 
 def q_corpus_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -137,20 +153,22 @@ QUERIES = {k[2:]: v for k, v in globals().items() if k.startswith("q_")}
 
 _U = "list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double))))"
 _TOP = f"""with e as (select vec_id, label, {_U} as u from embeddings),
-s as (select q.vec_id as query_id, q.label as wanted, c.vec_id as id, c.label as category, c.vec_id % 40 as source, round(list_dot_product(q.u, c.u), 9) as cosine from e q, e c where q.vec_id % 50 = 0 and c.vec_id % 50 <> 0),
+s as (select q.vec_id as query_id, q.label as wanted, c.vec_id as id, c.label as category, c.vec_id % 40 as source, round(list_dot_product(q.u, c.u), 9) as cosine from e q, e c where q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
 h as (select *, category = wanted as hit from (select *, row_number() over (partition by query_id order by cosine desc, id) as place from s) where place <= {K}),
 m as (select query_id, any_value(wanted) as wanted, count(*) filter (hit) / {K}::double as precision_k, count(*) filter (hit) / count(*)::double as precision_returned, coalesce(1 / min(place) filter (hit)::double, 0) as mrr from h group by query_id) """
-_RESP = """(select *, case when k >= 0 then greatest(0, least(1, k)) end as s from (select conv_id, turn, role, case turn % 4 when 0 then ('0.' || turn)::double when 1 then ('0.' || (conv_id % 10))::double when 3 then 1.0 end as k from conversations))"""
+_RESP = r"""(select conv_id, turn, role, case when g is not null then greatest(0, least(1, g)) end as s from (
+  select *, try_cast(case when turn % 3 = 1 then regexp_extract(text, '(?:^|[^0-9.])(0(?:\.[0-9]+)?|1(?:\.0+)?)(?:[^0-9.]|$)', 1) else '0.' || (length(text) % 10) end as double) as g from conversations))"""
 SQL = {
-    "chunk_pages": r"""select doc_id, chunk, count(*)::int as pages, doc_id || '-' || chunk as chunk_id, md5(string_agg(t, chr(10) || chr(10) order by i)) as digest from (
+    "chunk_pages": r"""select doc_id, chunk, count(*)::int as pages, doc_id || '-' || chunk as chunk_id, case when regexp_matches(string_agg(t, chr(10) || chr(10) order by i), '^[^\n]*[0-9A-Za-z_]') then left(arg_min(t, i), 80) else 'untitled' end as label, md5(string_agg(t, chr(10) || chr(10) order by i)) as digest from (
       select doc_id, i, i // 6 as chunk, trim(p, ' ') as t from (select doc_id, unnest(string_split(text, chr(10))) as p, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents)) where t <> '' group by doc_id, chunk""",
     "assign_category": "select doc_id, case when source < 'src5' then 'cat-' || source else 'Unknown' end as category from documents",
     "token_sets": "select item_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))), ' ') as tokens from benchmark",
-    "fuzzy_match": """with f as (select doc_id as file_id, list_distinct(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z0-9]+')) as ft from documents),
-t as (select item_id as title_id, list_distinct(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:8], ' ')), '[a-z0-9]+')) as tt from benchmark)
+    "fuzzy_match": """with f as (select doc_id as file_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as ft from documents),
+t as (select item_id as title_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as tt from benchmark)
 select file_id, title_id, round(score, 6) as score from (select *, row_number() over (partition by file_id order by score desc, title_id) as rn from (select file_id, title_id, len(list_intersect(ft, tt)) / len(ft)::double as score from f, t where len(ft) > 0) where score >= 0.3) where rn = 1""",
     "vector_topk": _TOP + "select query_id, id, round(cosine, 6) as cosine, place from h",
     "topk_fallback": _TOP + f"select query_id, id, round(cosine, 6) as cosine, place from (select *, row_number() over (partition by query_id order by cosine desc, id) as place from s where query_id % 100 <> 0 or category = wanted) where place <= {K}",
+    "vector_topk_lsh": _TOP + "select count(*) as wanted, true as recall_reached from h",
     "nearest_category": f"""with e as (select vec_id, label, {_U} as u from embeddings), l as (select label, i, avg(x) as x from (select label, unnest(u) as x, generate_subscripts(u, 1) as i from e) group by all),
 c as (select label, list(x order by i) as v from l group by label), cu as (select label, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as v from c)
 select vec_id, label as category from (select vec_id, c.label, row_number() over (partition by vec_id order by round(list_dot_product(u, v), 9) desc, c.label) as rn from e, cu c) where rn = 1""",
@@ -163,6 +181,6 @@ select vec_id, label as category from (select vec_id, c.label, row_number() over
     "distance_summary": _TOP + "select query_id, round(min(1 - cosine), 6) as best, round(avg(1 - cosine), 6) as mean from h group by query_id",
     "judge_scores": f"select conv_id, turn, round(s, 6)::double as score from {_RESP}",
     "judge_summary": f"select role, count(s) as n, round(avg(s), 6) as mean from {_RESP} group by role",
-    "context_pack": "select conv_id as pid, count(*) as entries, max(used)::bigint as chars, md5(string_agg(text, chr(10) order by turn)) as digest from (select *, sum(length(text)) over (partition by conv_id order by turn rows unbounded preceding) as used from conversations) where used <= 600 group by conv_id",
+    "context_pack": "select conv_id as pid, count(*) as entries, max(used)::bigint as chars, md5(string_agg(text, chr(10) order by turn)) as digest from (select *, sum(length(text)) over (partition by conv_id order by turn rows unbounded preceding) as used from conversations) where used <= 6000 group by conv_id",
     "corpus_profile": "select coalesce(lang, 'all') as lang, coalesce(source, 'all') as source, count(*) as n from documents group by cube (lang, source)",
 }

@@ -312,3 +312,53 @@ def test_device_days_without_a_source_have_no_coverage(spark):
     assert got[2][0]["social_rhythm_metric"] is None and got[2][0]["comm_reciprocity"] is None
     assert got[3][0]["mobility_entropy"] is None and got[3][1]["mobility_entropy"] == 0.0
     assert got[4][0]["sleep_onset_hour"] == 25.5 and got[4][0]["sleep_duration_hours"] == 6.5 and got[4][0]["mobility_entropy"] is None
+
+
+def test_vector_searches_equal_brute_force(spark):
+    """Exact in one block or in many, in one batch or in several; approximate over many cells, one of them hot, with the recall asked for."""
+    import numpy as np
+
+    from dayline.operators import retrieval
+
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(900, 12))
+    v[:300] = v[0] + rng.normal(size=(300, 12)) * 0.05
+    v[5] = v[6]
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    rows = [(i, [float(x) for x in e], i % 3) for i, e in enumerate(v)] + [(2000, None, 1), (2001, [0.0] * 12, 1), (2002, [float("nan")] * 12, 1)]
+    corpus = spark.createDataFrame(rows, "id long, vector array<double>, kind int")
+    queries = corpus.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    cos = np.round(u @ u.T, 9)
+
+    def want(i, kind=None):
+        can = [j for j in range(900) if j != i and (kind is None or j % 3 == kind)]
+        return sorted(can, key=lambda j: (-cos[i, j], j))[:5]
+
+    for block in (16_384, 7):
+        got = retrieval.vector_topk(queries, corpus, 5, skip_self=True, block=block).collect()
+        assert {(r.query_id, r.place): r.id for r in got} == {(i, p + 1): j for i in range(0, 900, 20) for p, j in enumerate(want(i))}
+    got = retrieval.vector_topk(queries, corpus, 5, same="kind", skip_self=True).collect()
+    assert {(r.query_id, r.place): r.id for r in got} == {(i, p + 1): j for i in range(0, 900, 20) for p, j in enumerate(want(i, i % 3))}
+    near = retrieval.vector_topk_lsh(queries, corpus, 5, skip_self=True, cell=60, part=50).collect()
+    found = {(r.query_id, r.id) for r in near}
+    assert len(found) == len(near) and sum((i, j) in found for i in range(0, 900, 20) for j in want(i)) >= 0.9 * 45 * 5
+    assert retrieval.vector_topk(queries.limit(0), corpus, 5).count() == 0 and retrieval.vector_topk(queries, corpus.limit(0), 5).count() == 0
+
+
+def test_fuzzy_match_equals_brute_force(spark):
+    import random
+
+    from dayline.operators import retrieval
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)] + ["the"] * 15
+    name = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(1, 9)))
+    files, titles = [(i, name()) for i in range(150)] + [(900, ""), (901, None)], [(i, name()) for i in range(60)]
+    got = {r.file_id: (r.title_id, round(r.score, 9)) for r in retrieval.fuzzy_match(spark.createDataFrame(files, "file_id long, name string"), spark.createDataFrame(titles, "title_id long, title string"), 0.5).collect()}
+    want = {}
+    for i, n in files:
+        a = set((n or "").split())
+        scores = [(-len(a & set(t.split())) / len(a), j) for j, t in titles] if a else []
+        if scores and -min(scores)[0] >= 0.5:
+            want[i] = (min(scores)[1], round(-min(scores)[0], 9))
+    assert got == want
