@@ -15,12 +15,12 @@ USABLE = 0.5
 def to_long(wide: DataFrame) -> DataFrame:
     """One row for each marker of a wide day (pid, day, markers, coverage map).
 
-    Coverage is that of the map, else 1; it is 0 where the value is missing.
+    Coverage is that of the map, else 1; it is 0 where the value is missing. Of repeated days one row counts.
     """
-    long = wide.unpivot(["pid", "day", "coverage"], registry.NAMES, "marker", "value")
+    long = wide.dropDuplicates(["pid", "day"]).unpivot(["pid", "day", "coverage"], registry.NAMES, "marker", "value")
     given = F.coalesce(F.try_element_at("coverage", F.col("marker")), F.lit(1.0))
     long = long.withColumn("coverage", F.when(F.col("value").isNull(), 0.0).otherwise(given))
-    return long.withColumn("day_num", F.datediff("day", F.lit("1970-01-01").cast("date"))).dropDuplicates(["pid", "day", "marker"])
+    return long.withColumn("day_num", F.datediff("day", F.lit("1970-01-01").cast("date")))
 
 
 def _frame(first: int, last: int):
@@ -105,17 +105,22 @@ def trajectory(zs: Column) -> Column:
     )
 
 
-def deviations(long: DataFrame, recent: int = 4, baseline: int = 28, least: str = "mild") -> DataFrame:
-    """Markers whose recent mean leaves the preceding baseline, one row for each (pid, day, marker)."""
+def _scored(long: DataFrame, recent: int, baseline: int, least: str) -> DataFrame:
+    """Every row of `long` with its recent days scored by the baseline before them, and whether they deviate (`hit`)."""
     df = baseline_stats(long, -(recent + baseline - 1), -recent)
     w = _frame(-(recent - 1), 0)
     df = df.withColumn("recent", F.collect_list(_usable()).over(w)).withColumn("coverage_class", quality(F.avg("coverage").over(w), F.count(F.lit(1)).over(w)))
-    df = df.where(F.col("mean").isNotNull() & (F.size("recent") >= max(2, recent // 2)))
     df = df.withColumn("recent_mean", C.mean(F.col("recent"))).withColumn("z", F.round((F.col("recent_mean") - F.col("mean")) / F.col("std"), 9))
-    df = df.withColumn("magnitude", magnitude(F.col("z"))).where(magnitude_rank(F.col("magnitude")) >= registry.MAGNITUDES.index(least))
+    df = df.withColumn("magnitude", magnitude(F.col("z"))).withColumn("direction", F.when(F.col("z") > 0, "up").otherwise("down"))
+    return df.withColumn("hit", F.coalesce(F.col("mean").isNotNull() & (F.size("recent") >= max(2, recent // 2)) & (magnitude_rank(F.col("magnitude")) >= registry.MAGNITUDES.index(least)), F.lit(False)))
+
+
+def deviations(long: DataFrame, recent: int = 4, baseline: int = 28, least: str = "mild") -> DataFrame:
+    """Markers whose recent mean leaves the preceding baseline, one row for each (pid, day, marker)."""
+    df = _scored(long, recent, baseline, least).where("hit")
     zs = F.transform("recent", lambda v: F.round((v - F.col("mean")) / F.col("std"), 9))
     return df.select(
-        "pid", "day", "marker", "magnitude", trajectory(zs).alias("trajectory"), F.when(F.col("z") > 0, "up").otherwise("down").alias("direction"), F.col("coverage_class").alias("coverage"),
+        "pid", "day", "marker", "magnitude", trajectory(zs).alias("trajectory"), "direction", F.col("coverage_class").alias("coverage"),
         "recent_mean", F.col("mean").alias("baseline_mean"), F.col("std").alias("baseline_std"), F.size("recent").alias("recent_days"), "z",
     )
 
@@ -131,19 +136,37 @@ def coherent_patterns(devs: DataFrame, least_circadian: int = 1) -> DataFrame:
     return found.where((F.col("pattern") != "circadian-instability") | (F.size("implicated") >= least_circadian))
 
 
+def _fires(devs: Column, pattern: str, least_circadian: int) -> Column:
+    """Whether an array of a day's deviations (marker, direction, magnitude) holds all that a pattern requires."""
+    rules = [r for r in registry.RULES if r[0] == pattern]
+
+    def among(rule: tuple, typical: bool) -> Column:
+        return F.exists(devs, lambda d: (d["marker"] == rule[1]) & (d["direction"] == rule[2]) & (F.lit(typical) | (d["magnitude"] != "within-typical")))
+
+    out = F.lit(True)
+    for r in rules:
+        if r[3]:
+            out = out & among(r, False)
+    if pattern == "circadian-instability" and least_circadian > 1:
+        out = out & (sum((among(r, True).cast("int") for r in rules), F.lit(0)) >= least_circadian)
+    return out
+
+
 def daily_pipeline(long: DataFrame, warmup: int = 10, recent: int = 4, baseline: int = 21, least: str = "mild", least_circadian: int = 1) -> DataFrame:
-    """One row for each (pid, day): risk index, deviations and patterns; days before the warm-up have none."""
-    spine = long.groupBy("pid", "day").agg(F.count_if(F.col("coverage") >= USABLE).alias("n_markers_present"))
-    devs = deviations(long, recent, baseline, least)
-    pats = coherent_patterns(devs, least_circadian)
-    order = F.broadcast(registry.marker_table(long.sparkSession).select("marker", "position"))
-    d = devs.join(order, "marker").groupBy("pid", "day").agg(F.count(F.lit(1)).alias("n_dev"), F.sum(magnitude_rank(F.col("magnitude"))).alias("weight"), F.sort_array(F.collect_list(F.struct("position", "marker"))).alias("m"))
-    p = pats.groupBy("pid", "day").agg(F.count(F.lit(1)).alias("n_pat"), F.sort_array(F.collect_list(F.struct("pattern_position", "pattern"))).alias("q"))
-    out = warmth(spine, warmup).join(d, ["pid", "day"], "left").join(p, ["pid", "day"], "left")
+    """One row for each (pid, day): risk index, deviations and patterns; days before the warm-up have none.
+
+    The scored rows are grouped by day once: a day's deviations (ten markers at most) are an array, and the patterns are
+    read off it, so that nothing is joined and the frames are computed once.
+    """
+    place = F.create_map(*[F.lit(x) for i, m in enumerate(registry.NAMES) for x in (m, i)])
+    dev = F.struct(F.coalesce(F.try_element_at(place, F.col("marker")), F.lit(-1)).alias("position"), "marker", "direction", "magnitude", magnitude_rank(F.col("magnitude")).alias("rank"))
+    known = F.col("hit") & F.col("marker").isin(registry.NAMES)
+    days = _scored(long, recent, baseline, least).groupBy("pid", "day").agg(F.count_if(F.col("coverage") >= USABLE).alias("n_markers_present"), F.sort_array(F.collect_list(F.when(known, dev))).alias("m"))
+    fired = F.filter(F.array(*[F.when(_fires(F.col("m"), p, least_circadian), F.lit(p)) for p in registry.PATTERNS]), lambda x: x.isNotNull())
+    weight = F.aggregate("m", F.lit(0), lambda a, d: a + d["rank"])
+    out = warmth(days.withColumn("q", fired), warmup)
     warm, zero = F.col("warm"), F.lit(0)
-    n = lambda c: F.when(warm, F.coalesce(c, zero)).otherwise(zero)
-    text = lambda c: F.when(warm, F.coalesce(F.array_join(c, "|"), F.lit(""))).otherwise("")
     return out.select(
-        "pid", "day", n(F.coalesce("weight", zero) + 2 * F.coalesce("n_pat", zero)).cast("double").alias("risk_index"), n(F.col("n_dev")).alias("n_dev"), n(F.col("n_pat")).alias("n_pat"), "warm",
-        "n_markers_present", text(F.col("q.pattern")).alias("pattern_names"), text(F.col("m.marker")).alias("dev_markers"), "history",
+        "pid", "day", F.when(warm, weight + 2 * F.size("q")).otherwise(zero).cast("double").alias("risk_index"), F.when(warm, F.size("m")).otherwise(zero).cast("long").alias("n_dev"), F.when(warm, F.size("q")).otherwise(zero).cast("long").alias("n_pat"), "warm",
+        "n_markers_present", F.when(warm, F.array_join("q", "|")).otherwise("").alias("pattern_names"), F.when(warm, F.array_join("m.marker", "|")).otherwise("").alias("dev_markers"), "history",
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayline.functions.columns import normal_tail
+from dayline.functions.staging import running_total, staged
 
 STEPS = 1000
 
@@ -39,18 +40,24 @@ def binary_outcomes(df: DataFrame, flags: dict[str, Column], y: str) -> DataFram
     return s.withColumn("p", t_tail(F.col("t"), F.col("df"))).drop("v1", "v0")
 
 
-def mid_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
-    """`df` with the average rank of `value`: the histogram of distinct values is ranked, not the rows."""
-    h = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(h.select(value, (before + (F.col("_c") + 1) / 2).alias(out)), value)
+def mid_ranks(df: DataFrame, value: str, out: str, times: str | None = None) -> DataFrame:
+    """`df` with the average rank of `value`: the histogram of distinct values is ranked, by ranges where it is large, not the rows.
+
+    `times` names a column that says how often a row counts.
+    """
+    h = running_total(df.groupBy(value).agg((F.sum(times) if times else F.count(F.lit(1))).alias("_c")), value, "_c", "_before")
+    return df.join(h.select(value, (F.col("_before") + (F.col("_c") + 1) / 2).alias(out)), value)
 
 
 def spearman(df: DataFrame, x: str, y: str, least: int = 10) -> DataFrame:
     """(n, r, p) of two columns over rows where neither is null; null r below `least` rows."""
-    d = mid_ranks(mid_ranks(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y), x, "_rx"), y, "_ry")
-    s = d.agg(F.count(F.lit(1)).alias("n"), F.covar_pop("_rx", "_ry").alias("c"), F.stddev_pop("_rx").alias("sx"), F.stddev_pop("_ry").alias("sy"))
-    varies = (F.col("n") >= least) & (F.col("sx") * F.col("sy") > 1e-12)
+    d = staged(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count(F.lit(1)).alias("_n")), "rank-pairs")
+    d = mid_ranks(mid_ranks(d, x, "_rx", "_n"), y, "_ry", "_n")
+    w, mean = F.col("_n"), lambda c: F.sum(F.col("_n") * (c))
+    s = d.agg(F.coalesce(F.sum(w), F.lit(0)).alias("n"), mean(F.col("_rx")).alias("mx"), mean(F.col("_ry")).alias("my"), mean(F.col("_rx") * F.col("_ry")).alias("xy"), mean(F.col("_rx") * F.col("_rx")).alias("xx"), mean(F.col("_ry") * F.col("_ry")).alias("yy"))
+    n, of = F.col("n"), lambda a, b, ab: F.col(ab) / F.col("n") - F.col(a) * F.col(b) / (F.col("n") * F.col("n"))
+    s = s.select("n", of("mx", "my", "xy").alias("c"), F.sqrt(F.greatest(of("mx", "mx", "xx"), F.lit(0.0))).alias("sx"), F.sqrt(F.greatest(of("my", "my", "yy"), F.lit(0.0))).alias("sy"))
+    varies = (n >= least) & (F.col("sx") * F.col("sy") > 1e-12)
     s = s.select("n", F.when(varies, F.col("c") / (F.col("sx") * F.col("sy"))).alias("r"))
     rest = F.greatest(1 - F.col("r") * F.col("r"), F.lit(1e-15))
     return s.withColumn("p", t_tail(F.col("r") * F.sqrt((F.col("n") - 2) / rest), F.col("n") - 2))
@@ -81,16 +88,18 @@ def sign_test(k: Column, n: Column) -> Column:
     return F.when(n > 0, F.least(F.lit(1.0), 2 * terms))
 
 
-def cluster_bootstrap(df: DataFrame, group: str, flag: str, y: str, reps: int = 1000, seed: str = "boot", least: int = 5, least_reps: int = 20) -> DataFrame:
+def cluster_bootstrap(df: DataFrame, group: str, flag: str, y: str, reps: int = 1000, seed: str = "boot", least: int = 5, least_reps: int = 20, most: int = 200_000) -> DataFrame:
     """(reps, low, high): 95 % interval of the difference of means when whole groups are drawn with replacement.
 
     Each group is four numbers; draw d of replicate r takes the group whose index is a hash of (seed, r, d), so the
-    result is the same under any partitioning. The draws are reps x groups numbers, generated in parallel.
+    result is the same under any partitioning. The draws, reps x groups numbers, are generated in parallel and meet the
+    groups where they are made: up to `most` counted groups travel to all tasks, and a task sends on sums of replicates.
     """
     g = df.where(F.col(y).isNotNull()).groupBy(group).agg(F.count_if(flag).alias("n1"), F.sum(F.when(F.col(flag), F.col(y)).otherwise(0.0)).alias("s1"), F.count_if(~F.col(flag)).alias("n0"), F.sum(F.when(F.col(flag), 0.0).otherwise(F.col(y))).alias("s0"))
-    g = g.withColumn("at", F.row_number().over(Window.orderBy(group)) - 1)
-    size = g.agg(F.count(F.lit(1)).alias("size"))
-    draws = df.sparkSession.range(reps).withColumnRenamed("id", "rep").join(F.broadcast(size)).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)))
+    g = staged(running_total(g.withColumn("one", F.lit(1).cast("long")), group, "one", "at").drop("one"), "bootstrap-groups")
+    groups = g.count()
+    g = F.broadcast(g) if groups <= most else g
+    draws = df.sparkSession.range(reps).withColumnRenamed("id", "rep").withColumn("size", F.lit(groups)).where("size > 0").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size").cast("long") - 1)))
     key = F.md5(F.concat_ws("|", F.lit(seed), "rep", "draw").cast("binary"))
     draws = draws.select("rep", (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % F.col("size")).alias("at"))
     s = draws.join(g, "at").groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("n1", "s1", "n0", "s0")]).where((F.col("n1") >= least) & (F.col("n0") >= least))
@@ -106,7 +115,7 @@ def mixed_model(df: DataFrame, group: str, x: str, y: str, grid: int = 241, roun
     crosses the group sums with a small grid of ratios and narrows it round the best.
     """
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(group).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    sums = d.groupBy("g").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("y") * F.col("y")).alias("yy"))
+    sums = staged(d.groupBy("g").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("y") * F.col("y")).alias("yy")), "group-sums")
     ratios = [0.0] + [10 ** (-4 + 6 * i / (grid - 2)) for i in range(grid - 1)]
     for r in range(rounds):
         fits = _profile(sums, ratios)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dayline.functions import registry
+from dayline.functions.staging import staged
 from dayline.operators import baseline as B
 from dayline.operators import outcomes as O
 from dayline.operators import stats as S
@@ -86,7 +87,7 @@ FLAGS = [p.replace("-", "_") for p in registry.PATTERNS] + ["any_pattern", "any_
 
 def _joined(spark: SparkSession, d: str) -> DataFrame:
     daily = B.daily_pipeline(marker_long(spark, d), WARM, R, N).where("warm")
-    return with_flags(daily).join(_stress(spark, d), ["pid", "day"], "left")
+    return staged(with_flags(daily).join(_stress(spark, d), ["pid", "day"], "left"), "labelled-days")
 
 
 def q_pattern_flags(spark: SparkSession, d: str) -> DataFrame:
@@ -139,11 +140,11 @@ def q_exemplar(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return S.cluster_bootstrap(_joined(spark, d), "pid", "any_pattern", "stress", 200).select("reps", *r6("low", "high"))
+    return S.cluster_bootstrap(_joined(spark, d), "pid", "any_pattern", "stress").select("reps", *r6("low", "high"))
 
 
 def q_within_person(spark: SparkSession, d: str) -> DataFrame:
-    return S.within_person(_joined(spark, d), "pid", "any_deviation", "stress", 1).select("n", "n_positive", *r6("median_diff", "mean_diff", "percent_positive", "p"))
+    return S.within_person(_joined(spark, d), "pid", "any_deviation", "stress").select("n", "n_positive", *r6("median_diff", "mean_diff", "percent_positive", "p"))
 
 
 def q_ablation(spark: SparkSession, d: str) -> DataFrame:
@@ -162,8 +163,8 @@ def q_marker_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_mixed_model(spark: SparkSession, d: str) -> DataFrame:
-    m = S.mixed_model(_joined(spark, d).withColumn("x", F.col("any_deviation").cast("int")), "pid", "x", "stress", rounds=1)
-    return m.select("groups", F.col("rows").cast("long").alias("rows"), *r6("estimate", "se", "residual", "icc", "loglik", "lrt"), *[F.round(c, 5).alias(c) for c in ("p", "lrt_p")])
+    m = S.mixed_model(_joined(spark, d).withColumn("x", F.col("any_deviation").cast("int")), "pid", "x", "stress")
+    return m.select("groups", F.col("rows").cast("long").alias("rows"), *r6("estimate", "se", "loglik", "lrt"), *[F.round(c, 5).alias(c) for c in ("p", "lrt_p")], *[F.round(c, 4).alias(c) for c in ("residual", "icc")])
 
 
 def q_construct_outcomes(spark: SparkSession, d: str) -> DataFrame:
@@ -218,6 +219,15 @@ _EXTRA = {
     "least": "select l.pid, l.day, pattern, min(coverage) as least from long l join rules r on r.marker = l.marker and r.required group by all",
     "conf": "select j.*, w.any_least, list_sort(list_filter(w.covered, lambda x: list_contains(string_split(j.pattern_names, '|'), x))) as hit from joined j join (select pid, day, min(least) as any_least, list(pattern) filter (least >= 0.45) as covered from least group by all) w on j.pid = w.pid and j.day = w.day",
 }
+_EXTRA["sums"] = "select pid, count(*)::double as n, sum(x) as x, sum(stress) as y, sum(x * x) as xx, sum(x * stress) as xy, sum(stress * stress) as yy from (select *, any_deviation::int::double as x from joined where stress is not null) group by pid"
+_EXTRA["grid1"] = "select 0 as i, 0.0::double as ratio union all select i + 1, pow(10.0, -4 + 6 * i / 239.0::double) from (select unnest(range(240)) as i)"
+for _k in (1, 2, 3):
+    _EXTRA[f"fit{_k}"] = f"""select *, -0.5 * (rows * (ln(2 * pi() * rss / rows) + 1) + ld) as ll, -0.5 * (rows * (ln(2 * pi() * (c - b1 * b1 / a11) / rows) + 1) + ld) as ll0, rss / rows as residual, sqrt(rss / rows * a11 / det) as se from (
+      select *, c - b1 * (a22 * b1 - a12 * b2) / det - b2 * estimate as rss from (select *, (a11 * b2 - a12 * b1) / det as estimate from (select *, a11 * a22 - a12 * a12 as det from (
+        select i, ratio, count(*) as groups, sum(n) as rows, sum(n - w * n * n) as a11, sum(x - w * n * x) as a12, sum(xx - w * x * x) as a22, sum(y - w * n * y) as b1, sum(xy - w * x * y) as b2, sum(yy - w * y * y) as c, sum(ln(1 + n * ratio)) as ld
+        from (select g.*, s.*, ratio / (1 + n * ratio) as w from sums s, grid{_k} g) group by i, ratio)) where det > 1e-12))"""
+    _EXTRA[f"grid{_k + 1}"] = f"""select unnest(range(241)) as i, lo + (hi - lo) * unnest(range(241)) / 240.0 as ratio from (
+      select (select ratio from grid{_k} where i = greatest(b - 1, 0)) as lo, (select ratio from grid{_k} where i = least(b + 1, 240)) as hi from (select arg_max(i, ll) as b from fit{_k}))"""
 _FLAGS_LONG = " union all ".join(f"select '{c}' as label, pid, {c} as flag, stress as y from joined" for c in FLAGS)
 
 
@@ -269,26 +279,20 @@ SQL = {
     "exemplar": _Q(f"select pid, n, round(r, 6) as r from ({_BY_PERSON}) order by round(r, 6) desc, pid limit 1"),
     "cluster_bootstrap": _Q("""
 select count(*) as reps, round(quantile_cont(diff, 0.025), 6) as low, round(quantile_cont(diff, 0.975), 6) as high from (select sum(s1) / sum(n1) - sum(s0) / sum(n0) as diff from (
-  select rep, ('0x' || left(md5('boot|' || rep || '|' || draw), 8))::bigint % p as i from (select unnest(range(200)) as rep), (select count(distinct pid) as p from joined where stress is not null), lateral (select unnest(range(p)) as draw)) d
+  select rep, ('0x' || left(md5('boot|' || rep || '|' || draw), 8))::bigint % p as i from (select unnest(range(1000)) as rep), (select count(distinct pid) as p from joined where stress is not null), lateral (select unnest(range(p)) as draw)) d
   join (select row_number() over (order by pid) - 1 as i, count(*) filter (any_pattern) as n1, coalesce(sum(stress) filter (any_pattern), 0) as s1, count(*) filter (not any_pattern) as n0, coalesce(sum(stress) filter (not any_pattern), 0) as s0 from joined where stress is not null group by pid) g on g.i = d.i
   group by rep having sum(n1) >= 5 and sum(n0) >= 5)"""),
     "within_person": _Q("""
 select n, k as n_positive, round(med, 6) as median_diff, round(mean, 6) as mean_diff, round(100.0 * k / n, 6)::double as percent_positive,
   round(least(1.0, 2 * list_sum(list_transform(range(greatest(k, n - k), n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0))))), 6) as p
 from (select count(*) as n, count(*) filter (diff > 0) as k, median(diff) as med, avg(diff) as mean from (
-  select avg(stress) filter (any_deviation) - avg(stress) filter (not any_deviation) as diff from joined where stress is not null group by pid having count(*) filter (any_deviation) >= 1 and count(*) filter (not any_deviation) >= 1))"""),
+  select avg(stress) filter (any_deviation) - avg(stress) filter (not any_deviation) as diff from joined where stress is not null group by pid having count(*) filter (any_deviation) >= 2 and count(*) filter (not any_deviation) >= 2))"""),
     "ablation": _sql(["daily", "rules"], "select label, n, round(effect, 6) as effect, round(p, 6) as p from (select label, n_yes as n, diff as effect, p from (" + _tests_sql("select 'any_deviation' as label, any_deviation as flag, stress as y from conf union all select 'any_pattern', any_pattern, stress from conf union all select 'any_confident', coalesce(len(hit), 0) > 0, stress from conf") + ") " + "".join(f" union all select '{x}', n, r, p from ({_spearman_sql('conf', x, 'stress')})" for x in ("n_dev", "n_pat", "risk_index")) + ")", [*_J, "least", "conf"]),
     "marker_coverage": with_(["long"], "select marker, round(avg(coverage), 6) as mean_coverage, round(100 * avg((coverage > 0)::int), 6) as any_pct, round(100 * avg((coverage >= 0.45)::int), 6) as medium_pct, round(100 * avg((coverage >= 0.75)::int), 6) as high_pct from long group by marker"),
-    "mixed_model": _Q(f"""
-select groups, rows::bigint as rows, round(estimate, 6) as estimate, round(se, 6) as se, round(residual, 6) as residual, round(ratio / (1 + ratio), 6) as icc, round(ll, 6) as loglik, round(lrt, 6) as lrt,
+    "mixed_model": _sql(["daily"], f"""
+select groups, rows::bigint as rows, round(estimate, 6) as estimate, round(se, 6) as se, round(residual, 4) as residual, round(ratio / (1 + ratio), 4) as icc, round(ll, 6) as loglik, round(lrt, 6) as lrt,
   round({_N2('abs(estimate / se)')}, 5) as p, round({_N2('sqrt(lrt)')}, 5) as lrt_p
-from (select *, greatest(2 * (ll - max(ll0) over ()), 0) as lrt from (
-  select *, -0.5 * (rows * (ln(2 * pi() * rss / rows) + 1) + ld) as ll, -0.5 * (rows * (ln(2 * pi() * (c - b1 * b1 / a11) / rows) + 1) + ld) as ll0, rss / rows as residual, sqrt(rss / rows * a11 / det) as se from (
-    select *, c - b1 * (a22 * b1 - a12 * b2) / det - b2 * estimate as rss from (select *, (a11 * b2 - a12 * b1) / det as estimate from (select *, a11 * a22 - a12 * a12 as det from (
-      select ratio, count(*) as groups, sum(n) as rows, sum(n - w * n * n) as a11, sum(x - w * n * x) as a12, sum(xx - w * x * x) as a22, sum(y - w * n * y) as b1, sum(xy - w * x * y) as b2, sum(yy - w * y * y) as c, sum(ln(1 + n * ratio)) as ld
-      from (select *, ratio / (1 + n * ratio) as w from (select pid, count(*)::double as n, sum(x) as x, sum(stress) as y, sum(x * x) as xx, sum(x * stress) as xy, sum(stress * stress) as yy from (select *, any_deviation::int::double as x from joined where stress is not null) group by pid),
-            (select 0.0::double as ratio union all select pow(10.0, -4 + 6 * i / 239.0::double) from (select unnest(range(240)) as i)))
-      group by ratio)) where det > 1e-12))) order by ll desc limit 1)"""),
+from (select *, greatest(2 * (ll - (select max(ll0) from fit1)), 0) as lrt from fit3 order by ll desc limit 1)""", [*_J, "sums", "grid1", "fit1", "grid2", "fit2", "grid3", "fit3"]),
     "construct_outcomes": _sql(["daily", "history"], "select state, outcome, count(*) filter (flag) as n_yes, count(*) filter (not flag) as n_no, round(avg(y) filter (flag) - avg(y) filter (not flag), 6) as diff from (" + " union all ".join(f"select '{s}' as state, '{c}' as outcome, f.{s} as flag, a.{c} as y from flagged f join aligned a on a.pid = f.pid and a.day = f.day" for s in FLAGS for c in ALIGNED) + ") where y is not null group by all", ["stress", "pam", "slept", "outcomes", "aligned", "flagged"]),
     "risk_above_median": _Q("select label, n_yes, n_no, round(diff, 6) as diff, round(p, 6) as p from (" + _tests_sql("select 'above' as label, risk_index > (select median(risk_index) from joined where stress is not null) as flag, stress as y from joined") + ")"),
     "risk_histogram": _Q("select *, round(n / sum(n) over (partition by band), 6)::double as density from (select case when stress >= 2 then 'high' when stress <= 1 then 'low' else 'mid' end as band, floor(risk_index)::bigint as bin, count(*) as n from joined where stress is not null group by all)"),

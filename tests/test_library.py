@@ -362,3 +362,15 @@ def test_fuzzy_match_equals_brute_force(spark):
         if scores and -min(scores)[0] >= 0.5:
             want[i] = (min(scores)[1], round(-min(scores)[0], 9))
     assert got == want
+
+
+def test_running_total_by_ranges(spark):
+    from dayline.functions.staging import running_total
+
+    df = spark.createDataFrame([(float(i * 7 % 101), i % 5) for i in range(101)], "v double, c long").repartition(6)
+    want, total = {}, 0
+    for v, c in sorted((float(i * 7 % 101), i % 5) for i in range(101)):
+        want[v] = total
+        total += c
+    for most in (1000, 10):
+        assert {r.v: r.before for r in running_total(df, "v", "c", "before", most).collect()} == want
