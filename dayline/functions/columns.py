@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zoneinfo
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,10 +41,32 @@ def clock(hour: Column) -> Column:
 
 def minutes_of(text: Column) -> Column:
     """Minutes since midnight of an HH:MM text; null if it isn't one."""
-    ok = text.rlike(r"^\d{1,2}:\d{2}$")
+    ok = text.rlike(r"^\d{2}:\d{2}$")
     return F.when(ok, F.split(text, ":")[0].cast("int") * 60 + F.split(text, ":")[1].cast("int"))
 
 
+def valid_zone(zone: Column) -> Column:
+    """The zone's name if it is one, else UTC."""
+    return F.when(zone.isin(sorted(zoneinfo.available_timezones())), zone).otherwise("UTC")
+
+
+def iso_local(text: Column, zone: Column) -> Column:
+    """The wall time in `zone` of an ISO text: one with Z or an offset is moved there, one without is taken to be there.
+
+    Null for a text that is no time; an unknown zone counts as UTC.
+    """
+    zone, utc = valid_zone(zone), F.lit("UTC")
+    text = F.regexp_replace(F.trim(text), "[zZ]$", "+00:00")
+    instant = F.convert_timezone(F.current_timezone(), utc, text.try_cast("timestamp").cast("timestamp_ntz"))
+    return F.when(text.rlike(r"[+-]\d{2}:?\d{2}$") & text.rlike(r"\d:\d"), F.convert_timezone(utc, zone, instant)).otherwise(text.try_cast("timestamp_ntz"))
+
+
+def json_object(text: Column) -> Column:
+    """The outer JSON object of a text that may stand in a code fence or between words; null without one."""
+    found = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    return F.when(found != "", found)
+
+
 def shortened(text: Column, most: int) -> Column:
     """Text of at most `most` characters, three dots at the end of a cut one."""
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, most - 3)), F.lit("...")))

@@ -38,11 +38,12 @@ def motion_candidates(steps: Column, accel: Column, climb: Column, speed: Column
     return F.when(F.size(found) > 0, found).otherwise(F.array(spare))
 
 
-def grid_key(lat: Column, lon: Column, meters: float = 100.0) -> Column:
-    """Cell of about `meters` on a side, as text; null for an unusable position."""
+def grid_key(lat: Column, lon: Column, meters: float = 100.0, accuracy: Column | None = None, worst: float = 50.0) -> Column:
+    """Cell of about `meters` on a side, as text; null for an unusable position, or one whose accuracy is worse than `worst` meters."""
     scale = METERS_PER_DEGREE * F.greatest(F.cos(F.radians(lat)), F.lit(0.1))
     key = F.concat_ws(":", F.floor(lat * METERS_PER_DEGREE / meters).cast("string"), F.floor(lon * scale / meters).cast("string"))
-    return F.when(lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon), key)
+    near = F.lit(True) if accuracy is None else F.coalesce(accuracy <= worst, F.lit(False))
+    return F.when(lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon) & near, key)
 
 
 def set_fingerprint(names: Column) -> Column:
@@ -64,22 +65,27 @@ def reuse_context(rows: DataFrame, minutes: int = 60) -> DataFrame:
 def refine_segments(windows: DataFrame) -> DataFrame:
     """Neighbouring windows (device, day, start, end, motion, place) folded where the motion is equal and one place contains the other.
 
-    The longer place stays. A day of one device is the unit of the fold, so its list is bounded.
+    The longer place stays. Windows with the motion and place of the one before are one first, and only runs of one motion
+    are folded, each in time in proportion to its length but for its places that don't fit: a list is a part of a device's day.
     """
-    logs = windows.groupBy("device", "day").agg(F.sort_array(F.collect_list(F.struct("start", "end", "motion", "place"))).alias("logs"))
+    w = Window.partitionBy("device", "day").orderBy("start", "end", "motion", "place")
+    rows = windows.withColumn("_m", (~F.lag("motion").over(w).eqNullSafe(F.col("motion"))).cast("int")).withColumn("_p", F.greatest("_m", (~F.lag("place").over(w).eqNullSafe(F.col("place"))).cast("int")))
+    rows = rows.withColumn("_run", F.sum("_m").over(w)).withColumn("_at", F.sum("_p").over(w))
+    same = rows.groupBy("device", "day", "_run", "_at").agg(F.min("start").alias("start"), F.max_by("end", F.struct("start", "end")).alias("end"), F.first("motion").alias("motion"), F.first("place").alias("place"))
+    logs = same.groupBy("device", "day", "_run").agg(F.sort_array(F.collect_list(F.struct("_at", "start", "end", "motion", "place"))).alias("logs"))
 
     def step(done: Column, log: Column) -> Column:
         last = F.element_at(done, -1)
         a, b = F.lower(last["place"]), F.lower(log["place"])
-        same = (F.size(done) > 0) & (last["motion"] == log["motion"]) & (F.contains(a, b) | F.contains(b, a))
+        fits = F.contains(a, b) | F.contains(b, a)
         place = F.when(F.length(log["place"]) >= F.length(last["place"]), log["place"]).otherwise(last["place"])
-        merged = F.struct(last["start"].alias("start"), log["end"].alias("end"), last["motion"].alias("motion"), place.alias("place"))
-        return F.when(F.coalesce(same, F.lit(False)), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(merged))).otherwise(F.concat(done, F.array(log)))
+        merged = F.struct(last["_at"].alias("_at"), last["start"].alias("start"), log["end"].alias("end"), last["motion"].alias("motion"), place.alias("place"))
+        return F.when(F.coalesce(fits, F.lit(False)), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(merged))).otherwise(F.concat(done, F.array(log)))
 
     kind = logs.schema["logs"].dataType
     first = F.slice("logs", 1, 1).cast(kind)
     folded = F.aggregate(F.slice("logs", 2, F.greatest(F.size("logs") - 1, F.lit(1))), first, step)
-    return logs.select("device", "day", F.explode(folded).alias("s")).select("device", "day", "s.*")
+    return logs.select("device", "day", F.explode(folded).alias("s")).select("device", "day", "s.start", "s.end", "s.motion", "s.place")
 
 
 def unchanged(periods: DataFrame) -> DataFrame:
@@ -120,6 +126,28 @@ def onset_regularity(nights: DataFrame) -> DataFrame:
     return s.select("device", "nights", F.when(F.col("nights") >= 2, clip(100 * (1 - F.col("sigma") / 4), 0.0, 100.0)).alias("regularity"))
 
 
+def comm_counts(messages: DataFrame, sources: tuple[str, ...] = ("sms", "call")) -> DataFrame:
+    """(device, day, incoming, outgoing, coverage) of messages (device, ts, source, out): coverage is the share of `sources` that were seen."""
+    seen = F.count_distinct(F.when(F.col("source").isin(*sources), F.col("source"))) / len(sources)
+    return messages.groupBy("device", F.to_date("ts").alias("day")).agg(F.count_if(~F.col("out")).alias("incoming"), F.count_if("out").alias("outgoing"), seen.alias("coverage"))
+
+
+def screen_days(rows: DataFrame, cap_minutes: int = 60, late_from: int = 23, late_to: int = 4, full_hours: float = 16.0) -> DataFrame:
+    """(device, day, total_screen_min, late_night_screen_min, coverage) of foreground switches (device, ts, seq, package).
+
+    A switch lasts until the next one, `cap_minutes` at most, and is cut at midnight; late are its minutes before `late_to` and
+    from `late_from`. Coverage is the span from the day's first to its last evidence over `full_hours`, 1 at most.
+    """
+    w = Window.partitionBy("device").orderBy("ts", "seq")
+    end = F.least(F.coalesce(F.lead("ts").over(w), F.col("ts")), F.col("ts") + F.expr(f"INTERVAL {cap_minutes} MINUTES"))
+    r = rows.withColumn("_e", end).withColumn("day", F.explode(F.sequence(F.to_date("ts"), F.to_date("_e"))))
+    at = lambda hours: F.col("day").cast("timestamp_ntz") + F.expr(f"INTERVAL {hours} HOURS")
+    part = lambda lo, hi: F.greatest(seconds_between(F.greatest("ts", at(lo)), F.least("_e", at(hi))), F.lit(0))
+    r = r.select("device", "day", part(0, 24).alias("_all"), (part(0, late_to) + part(late_from, 24)).alias("_late"), F.greatest("ts", at(0)).alias("_s"), F.least("_e", at(24)).alias("_e"))
+    d = r.groupBy("device", "day").agg((F.sum("_all") / 60).alias("total_screen_min"), (F.sum("_late") / 60).alias("late_night_screen_min"), seconds_between(F.min("_s"), F.max("_e")).alias("_span"))
+    return d.select("device", "day", "total_screen_min", "late_night_screen_min", F.least(F.col("_span") / (full_hours * 3600), F.lit(1.0)).alias("coverage"))
+
+
 def app_dwell(rows: DataFrame, cap_minutes: int = 60) -> DataFrame:
     """Seconds in front of each (device, day, package) until the next switch, and the switches."""
     w = Window.partitionBy("device").orderBy("ts", "seq")
@@ -161,29 +189,36 @@ def recent_motion(rows: DataFrame, n: int = 10) -> DataFrame:
     return r.groupBy("device").agg(F.array_join(F.sort_array(F.collect_list(F.struct((-F.col("_n")).alias("o"), "motion")))["motion"], ",").alias("motions"))
 
 
-def marker_days(contexts: DataFrame, nights: DataFrame, comm: DataFrame, full_hours: float = 12.0) -> DataFrame:
+def marker_days(contexts: DataFrame, nights: DataFrame, comm: DataFrame, screen: DataFrame | None = None, full_hours: float = 12.0) -> DataFrame:
     """(device, day, markers, coverage): a device's days assembled from its logs, each marker with its coverage.
 
     `contexts` (device, day, place, secs, active_hour) give entropy, the share of the three longest places and the
     nearness of the first active hour to the device's upper median; `nights` (device, day, start, hours) give onset and
-    duration; `comm` (device, day, incoming, outgoing) gives reciprocity. Days of any table count; a marker without
+    duration, and the regularity of the device's onsets; `comm` (device, day, incoming, outgoing) gives reciprocity and
+    `screen` (screen_days) the screen minutes. Days of any table count; a marker without
     its source is null with coverage 0.
     """
     stay = contexts.groupBy("device", "day", "place").agg(F.sum(F.greatest("secs", F.lit(0))).cast("double").alias("s"), F.min("active_hour").alias("hour"))
     part = F.when(F.col("s") > 0, F.col("s") * F.ln("s")).otherwise(0.0)
     longest = F.slice(F.sort_array(F.collect_list("s"), asc=False), 1, 3)
     day = stay.groupBy("device", "day").agg(F.sum("s").alias("total"), F.sum(part).alias("sls"), F.aggregate(longest, F.lit(0.0), lambda a, x: a + x).alias("top"), F.min("hour").alias("hour"))
-    hours = day.groupBy("device").agg(F.array_sort(F.collect_list("hour")).alias("hs"))
-    day = day.join(hours.select("device", F.get("hs", F.floor(F.size("hs") / 2).cast("int")).alias("usual")), "device")
+    # the upper median by rank within the device: a window spills, a list of all days would not
+    ranked = day.where("hour is not null").select("device", "hour", F.row_number().over(Window.partitionBy("device").orderBy("hour")).alias("_r"), F.count(F.lit(1)).over(Window.partitionBy("device")).alias("_c"))
+    day = day.join(ranked.where("_r = floor(_c / 2) + 1").select("device", F.col("hour").alias("usual")), "device", "left")
     some = F.col("total") > 0
     seen = F.when(some, F.least(F.col("total") / (full_hours * 3600), F.lit(1.0))).otherwise(0.0)
     day = day.select("device", "day", seen.alias("seen"), F.when(some, F.ln("total") - F.col("sls") / F.col("total")).alias("mobility_entropy"), F.when(some, F.col("top") / F.col("total")).alias("location_revisit_ratio"), clip(1 - F.abs(F.col("hour") - F.col("usual")) / 3, 0.0, 1.0).alias("social_rhythm_metric"))
     onset = F.hour("start") + F.minute("start") / 60
     night = nights.select("device", "day", F.when(onset < 12, onset + 24).otherwise(onset).alias("sleep_onset_hour"), F.col("hours").alias("sleep_duration_hours"))
+    night = night.join(onset_regularity(nights).select("device", F.col("regularity").alias("sleep_regularity_index")), "device", "left")
     both = F.col("incoming") + F.col("outgoing")
     talk = comm.select("device", "day", F.when(both > 0, F.col("outgoing") / both).alias("comm_reciprocity"))
     d = day.join(night, ["device", "day"], "full").join(talk, ["device", "day"], "full")
-    cover = {"mobility_entropy": F.coalesce("seen", F.lit(0.0)), "location_revisit_ratio": F.coalesce("seen", F.lit(0.0)), "social_rhythm_metric": F.coalesce("seen", F.lit(0.0))}
-    names = [*cover, "sleep_onset_hour", "sleep_duration_hours", "comm_reciprocity"]
+    if screen is None:
+        d = d.select("*", *[F.lit(None).cast("double").alias(c) for c in ("total_screen_min", "late_night_screen_min", "screened")])
+    else:
+        d = d.join(screen.select("device", "day", "total_screen_min", "late_night_screen_min", F.col("coverage").alias("screened")), ["device", "day"], "full")
+    cover = {"mobility_entropy": F.coalesce("seen", F.lit(0.0)), "location_revisit_ratio": F.coalesce("seen", F.lit(0.0)), "social_rhythm_metric": F.coalesce("seen", F.lit(0.0)), **{m: F.coalesce("screened", F.lit(0.0)) for m in ("total_screen_min", "late_night_screen_min")}}
+    names = [*cover, "sleep_onset_hour", "sleep_duration_hours", "sleep_regularity_index", "comm_reciprocity"]
     pairs = lambda f: F.create_map(*[x for m in names for x in (F.lit(m), f(m))])
     return d.select("device", "day", pairs(F.col).alias("markers"), pairs(lambda m: F.when(F.col(m).isNotNull(), cover.get(m, F.lit(1.0))).otherwise(0.0)).alias("coverage"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayline.functions.columns import clip
+from dayline.functions.columns import clip, json_object
 
 
 def chunk_pages(pages: DataFrame, n: int = 6, fallback: str = "untitled") -> DataFrame:
@@ -232,7 +232,7 @@ def retrieval_shape(hits: DataFrame) -> DataFrame:
 
 def judge_score(response: Column) -> Column:
     """The `score` of a JSON answer, else its first number from 0 to 1; kept within [0, 1], null without one."""
-    given = F.get_json_object(F.regexp_extract(response, r"(?s)\{.*\}", 0), "$.score").try_cast("double")
+    given = F.get_json_object(json_object(response), "$.score").try_cast("double")
     found = F.regexp_extract(response, r"(?<![\d.])(0(?:\.\d+)?|1(?:\.0+)?)(?![\d.])", 1)
     return clip(F.coalesce(given, found.try_cast("double")), 0.0, 1.0)
 

@@ -91,8 +91,12 @@ def q_app_dwell(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_comm_counts(spark: SparkSession, d: str) -> DataFrame:
-    s = _samples(spark, d).where("kind in ('click', 'purchase')")
-    return s.groupBy("device", "day").agg(F.count_if(F.col("k") % 2 == 0).alias("incoming"), F.count_if(F.col("k") % 2 == 1).alias("outgoing"))
+    s = _samples(spark, d).where("kind in ('click', 'purchase')").withColumn("source", F.when(F.col("kind") == "click", "sms").otherwise("call"))
+    return D.comm_counts(s.withColumn("out", F.col("k") % 2 == 1))
+
+
+def q_screen_days(spark: SparkSession, d: str) -> DataFrame:
+    return D.screen_days(_samples(spark, d)).select("device", "day", *r6("total_screen_min", "late_night_screen_min"), F.round(F.col("coverage") + 1e-10, 6).alias("coverage"))
 
 
 def q_first_active_rhythm(spark: SparkSession, d: str) -> DataFrame:
@@ -126,8 +130,8 @@ def q_device_marker_days(spark: SparkSession, d: str) -> DataFrame:
     s = _samples(spark, d)
     hour = F.when((F.hour("ts") >= 4) & (F.col("k") >= 30), F.hour("ts") + F.minute("ts") / 60)
     contexts = s.select("device", "day", (F.col("k") % 7).alias("place"), (F.col("k") * 60).alias("secs"), hour.alias("active_hour"))
-    m = D.marker_days(contexts, D.night_episode(_pairs(spark, d)), q_comm_counts(spark, d))
-    return m.select("device", "day", F.explode("markers").alias("marker", "value"), "coverage").select("device", "day", "marker", F.round("value", 6).alias("value"), F.round(F.col("coverage")[F.col("marker")], 6).alias("coverage"))
+    m = D.marker_days(contexts, D.night_episode(_pairs(spark, d)), q_comm_counts(spark, d), D.screen_days(s))
+    return m.select("device", "day", F.explode("markers").alias("marker", "value"), "coverage").select("device", "day", "marker", F.round("value", 6).alias("value"), F.round(F.col("coverage")[F.col("marker")] + 1e-10, 6).alias("coverage"))
 
 
 QUERIES = {k[2:]: v for k, v in globals().items() if k.startswith("q_")}
@@ -152,7 +156,12 @@ SQL = {
     "night_episode": _X(_NIGHT, 'select device, day, start, e as "end", round(hours, 6) as hours from night'),
     "onset_regularity": _X(_NIGHT, "select device, count(*) as nights, case when count(*) >= 2 then round(greatest(0, least(100, 100 * (1 - stddev_pop(hour(start) + minute(start) / 60.0::double) / 4))), 6) end as regularity from night group by device"),
     "app_dwell": _E("select device, day, kind as package, sum(secs)::bigint as secs, sum(sw)::bigint as switches from (select pid as device, day, kind, date_sub('second', ts, least(coalesce(lead(ts) over w, ts), ts + interval 60 minutes)) as secs, (lag(kind) over w is distinct from kind)::int as sw from ev window w as (partition by pid order by ts, event_id)) group by all"),
-    "comm_counts": _E("select pid as device, day, count(*) filter (k % 2 = 0) as incoming, count(*) filter (k % 2 = 1) as outgoing from ev where kind in ('click', 'purchase') group by all"),
+    "comm_counts": _E("select pid as device, day, count(*) filter (k % 2 = 0) as incoming, count(*) filter (k % 2 = 1) as outgoing, count(distinct kind) / 2.0::double as coverage from ev where kind in ('click', 'purchase') group by all"),
+    "screen_days": _E("""select device, day, round(sum(t) / 60.0::double, 6) as total_screen_min, round(sum(greatest(date_sub('second', s, least(e, day + interval 4 hours)), 0) + greatest(date_sub('second', greatest(s, day + interval 23 hours), e), 0)) / 60.0::double, 6) as late_night_screen_min, round(least(date_sub('second', min(s), max(e)) / 57600.0::double, 1) + 1e-10, 6)::double as coverage
+      from (select *, date_sub('second', s, e) as t from (select device, day, greatest(ts, day::timestamp) as s, least(e, day + interval 24 hours) as e from (select device, ts, e, unnest(generate_series(ts::date::timestamp, e::date::timestamp, interval 1 day))::date as day from (select pid as device, ts, least(coalesce(lead(ts) over (partition by pid order by ts, event_id), ts), ts + interval 60 minutes) as e from ev)))) group by all"""),
+    "refine_segments": _E("""select device, day, min(start) as start, arg_max("end", rn) as "end", any_value(motion) as motion, arg_max(place, rn) as place from rec group by device, day, seg""", ("ev", )).replace("select device, day, min(start)", """, w as (select *, row_number() over (partition by device, day order by start, "end", motion, place) as rn from (select pid as device, day, ts as start, ts + interval 5 minutes as "end", case when k < 70 then 'still' else 'walk' end as motion, case k % 3 when 0 then 'Cafe' when 1 then 'Cafe North' else 'Library' end as place from ev)),
+      rec as (select device, day, rn, 1 as seg, start, "end", motion, place from w where rn = 1 union all select device, day, rn, case when fits then seg else seg + 1 end, start, "end", motion, case when fits and length(was) > length(place) then was else place end from (
+        select w.*, rec.seg, rec.place as was, rec.motion = w.motion and (contains(lower(rec.place), lower(w.place)) or contains(lower(w.place), lower(rec.place))) as fits from rec join w on w.device = rec.device and w.day = rec.day and w.rn = rec.rn + 1)) select device, day, min(start)""").replace("with ev", "with recursive ev", 1),
     "first_active_rhythm": _E("select device, day, round(h, 6) as hour, case when len(hs) > 0 then round(greatest(0, least(1, 1 - abs(h - list_sort(hs)[len(hs) // 2 + 1]) / 3)), 6) end as rhythm from (select *, coalesce(list(h) over (partition by device order by (day - date '1970-01-01') range between 7 preceding and 1 preceding), []) as hs from (select pid as device, day, min(hour(ts) + minute(ts) / 60.0::double) as h from ev where hour(ts) >= 4 and k >= 30 group by all))"),
     "context_dwell": _E("select pid as device, day, case k % 3 when 0 then 'grid' || (k % 7) when 1 then 'ssid' else 'unknown' end as place, count(*) as windows from ev group by all"),
     "battery_runs": _X(_RUNS, "select place, drop_ as drop, round(per_hour, 6) as per_hour, array_to_string(list_filter([case when minutes < 30 then 'short' end, case when e > s then 'charging' end, case when s < 50 then 'low start' end], lambda x: x is not null), ',') as warnings from runs"),
@@ -164,6 +173,9 @@ SQL = {
       dd as (select device, day, case when total > 0 then least(total / 43200, 1) else 0 end as seen, case when total > 0 then ln(total) - sls / total end as me, case when total > 0 then top / total end as lr, case when h is not null then greatest(0, least(1, 1 - abs(h - hs[len(hs) // 2 + 1]) / 3)) end as sr from d0 join us using (device)),
       ng as (select device, day, hour(start) + minute(start) / 60.0::double + case when hour(start) < 12 then 24 else 0 end as onset, hours from night),
       cm as (select pid as device, day, count(*) filter (k % 2 = 1) / count(*)::double as cr from ev where kind in ('click', 'purchase') group by all),
-      al as (select * from dd full join ng using (device, day) full join cm using (device, day))
-      select device, day, m.marker, round(m.v, 6) as value, case when m.v is null then 0 else round(m.c, 6) end::double as coverage from (select device, day, unnest([{'marker': 'mobility_entropy', 'v': me::double, 'c': coalesce(seen, 0)::double}, {'marker': 'location_revisit_ratio', 'v': lr, 'c': coalesce(seen, 0)}, {'marker': 'social_rhythm_metric', 'v': sr, 'c': coalesce(seen, 0)}, {'marker': 'sleep_onset_hour', 'v': onset, 'c': 1}, {'marker': 'sleep_duration_hours', 'v': hours, 'c': 1}, {'marker': 'comm_reciprocity', 'v': cr, 'c': 1}]) as m from al)"""),
+      rg as (select device, case when count(*) >= 2 then greatest(0, least(100, 100 * (1 - stddev_pop(hour(start) + minute(start) / 60.0::double) / 4))) end as reg from night group by device),
+      sd as (select device, day, sum(t) / 60.0::double as ts_, sum(greatest(date_sub('second', s, least(e, day + interval 4 hours)), 0) + greatest(date_sub('second', greatest(s, day + interval 23 hours), e), 0)) / 60.0::double as ls_, least(date_sub('second', min(s), max(e)) / 57600.0::double, 1) as sc
+        from (select *, date_sub('second', s, e) as t from (select device, day, greatest(ts, day::timestamp) as s, least(e, day + interval 24 hours) as e from (select device, ts, e, unnest(generate_series(ts::date::timestamp, e::date::timestamp, interval 1 day))::date as day from (select pid as device, ts, least(coalesce(lead(ts) over (partition by pid order by ts, event_id), ts), ts + interval 60 minutes) as e from ev)))) group by all),
+      al as (select * from dd full join (select * from ng left join rg using (device)) using (device, day) full join cm using (device, day) full join sd using (device, day))
+      select device, day, m.marker, round(m.v, 6) as value, round(case when m.v is null then 0 else m.c end + 1e-10, 6)::double as coverage from (select device, day, unnest([{'marker': 'mobility_entropy', 'v': me::double, 'c': coalesce(seen, 0)::double}, {'marker': 'location_revisit_ratio', 'v': lr, 'c': coalesce(seen, 0)}, {'marker': 'social_rhythm_metric', 'v': sr, 'c': coalesce(seen, 0)}, {'marker': 'total_screen_min', 'v': ts_, 'c': coalesce(sc, 0)}, {'marker': 'late_night_screen_min', 'v': ls_, 'c': coalesce(sc, 0)}, {'marker': 'sleep_regularity_index', 'v': reg, 'c': 1}, {'marker': 'sleep_onset_hour', 'v': onset, 'c': 1}, {'marker': 'sleep_duration_hours', 'v': hours, 'c': 1}, {'marker': 'comm_reciprocity', 'v': cr, 'c': 1}]) as m from al)"""),
 }

@@ -97,15 +97,11 @@ def decode_logs(logs: DataFrame, kind: str, schema: str) -> DataFrame:
     return d.where("_d is not null and _d._bad is null").select("id", "timestamp", "_d.*").drop("_bad")
 
 
-def raw_records(streams: dict[str, DataFrame], windows: DataFrame) -> DataFrame:
-    """All records (pid, time, ...) of each stream inside each participant day's own window (pid, day, stream, lo, hi), as arrays."""
-    out = None
-    for name, df in streams.items():
-        w = windows.where(F.col("stream") == name).withColumn("_d", F.explode(F.sequence(F.to_date("lo"), F.to_date("hi")))).drop("stream")
-        r = df.withColumn("_d", F.to_date("time")).join(w, ["pid", "_d"]).where((F.col("time") >= F.col("lo")) & (F.col("time") < F.col("hi")))
-        part = r.groupBy("pid", "day").agg(F.lit(name).alias("stream"), F.sort_array(F.collect_list(F.to_json(F.struct(*df.columns)))).alias("records"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def decode_sleep_states(logs: DataFrame) -> DataFrame:
+    """(id, event, time, lux) of sleep-state payloads, read field by field, so that broken JSON still counts; without event or time a row is dropped."""
+    field = lambda name, value: F.regexp_extract("content", rf'"{name}"\s*:\s*{value}', 1)
+    d = logs.where(F.col("type") == "sleep_state").select("id", field("event", r'"(\w+)"').alias("event"), F.timestamp_millis(field("ts", r"(\d+)").try_cast("long")).alias("time"), field("lux", r"([\d.]+)").try_cast("double").alias("lux"))
+    return d.where("event <> '' and time is not null")
 
 
 def write_table(df: DataFrame, path: str, fmt: str) -> None:

@@ -374,3 +374,16 @@ def test_running_total_by_ranges(spark):
         total += c
     for most in (1000, 10):
         assert {r.v: r.before for r in running_total(df, "v", "c", "before", most).collect()} == want
+
+
+def test_times_of_clients_and_broken_payloads(spark):
+    from dayline.functions import columns as C
+    from dayline.sources import readers
+
+    rows = [("2024-03-01T10:00:00Z", "America/New_York"), ("2024-03-01T10:00:00", "America/New_York"), ("2024-07-01T10:00:00+02:00", "Europe/Berlin"), ("2024-03-01T10:00:00z", "No/Where"), ("soon", "UTC"), (None, None)]
+    got = [str(r[0]) for r in spark.createDataFrame(rows, "t string, z string").select(C.iso_local(F.col("t"), F.col("z"))).collect()]
+    assert got == ["2024-03-01 05:00:00", "2024-03-01 10:00:00", "2024-07-01 10:00:00", "2024-03-01 10:00:00", "None", "None"]
+    assert spark.range(1).select(C.minutes_of(F.lit("9:30")), C.minutes_of(F.lit("09:30")), C.json_object(F.lit('```json\n{"a": 1}\n```')), C.json_object(F.lit("none"))).first()[:] == (None, 570, '{"a": 1}', None)
+    logs = [(1, "sleep_state", '{"event": "screen_off", "ts": 1700000000000, "lux": 3.5}'), (2, "sleep_state", 'x "event":"screen_on" "ts":1700000060000'), (3, "sleep_state", "{}"), (4, "context", '{"event": "a", "ts": 1}')]
+    d = {r.id: (r.event, r.lux) for r in readers.decode_sleep_states(spark.createDataFrame(logs, "id long, type string, content string")).collect()}
+    assert d == {1: ("screen_off", 3.5), 2: ("screen_on", None)}
