@@ -1,4 +1,8 @@
-"""A corpus pipeline: five stages over `documents`, each an operator of dayline.llm on what the stage before it kept."""
+"""A corpus pipeline: five stages over `documents`, each an operator of dayline.llm on what the stage before it kept.
+
+Every stage takes any table with the columns of documents; further columns are left out, whatever their names. Null and
+repeated ids are documents like others, told apart by a row number. Each stage gives an empty table for an empty one.
+"""
 
 from __future__ import annotations
 
@@ -25,34 +29,46 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language is rejected: no letter, or two languages that explain them equally well."""
+    """Drops documents whose language is rejected: no letter (so null and empty texts too), or two languages that explain them equally well.
+
+    Texts are compressed whole, however long; repeated rows are decided alike and all stay or go.
+    """
     found = langid.identify(numbered(docs), ~held_out(F.col("doc_id"), 4), carry=("text", "lang", "source", "n_chars", "row"))
     return found.where("not rejected").select(*COLUMNS, "row")
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of equal texts: the longest, then the smallest id, nulls last; one of repeated rows."""
+    """Keeps one row of each group of equal texts: the longest, then the smallest id, nulls last; one of repeated rows.
+
+    Null texts count as empty, and all empty texts are one group.
+    """
     docs = numbered(docs)
     kept = exact_dedup.exact_duplicates(docs.select(F.col("row").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("row"))
     return docs.join(kept, "row", "left_semi").select(*COLUMNS, "row")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the smallest id, nulls last, of each group of near duplicates; one of repeated rows."""
+    """Keeps the row with the smallest id, nulls last, of each group of near duplicates; one of repeated rows.
+
+    Null and blank texts are near nothing and stay.
+    """
     docs = numbered(docs)
     kept = near_dedup.near_duplicates(docs.select(F.col("row").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("row"))
     return docs.join(kept, "row", "left_semi").select(*COLUMNS, "row")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Emits every row as often as the mix takes it: not at all, or up to three times."""
+    """Emits every row as often as the mix takes it: not at all, or up to three times.
+
+    Null texts have size 0; a null source is the last source.
+    """
     docs = numbered(docs)
     taken = mixing.mix(docs, carry=("row",)).where("copies > 0").select("row", "copies")
     return docs.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS, "row")
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document, and whether decoding them gives its text again."""
+    """The token ids of every document with the digests of the ids and of the bytes that they decode to; null texts have none."""
     coded = bpe.encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -74,5 +90,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Compression, sketches and merge ranks have no SQL; tests/test_pipeline.py holds the stages after the first against brute force.
+#: Compression, sketches and merge ranks have no SQL; tests/llm/test_pipeline.py holds the stages and run() against brute force.
 ORACLE_SQL = None
