@@ -24,7 +24,7 @@ OWN, HASHED, HEAD, STATES = 4096, 1024, 65_536, 8
 ROUNDS, SAMPLE_RUNS, SAMPLE_ROUNDS = 4, 512, 12
 #: Training counts a text in runs of RUN tokens side by side, each with AROUND tokens of the text before and after it, by
 #: which the recursion has forgotten where it began. Scoring does not cut. Tokens that are counted at once.
-RUN, AROUND, GROUP = 384, 24, 131_072
+RUN, AROUND, GROUP = 512, 24, 131_072
 #: The end of a text; no word holds white space.
 END = np.int64(np.uint64(xxhash.xxh3_64_intdigest(b"\n")).astype(np.int64))
 

@@ -23,14 +23,15 @@ PRIOR_WEIGHT = 0.25
 _SEPARATE = bytes(i if i > 127 or chr(i).isalnum() else 32 for i in range(256))
 
 
-def terms(text: str | None) -> Counter:
+def terms(text: str | None) -> dict[bytes, int]:
     """Terms of a whole text with their counts: lower-case words, and stems of longer words marked by a hyphen."""
-    out: Counter = Counter()
-    for w, n in Counter((text or "").lower().encode("utf-8").translate(_SEPARATE).split()).items():
-        out[w] += n
+    words = Counter((text or "").lower().encode("utf-8").translate(_SEPARATE).split())
+    stems: dict[bytes, int] = {}
+    for w, n in words.items():
         if len(w) > STEM:
-            out[w[:STEM] + b"-"] += n
-    return out
+            s = w[:STEM] + b"-"  # no word ends like that
+            stems[s] = stems.get(s, 0) + n
+    return words | stems
 
 
 def label_weights(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
@@ -50,7 +51,11 @@ def _spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples as postings by term and block of examples, with the largest weight of each such span."""
+    """Unit vectors of examples as postings by term and block of examples, with the largest weight of each such span.
+
+    Terms that an eighth of the examples hold have their postings as a row over all examples: what these add to a cosine is
+    one product, and known before the blocks are bounded.
+    """
 
     def __init__(self, vocabulary: dict[bytes, int], weight: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray, toxic: np.ndarray, ids: np.ndarray):
         """`row`, `term`, `tf`: one entry for each term of each example; `weight` of each term, by its number."""
@@ -65,6 +70,12 @@ class BlockMaxIndex:
         place = np.lexsort((ids, heaviest, toxic))
         self.toxic, self.ids, at = toxic[place], ids[place], np.argsort(place)
         doc, w = at[row], w / np.maximum(norm[row], 1e-300)
+        full = np.bincount(term, minlength=len(weight)) * 8 >= max(len(ids), 1)
+        self.place = np.where(full, np.cumsum(full) - 1, -1)
+        self.rows = np.zeros((int(full.sum()), len(ids)))
+        here = full[term]
+        self.rows[self.place[term[here]], doc[here]] = w[here]
+        doc, term, w = doc[~here], term[~here], w[~here]
         order = np.lexsort((doc, term))
         self.doc, self.w, term = doc[order].astype(np.int32), w[order], term[order]
         self.blocks = -(-len(ids) // BLOCK)
@@ -87,9 +98,13 @@ class BlockMaxIndex:
         norm = np.sqrt((q * q).sum())
         if not norm or not self.blocks:
             return np.empty(0, np.int64), np.empty(0)
+        q, place = q / norm, self.place[ts]
+        common = np.zeros(len(self.rows))
+        common[place[place >= 0]] = q[place >= 0]
+        base = common @ self.rows
         spans = _spans(self.terms[ts], n := self.terms[ts + 1] - self.terms[ts])
-        q, block = np.repeat(q / norm, n), self.block[spans]
-        bound = np.bincount(block, q * self.top[spans], self.blocks)
+        q, block = np.repeat(q, n), self.block[spans]
+        bound = np.bincount(block, q * self.top[spans], self.blocks) + np.maximum.reduceat(base, np.arange(0, len(base), BLOCK))
         score, done = np.zeros(len(self.ids)), np.zeros(self.blocks, bool)
         best = np.argsort(-bound, kind="stable")
         for these in (best[: -(-4 * k // BLOCK)], best):
@@ -99,12 +114,15 @@ class BlockMaxIndex:
             use &= ~done & (bound >= kth - 1e-12) & (bound > 0)
             s, qs = spans[use[block]], q[use[block]]
             at = _spans(self.first[s], n := self.first[s + 1] - self.first[s])
-            score += np.bincount(self.doc[at], np.repeat(qs, n) * self.w[at], len(score))
+            of = np.repeat(use, BLOCK)[: len(score)]
+            score[of] = (base + np.bincount(self.doc[at], np.repeat(qs, n) * self.w[at], len(score)))[of]
             done |= use
             if without is not None:
                 score[self.ids == without] = 0
-        best = np.argsort(-np.round(score, 12), kind="stable")[:k]
-        best = best[score[best] > 0]
+        score = np.round(score, 12)
+        kth = np.partition(score, -k)[-k] if len(score) >= k else 0.0
+        best = np.flatnonzero((score >= kth) & (score > 0))
+        best = best[np.argsort(-score[best], kind="stable")][:k]
         return best, score[best]
 
     def vote(self, best: np.ndarray, cosines: np.ndarray, prior: float) -> float:
