@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -89,36 +90,44 @@ class BlockMaxIndex:
     def nearest(self, text: str | None, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples with the largest cosines above 0, exactly, smaller positions first among equals; not the id `without`.
 
-        A block's bound is the sum of its largest weights. The blocks with the highest bounds are scored first; those
-        whose bound stays below the k-th cosine found can't hold a nearer example and are never scored.
+        A block's bound is the sum of its largest weights, and the common terms' share of a cosine is a lower bound of it.
+        Blocks whose bound stays below the k-th of these can't hold a nearer example and are never scored.
         """
-        found = {self.vocabulary[t]: n for t, n in terms(text).items() if t in self.vocabulary}
-        ts = np.fromiter(found, np.int64, len(found))
-        q = (1 + np.log(np.fromiter(found.values(), np.float64, len(found)))) * self.weight[ts]
-        norm = np.sqrt((q * q).sum())
-        if not norm or not self.blocks:
-            return np.empty(0, np.int64), np.empty(0)
-        q, place = q / norm, self.place[ts]
-        common = np.zeros(len(self.rows))
-        common[place[place >= 0]] = q[place >= 0]
-        base = common @ self.rows
+        return next(self.nearest_of([text], k, [without]))
+
+    def nearest_of(self, texts: list[str | None], k: int, without: list[int | None] | None = None, together: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """`nearest` of each text; the rows of common terms are read once for `together` texts."""
+        for lo in range(0, len(texts), together):
+            queries, common = [], np.zeros((len(texts[lo : lo + together]), len(self.rows)))
+            for i, text in enumerate(texts[lo : lo + together]):
+                found = {self.vocabulary[t]: n for t, n in terms(text).items() if t in self.vocabulary}
+                ts = np.fromiter(found, np.int64, len(found))
+                q = (1 + np.log(np.fromiter(found.values(), np.float64, len(found)))) * self.weight[ts]
+                norm = np.sqrt((q * q).sum())
+                q = q / norm if norm else q
+                place = self.place[ts]
+                common[i, place[place >= 0]] = q[place >= 0]
+                queries.append((ts, q) if norm and self.blocks else None)
+            bases = common @ self.rows
+            for i, query in enumerate(queries):
+                yield self._nearest(*query, bases[i], k, without[lo + i] if without else None) if query else (np.empty(0, np.int64), np.empty(0))
+
+    def _nearest(self, ts: np.ndarray, q: np.ndarray, base: np.ndarray, k: int, without: int | None) -> tuple[np.ndarray, np.ndarray]:
         spans = _spans(self.terms[ts], n := self.terms[ts + 1] - self.terms[ts])
-        q, block = np.repeat(q, n), self.block[spans]
-        bound = np.bincount(block, q * self.top[spans], self.blocks) + np.maximum.reduceat(base, np.arange(0, len(base), BLOCK))
-        score, done = np.zeros(len(self.ids)), np.zeros(self.blocks, bool)
-        best = np.argsort(-bound, kind="stable")
-        for these in (best[: -(-4 * k // BLOCK)], best):
-            kth = np.partition(score, -k)[-k] if len(score) >= k else 0.0
-            use = np.zeros(self.blocks, bool)
-            use[these] = True
-            use &= ~done & (bound >= kth - 1e-12) & (bound > 0)
-            s, qs = spans[use[block]], q[use[block]]
-            at = _spans(self.first[s], n := self.first[s + 1] - self.first[s])
-            of = np.repeat(use, BLOCK)[: len(score)]
-            score[of] = (base + np.bincount(self.doc[at], np.repeat(qs, n) * self.w[at], len(score)))[of]
-            done |= use
-            if without is not None:
-                score[self.ids == without] = 0
+        held, block = np.repeat(q, n), self.block[spans]
+        bound = np.bincount(block, held * self.top[spans], self.blocks) + np.maximum.reduceat(base, np.arange(0, len(base), BLOCK))
+        kth = np.partition(base, -k)[-k] if len(base) >= k and without is None else 0.0
+        use = (bound >= kth - 1e-12) & (bound > 0)
+        if use.all():
+            at = _spans(self.first[self.terms[ts]], n := self.first[self.terms[ts + 1]] - self.first[self.terms[ts]])
+            held = np.repeat(q, n)
+        else:
+            spans, held = spans[use[block]], held[use[block]]
+            at = _spans(self.first[spans], n := self.first[spans + 1] - self.first[spans])
+            held = np.repeat(held, n)
+        score = np.where(np.repeat(use, BLOCK)[: len(base)], base + np.bincount(self.doc[at], held * self.w[at], len(base)), 0.0)
+        if without is not None:
+            score[self.ids == without] = 0
         score = np.round(score, 12)
         kth = np.partition(score, -k)[-k] if len(score) >= k else 0.0
         best = np.flatnonzero((score >= kth) & (score > 0))
@@ -242,16 +251,16 @@ def score(docs: DataFrame, labels: DataFrame, training: Column) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     index, prior, (slope, shift) = fitted(docs, labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")), training)
-    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores, why = [], []
-            for t in b.column(1):
-                best, cos = index.nearest(t.as_py(), VOTES) if index else (np.empty(0, np.int64), np.empty(0))
-                v = index.vote(best, cos, prior) if index else prior
-                scores.append(float(1 / (1 + np.exp(-(slope * v + shift)))) if index else prior)
-                why.append([{"doc_id": int(index.ids[i]), "toxic": int(index.toxic[i]), "cosine": float(c)} for i, c in zip(best, cos, strict=True)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(why, kind)], ["doc_id", "score", "evidence"])
+            nothing = (np.empty(0, np.int64), np.empty(0))
+            found = list(index.nearest_of(b.column(1).to_pylist(), VOTES) if index else itertools.repeat(nothing, b.num_rows))
+            votes = np.array([index.vote(best, cos, prior) for best, cos in found] if index else [])
+            scores = 1 / (1 + np.exp(-(slope * votes + shift))) if index else np.full(b.num_rows, prior)
+            at, cos = (np.concatenate([*(f[i] for f in found), nothing[i]]) for i in (0, 1))
+            voters = pa.StructArray.from_arrays([pa.array(index.ids[at]), pa.array(index.toxic[at].astype(np.int32)), pa.array(cos)] if index else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.float64())], ["doc_id", "toxic", "cosine"])
+            why = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(f[0]) for f in found)]), pa.int32()), voters)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), why], ["doc_id", "score", "evidence"])
 
     return docs.mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id: long, toxic: int, cosine: double>>")
