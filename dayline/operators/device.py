@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dayline.functions import registry
 from dayline.functions.columns import clip, seconds_between
 
 METERS_PER_DEGREE = 111_320.0
@@ -174,13 +175,49 @@ def battery_runs(runs: DataFrame) -> DataFrame:
 
 
 def battery_pairs(runs: DataFrame, within: int = 15) -> DataFrame:
-    """The newest baseline and active run of each platform, whether their lengths are comparable, and the difference's level."""
-    newest = F.max_by(F.struct("per_hour", "minutes"), F.struct("place"))
-    last = runs.groupBy("platform").pivot("profile", ["baseline", "active"]).agg(newest)
-    delta = F.col("active.per_hour") - F.col("baseline.per_hour")
-    near = F.abs(F.col("active.minutes") - F.col("baseline.minutes")) <= within
-    level = F.when(delta.isNull(), "unpaired").when(~near, "not comparable").when(delta <= 1, "low").when(delta <= 3, "moderate").otherwise("high")
-    return last.select("platform", delta.alias("delta"), near.alias("comparable"), level.alias("level"))
+    """One row for each platform: its newest baseline and active run compared, or else its newest run alone, with the level of drain.
+
+    Two runs are comparable when their minutes differ by at most `within`; `delta` is the active one's drain per hour less the
+    baseline's. A platform without a comparable pair has `paired` false, no delta, and the level of its newest run.
+    """
+    newest = lambda of: F.max_by(F.struct("per_hour", "minutes"), F.when(of, F.col("place")))
+    last = runs.groupBy("platform").agg(newest(F.col("profile") == "baseline").alias("b"), newest(F.col("profile") == "active").alias("a"), newest(F.lit(True)).alias("any"))
+    paired = F.coalesce(F.abs(F.col("a.minutes") - F.col("b.minutes")) <= within, F.lit(False))
+    d = last.select("platform", paired.alias("paired"), F.when(paired, F.col("a.per_hour") - F.col("b.per_hour")).alias("delta"), F.col("any.per_hour").alias("single"))
+    # fixed values: percent per hour of a difference and of a single run
+    graded = lambda x, low, high: F.when(x <= low, "minimal").when(x <= high, "modest").otherwise("notable")
+    return d.select("platform", "paired", "delta", F.when(F.col("paired"), graded(F.col("delta"), 2, 5)).otherwise(graded(F.col("single"), 4, 8)).alias("level"))
+
+
+def battery_impact(pairs: DataFrame) -> DataFrame:
+    """One row (platforms, level): the worst level of the paired platforms, of all where none is paired; unknown without a run."""
+    rank = F.when(F.col("level") == "notable", 3).when(F.col("level") == "modest", 2).otherwise(1)
+    s = pairs.agg(F.count(F.lit(1)).alias("platforms"), F.max(F.when(F.col("paired"), rank)).alias("p"), F.max(rank).alias("a"))
+    worst = F.coalesce("p", "a")
+    return s.select("platforms", F.when(worst == 3, "notable").when(worst == 2, "modest").when(worst == 1, "minimal").otherwise("unknown").alias("level"))
+
+
+def map_label(tags: Column) -> Column:
+    """What a map feature with these tags (a map of texts) is; null for none of registry.MAP_LABELS."""
+    out = F.lit(None).cast("string")
+    for key, values, label in reversed(registry.MAP_LABELS):
+        value = F.trim(F.try_element_at(tags, F.lit(key)))
+        out = F.when(value.isin(values) if values else value != "", label).otherwise(out)
+    return out
+
+
+def feature_summary(features: DataFrame, keys: list[str], most_labels: int = 8, most_names: int = 4) -> DataFrame:
+    """(keys, summary): the first distinct labels and names of features (keys, place, tags) in order of place, as one text.
+
+    Labels and names are reduced to their first place before they are listed, so a list holds distinct ones only.
+    Keys without label or name have no row.
+    """
+    each = F.explode(F.array(F.struct(F.lit("label").alias("kind"), map_label(F.col("tags")).alias("text")), F.struct(F.lit("name").alias("kind"), F.try_element_at("tags", F.lit("name")).alias("text"))))
+    f = features.select(*keys, "place", each.alias("e")).select(*keys, "place", "e.*").where("trim(text) <> ''")
+    f = f.groupBy(*keys, "kind", "text").agg(F.min("place").alias("place"))
+    f = f.withColumn("n", F.row_number().over(Window.partitionBy(*keys, "kind").orderBy("place", "text"))).where((F.col("n") <= most_names) | ((F.col("kind") == "label") & (F.col("n") <= most_labels)))
+    listed = lambda kind, head: F.when(F.count_if(F.col("kind") == kind) > 0, F.concat(F.lit(head), F.array_join(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("n", "text"))))["text"], ", ")))
+    return f.groupBy(*keys).agg(F.concat_ws(". ", listed("label", "Nearby map features: "), listed("name", "Named places/features: ")).alias("summary"))
 
 
 def recent_motion(rows: DataFrame, n: int = 10) -> DataFrame:

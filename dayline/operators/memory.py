@@ -49,3 +49,20 @@ def prompt_lines(preferences: DataFrame) -> DataFrame:
     lists = p.groupBy("user", "kind").agg(F.array_join(F.sort_array(F.collect_list(F.struct("place", "value")))["value"], ", ").alias("v"))
     label = F.when(F.col("kind") == "avoid", F.concat(F.lit("Avoid: "), F.col("v"))).when(F.col("kind") == "prefer", F.concat(F.lit("Prefer: "), F.col("v"))).otherwise(F.col("v"))
     return lists.select("user", "kind", label.alias("line"))
+
+
+def risk_history(assessments: DataFrame, most: int = 7) -> DataFrame:
+    """(user, history): the last `most` known levels, oldest first."""
+    last = first_rows(assessments.where(risk_rank(F.col("level")) > 0), ["user"], [F.col("place").desc()], most)
+    return last.groupBy("user").agg(F.array_join(F.sort_array(F.collect_list(F.struct("place", "level")))["level"], ",").alias("history"))
+
+
+def user_context(preferences: DataFrame, assessments: DataFrame, feedback: DataFrame) -> DataFrame:
+    """(user, preferences, trend, level, feedback): what is known of each user in any of the tables, with defaults for the rest.
+
+    `preferences` are prompt_lines, `feedback` (user, feedback) is a count.
+    """
+    lines = preferences.groupBy("user").agg(F.array_join(F.sort_array(F.collect_list(F.struct("kind", "line")))["line"], "; ").alias("preferences"))
+    latest = first_rows(assessments, ["user"], [F.col("place").desc()]).select("user", F.coalesce("level", F.lit("unknown")).alias("level"))
+    j = risk_trend(assessments).join(latest, "user", "full").join(lines, "user", "full").join(feedback, "user", "full")
+    return j.select("user", F.coalesce("preferences", F.lit("")).alias("preferences"), F.coalesce("trend", F.lit("insufficient_data")).alias("trend"), F.coalesce("level", F.lit("unknown")).alias("level"), F.coalesce("feedback", F.lit(0)).alias("feedback"))

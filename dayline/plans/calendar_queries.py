@@ -9,7 +9,7 @@ from dayline.functions.columns import clock
 from dayline.operators import calendar as C
 from dayline.operators import evaluation as E
 from dayline.operators import intervals as I
-from dayline.plans.fixtures import events, locked, table, with_
+from dayline.plans.fixtures import events, hour_sql, locked, table, with_
 
 r6 = lambda *cs: [F.round(c, 6).alias(c) for c in cs]
 
@@ -230,7 +230,7 @@ _CAL = "cal as (select o_custkey as pid, o_orderkey % 5000 as id, s, s + to_minu
 _PROP = "prop as (select *, s + interval 30 minutes as e from (select o_custkey as pid, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey as pkey, case when l_orderkey % 11 > 0 then o_orderdate::timestamp + to_hours(l_linenumber * 3 % 24) end as s, l_returnflag || l_linestatus as title, case when round(l_tax, 2) = 0 then 'delete' else 'add' end as action, l_orderkey * 10000000 + l_linenumber * 100000 + l_partkey % 100000 as place from lineitem join orders on l_orderkey = o_orderkey))"
 _FREE = ", slots as (select okey as skey, pid, s::date as today, (okey % 24) * 60 as minute from cal), offs as (select *, today + o + to_minutes(minute) as ps from slots, (select unnest(range(1, 8))::int as o)), busy as (select distinct skey, o from offs f join cal c on c.pid = f.pid and f.ps < c.e - interval 1 minute and c.s < f.ps + interval 29 minutes), free as (select skey, min(o) as o from offs f where not exists (select 1 from busy b where b.skey = f.skey and b.o = f.o) group by skey), day as (select s.*, s.today + coalesce(f.o, 1) as free_day from slots s left join free f on f.skey = s.skey)"
 _ARMS = "arms as (select *, lever_pass and burden_pass and specificity_pass as all_three from (select l_orderkey as case_id, l_linestatus as arm, l_linenumber as line, round(l_discount, 2) > 0.04 as lever_pass, round(l_tax, 2) > 0.03 as burden_pass, l_quantity > 20 as specificity_pass, l_quantity / 10 as burden, l_partkey % 4 as pattern, l_suppkey % 3 > 0 as detected from lineitem))"
-_HM = lambda x: f"(lpad(((floor({x})::int + case when round_even(({x} - floor({x})) * 60, 0) = 60 then 1 else 0 end) % 24)::varchar, 2, '0') || ':' || lpad((round_even(({x} - floor({x})) * 60, 0)::int % 60)::varchar, 2, '0'))"
+_HM = hour_sql
 _SUGG = f"sugg as (select l_orderkey as case_id, l_linenumber as line, {_WORDS!r}[1 + l_partkey % 6] as change, case when l_linenumber % 4 > 0 then (l_partkey % 20) * 60 end as a, (l_partkey % 20) * 60 + (l_suppkey % 13) * 15 as b from lineitem)"
 _AVG = ", ".join(f"round(avg({c}::int), 6) as {c}" for c in PASSES)
 _ANY = lambda x, ws: "(" + " or ".join(f"contains({x}, '{w}')" for w in ws) + ")"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dayline.functions import registry
 from dayline.operators import device as D
 from dayline.plans.fixtures import events, table, with_
 
@@ -46,13 +47,25 @@ def q_context_reuse(spark: SparkSession, d: str) -> DataFrame:
     return D.reuse_context(s, 24 * 60).select("seq", "reused")
 
 
-def q_feature_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct labels of a device's day in first-seen order, three at most."""
-    from pyspark.sql import Window
+def _tags(spark, d):
+    """Map features: one for each sample, whose kind and number give its tags."""
+    k = F.col("k")
+    tags = [F.when(F.col("kind") == kind, F.create_map(F.lit("name"), F.when(k % 4 == 0, F.concat(F.lit("N"), (k % 9).cast("string"))), F.lit(key), F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int")))) for kind, (key, values) in TAGS.items()]
+    return _samples(spark, d).select("device", "day", F.struct("ts", "seq").alias("place"), F.coalesce(*tags).alias("tags"))
+
+
+TAGS = {
+    "view": ("amenity", ["cafe", "library", "parking", "bench", "school", "gym"]),
+    "click": ("leisure", ["park", "track", "swimming_pool"]),
+    "purchase": ("landuse", ["retail", "residential", "meadow", "forest"]),
+    "signup": ("building", ["yes", "", "house"]),
+    "error": ("highway", ["footway", "primary"]),
+}
 
-    s = _samples(spark, d).groupBy("device", "day", "kind").agg(F.min(F.struct("ts", "seq")).alias("first"))
-    s = s.withColumn("n", F.row_number().over(Window.partitionBy("device", "day").orderBy("first"))).where("n <= 3")
-    return s.groupBy("device", "day").agg(F.array_join(F.sort_array(F.collect_list(F.struct("n", "kind")))["kind"], ", ").alias("labels"))
+
+def q_feature_summary(spark: SparkSession, d: str) -> DataFrame:
+    """What lies around a device on each day."""
+    return D.feature_summary(_tags(spark, d), ["device", "day"])
 
 
 def q_refine_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +132,11 @@ def q_battery_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_battery_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return D.battery_pairs(_runs(spark, d)).select("platform", *r6("delta"), "comparable", "level")
+    return D.battery_pairs(_runs(spark, d)).select("platform", "paired", *r6("delta"), "level")
+
+
+def q_battery_impact(spark: SparkSession, d: str) -> DataFrame:
+    return D.battery_impact(D.battery_pairs(_runs(spark, d)))
 
 
 def q_recent_motion(spark: SparkSession, d: str) -> DataFrame:
@@ -143,13 +160,19 @@ _MOT = """list_filter([case when s <= 2 and a <= 0.1 and abs(c) <= 0.1 and v <=
 _E = lambda q, names=("ev",): with_(list(names), q)
 _X = lambda extra, q: "with ev as (select user_id as pid, ts, ts::date as day, event_type as kind, value, (props->>'$.k')::int as k, event_id from events), " + extra + " " + q
 _RUNS = "runs as (select pid % 3 as platform, case kind when 'view' then 'baseline' else 'active' end as profile, 80 + k % 20 as s, 80 + k % 20 - k % 12 + 1 as e, 20 + k % 60 as minutes, event_id as place, greatest(k % 12 - 1, 0) as drop_, greatest(k % 12 - 1, 0) / ((20 + k % 60) / 60.0::double) as per_hour from ev where kind in ('view', 'click'))"
+_PAIRED = """, bp as (select platform, paired, case when paired then a - b end as delta, case when paired then case when a - b <= 2 then 'minimal' when a - b <= 5 then 'modest' else 'notable' end when one <= 4 then 'minimal' when one <= 8 then 'modest' else 'notable' end as level from (
+  select *, coalesce(abs(am - bm) <= 15, false) as paired from (select platform, arg_max(per_hour, place) as one, arg_max(per_hour, place) filter (profile = 'active') as a, arg_max(minutes, place) filter (profile = 'active') as am, arg_max(per_hour, place) filter (profile = 'baseline') as b, arg_max(minutes, place) filter (profile = 'baseline') as bm from runs group by platform)))"""
+_label = lambda key, value: next((label for k, values, label in registry.MAP_LABELS if k == key and (value in values if values else value)), None)
+_LABELS = " ".join(f"when '{kind}' then {[_label(key, v) or '' for v in values]}[k % {len(values)} + 1]" for kind, (key, values) in TAGS.items())
 SQL = {
     "window_features": _E("select pid as device, time_bucket(interval 1 hour, ts) as start, greatest(last(k order by ts, event_id) - first(k order by ts, event_id), 0) as steps, round(avg(value / 100), 6) as accel, round(last(value % 5 order by ts, event_id) - first(value % 5 order by ts, event_id), 6) as altitude_delta, round(last(k order by ts, event_id) / 20.0::double, 6) as speed from ev group by all"),
     "motion_candidates": _E(f"select device, seq, case when len(m) > 0 then array_to_string(m, ',') when s >= 50 and v >= 0.5 and v < 2 then 'walking' when s > 2 then 'limited motion' else 'stationary' end as motions from (select *, {_MOT} as m from (select pid as device, event_id as seq, k * 2 as s, round(value / 100, 6) as a, round(value % 5 - 2, 6) as c, k / 20.0::double as v from ev))"),
     "grid_key": _E("select event_id as seq, floor((k / 3.0::double - 15) * 111320.0 / 100)::bigint || ':' || floor(round(value, 2) * (111320.0 * greatest(cos(radians(k / 3.0::double - 15)), 0.1)) / 100)::bigint as grid from ev"),
     "set_fingerprint": "select item_id, md5(array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(text, ' '), lambda x: trim(x)), lambda x: x <> ''))), '|')) as fingerprint from benchmark",
     "context_reuse": _E("select event_id as seq, case when kind <> 'view' and date_sub('second', lt, ts) <= 86400 then lc end as reused from (select *, last_value(case when kind = 'view' then 'c' || k end ignore nulls) over w as lc, last_value(case when kind = 'view' then ts end ignore nulls) over w as lt from ev window w as (partition by pid, k % 3 order by ts, event_id rows between unbounded preceding and 1 preceding))"),
-    "feature_summary": _E("select device, day, string_agg(kind, ', ' order by n) as labels from (select pid as device, day, kind, row_number() over (partition by pid, day order by min(ts), arg_min(event_id, ts)) as n from ev group by pid, day, kind) where n <= 3 group by all"),
+    "feature_summary": _E(f"""select device, day, concat_ws('. ', 'Nearby map features: ' || string_agg(text, ', ' order by n) filter (kind = 'label' and n <= 8), 'Named places/features: ' || string_agg(text, ', ' order by n) filter (kind = 'name' and n <= 4)) as summary from (
+      select device, day, kind, text, row_number() over (partition by device, day, kind order by min(ts), arg_min(event_id, ts), text) as n from (
+        select pid as device, day, ts, event_id, 'label' as kind, case kind {_LABELS} end as text from ev union all select pid, day, ts, event_id, 'name', case when k % 4 = 0 then 'N' || (k % 9) end from ev) where text <> '' group by device, day, kind, text) group by device, day"""),
     "unchanged_periods": _E("select device, day, lag(f) over (partition by device order by day) is distinct from f as changed from (select pid as device, day, max(kind) as f from ev group by all)"),
     "idle_runs": _E("""select device, signature, min(ts) as start, max(ts) as "end", count(*) as length from (select *, sum(n) over (partition by device order by ts, event_id rows unbounded preceding) as r from (select pid as device, ts, event_id, (k < 60)::varchar as signature, (lag((k < 60)) over (partition by pid order by ts, event_id) is distinct from (k < 60))::int as n from ev)) group by device, r, signature"""),
     "pair_on_off": _X(_PAIRS, 'select device, start, e as "end", lux from pairs'),
@@ -165,7 +188,8 @@ SQL = {
     "first_active_rhythm": _E("select device, day, round(h, 6) as hour, case when len(hs) > 0 then round(greatest(0, least(1, 1 - abs(h - list_sort(hs)[len(hs) // 2 + 1]) / 3)), 6) end as rhythm from (select *, coalesce(list(h) over (partition by device order by (day - date '1970-01-01') range between 7 preceding and 1 preceding), []) as hs from (select pid as device, day, min(hour(ts) + minute(ts) / 60.0::double) as h from ev where hour(ts) >= 4 and k >= 30 group by all))"),
     "context_dwell": _E("select pid as device, day, case k % 3 when 0 then 'grid' || (k % 7) when 1 then 'ssid' else 'unknown' end as place, count(*) as windows from ev group by all"),
     "battery_runs": _X(_RUNS, "select place, drop_ as drop, round(per_hour, 6) as per_hour, array_to_string(list_filter([case when minutes < 30 then 'short' end, case when e > s then 'charging' end, case when s < 50 then 'low start' end], lambda x: x is not null), ',') as warnings from runs"),
-    "battery_pairs": _X(_RUNS, "select platform, round(a - b, 6) as delta, abs(am - bm) <= 15 as comparable, case when a - b is null then 'unpaired' when abs(am - bm) > 15 then 'not comparable' when a - b <= 1 then 'low' when a - b <= 3 then 'moderate' else 'high' end as level from (select platform, arg_max(per_hour, place) filter (profile = 'active') as a, arg_max(minutes, place) filter (profile = 'active') as am, arg_max(per_hour, place) filter (profile = 'baseline') as b, arg_max(minutes, place) filter (profile = 'baseline') as bm from runs group by platform)"),
+    "battery_pairs": _X(_RUNS + _PAIRED, "select platform, paired, round(delta, 6) as delta, level from bp"),
+    "battery_impact": _X(_RUNS + _PAIRED, "select count(*) as platforms, coalesce(['minimal', 'modest', 'notable'][coalesce(max(r) filter (paired), max(r))], 'unknown') as level from (select *, case level when 'notable' then 3 when 'modest' then 2 else 1 end as r from bp)"),
     "recent_motion": _E("select device, string_agg(kind, ',' order by n desc) as motions from (select pid as device, kind, row_number() over (partition by pid order by ts desc, event_id desc) as n from ev) where n <= 10 group by device"),
     "device_marker_days": _X(_NIGHT, """, st as (select pid as device, day, k % 7 as place, sum(k * 60)::double as s, min(case when hour(ts) >= 4 and k >= 30 then hour(ts) + minute(ts) / 60.0::double end) as h from ev group by all),
       d0 as (select device, day, sum(s) as total, sum(case when s > 0 then s * ln(s) else 0 end) as sls, list_sum(list_sort(list(s), 'DESC')[1:3]) as top, min(h) as h from st group by device, day),

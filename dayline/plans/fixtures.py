@@ -112,6 +112,11 @@ select *, greatest(pop_std, mad_std, least_std) as std from (
   join spec s on b.marker = s.marker)"""
 
 
+def hour_sql(x: str) -> str:
+    """HH:MM of an hour of day."""
+    return f"(lpad(((floor({x})::int + case when round_even(({x} - floor({x})) * 60, 0) = 60 then 1 else 0 end) % 24)::varchar, 2, '0') || ':' || lpad((round_even(({x} - floor({x})) * 60, 0)::int % 60)::varchar, 2, '0'))"
+
+
 def quality_sql(average: str) -> str:
     return f"case when {average} >= 0.75 then 'high' when {average} >= 0.45 then 'medium' when {average} > 0 then 'low' else 'none' end"
 

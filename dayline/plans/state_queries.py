@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dayline.functions import registry
 from dayline.operators import baseline as B
 from dayline.operators import memory as M
 from dayline.operators import state as S
-from dayline.plans.fixtures import framed, marker_long, quality_sql, table, with_
+from dayline.plans.fixtures import framed, hour_sql, marker_long, quality_sql, table, with_
 
 R, N, WARM = 4, 21, 10
 _md5 = lambda c: F.md5(F.col(c).cast("binary"))
@@ -61,10 +62,19 @@ def q_sample_prose(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_payload_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """Bytes of each day's state as JSON against its markers as JSON: means, median and the ratio of means."""
-    s = S.prose(_state(spark, d)).select("pid", "day", F.octet_length(F.to_json(F.struct("confidence", "deviations", "patterns", "notes", "prose"))).alias("state_bytes"))
-    m = marker_long(spark, d).groupBy("pid", "day").agg(F.octet_length(F.to_json(F.sort_array(F.collect_list(F.struct("marker", "value", "coverage"))))).alias("marker_bytes"))
-    return s.join(m, ["pid", "day"]).agg(F.count(F.lit(1)).alias("days"), F.avg("state_bytes").alias("state_mean"), F.median("state_bytes").alias("state_median"), F.avg("marker_bytes").alias("marker_mean"), (F.avg("state_bytes") / F.avg("marker_bytes")).alias("ratio"))
+    """Bytes of each day's state, markers and raw events as JSON: means, medians, and the state's share of the others."""
+    state = S.prose(_state(spark, d))
+    some = lambda c: F.coalesce(c, F.array().cast(state.schema[c].dataType)).alias(c)
+    s = state.select("pid", "day", F.octet_length(F.to_json(F.struct("confidence", some("deviations"), some("patterns"), "notes", "prose"))).alias("state"))
+    parts = lambda *cs: (F.sum(F.octet_length(F.to_json(F.struct(*cs))) + 1) + 1)
+    text = lambda c, n: F.coalesce(S.fixed(F.col(c), n), F.lit("")).alias(c)
+    m = marker_long(spark, d).groupBy("pid", "day").agg(parts("marker", text("value", 6), text("coverage", 3)).alias("markers"))
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz")).groupBy(F.col("user_id").alias("pid"), F.to_date("ts").alias("day"))
+    e = e.agg(parts(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.coalesce("event_type", F.lit("")).alias("kind"), text("value", 2), F.coalesce("props", F.lit("")).alias("props")).alias("raw"))
+    j = s.join(m, ["pid", "day"]).join(e, ["pid", "day"])
+    sizes = [f(c).alias(f"{c}_{n}") for c in ("state", "markers", "raw") for n, f in (("mean", F.avg), ("median", F.median))]
+    t = j.agg(F.count(F.lit(1)).alias("days"), *sizes, F.median(F.col("markers") / F.col("state")).alias("markers_ratio"), F.median(F.col("raw") / F.col("state")).alias("raw_ratio"))
+    return t.select("*", (F.col("state_mean") / F.col("markers_mean")).alias("state_to_markers"), (F.col("state_mean") / F.col("raw_mean")).alias("state_to_raw"))
 
 
 def q_payload_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -73,6 +83,19 @@ def q_payload_candidates(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
+def q_candidate_days(spark: SparkSession, d: str) -> DataFrame:
+    return S.candidate_days(_state(spark, d))
+
+
+def q_state_field_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths at any depth of the scheduler's payloads."""
+    return S.field_paths(q_scheduler_payload(spark, d), "payload")
+
+
+def q_risk_searches(spark: SparkSession, d: str) -> DataFrame:
+    return S.risk_searches(S.prose(_state(spark, d)).where("warm"), q_risk_level(spark, d))
+
+
 def q_field_paths(spark: SparkSession, d: str) -> DataFrame:
     """Distinct keys of the events' JSON with their number of rows."""
     e = table(spark, d, "events").select(F.explode(F.json_object_keys("props")).alias("path"))
@@ -134,6 +157,10 @@ def q_latest_risk(spark: SparkSession, d: str) -> DataFrame:
     return M.first_rows(a, ["user"], [F.col("place").desc()]).select("user", F.coalesce("level", F.lit("unknown")).alias("level"))
 
 
+def q_risk_history(spark: SparkSession, d: str) -> DataFrame:
+    return M.risk_history(_assessments(spark, d))
+
+
 def _feedback(spark, d):
     l = table(spark, d, "lineitem")
     action = F.when(F.col("l_returnflag") == "A", "accept").when(F.col("l_returnflag") == "R", "reject").otherwise("noshow")
@@ -146,20 +173,23 @@ def q_feedback_history(spark: SparkSession, d: str) -> DataFrame:
     return last.groupBy("user").agg(F.array_join(F.sort_array(F.collect_list(F.struct("place", "suggestion", "action")))["suggestion"], ",").alias("last"))
 
 
-def q_prompt_prefs(spark: SparkSession, d: str) -> DataFrame:
+def _preferences(spark, d):
     f = _feedback(spark, d).select("user", F.when(F.col("action") == "accept", "prefer").when(F.col("action") == "reject", "avoid").otherwise("explicit").alias("kind"), F.when(F.col("place") % 2 == 0, F.upper("suggestion")).otherwise(F.concat(F.lit(" "), "suggestion")).alias("value"), "place")
     return M.prompt_lines(f.groupBy("user", "kind", "value").agg(F.min("place").alias("place")))
 
 
+def q_prompt_prefs(spark: SparkSession, d: str) -> DataFrame:
+    return _preferences(spark, d)
+
+
 def q_suggestion_feedback(spark: SparkSession, d: str) -> DataFrame:
     f = _feedback(spark, d).where("action in ('accept', 'reject')").groupBy("user", "action").agg(F.sort_array(F.collect_set("suggestion")).alias("s"))
     return f.groupBy("user").agg(F.array_join(F.max(F.when(F.col("action") == "accept", F.col("s"))), ",").alias("accepted"), F.array_join(F.max(F.when(F.col("action") == "reject", F.col("s"))), ",").alias("rejected"))
 
 
 def q_user_context(spark: SparkSession, d: str) -> DataFrame:
-    t, n = M.risk_trend(_assessments(spark, d)), q_latest_risk(spark, d)
     f = _feedback(spark, d).groupBy("user").agg(F.count(F.lit(1)).alias("feedback"))
-    return t.join(n, "user", "full").join(f, "user", "full").select("user", F.coalesce("trend", F.lit("insufficient_data")).alias("trend"), F.coalesce("level", F.lit("unknown")).alias("level"), F.coalesce("feedback", F.lit(0)).alias("feedback"))
+    return M.user_context(_preferences(spark, d), _assessments(spark, d), f)
 
 
 def q_journals_by_day(spark: SparkSession, d: str) -> DataFrame:
@@ -174,7 +204,7 @@ def q_blank_journals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_expand_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Search texts of each day: up to four deviations, up to three patterns, and one for its risk."""
+    """Search texts of each day: up to four deviations and up to three patterns."""
     from dayline.functions.columns import shortened
 
     s = _state(spark, d).where("warm")
@@ -185,11 +215,15 @@ def q_expand_queries(spark: SparkSession, d: str) -> DataFrame:
     return q.select("pid", "day", "n", shortened(F.col("query"), 80).alias("query"))
 
 
+def _week(spark, d):
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    start = F.timestamp_add("HOUR", (k % 24).cast("int"), F.timestamp_add("DAY", (k % 37).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")))
+    return o.select(F.col("o_custkey").alias("pid"), start.alias("start"), F.timestamp_add("MINUTE", (30 * (1 + k % 4)).cast("int"), start).alias("end"), F.concat(F.lit("E"), k.cast("string")).alias("title"))
+
+
 def q_scheduler_payload(spark: SparkSession, d: str) -> DataFrame:
-    """The newest warm state of each person with their feedback, as one JSON text."""
-    f = _feedback(spark, d).groupBy(F.col("user").alias("pid")).agg(F.count(F.lit(1)).alias("feedback"))
-    s = S.latest_warm(_state(spark, d)).join(f, "pid", "left")
-    return s.select("pid", "day", F.to_json(F.struct("confidence", "deviations", "patterns", "notes", F.coalesce("feedback", F.lit(0)).alias("feedback"))).alias("payload"))
+    last = M.first_rows(_feedback(spark, d), ["user"], [F.col("place").desc(), F.col("suggestion").desc(), F.col("action").desc()], 5)
+    return S.scheduler_payload(S.prose(_state(spark, d)), _week(spark, d), _preferences(spark, d).withColumnRenamed("user", "pid"), last.withColumnRenamed("user", "pid"))
 
 
 QUERIES = {k[2:]: v for k, v in globals().items() if k.startswith("q_")}
@@ -198,17 +232,50 @@ _Q7 = f"select *, {quality_sql('a')} as quality from (select *, avg(coverage) ov
 _C = lambda c: f"case {c} when 'high' then 2 when 'medium' then 1 when 'low' then 0 else -1 end"
 _CONF = f"""select h.pid, h.day, h.history >= 10 as warm, h.history, case when h.history < 10 then 'low-cold-start' when coalesce(d.s, m.s) >= 2 * coalesce(d.n, m.n) then 'high' when coalesce(d.s, m.s) >= coalesce(d.n, m.n) then 'medium' else 'low' end as confidence
 from history h left join (select pid, day, sum({_C('coverage')}) as s, count(*) as n from devs group by all) d on d.pid = h.pid and d.day = h.day join (select pid, day, sum({_C('quality')}) as s, count(*) as n from q7 group by all) m on m.pid = h.pid and m.day = h.day"""
+_RISK = """select pid, day, case when history < 10 then 'minimal' when s >= 6 or m >= 3 then 'severe' when s >= 3.5 or m >= 2 or p >= 2 then 'moderate' when s >= 1 then 'mild' else 'minimal' end as risk
+from (select h.pid, h.day, h.history, round(coalesce(s, 0) + least(coalesce(p, 0), 3) * 1.25, 9) as s, coalesce(m, 0) as m, coalesce(p, 0) as p from history h
+left join (select pid, day, sum(w * c) as s, count(*) filter (w >= 2 and c >= 0.75) as m from (select *, case magnitude when 'mild' then 1 when 'moderate' then 2 when 'pronounced' then 3 else 0 end as w, case coverage when 'high' then 1.0 when 'medium' then 0.75 when 'low' then 0.4 else 0.0 end as c from devs) group by all) d on d.pid = h.pid and d.day = h.day
+left join (select pid, day, count(*) as p from pats group by all) p on p.pid = h.pid and p.day = h.day)"""
+_SAY = "select * from (values " + ", ".join("('" + m + "', '" + subject.replace("'", "''") + f"', '{more}', '{less}', '{unit}', {'null' if places is None else places}, {factor})" for m, subject, more, less, unit, places, factor in registry.SAYINGS) + ") t(marker, subject, more, less, unit, places, factor)"
+_FIX = lambda x, n: f"printf('%.{n}f', floor({x} * {10**n} + 0.5 + 1e-9) / {10**n})"
+_SHOWN = lambda c: f"case when places is null then {hour_sql(f'round({c}, 6)')} else case places when 0 then {_FIX(f'(round({c}, 6) * factor)', 0)} when 1 then {_FIX(f'(round({c}, 6) * factor)', 1)} else {_FIX(f'(round({c}, 6) * factor)', 2)} end || unit end"
+_LAST = "regexp_extract(trajectory, '(\\d+)d$', 1)"
+_FOUND = f"""select d.*, subject || ' is ' || case when recent_mean > baseline_mean then more else less end || ': ' || {_SHOWN('recent_mean')} || ' against a usual ' || {_SHOWN('baseline_mean')}
+  || case when starts_with(trajectory, 'sustained') then ', on each of the last ' || {_LAST} || ' days' when starts_with(trajectory, 'drift') then ', growing over the last ' || {_LAST} || ' days'
+     when starts_with(trajectory, 'intermittent') then ', on ' || regexp_extract(trajectory, '(\\d+)d-of-(\\d+)', 1) || ' of the last ' || regexp_extract(trajectory, '(\\d+)d-of-(\\d+)', 2) || ' days' when starts_with(trajectory, 'acute') then ', on one day' else '' end as finding
+from devs d join say on say.marker = d.marker"""
+_HEADS = {"sleep": "Sleep:", "screen": "Screen & attention:", "mobility": "Mobility & location routine:", "social": "Social rhythm & communication:"}
+_PARTS = ", ".join(f"'{v}' || chr(10) || string_agg('  * ' || finding || ' [' || magnitude || ', coverage: ' || coverage || ']', chr(10) order by position) filter (domain = '{k}') as s_{k}" for k, v in _HEADS.items())
+_DOC = f"""select c.pid, c.day, warm, history, confidence, coalesce(case when warm then deviations end, []) as deviations, coalesce(case when warm then patterns end, []) as patterns, coalesce(notes, []) as notes,
+  case when not warm then 'As of ' || c.day || ': ' || history || ' days of history, still learning the baseline.' when deviations is null then 'As of ' || c.day || ': within the typical range; nothing stands out.'
+    else concat_ws(chr(10) || chr(10), 'As of ' || c.day || ' (overall confidence: ' || confidence || '):', s_sleep, s_screen, s_mobility, s_social, 'Patterns:' || chr(10) || pt, 'Caveats:' || chr(10) || nt) end as prose
+from ({_CONF}) c
+left join (select pid, day, list({{'position': position, 'domain': domain, 'marker': marker, 'finding': finding, 'magnitude': magnitude, 'trajectory': trajectory, 'direction': direction, 'coverage': coverage}} order by position) as deviations, {_PARTS} from found group by all) f on f.pid = c.pid and f.day = c.day
+left join (select pid, day, list({{'pattern_position': pattern_position, 'pattern': pattern, 'implicated': implicated}} order by pattern_position) as patterns, string_agg('  * ' || pattern || ' (signals: ' || array_to_string(implicated, ', ') || ')', chr(10) order by pattern_position) as pt from pats group by all) p on p.pid = c.pid and p.day = c.day
+left join (select pid, day, list(note order by position) as notes, string_agg('  * ' || note, chr(10) order by position) as nt from (select q.pid, q.day, s.position, s.domain || '/' || q.marker || ': coverage ' || quality as note from q7 q join spec s on s.marker = q.marker where quality in ('low', 'none')) group by all) n on n.pid = c.pid and n.day = c.day"""
+_STATE = {"q7": _Q7, "say": _SAY, "found": _FOUND, "doc": _DOC}
+
+
+def _doc_sql(query: str, extra: dict[str, str] | None = None) -> str:
+    return with_(["history", "devs", "long", "pats", "spec"], query, {**_STATE, **(extra or {})})
+
+
 _FEED = "feed as (select l_orderkey % 1000 as user_, case l_returnflag when 'A' then 'accept' when 'R' then 'reject' else 'noshow' end as action, 's' || (l_partkey % 50) as suggestion, l_orderkey * 10000000 + l_linenumber * 100000 + l_partkey % 100000 as place from lineitem)"
 _ASS = "ass as (select o_custkey as user_, case left(o_orderpriority, 1) when '1' then 4 when '2' then 3 when '3' then 2 when '4' then 1 end as r, date_sub('day', date '1990-01-01', o_orderdate::date) * 10000000 + o_orderkey as place from orders)"
 _TREND = ", trend as (select u.user_, case when c is null or c <= 3 then 'insufficient_data' when a - b > 0.5 then 'rising' when a - b < -0.5 then 'falling' else 'stable' end as trend from (select distinct user_ from ass) u left join (select user_, count(*) as c, avg(r) filter (n <= 3) as a, avg(r) filter (n > 3) as b from (select *, row_number() over (partition by user_ order by place desc) as n from ass where r is not null) where n <= 6 group by user_) s on s.user_ = u.user_), latest as (select user_, coalesce(['minimal', 'mild', 'moderate', 'severe'][r], 'unknown') as level from (select *, row_number() over (partition by user_ order by place desc) as n from ass) where n = 1)"
+_LINES = """select user_, kind, case kind when 'avoid' then 'Avoid: ' when 'prefer' then 'Prefer: ' else '' end || string_agg(value, ', ' order by place, value) as line from (select *, row_number() over (partition by user_, kind, lower(value) order by place) as n from (
+  select user_, case action when 'accept' then 'prefer' when 'reject' then 'avoid' else 'explicit' end as kind, trim(case when place % 2 = 0 then upper(suggestion) else ' ' || suggestion end) as value, min(place) as place from feed group by all)) where n = 1 group by user_, kind"""
+_PAYLOAD = """select l.pid, l.day, to_json({'behavioral_state': {'confidence': confidence, 'deviations': deviations, 'patterns': patterns, 'notes': notes}, 'behavioral_state_prose': prose, 'calendar': coalesce(cal, []), 'preferences': coalesce(prefs, []), 'feedback': coalesce(told, [])})::varchar as payload
+from (select * from doc where warm qualify row_number() over (partition by pid order by day desc) = 1) l
+left join (select d.pid, list({'start': strftime(s, '%Y-%m-%dT%H:%M'), 'end': strftime(s + to_minutes(30 * (1 + k % 4)), '%Y-%m-%dT%H:%M'), 'title': 'E' || k} order by s, s + to_minutes(30 * (1 + k % 4)), 'E' || k) as cal
+  from (select pid, max(day) as day from doc where warm group by pid) d join (select o_custkey as pid, o_orderkey as k, timestamp '2024-01-01' + to_days((o_orderkey % 37)::int) + to_hours(o_orderkey % 24) as s from orders) o on o.pid = d.pid and s >= d.day and s < d.day + 7 group by d.pid) c on c.pid = l.pid
+left join (select user_, list(line order by kind, line) as prefs from lines group by user_) w on w.user_ = l.pid
+left join (select user_, list({'suggestion': suggestion, 'action': action} order by place, suggestion, action) as told from (select *, row_number() over (partition by user_ order by place desc, suggestion desc, action desc) as n from feed) where n <= 5 group by user_) t on t.user_ = l.pid"""
+_FEEDS = {"feed": _FEED[len("feed as ("):-1], "lines": _LINES}
 SQL = {
     "overall_confidence": with_(["history", "devs", "long"], f"select pid, day, confidence from ({_CONF})", {"q7": _Q7}),
     "coverage_notes": with_(["long", "spec"], "select pid, day, string_agg(s.domain || '/' || q.marker || ': coverage ' || quality, '; ' order by s.position) as notes from q7 q join spec s on s.marker = q.marker where quality in ('low', 'none') group by pid, day", {"q7": _Q7}),
-    "risk_level": with_(["history", "devs", "pats"], """
-select pid, day, case when history < 10 then 'minimal' when s >= 6 or m >= 3 then 'severe' when s >= 3.5 or m >= 2 or p >= 2 then 'moderate' when s >= 1 then 'mild' else 'minimal' end as risk
-from (select h.pid, h.day, h.history, round(coalesce(s, 0) + least(coalesce(p, 0), 3) * 1.25, 9) as s, coalesce(m, 0) as m, coalesce(p, 0) as p from history h
-left join (select pid, day, sum(w * c) as s, count(*) filter (w >= 2 and c >= 0.75) as m from (select *, case magnitude when 'mild' then 1 when 'moderate' then 2 when 'pronounced' then 3 else 0 end as w, case coverage when 'high' then 1.0 when 'medium' then 0.75 when 'low' then 0.4 else 0.0 end as c from devs) group by all) d on d.pid = h.pid and d.day = h.day
-left join (select pid, day, count(*) as p from pats group by all) p on p.pid = h.pid and p.day = h.day)"""),
+    "risk_level": with_(["history", "devs", "pats"], _RISK),
     "risk_from_text": f"select conv_id, turn, case when regexp_matches(lower(text), '{S.SEVERE_WORDS}') then 'moderate' when regexp_matches(lower(text), '{S.MILD_WORDS}') then 'mild' else 'minimal' end as risk from conversations",
     "state_document": with_(["history", "devs", "long"], f"select c.pid, c.day, warm, confidence, case when warm then coalesce(n_dev, 0) else 0 end::int as n_dev, coalesce(n_notes, 0)::int as n_notes from ({_CONF}) c left join (select pid, day, count(*) as n_dev from devs group by all) d on d.pid = c.pid and d.day = c.day left join (select pid, day, count(*) as n_notes from q7 where quality in ('low', 'none') group by all) n on n.pid = c.pid and n.day = c.day", {"q7": _Q7}),
     "latest_warm_state": with_(["history", "devs", "long"], f"select pid, max(day) as day, arg_max(confidence, day) as confidence from ({_CONF}) where warm group by pid", {"q7": _Q7}),
@@ -226,7 +293,9 @@ left join (select pid, day, count(*) as p from pats group by all) p on p.pid = h
     "prompt_prefs": f"""with {_FEED}, v as (select user_, case action when 'accept' then 'prefer' when 'reject' then 'avoid' else 'explicit' end as kind, trim(case when place % 2 = 0 then upper(suggestion) else ' ' || suggestion end) as value, min(place) as place from feed group by all), f as (select *, row_number() over (partition by user_, kind, lower(value) order by place) as n from v)
 select user_ as "user", kind, case kind when 'avoid' then 'Avoid: ' when 'prefer' then 'Prefer: ' else '' end || string_agg(value, ', ' order by place, value) as line from f where n = 1 group by user_, kind""",
     "suggestion_feedback": f"""with {_FEED} select user_ as "user", array_to_string(list_sort(list_distinct(list(suggestion) filter (action = 'accept'))), ',') as accepted, array_to_string(list_sort(list_distinct(list(suggestion) filter (action = 'reject'))), ',') as rejected from feed where action in ('accept', 'reject') group by 1""",
-    "user_context": f"""with {_ASS}{_TREND}, {_FEED}, f as (select user_, count(*) as feedback from feed group by 1) select user_ as "user", coalesce(trend, 'insufficient_data') as trend, coalesce(level, 'unknown') as level, coalesce(feedback, 0) as feedback from trend full join latest using (user_) full join f using (user_)""",
+    "user_context": f"""with {_ASS}{_TREND}, {_FEED}, lines as ({_LINES}), w as (select user_, string_agg(line, '; ' order by kind, line) as preferences from lines group by 1), f as (select user_, count(*) as feedback from feed group by 1)
+select user_ as "user", coalesce(preferences, '') as preferences, coalesce(trend, 'insufficient_data') as trend, coalesce(level, 'unknown') as level, coalesce(feedback, 0) as feedback from trend full join latest using (user_) full join f using (user_) full join w using (user_)""",
+    "risk_history": f"""with {_ASS} select user_ as "user", string_agg(['minimal', 'mild', 'moderate', 'severe'][r], ',' order by place) as history from (select *, row_number() over (partition by user_ order by place desc) as n from ass where r is not null) where n <= 7 group by user_""",
     "journals_by_day": 'select u as "user", day, n from (select *, row_number() over (partition by u order by day desc) as rn from (select o_custkey as u, o_orderdate::date as day, count(*) as n from orders group by all)) where rn <= 10',
     "blank_journals": """select conv_id as "user", string_agg(turn::varchar, ',' order by turn) as blank from conversations where turn % 3 = 0 or text is null or trim(text) = '' group by 1""",
 }
@@ -236,3 +305,21 @@ select pid, day, (row_number() over (partition by pid, day order by kind, place)
   select d.pid, d.day, 0 as kind, row_number() over (partition by d.pid, d.day order by position) as place, replace(marker, '_', ' ') || ' ' || direction as query from devs d
   union all select pid, day, 1, row_number() over (partition by pid, day order by pattern_position), replace(pattern, '-', ' ') from pats) q
 where place <= case kind when 0 then 4 else 3 end and exists (select 1 from history h where h.pid = q.pid and h.day = q.day and h.history >= 10)""")
+
+_SIZE = {
+    "sizes": """select s.pid, s.day, strlen(to_json({'confidence': confidence, 'deviations': deviations, 'patterns': patterns, 'notes': notes, 'prose': prose})::varchar) as state, markers, raw from doc s
+join (select pid, day, sum(strlen(to_json({'marker': marker, 'value': coalesce(""" + _FIX("value", 6) + """, ''), 'coverage': coalesce(""" + _FIX("coverage", 3) + """, '')})::varchar) + 1) + 1 as markers from long group by all) m on m.pid = s.pid and m.day = s.day
+join (select user_id as pid, ts::date as day, sum(strlen(to_json({'ts': strftime(ts, '%Y-%m-%d %H:%M:%S'), 'kind': event_type, 'value': coalesce(""" + _FIX("value", 2) + """, ''), 'props': props})::varchar) + 1) + 1 as raw from events group by all) e on e.pid = s.pid and e.day = s.day"""
+}
+SQL |= {
+    "deviation_findings": with_(["devs"], "select pid, day, marker, finding from found", {"say": _SAY, "found": _FOUND}),
+    "state_prose": _doc_sql("select pid, day, prose from doc"),
+    "sample_prose": _doc_sql("select pid, day, prose from (select *, row_number() over (partition by pid order by day) as n from doc where warm and len(patterns) > 0) where n <= 2 order by pid, day limit 20"),
+    "candidate_days": _doc_sql("select pid, day, confidence, len(deviations)::int as n_dev, len(patterns)::int as n_pat, array_to_string(list_transform(patterns, lambda x: x.pattern), '|') as pattern_names from doc where warm and len(patterns) > 0 and confidence in ('high', 'medium')"),
+    "payload_sizes": _doc_sql("select count(*) as days, " + ", ".join(f"{f}({c}) as {c}_{n}" for c in ("state", "markers", "raw") for n, f in (("mean", "avg"), ("median", "median"))) + ", median(markers / state) as markers_ratio, median(raw / state) as raw_ratio, avg(state) / avg(markers) as state_to_markers, avg(state) / avg(raw) as state_to_raw from sizes", _SIZE),
+    "scheduler_payload": _doc_sql(_PAYLOAD, _FEEDS),
+    "state_field_paths": _doc_sql(r"select path, count(*) as n from (select regexp_replace(regexp_replace(fullkey[3:], '\[\d+\]', '[]', 'g'), '\"', '', 'g') as path from payloads, json_tree(payloads.payload::json)) where path <> '' group by path", {**_FEEDS, "payloads": _PAYLOAD}),
+    "risk_searches": _doc_sql("""select d.pid, d.day, n::int as n, trim(concat_ws(' ', case risk when 'severe' then """ + str(registry.RISK_SEARCHES["severe"]) + """ when 'moderate' then """ + str(registry.RISK_SEARCHES["moderate"]) + """ else """ + str(registry.RISK_SEARCHES[""]) + """ end[n + 1],
+      concat_ws(' ', nullif(array_to_string(list_transform(deviations[1:4], lambda x: replace(x.marker, '_', ' ') || ' ' || left(x.finding, 120)), ' '), ''), nullif(array_to_string(list_transform(patterns[1:3], lambda x: replace(x.pattern, '-', ' ')), ' '), ''), left(prose, 240)))) as query
+      from doc d left join risks r on r.pid = d.pid and r.day = d.day, (select unnest([0, 1]) as n) where warm""", {"risks": _RISK}),
+}

@@ -41,25 +41,53 @@ def new_journals(journals: DataFrame, late: str = "7 days") -> DataFrame:
 
 
 class PairOnOff(StatefulProcessor):
-    """Keeps a device's last screen-off; a screen-on closes it into an interval."""
+    """Keeps a device's last screen-off; a screen-on closes it into an interval, and so does a timer when none comes in time."""
+
+    def __init__(self, longest_hours: float) -> None:
+        self.longest = int(longest_hours * 3_600_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.off = handle.getValueState("off", "at timestamp")
+        self.handle = handle
+        self.off = handle.getValueState("off", "at timestamp, lux double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out = []
         for r in pd.concat(list(rows)).sort_values(["ts", "seq"]).itertuples():
+            if self.off.exists():
+                at, lux = self.off.get()
+                until = pd.Timestamp(at) + pd.Timedelta(milliseconds=self.longest)
+                if not r.off or r.ts >= until:
+                    out.append((key[0], at, min(r.ts, until), lux))
+                    self.off.clear()
             if r.off:
-                self.off.update((r.ts.to_pydatetime(),))
-            elif self.off.exists():
-                out.append((key[0], self.off.get()[0], r.ts))
-                self.off.clear()
-        yield pd.DataFrame(out, columns=["device", "start", "end"])
+                self.off.update((r.ts.to_pydatetime(), None if pd.isna(r.lux) else float(r.lux)))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if self.off.exists():
+            self.handle.registerTimer(int(pd.Timestamp(self.off.get()[0]).tz_localize("UTC").timestamp() * 1000) + self.longest)
+        yield _frame(out, ["device", "start", "end", "lux"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.off.exists():
+            at, lux = self.off.get()
+            out.append((key[0], at, pd.Timestamp(at) + pd.Timedelta(milliseconds=self.longest), lux))
+            self.off.clear()
+        yield _frame(out, ["device", "start", "end", "lux"])
+
 
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=columns)
 
-def pair_on_off(rows: DataFrame) -> DataFrame:
-    """Screen-off intervals of (device, ts, seq, off), across batches."""
-    return rows.groupBy("device").transformWithStateInPandas(PairOnOff(), "device long, start timestamp, end timestamp", "append", "none")
+
+def pair_on_off(rows: DataFrame, late: str = "10 minutes", longest_hours: float = 24.0) -> DataFrame:
+    """Screen-off intervals of (device, ts, seq, off, lux), across batches, in a session whose time zone is UTC.
+
+    The last off before an on counts. One that stays open is closed after `longest_hours`, by the next row or, once the
+    watermark has passed, by a timer.
+    """
+    kept = rows.withWatermark("ts", late).groupBy("device")
+    return kept.transformWithStateInPandas(PairOnOff(longest_hours), "device long, start timestamp, end timestamp, lux double", "append", "eventTime")
 
 
 class ChangedOnly(StatefulProcessor):

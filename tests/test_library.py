@@ -178,7 +178,7 @@ def test_contained_places_make_one_segment(spark):
 def test_findings_and_prose(spark):
     long = B.to_long(spark.createDataFrame([("u", DAY + dt.timedelta(days=i), {"x": 1.0}, *[float(7 if i < 30 else 3) if m == "sleep_duration_hours" else None for m in registry.NAMES]) for i in range(34)], "pid string, day date, coverage map<string,double>, " + ", ".join(f"{m} double" for m in registry.NAMES)))
     p = T.prose(T.state_documents(long)).orderBy("day").collect()
-    assert "still learning" in p[0].prose and "nothing stands out" in p[20].prose and "Sleep has averaged 3.0h (4.0h shorter than typical 7.0h); sustained across the last 4d" in p[-1].prose
+    assert "still learning" in p[0].prose and "nothing stands out" in p[20].prose and "nightly sleep is shorter: 3.0 h against a usual 7.0 h, on each of the last 4 days" in p[-1].prose
 
 
 def test_column_helpers(spark):
