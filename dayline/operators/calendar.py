@@ -30,6 +30,14 @@ def schedule_summary(events: DataFrame) -> DataFrame:
     return per.groupBy("pid").agg(F.sum("n").alias("event_count"), F.round(F.sum("h"), 1).alias("total_hours"), best.alias("busiest_day"), F.count(F.lit(1)).alias("days_covered"))
 
 
+def schedule_tasks(tasks: DataFrame, most: int = 10) -> DataFrame:
+    """(pid, task_count, tasks): the number of a pid's tasks (pid, id, title, due, list) and the `most` due first, as text; undated ones come last."""
+    w = Window.partitionBy("pid")
+    t = tasks.withColumn("_n", F.row_number().over(w.orderBy(F.col("due").asc_nulls_last(), "id"))).withColumn("_c", F.count(F.lit(1)).over(w)).where(F.col("_n") <= most)
+    line = F.concat(F.coalesce("title", F.lit("Untitled")), F.lit(" ("), F.coalesce(F.date_format("due", "yyyy-MM-dd"), F.lit("No due date")), F.lit(", "), F.coalesce("list", F.lit("")), F.lit(")"))
+    return t.groupBy("pid").agg(F.max("_c").alias("task_count"), F.array_join(F.sort_array(F.collect_list(F.struct("_n", line.alias("t"))))["t"], "; ").alias("tasks"))
+
+
 def busy_slots(events: DataFrame) -> DataFrame:
     """(pid, day, slots): the day's events in order as text."""
     slot = F.struct("start", F.concat(F.date_format("start", "HH:mm"), F.lit("-"), F.date_format("end", "HH:mm"), F.lit(" "), F.col("title")).alias("text"))

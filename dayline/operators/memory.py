@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dayline.functions.staging import staged
+
 RISKS = ["minimal", "mild", "moderate", "severe"]
 
 
@@ -66,3 +68,44 @@ def user_context(preferences: DataFrame, assessments: DataFrame, feedback: DataF
     latest = first_rows(assessments, ["user"], [F.col("place").desc()]).select("user", F.coalesce("level", F.lit("unknown")).alias("level"))
     j = risk_trend(assessments).join(latest, "user", "full").join(lines, "user", "full").join(feedback, "user", "full")
     return j.select("user", F.coalesce("preferences", F.lit("")).alias("preferences"), F.coalesce("trend", F.lit("insufficient_data")).alias("trend"), F.coalesce("level", F.lit("unknown")).alias("level"), F.coalesce("feedback", F.lit(0)).alias("feedback"))
+
+
+#: Fields of a session document that the warehouse keeps; proposed changes stay JSON text.
+SESSION = (
+    "journal_summary string, wellbeing struct<risk_level: string, key_concerns: array<string>, positive_indicators: array<string>>, "
+    "recommendations array<struct<category: string, action: string, when: string, when_to_do: string, priority: string, mechanism: string, source: string>>, "
+    "journals array<struct<id: string, entry_number: long, period: string, content: string, created_at: string>>, proposed_changes string"
+)
+
+
+def explode_session(sessions: DataFrame, stored: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Child tables of session documents (session, user, doc as JSON), by name; users appear by their anonymous id only.
+
+    A document without `wellbeing` or proposed changes adds no row there. Of journals with one id of one user the first
+    (by session and place) is kept, and none that `stored` (user, journal_id) has; journals without an id are all kept.
+    A document that isn't JSON is a session with nothing in it.
+    """
+    d = staged(sessions.select("session", anon_id(F.col("user")).alias("user"), F.from_json("doc", SESSION).alias("d")), "sessions")
+    each = lambda field: d.select("session", "user", F.posexplode(f"d.{field}").alias("n", "r"))
+    listed = lambda c: F.coalesce(F.to_json(c), F.lit("[]"))
+    j = each("journals").select("session", "user", "n", F.nullif("r.id", F.lit("")).alias("journal_id"), "r.entry_number", "r.period", "r.content", "r.created_at").withColumn("place", F.struct("session", "n"))
+    known = stored if stored is not None else j.select("user", "journal_id").where("false")
+    return {
+        "users": d.select("user").distinct(),
+        "journal_sessions": d.select("session", "user", F.coalesce(F.size("d.journals"), F.lit(0)).alias("journal_count"), F.col("d.journal_summary").alias("journal_summary")),
+        "wellbeing_assessments": d.where("d.wellbeing is not null").select("session", "user", "d.wellbeing.risk_level", listed("d.wellbeing.key_concerns").alias("key_concerns"), listed("d.wellbeing.positive_indicators").alias("positive_indicators")),
+        "recommendations": each("recommendations").select("session", "n", "r.category", "r.action", F.coalesce(F.nullif("r.when", F.lit("")), "r.when_to_do").alias("when_to_do"), "r.priority", "r.mechanism", "r.source"),
+        "raw_journals": dedupe_journals(j, known).drop("place"),
+        "calendar_proposals": d.where("d.proposed_changes <> '[]'").select("session", "user", F.col("d.proposed_changes").alias("proposed_changes"), F.lit(False).alias("accepted")),
+    }
+
+
+def write_sessions(sessions: DataFrame, folder: str, stored: DataFrame | None = None) -> None:
+    """Append every child table of explode_session to a Parquet table of its name below `folder`; new users only once."""
+    spark = sessions.sparkSession
+    for name, rows in explode_session(sessions, stored).items():
+        path = f"{folder.rstrip('/')}/{name}"
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if name == "users" and where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            rows = rows.join(spark.read.parquet(path), "user", "left_anti")
+        rows.write.mode("append").parquet(path)

@@ -29,6 +29,11 @@ def t_tail(t: Column, df: Column) -> Column:
 def binary_outcomes(df: DataFrame, flags: dict[str, Column], y: str) -> DataFrame:
     """One row for each labelled flag: sizes, means, difference, Cohen's d, Welch's t, df and p of y by flag."""
     long = df.where(F.col(y).isNotNull()).select(F.col(y).alias("y"), F.explode(F.array(*[F.struct(F.lit(k).alias("label"), F.coalesce(c, F.lit(False)).alias("flag")) for k, c in flags.items()])).alias("f")).select("y", "f.*")
+    return two_samples(long)
+
+
+def two_samples(long: DataFrame) -> DataFrame:
+    """The tests of binary_outcomes for rows (label, flag, y) without nulls."""
     yes, no = F.when(F.col("flag"), F.col("y")), F.when(~F.col("flag"), F.col("y"))
     s = long.groupBy("label").agg(F.count(yes).alias("n_yes"), F.count(no).alias("n_no"), F.avg(yes).alias("mean_yes"), F.avg(no).alias("mean_no"), F.var_samp(yes).alias("v1"), F.var_samp(no).alias("v0"))
     n1, n0, v1, v0 = (F.col(c) for c in ("n_yes", "n_no", "v1", "v0"))
@@ -108,40 +113,53 @@ def cluster_bootstrap(df: DataFrame, group: str, flag: str, y: str, reps: int =
     return out.select("reps", *[F.when(F.col("reps") >= least_reps, F.col(c)).alias(c) for c in ("low", "high")])
 
 
-def mixed_model(df: DataFrame, group: str, x: str, y: str, grid: int = 241, rounds: int = 3) -> DataFrame:
-    """Random-intercept model by maximum likelihood: one row with estimate, se, p, variances, ICC and likelihood ratio.
+def mixed_model(df: DataFrame, group: str, x: str, y: str, grid: int = 241, rounds: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
+    """Random-intercept model by maximum likelihood, one row for each value of `by`: estimate, se, p, variances, ICC and likelihood ratio.
 
     A group is six sums. For a ratio of variances the likelihood is a closed form of sums over groups, so each round
-    crosses the group sums with a small grid of ratios and narrows it round the best.
+    crosses the group sums with a small grid of ratios and narrows it round the best of each model. Nothing goes through the driver.
     """
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(group).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    sums = staged(d.groupBy("g").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("y") * F.col("y")).alias("yy")), "group-sums")
-    ratios = [0.0] + [10 ** (-4 + 6 * i / (grid - 2)) for i in range(grid - 1)]
-    for r in range(rounds):
-        fits = _profile(sums, ratios)
-        if r + 1 < rounds:
-            best = fits.agg(F.max_by("ratio", "loglik")).first()[0]  # one number
-            if best is None:
-                break
-            at = min(range(len(ratios)), key=lambda i: abs(ratios[i] - best))
-            lo, hi = ratios[max(at - 1, 0)], ratios[min(at + 1, len(ratios) - 1)]
-            ratios = [lo + (hi - lo) * i / (grid - 1) for i in range(grid)]
-    best = fits.agg(F.max_by(F.struct(*[c for c in fits.columns if c not in ("loglik", "loglik0")]), "loglik").alias("b"), F.max("loglik").alias("loglik")).select("b.*", "loglik")
-    null = _profile(sums, [0.0] + [10 ** (-4 + 6 * i / (grid - 2)) for i in range(grid - 1)]).agg(F.max("loglik0").alias("loglik0"))
-    out = best.join(null).withColumn("lrt", F.greatest(2 * (F.col("loglik") - F.col("loglik0")), F.lit(0.0)))
+    keys = list(by) or ["_model"]
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*(by or [F.lit(0).alias("_model")]), F.col(group).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    sums = staged(d.groupBy(*keys, "g").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("y") * F.col("y")).alias("yy")), "group-sums")
+    ratios = F.array(*[F.lit(v) for v in [0.0] + [10 ** (-4 + 6 * i / (grid - 2)) for i in range(grid - 1)]])
+    first = fits = staged(_profile(sums.select("*", F.posexplode(ratios).alias("i", "ratio")), keys), "fits")
+    at = lambda i: F.get(ratios, i)
+    for _ in range(rounds - 1):
+        spans = fits.groupBy(*keys).agg(F.max_by("i", "loglik").alias("b"), *([F.first("lo").alias("lo"), F.first("hi").alias("hi")] if "lo" in fits.columns else []))
+        low, high = F.greatest(F.col("b") - 1, F.lit(0)), F.least(F.col("b") + 1, F.lit(grid - 1))
+        spans = staged(spans.select(*keys, at(low).alias("lo"), at(high).alias("hi")), "spans")
+        cells = spans.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn("ratio", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (grid - 1))
+        fits = staged(_profile(sums.join(cells.select(*keys, "i", "ratio"), keys), keys).join(spans, keys), "fits")
+        at = lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / (grid - 1)
+    best = fits.groupBy(*keys).agg(F.max_by(F.struct("ratio", "groups", "rows", "estimate", "intercept", "se", "residual"), "loglik").alias("b"), F.max("loglik").alias("loglik")).select(*keys, "b.*", "loglik")
+    out = best.join(first.groupBy(*keys).agg(F.max("loglik0").alias("loglik0")), keys).withColumn("lrt", F.greatest(2 * (F.col("loglik") - F.col("loglik0")), F.lit(0.0)))
     z = F.abs(F.col("estimate") / F.col("se"))
-    return out.select("groups", "rows", "estimate", "se", (2 * normal_tail(z)).alias("p"), (F.col("estimate") - 1.959963984540054 * F.col("se")).alias("low"), (F.col("estimate") + 1.959963984540054 * F.col("se")).alias("high"), "residual", (F.col("residual") * F.col("ratio")).alias("between"), (F.col("ratio") / (1 + F.col("ratio"))).alias("icc"), "loglik", "lrt", (2 * normal_tail(F.sqrt("lrt"))).alias("lrt_p"))
+    return out.select(*by, "groups", "rows", "estimate", "se", (2 * normal_tail(z)).alias("p"), (F.col("estimate") - 1.959963984540054 * F.col("se")).alias("low"), (F.col("estimate") + 1.959963984540054 * F.col("se")).alias("high"), "residual", (F.col("residual") * F.col("ratio")).alias("between"), (F.col("ratio") / (1 + F.col("ratio"))).alias("icc"), "loglik", "lrt", (2 * normal_tail(F.sqrt("lrt"))).alias("lrt_p"))
+
+
+def construct_table(df: DataFrame, person: str = "pid", least_days: int = 3) -> DataFrame:
+    """Tests of labelled days (label, pid, flag, raw, y) for each label: sizes, means, Welch, Cohen's d, the mixed model and ranks within people.
+
+    A person's rank correlation counts when they have `least_days` days on which both flag and y vary.
+    """
+    d = staged(df.where(F.col("y").isNotNull()).withColumn("x", F.coalesce("flag", F.lit(False)).cast("int")), "constructs")
+    t = two_samples(d.select("label", F.col("x").cast("boolean").alias("flag"), "y")).select("label", "n_yes", "n_no", "mean_yes", "mean_no", F.col("p").alias("welch_p"), "cohen_d")
+    raw = d.groupBy("label").agg(F.avg(F.when(F.col("x") == 1, F.col("raw"))).alias("raw_mean_yes"), F.avg(F.when(F.col("x") == 0, F.col("raw"))).alias("raw_mean_no"), F.count_distinct(F.when(F.col("x") == 1, F.col(person))).alias("yes_people"), F.count_distinct(person).alias("people"))
+    m = mixed_model(d, person, "x", "y", by=("label",)).select("label", *[F.col(c).alias(f"mixed_{c}") for c in ("estimate", "se", "p", "low", "high", "icc", "lrt_p")])
+    r = spearman_by_group(d.withColumn("one", F.struct("label", person)), "one", "x", "y", least_days).groupBy("one.label").agg(F.count("r").alias("ranked_people"), F.percentile("r", F.lit(0.5)).alias("median_r"), (100 * F.avg((F.round("r", 9) > 0).cast("int"))).alias("positive_pct"))
+    return t.join(raw, "label").join(m, "label", "left").join(r, "label", "left").fillna(0, ["ranked_people"])
 
 
-def _profile(sums: DataFrame, ratios: list[float]) -> DataFrame:
-    r = sums.withColumn("ratio", F.explode(F.array(*[F.lit(float(v)) for v in ratios])))
+def _profile(r: DataFrame, keys: list[str]) -> DataFrame:
+    """Fits of each model (keys) at each ratio of its grid: group sums with i and ratio."""
     w = F.col("ratio") / (1 + F.col("n") * F.col("ratio"))
     n, x, y = F.col("n"), F.col("x"), F.col("y")
-    a = r.groupBy("ratio").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows"), F.sum(n - w * n * n).alias("a11"), F.sum(x - w * n * x).alias("a12"), F.sum(F.col("xx") - w * x * x).alias("a22"), F.sum(y - w * n * y).alias("b1"), F.sum(F.col("xy") - w * x * y).alias("b2"), F.sum(F.col("yy") - w * y * y).alias("c"), F.sum(F.ln(1 + n * F.col("ratio"))).alias("ld"))
+    a = r.groupBy(*keys, "i", "ratio").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows"), F.sum(n - w * n * n).alias("a11"), F.sum(x - w * n * x).alias("a12"), F.sum(F.col("xx") - w * x * x).alias("a22"), F.sum(y - w * n * y).alias("b1"), F.sum(F.col("xy") - w * x * y).alias("b2"), F.sum(F.col("yy") - w * y * y).alias("c"), F.sum(F.ln(1 + n * F.col("ratio"))).alias("ld"))
     det = F.col("a11") * F.col("a22") - F.col("a12") * F.col("a12")
     a = a.withColumn("det", det).where("det > 1e-12").withColumn("estimate", (F.col("a11") * F.col("b2") - F.col("a12") * F.col("b1")) / F.col("det"))
     a = a.withColumn("intercept", (F.col("a22") * F.col("b1") - F.col("a12") * F.col("b2")) / F.col("det"))
     loglik = lambda rss: -0.5 * (F.col("rows") * (F.ln(2 * math.pi * rss / F.col("rows")) + 1) + F.col("ld"))
     rss = F.col("c") - F.col("b1") * F.col("intercept") - F.col("b2") * F.col("estimate")
     a = a.withColumn("residual", rss / F.col("rows"))
-    return a.select("ratio", "groups", "rows", "estimate", "intercept", F.sqrt(F.col("residual") * F.col("a11") / F.col("det")).alias("se"), "residual", loglik(rss).alias("loglik"), loglik(F.col("c") - F.col("b1") * F.col("b1") / F.col("a11")).alias("loglik0"))
+    return a.select(*keys, "i", "ratio", "groups", "rows", "estimate", "intercept", F.sqrt(F.col("residual") * F.col("a11") / F.col("det")).alias("se"), "residual", loglik(rss).alias("loglik"), loglik(F.col("c") - F.col("b1") * F.col("b1") / F.col("a11")).alias("loglik0"))

@@ -41,6 +41,11 @@ def q_schedule_summary(spark: SparkSession, d: str) -> DataFrame:
     return C.schedule_summary(_calendar(spark, d))
 
 
+def q_schedule_tasks(spark: SparkSession, d: str) -> DataFrame:
+    t = _calendar(spark, d).select("pid", F.col("okey").alias("id"), "title", F.when(F.col("okey") % 6 > 0, F.to_date("start")).alias("due"), F.col("calendar").alias("list"))
+    return C.schedule_tasks(t)
+
+
 def q_busy_slots(spark: SparkSession, d: str) -> DataFrame:
     return C.busy_slots(_calendar(spark, d))
 
@@ -241,6 +246,7 @@ _LOCKED = "lockd as (select pid, s, e from (select pid, ts + to_seconds(floor(va
 SQL = {
     "merge_calendars": f'with {_CAL} select pid, id, s as start, e as "end", title from (select *, row_number() over (partition by pid, id order by s, calendar) as rn from cal where s < timestamp \'{HI}\' and e > timestamp \'{LO}\' and not private) where rn = 1',
     "schedule_summary": f"with {_CAL}, d as (select pid, s::date as day, count(*) as n, sum(date_sub('second', s, e) / 3600.0) as h from cal group by all) select pid, sum(n)::bigint as event_count, round(sum(h), 1)::double as total_hours, first(day order by n desc, day) as busiest_day, count(*) as days_covered from d group by pid",
+    "schedule_tasks": f"with {_CAL} select pid, any_value(c) as task_count, string_agg(title || ' (' || coalesce(strftime(due, '%Y-%m-%d'), 'No due date') || ', ' || calendar || ')', '; ' order by n) as tasks from (select *, row_number() over (partition by pid order by due nulls last, okey) as n, count(*) over (partition by pid) as c from (select *, case when okey % 6 > 0 then s::date end as due from cal)) where n <= 10 group by pid",
     "busy_slots": f"with {_CAL} select pid, s::date as day, string_agg(strftime(s, '%H:%M') || '-' || strftime(e, '%H:%M') || ' ' || title, '; ' order by s, strftime(s, '%H:%M') || '-' || strftime(e, '%H:%M') || ' ' || title) as slots from cal group by all",
     "proposal_conflicts": f"with {_CAL}, {_PROP} select pkey, pid, s as start, title from prop p where action = 'add' and s is not null and not exists (select 1 from cal c where c.pid = p.pid and p.s < c.e - interval 1 minute and c.s < p.e - interval 1 minute)",
     "first_free_slot": f"with {_CAL}{_FREE} select skey, free_day from day",

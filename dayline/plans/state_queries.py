@@ -141,6 +141,40 @@ def q_session_children(spark: SparkSession, d: str) -> DataFrame:
     return x.select("conv_id", "turn", "n", F.col("r.title").alias("title"), F.coalesce("r.when", "r.when_to_do").alias("timing"))
 
 
+def _sessions(spark, d):
+    """One document for each conversation: even turns are recommendations, odd ones journals, every third a proposed change."""
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    of = lambda test, make: F.transform(F.filter("t", test), make)
+    when = lambda x, name, even: F.when(x["turn"] % 4 == even, x["role"]).alias(name)
+    doc = F.struct(
+        F.get("t.text", F.lit(0)).alias("journal_summary"),
+        F.when(F.col("conv_id") % 4 > 0, F.struct(F.when(F.col("conv_id") % 2 == 0, "moderate").otherwise("mild").alias("risk_level"), F.slice("t.role", 1, 2).alias("key_concerns"))).alias("wellbeing"),
+        of(lambda x: x["turn"] % 2 == 0, lambda x: F.struct(x["text"].alias("action"), when(x, "when", 0), when(x, "when_to_do", 2))).alias("recommendations"),
+        of(lambda x: x["turn"] % 2 == 1, lambda x: F.struct(F.when(x["turn"] % 5 > 0, F.concat(F.lit("j"), (x["turn"] % 3).cast("string"))).alias("id"), x["turn"].alias("entry_number"), x["role"].alias("period"), x["text"].alias("content"))).alias("journals"),
+        of(lambda x: x["turn"] % 3 == 2, lambda x: F.struct(x["role"].alias("title"), x["turn"].alias("place"))).alias("proposed_changes"),
+    )
+    return c.select(F.col("conv_id").alias("session"), (F.col("conv_id") % 500).alias("user"), F.to_json(doc).alias("doc"))
+
+
+def q_session_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of all child tables of a session, each with its main content."""
+    t = M.explode_session(_sessions(spark, d))
+    row = lambda name, session, n, content: t[name].select(F.lit(name).alias("child"), session.cast("long").alias("session"), n.cast("long").alias("n"), content.alias("content"))
+    s, zero, md5 = F.col("session"), F.lit(0), lambda *cs: F.md5(F.concat_ws("|", *cs).cast("binary"))
+    parts = [
+        row("users", F.lit(None), zero, F.col("user")),
+        row("journal_sessions", s, zero, md5("user", "journal_count", "journal_summary")),
+        row("wellbeing_assessments", s, zero, F.concat_ws("|", "risk_level", "key_concerns", "positive_indicators")),
+        row("recommendations", s, F.col("n"), md5("action", "when_to_do")),
+        row("raw_journals", s, F.col("entry_number"), md5("user", "journal_id", "period", "content")),
+        row("calendar_proposals", s, zero, F.concat_ws("|", "proposed_changes", "accepted")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _assessments(spark, d):
     digit = F.substring("o_orderpriority", 1, 1).cast("int")
     level = F.when(digit.between(1, 4), F.element_at(F.array(*[F.lit(x) for x in reversed(M.RISKS)]), F.least(digit, F.lit(4))))
@@ -323,3 +357,13 @@ SQL |= {
       concat_ws(' ', nullif(array_to_string(list_transform(deviations[1:4], lambda x: replace(x.marker, '_', ' ') || ' ' || left(x.finding, 120)), ' '), ''), nullif(array_to_string(list_transform(patterns[1:3], lambda x: replace(x.pattern, '-', ' ')), ' '), ''), left(prose, 240)))) as query
       from doc d left join risks r on r.pid = d.pid and r.day = d.day, (select unnest([0, 1]) as n) where warm""", {"risks": _RISK}),
 }
+
+SQL["session_tables"] = """with c as (select *, sha256((conv_id % 500)::varchar) as u from conversations), s as (select conv_id, any_value(u) as u, count(*) filter (turn % 2 = 1) as journals, arg_min(text, turn) as summary, list(role order by turn, role, text)[1:2] as roles,
+  list({'title': role, 'place': turn} order by turn, role, text) filter (turn % 3 = 2) as changes from c group by conv_id)
+select distinct 'users' as child, null::bigint as session, 0::bigint as n, u as content from c
+union all select 'journal_sessions', conv_id, 0, md5(concat_ws('|', u, journals, summary)) from s
+union all select 'wellbeing_assessments', conv_id, 0, case when conv_id % 2 = 0 then 'moderate' else 'mild' end || '|' || to_json(roles)::varchar || '|[]' from s where conv_id % 4 > 0
+union all select 'recommendations', conv_id, row_number() over (partition by conv_id order by turn, role, text) - 1, md5(concat_ws('|', text, role)) from c where turn % 2 = 0
+union all select 'raw_journals', conv_id, turn, md5(concat_ws('|', u, 'j' || (turn % 3), role, text)) from (select *, row_number() over (partition by u, turn % 3 order by conv_id, turn, role, text) as k from c where turn % 2 = 1 and turn % 5 > 0) where k = 1
+union all select 'raw_journals', conv_id, turn, md5(concat_ws('|', u, role, text)) from c where turn % 2 = 1 and turn % 5 = 0
+union all select 'calendar_proposals', conv_id, 0, to_json(changes)::varchar || '|false' from s where len(changes) > 0"""

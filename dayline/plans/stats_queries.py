@@ -176,6 +176,26 @@ def q_construct_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return s.select("state", "outcome", "n_yes", "n_no", *r6("diff"))
 
 
+#: The survey's outcomes in the terms of the derived ones.
+TERMS = {"sleep_hours": "sleep_hours", "sleep_quality": "sleep_quality", "stress_severity": "stress", "pam_valence": "valence"}
+PAIRINGS = [(state, role + ("" if when == "same" else "_NEXT_NIGHT_ALIGNMENT"), TERMS[outcome], when) for state, role, outcome, later in registry.CONSTRUCTS for when in (("same", "next") if later else ("same",))]
+
+
+def _paired(spark: SparkSession, d: str) -> DataFrame:
+    daily = with_flags(B.daily_pipeline(marker_long(spark, d), WARM, R, N).where("warm"))
+    a = daily.join(_aligned(spark, d), ["pid", "day"])
+    turned = lambda c, when: F.col(f"{c}_{when}") * (-1 if c in ("valence", "sleep_hours") else 1)
+    rows = [F.struct(F.lit("/".join((state, role, c, when))).alias("label"), F.col(state.replace("-", "_")).alias("flag"), F.col(f"{c}_{when}").cast("double").alias("y"), turned(c, when).cast("double").alias("raw")) for state, role, c, when in PAIRINGS]
+    return a.select("pid", F.explode(F.array(*rows)).alias("r")).select("pid", "r.*")
+
+
+def q_construct_table(spark: SparkSession, d: str) -> DataFrame:
+    """The stated pairs of state, outcome and alignment with all their tests."""
+    t = S.construct_table(_paired(spark, d))
+    exact = ["n_yes", "n_no", "yes_people", "people", "ranked_people"]
+    return t.select("label", *exact, *r6("mean_yes", "mean_no", "raw_mean_yes", "raw_mean_no", "welch_p", "cohen_d", "positive_pct"), (F.round("median_r", 6) + 0.0).alias("median_r"), *[F.round(c, 4).alias(c) for c in ("mixed_estimate", "mixed_se", "mixed_p", "mixed_icc", "mixed_lrt_p")])
+
+
 def q_risk_above_median(spark: SparkSession, d: str) -> DataFrame:
     j = _joined(spark, d).where("stress is not null")
     middle = j.agg(F.percentile("risk_index", F.lit(0.5)).alias("m"))
@@ -228,6 +248,19 @@ for _k in (1, 2, 3):
         from (select g.*, s.*, ratio / (1 + n * ratio) as w from sums s, grid{_k} g) group by i, ratio)) where det > 1e-12))"""
     _EXTRA[f"grid{_k + 1}"] = f"""select unnest(range(241)) as i, lo + (hi - lo) * unnest(range(241)) / 240.0 as ratio from (
       select (select ratio from grid{_k} where i = greatest(b - 1, 0)) as lo, (select ratio from grid{_k} where i = least(b + 1, 240)) as hi from (select arg_max(i, ll) as b from fit{_k}))"""
+
+
+def _mixed_sql(rows: str) -> dict[str, str]:
+    """Common table expressions m_*: the mixed model of rows (label, pid, x, y) for each label, m_fit3 being the last round."""
+    out = {"m_sums": f"select label, pid, count(*)::double as n, sum(x) as x, sum(y) as y, sum(x * x) as xx, sum(x * y) as xy, sum(y * y) as yy from ({rows}) group by label, pid", "m_grid1": "select label, i, ratio from (select distinct label from m_sums), grid1"}
+    for k in (1, 2, 3):
+        fit = _EXTRA[f"fit{k}"].replace("select i, ratio, count", "select s.label, i, ratio, count").replace("from sums s, grid", "from m_sums s join m_grid").replace(f"grid{k} g)", f"grid{k} g on g.label = s.label)").replace("select g.*, s.*,", "select g.i, g.ratio, s.*,").replace("group by i, ratio", "group by s.label, i, ratio").replace("s.label, i", "label, i")
+        out[f"m_fit{k}"] = fit
+        out[f"m_grid{k + 1}"] = f"""select label, unnest(range(241)) as i, lo + (hi - lo) * unnest(range(241)) / 240.0 as ratio from (
+          select f.label, max(g.ratio) filter (g.i = greatest(b - 1, 0)) as lo, max(g.ratio) filter (g.i = least(b + 1, 240)) as hi from (select label, arg_max(i, ll) as b from m_fit{k} group by label) f join m_grid{k} g on g.label = f.label group by f.label)"""
+    return out
+
+
 _FLAGS_LONG = " union all ".join(f"select '{c}' as label, pid, {c} as flag, stress as y from joined" for c in FLAGS)
 
 
@@ -300,3 +333,14 @@ from (select *, greatest(2 * (ll - (select max(ll0) from fit1)), 0) as lrt from
     "bucket_counts": _Q("select bucket, count(*) as fires, count(stress) as labelled, count(distinct pid) as people from (" + " union all ".join(f"select '{c}' as bucket, pid, stress, {c} as flag from joined" for c in FLAGS) + ") where flag group by bucket"),
 }
 SQL["predictor_comparison"] = _Q("select label, test, round(effect, 6) as effect, round(p, 6) as p from (select label, 'welch' as test, diff as effect, p from (" + _tests_sql(_FLAGS_LONG) + ")" + "".join(f" union all select '{x}', 'spearman', r, p from ({_spearman_sql('joined', x, 'stress')})" for x in ("n_dev", "n_pat", "risk_index", "n_markers_present")) + ")")
+
+_PAIRED = " union all ".join(f"select '{'/'.join((state, role, c, when))}' as label, f.pid, coalesce(f.{state.replace('-', '_')}, false) as flag, a.{c}_{when}::double as y, {'-' if c in ('valence', 'sleep_hours') else ''}a.{c}_{when}::double as raw from flagged f join aligned a on a.pid = f.pid and a.day = f.day" for state, role, c, when in PAIRINGS)
+_PAIR_CTE = {k: _EXTRA[k] for k in (*_AL, "flagged", "grid1")} | {"paired": f"select *, flag::int::double as x from ({_PAIRED}) where y is not null"} | _mixed_sql("select * from paired")
+SQL["construct_table"] = with_(["daily", "history"], f"""
+select t.label, t.n_yes, t.n_no, yes_people, people, coalesce(ranked_people, 0) as ranked_people, round(t.mean_yes, 6) as mean_yes, round(t.mean_no, 6) as mean_no, round(raw_mean_yes, 6) as raw_mean_yes, round(raw_mean_no, 6) as raw_mean_no, round(t.p, 6) as welch_p, round(cohen_d, 6) as cohen_d, round(median_r, 6) + 0.0 as median_r, round(positive_pct, 6) as positive_pct,
+  round(m.estimate, 4) as mixed_estimate, round(m.se, 4) as mixed_se, round({_N2('abs(m.estimate / m.se)')}, 4) as mixed_p, round(m.ratio / (1 + m.ratio), 4) as mixed_icc, round({_N2('sqrt(greatest(2 * (m.ll - m0.ll0), 0))')}, 4) as mixed_lrt_p
+from ({_tests_sql('select label, flag, y from paired')}) t
+join (select label, avg(raw) filter (flag) as raw_mean_yes, avg(raw) filter (not flag) as raw_mean_no, count(distinct pid) filter (flag) as yes_people, count(distinct pid) as people from paired group by label) r on r.label = t.label
+left join (select * from m_fit3 qualify row_number() over (partition by label order by ll desc) = 1) m on m.label = t.label left join (select label, max(ll0) as ll0 from m_fit1 group by label) m0 on m0.label = t.label
+left join (select label, count(*) as ranked_people, median(r) as median_r, 100 * avg((round(r, 9) > 0)::int) as positive_pct from (select label, pid, count(*) as n, corr(rx, ry) as r, stddev_pop(rx) * stddev_pop(ry) as v from (
+  select label, pid, rank() over (partition by label, pid order by x) + (count(*) over (partition by label, pid, x) - 1) / 2.0 as rx, rank() over (partition by label, pid order by y) + (count(*) over (partition by label, pid, y) - 1) / 2.0 as ry from paired) group by label, pid) where n >= 3 and v > 1e-12 group by label) k on k.label = t.label""", _PAIR_CTE)

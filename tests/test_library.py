@@ -387,3 +387,48 @@ def test_times_of_clients_and_broken_payloads(spark):
     logs = [(1, "sleep_state", '{"event": "screen_off", "ts": 1700000000000, "lux": 3.5}'), (2, "sleep_state", 'x "event":"screen_on" "ts":1700000060000'), (3, "sleep_state", "{}"), (4, "context", '{"event": "a", "ts": 1}')]
     d = {r.id: (r.event, r.lux) for r in readers.decode_sleep_states(spark.createDataFrame(logs, "id long, type string, content string")).collect()}
     assert d == {1: ("screen_off", 3.5), 2: ("screen_on", None)}
+
+
+def test_open_pair_is_closed_by_timer(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    at = lambda h: dt.datetime(2024, 5, 1, 20) + dt.timedelta(hours=h)
+    rows = [(1, at(0), 0, True, 3.0), (1, at(1), 1, True, 5.0), (1, at(9), 2, False, None), (2, at(2), 3, True, None), (3, at(0), 4, False, None), (9, at(480), 5, False, None)]
+    df = spark.createDataFrame(rows, "device long, ts timestamp, seq long, off boolean, lux double")
+    got = [tuple(r) for r in streamed(spark, df, jobs.pair_on_off).orderBy("device").collect()]
+    assert got == [(1, at(1), at(9), 5.0), (2, at(2), at(26), None)]
+
+
+def test_field_paths_and_fixed(spark):
+    docs = spark.createDataFrame([('{"a": {"b": [1, {"c": 2}]}}',), ('{"a": 3, "d": []}',), ("not json",), (None,)], "doc string")
+    assert {tuple(r) for r in T.field_paths(docs, "doc").collect()} == {("a", 2), ("a.b", 1), ("a.b[]", 2), ("a.b[].c", 1), ("d", 1)}
+    assert T.field_paths(docs.where("false"), "doc").count() == 0
+    x = spark.createDataFrame([(2.5,), (0.285,), (-0.0,), (None,)], "x double").select(T.fixed(F.col("x"), 0), T.fixed(F.col("x"), 2)).collect()
+    assert [tuple(r) for r in x] == [("3", "2.50"), ("0", "0.29"), ("0", "0.00"), (None, None)]
+
+
+def test_mixed_models_by_label_equal_single_ones(spark):
+    rows = [(label, g, (g + i) % 2, float((g * 7 + i * 3 + len(label)) % 5)) for label in ("a", "bb") for g in range(6) for i in range(5)]
+    df = spark.createDataFrame(rows, "label string, g long, x int, y double")
+    both = {r.label: r.asDict() for r in S.mixed_model(df, "g", "x", "y", by=("label",)).collect()}
+    for label, r in both.items():
+        one = S.mixed_model(df.where(F.col("label") == label), "g", "x", "y").first().asDict()
+        assert all(abs(one[k] - r[k]) < 1e-9 for k in one)
+    assert len(both) == 2 and S.mixed_model(df.where("false"), "g", "x", "y").count() == 0
+
+
+def test_session_tables(spark, tmp_path):
+    doc = '{"journal_summary": "s", "wellbeing": {"risk_level": "mild"}, "recommendations": [{"action": "walk", "when_to_do": "pm"}], "journals": [{"id": "j1", "content": "x"}, {"id": "", "content": "y"}], "proposed_changes": [{"title": "t"}]}'
+    s = spark.createDataFrame([("s1", "u", doc), ("s2", "u", doc), ("s3", "v", "broken"), ("s4", "v", None)], "session string, user string, doc string")
+    for part in (s, s.where("session = 's3'")):
+        Y.write_sessions(part, str(tmp_path / "w"))
+    sizes = {p.name: spark.read.parquet(str(p)).count() for p in (tmp_path / "w").iterdir()}
+    assert sizes == {"users": 2, "journal_sessions": 5, "wellbeing_assessments": 2, "recommendations": 2, "raw_journals": 3, "calendar_proposals": 2}
+
+
+def test_battery_and_map_labels(spark):
+    runs = spark.createDataFrame([("p", "baseline", 1.0, 40, 1), ("p", "active", 7.0, 50, 2), ("q", "active", 9.0, 50, 3), ("q", "baseline", 1.0, 20, 2)], "platform string, profile string, per_hour double, minutes int, place int")
+    pairs = D.battery_pairs(runs)
+    assert {tuple(r) for r in pairs.collect()} == {("p", True, 6.0, "notable"), ("q", False, None, "notable")}
+    assert tuple(D.battery_impact(pairs).first()) == (2, "notable") and tuple(D.battery_impact(pairs.where("false")).first()) == (0, "unknown")
+    tags = spark.createDataFrame([(1, i, t) for i, t in enumerate([{"amenity": "bench", "building": "yes", "name": "Hall"}, {"leisure": "park"}, {"building": " "}, {"building": "no"}, {}])] + [(2, 0, None)], "k int, place int, tags map<string, string>")
+    assert [tuple(r) for r in D.feature_summary(tags, ["k"]).collect()] == [(1, "Nearby map features: buildings, green space. Named places/features: Hall")]
