@@ -68,9 +68,13 @@ def q_feature_summary(spark: SparkSession, d: str) -> DataFrame:
     return D.feature_summary(_tags(spark, d), ["device", "day"])
 
 
+def segment_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of five minutes with a motion and a place."""
+    return _samples(spark, d).select("device", "day", F.col("ts").alias("start"), F.timestamp_add("MINUTE", F.lit(5), F.col("ts")).alias("end"), F.when(F.col("k") < 70, "still").otherwise("walk").alias("motion"), F.when(F.col("k") % 3 == 0, "Cafe").when(F.col("k") % 3 == 1, "Cafe North").otherwise("Library").alias("place"))
+
+
 def q_refine_segments(spark: SparkSession, d: str) -> DataFrame:
-    s = _samples(spark, d).select("device", "day", F.col("ts").alias("start"), F.timestamp_add("MINUTE", F.lit(5), F.col("ts")).alias("end"), F.when(F.col("k") < 70, "still").otherwise("walk").alias("motion"), F.when(F.col("k") % 3 == 0, "Cafe").when(F.col("k") % 3 == 1, "Cafe North").otherwise("Library").alias("place"))
-    return D.refine_segments(s)
+    return D.refine_segments(segment_windows(spark, d))
 
 
 def q_unchanged_periods(spark: SparkSession, d: str) -> DataFrame:

@@ -1,13 +1,23 @@
-"""Event-time versions of the marker jobs. Each has a batch twin and agrees with it once the watermark has passed."""
+"""Event-time versions of the batch operators. Each has a batch twin and agrees with it for all that the watermark has passed.
+
+Late rows: a job forgets a window, session or key once the watermark (the latest event time of the batches before, less
+the allowed lateness) has passed its end, and drops rows that belong to what it has forgotten; rows that come later
+than others but before that count like any.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import DataType, IntegerType, LongType, StructField, StructType
+
+from dayline.operators import device
+from dayline.operators.memory import first_rows
 
 
 def behavioural_days(events: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -17,109 +27,258 @@ def behavioural_days(events: DataFrame, late: str = "2 hours") -> DataFrame:
 
 
 def sensor_windows(samples: DataFrame, late: str = "1 minute", length: str = "15 seconds") -> DataFrame:
-    """Mean acceleration and step range of each device's window."""
-    w = F.window("ts", length)
-    return samples.withWatermark("ts", late).groupBy("device", w.alias("w")).agg(F.avg("accel").alias("accel"), (F.max("steps") - F.min("steps")).alias("steps")).select("device", F.col("w.start").alias("start"), "accel", "steps")
+    """Features of each device's window, by the batch operator itself: its aggregates keep their partial results as state."""
+    return device.window_features(samples.withWatermark("ts", late), length)
 
 
-def weekly_means(days: DataFrame, late: str = "1 day") -> DataFrame:
-    """Mean of a marker over every seven days, one day apart (days: pid, ts, value)."""
-    return days.withWatermark("ts", late).groupBy("pid", F.window("ts", "7 days", "1 day").alias("w")).agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n")).select("pid", F.to_date("w.end").alias("before"), "mean", "n")
+def weekly_means(events: DataFrame, late: str = "2 hours") -> DataFrame:
+    """(pid, before, mean, days): mean of a person's daily sums over every seven days, one day apart (events: pid, ts, value).
+
+    Two aggregations follow one another: a day enters the weeks that hold it once the watermark has closed it.
+    """
+    days = events.withWatermark("ts", late).groupBy("pid", F.window("ts", "1 day").alias("d")).agg(F.sum("value").alias("total"))
+    days = days.select("pid", F.window_time("d").alias("at"), "total")
+    weeks = days.groupBy("pid", F.window("at", "7 days", "1 day").alias("w")).agg(F.avg("total").alias("mean"), F.count(F.lit(1)).alias("days"))
+    return weeks.select("pid", F.to_date("w.end").alias("before"), "mean", "days")
 
 
 def merged_sessions(intervals: DataFrame, gap_seconds: int = 1800, late: str = "1 day") -> DataFrame:
     """Unions of intervals (pid, start, end) whose gaps are at most `gap_seconds`: sessions with a gap of each row's own."""
-    length = F.unix_seconds("end") - F.unix_seconds("start") + gap_seconds
-    s = F.session_window("start", F.concat(length.cast("string"), F.lit(" seconds")))
+    length = F.unix_micros("end") - F.unix_micros("start") + gap_seconds * 1_000_000
+    s = F.session_window("start", F.concat(length.cast("string"), F.lit(" microseconds")))
     return intervals.withWatermark("start", late).groupBy("pid", s.alias("s")).agg(F.min("start").alias("first"), F.max("end").alias("last")).select("pid", "first", "last")
 
 
 def new_journals(journals: DataFrame, late: str = "7 days") -> DataFrame:
-    """Each (user, journal_id) once within the watermark; rows without an id all pass."""
-    j = journals.withColumn("journal_id", F.coalesce("journal_id", F.uuid()))
-    return j.withWatermark("ts", late).dropDuplicatesWithinWatermark(["user", "journal_id"])
+    """Journals (user, journal_id, ts, place, ...) without the repeats of an id within the watermark; rows without an id all pass.
 
+    This spares the store most of the repeats; `journal_ingest` drops the older ones.
+    """
+    j = journals.withColumn("_id", F.coalesce(F.col("journal_id").cast("string"), F.concat(F.lit("row "), F.col("place").cast("string"), F.lit(" "), F.col("ts").cast("string"))))
+    return j.withWatermark("ts", late).dropDuplicatesWithinWatermark(["user", "_id"]).drop("_id")
 
-class PairOnOff(StatefulProcessor):
-    """Keeps a device's last screen-off; a screen-on closes it into an interval, and so does a timer when none comes in time."""
 
-    def __init__(self, longest_hours: float) -> None:
-        self.longest = int(longest_hours * 3_600_000)
+class InOrder(StatefulProcessor):
+    """Folds the rows of a key in order of time, whichever batch they come in.
+
+    Rows wait in a list until the watermark has passed them, and are then handed to `fold` sorted. The state that the
+    fold keeps is closed by a timer once the watermark has passed `closes`, so neither rows nor states stay for ever.
+    Rows are tuples whose first entry is their time. Times are naive ones of UTC, the zone of the session.
+    """
+
+    #: Columns and types of the rows that wait, of the state, and of the results.
+    row = state = out = ""
+
+    def fold(self, key: tuple, state: tuple | None, row: tuple) -> tuple[tuple | None, list[tuple]]:
+        """The state after the row, and the results it brings."""
+        raise NotImplementedError
+
+    def closes(self, state: tuple) -> dt.datetime:
+        """When a state ends by itself."""
+        raise NotImplementedError
+
+    def finish(self, key: tuple, state: tuple) -> list[tuple]:
+        """The results of a state that ends by itself."""
+        return []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.off = handle.getValueState("off", "at timestamp, lux double")
+        self.waiting = handle.getListState("waiting", self.row)
+        self.kept = handle.getValueState("kept", self.state)
+        self.names = [c.split()[0] for c in self.row.split(", ")]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["ts", "seq"]).itertuples():
-            if self.off.exists():
-                at, lux = self.off.get()
-                until = pd.Timestamp(at) + pd.Timedelta(milliseconds=self.longest)
-                if not r.off or r.ts >= until:
-                    out.append((key[0], at, min(r.ts, until), lux))
-                    self.off.clear()
-            if r.off:
-                self.off.update((r.ts.to_pydatetime(), None if pd.isna(r.lux) else float(r.lux)))
+        self.waiting.appendList([tuple(_plain(v) for v in r) for part in rows for r in part[self.names].itertuples(index=False)])
+        yield self._go_on(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._go_on(key, timerValues)
+
+    def _go_on(self, key, timerValues) -> pd.DataFrame:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = [tuple(_plain(v) for v in r) for r in self.waiting.get()] if self.waiting.exists() else []
+        due = sorted((r for r in held if _millis(r[0]) <= now), key=lambda r: tuple((v is not None, v) for v in r))
+        state, out = tuple(_plain(v) for v in self.kept.get()) if self.kept.exists() else None, []
+        for r in due:
+            if state is not None and r[0] >= self.closes(state):
+                out += self.finish(key, state)
+                state = None
+            state, found = self.fold(key, state, r)
+            out += found
+        if state is not None and _millis(self.closes(state)) <= now:
+            out += self.finish(key, state)
+            state = None
+        rest = [r for r in held if _millis(r[0]) > now]
+        if due:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        self.kept.clear() if state is None else self.kept.update(state)
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        if self.off.exists():
-            self.handle.registerTimer(int(pd.Timestamp(self.off.get()[0]).tz_localize("UTC").timestamp() * 1000) + self.longest)
-        yield _frame(out, ["device", "start", "end", "lux"])
+        wake = [_millis(r[0]) for r in rest] + ([_millis(self.closes(state))] if state is not None else [])
+        if wake:
+            self.handle.registerTimer(min(wake) + 1)
+        return pd.DataFrame(out, columns=[c.split()[0] for c in self.out.split(", ")])
+
+
+def _plain(v):
+    """A value as the state store takes it: no NaN, no NaT, no pandas or numpy scalar."""
+    if v is None or v != v:
+        return None
+    if isinstance(v, pd.Timestamp):
+        return v.to_pydatetime().replace(tzinfo=None)
+    return v.item() if hasattr(v, "item") else v
+
+
+def _millis(t: dt.datetime) -> int:
+    return (t.replace(tzinfo=None) - dt.datetime(1970, 1, 1)) // dt.timedelta(milliseconds=1)
+
+
+class PairOnOff(InOrder):
+    """Keeps a device's last screen-off; a screen-on closes it into an interval, and so does a timer when none comes in time."""
+
+    row, state, out = "ts timestamp, seq long, off boolean, lux double", "at timestamp, lux double", "device long, start timestamp, end timestamp, lux double"
+
+    def __init__(self, longest_hours: float) -> None:
+        self.longest = dt.timedelta(hours=longest_hours)
+
+    def fold(self, key, state, row):
+        ts, _, off, lux = row
+        out = [(key[0], state[0], ts, state[1])] if state and not off else []
+        return ((ts, lux) if off else None), out
+
+    def closes(self, state):
+        return state[0] + self.longest
+
+    def finish(self, key, state):
+        return [(key[0], state[0], self.closes(state), state[1])]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.off.exists():
-            at, lux = self.off.get()
-            out.append((key[0], at, pd.Timestamp(at) + pd.Timedelta(milliseconds=self.longest), lux))
-            self.off.clear()
-        yield _frame(out, ["device", "start", "end", "lux"])
 
+class ChangedOnly(InOrder):
+    """Lets a period pass when its fingerprint differs from the device's last, which is forgotten after `ttl_days` without one."""
 
-def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=columns)
+    row, state, out = "ts timestamp, fingerprint string", "at timestamp, fingerprint string", "device long, ts timestamp, fingerprint string"
+
+    def __init__(self, ttl_days: float) -> None:
+        self.ttl = dt.timedelta(days=ttl_days)
+
+    def fold(self, key, state, row):
+        ts, fingerprint = row
+        return (ts, fingerprint), ([] if state and state[1] == fingerprint else [(key[0], ts, fingerprint)])
+
+    def closes(self, state):
+        return state[0] + self.ttl
+
+
+class OpenSegment(InOrder):
+    """Keeps a device's open segment; a window that doesn't fit closes it, and so does the end of its day."""
+
+    row, state = "ts timestamp, end timestamp, motion string, place string", "start timestamp, end timestamp, motion string, place string"
+    out = "device long, day date, start timestamp, end timestamp, motion string, place string"
+
+    def fold(self, key, state, row):
+        ts, end, motion, place = row
+        if state and state[2] == motion and _contain(state[3], place):
+            longer = place if state[3] is None or len(place) >= len(state[3]) else state[3]
+            return (state[0], end, motion, longer), []
+        return row, (self.finish(key, state) if state else [])
+
+    def closes(self, state):
+        return dt.datetime.combine(state[0].date() + dt.timedelta(days=1), dt.time())
+
+    def finish(self, key, state):
+        return [(key[0], state[0].date(), *state)]
+
+
+def _contain(a: str | None, b: str | None) -> bool:
+    return a == b if a is None or b is None else a.lower() in b.lower() or b.lower() in a.lower()
+
+
+def _in_order(rows: DataFrame, processor: InOrder, late: str) -> DataFrame:
+    """Runs a processor over rows (device, ts, ...), in a session whose zone is UTC and whose state store is RocksDB."""
+    return rows.withWatermark("ts", late).groupBy("device").transformWithStateInPandas(processor, processor.out, "append", "eventTime")
 
 
 def pair_on_off(rows: DataFrame, late: str = "10 minutes", longest_hours: float = 24.0) -> DataFrame:
-    """Screen-off intervals of (device, ts, seq, off, lux), across batches, in a session whose time zone is UTC.
+    """Screen-off intervals of (device, ts, seq, off, lux), across batches. The last off before an on counts; one that stays open ends after `longest_hours`."""
+    return _in_order(rows, PairOnOff(longest_hours), late)
+
 
-    The last off before an on counts. One that stays open is closed after `longest_hours`, by the next row or, once the
-    watermark has passed, by a timer.
+def changed_periods(rows: DataFrame, late: str = "1 day", ttl_days: float = 30.0) -> DataFrame:
+    """Periods (device, ts, fingerprint) whose fingerprint differs from that of the device's period before."""
+    return _in_order(rows, ChangedOnly(ttl_days), late)
+
+
+def refined_segments(windows: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Neighbouring windows (device, ts, end, motion, place) of a day folded where the motion is equal and one place contains the other."""
+    return _in_order(windows, OpenSegment(), late)
+
+
+def journal_ingest(folder: str, parts: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that stores the journals of a batch whose (user, journal_id) isn't stored yet, the first by (ts, place); null ids all.
+
+    The store in `folder` has a partition for each batch and part of the users. A batch that is tried again doesn't see
+    its own rows and replaces them, so it changes nothing; only the parts that hold the batch's users are read.
     """
-    kept = rows.withWatermark("ts", late).groupBy("device")
-    return kept.transformWithStateInPandas(PairOnOff(longest_hours), "device long, start timestamp, end timestamp, lux double", "append", "eventTime")
 
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.withColumn("part", F.pmod(F.xxhash64("user"), F.lit(parts)).cast("int"))
+        known = fresh.where("journal_id is not null")
+        if _has_rows(spark, folder):
+            touched = [r[0] for r in fresh.select("part").distinct().collect()]  # `parts` at most
+            stored = _store(spark, folder, batch).where((F.col("batch") != number) & F.col("part").isin(touched))
+            known = known.join(stored.select("part", "user", "journal_id"), ["part", "user", "journal_id"], "left_anti")
+        known = first_rows(known, ["user", "journal_id"], [F.col("ts"), F.col("place")])
+        out = known.select(fresh.columns).unionByName(fresh.where("journal_id is null"))
+        out.write.mode("overwrite").partitionBy("part").parquet(f"{folder}/batch={number}")
 
-class ChangedOnly(StatefulProcessor):
-    """Lets a period pass when its fingerprint differs from the device's last."""
+    return run
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "fingerprint string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        before = self.last.get()[0] if self.last.exists() else None
-        for r in pd.concat(list(rows)).sort_values("ts").itertuples():
-            if r.fingerprint != before:
-                out.append((key[0], r.ts, r.fingerprint))
-                before = r.fingerprint
-        self.last.update((before,))
-        yield pd.DataFrame(out, columns=["device", "ts", "fingerprint"])
+def _has_rows(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def _store(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
+    """All rows of a store written by batch and part."""
+    return spark.read.schema(_with(like, batch=LongType(), part=IntegerType())).parquet(folder)
+
 
+def _with(like: DataFrame, **more: DataType) -> StructType:
+    return StructType([*like.schema.fields, *[StructField(k, t) for k, t in more.items()]])
 
-def changed_periods(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("device").transformWithStateInPandas(ChangedOnly(), "device long, ts timestamp, fingerprint string", "append", "none")
 
+def stored_journals(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
+    return _store(spark, folder, like).drop("batch", "part")
 
-def deviations_of_batch(history: Callable[[], DataFrame], detect: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame], None], reach_days: int = 25):
-    """A foreachBatch function: recomputes the days that a batch of marker days (pid, day) can change.
 
-    A late day changes its own results and those of the `reach_days` after it; only people in the batch are read again.
+def deviation_ingest(folder: str, detect: Callable[[DataFrame], DataFrame], reach_days: int) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: stores a batch of marker days (pid, day, marker, ...) and computes again what they can change.
+
+    A late day changes its own results and those of the `reach_days` after it. The batch's rows, and the results of all
+    days it touches, each go to a folder of the batch's own, which a second try replaces: the same batch twice gives one
+    result. Only people in the batch are read again. A touched day has a row without marker, so that results that no
+    longer hold go (`current_deviations`).
     """
 
-    def run(batch: DataFrame, _id: int) -> None:
-        touched = batch.groupBy("pid").agg(F.min("day").alias("since"), F.date_add(F.max("day"), reach_days).alias("until"))
-        again = detect(history().join(touched.select("pid"), "pid", "left_semi"))
-        sink(again.join(touched, "pid").where((F.col("day") >= F.col("since")) & (F.col("day") <= F.col("until"))).drop("since", "until"))
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{folder}/history/batch={number}")
+        history = spark.read.schema(_with(batch, batch=LongType())).parquet(f"{folder}/history").where(F.col("batch") <= number)
+        mine = history.where(F.col("batch") == number)
+        touched = mine.groupBy("pid").agg(F.min("day").alias("since"), F.date_add(F.max("day"), reach_days).alias("until"))
+        newest = Window.partitionBy("pid", "day", "marker").orderBy(F.col("batch").desc())
+        days = history.join(touched.select("pid"), "pid", "left_semi").withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n", "batch")
+        again = detect(days).join(touched, "pid").where("day between since and until").drop("since", "until")
+        marks = touched.select("pid", F.explode(F.sequence("since", "until")).alias("day"))
+        again.unionByName(marks, allowMissingColumns=True).write.mode("overwrite").parquet(f"{folder}/results/batch={number}")
 
     return run
+
+
+def current_deviations(spark: SparkSession, folder: str) -> DataFrame:
+    """The results that hold: of each (pid, day) those of the newest batch that touched it."""
+    rows = spark.read.parquet(f"{folder}/results")
+    last = F.max("batch").over(Window.partitionBy("pid", "day"))
+    return rows.withColumn("_last", last).where("batch = _last and marker is not null").drop("_last", "batch")

@@ -248,14 +248,6 @@ def test_stream_equals_batch(spark):
     assert [(r.first, r.last) for r in got] == [(t0, t0 + dt.timedelta(minutes=50)), (t0 + dt.timedelta(minutes=80, seconds=1), t0 + dt.timedelta(minutes=90))]
 
 
-def test_batch_recomputes_the_days_that_can_change(spark):
-    history = long_days(spark, [7.0] * 40)
-    seen = []
-    run = jobs.deviations_of_batch(lambda: history, lambda h: h.select("pid", "day"), lambda d: seen.append(d.collect()), 3)
-    run(spark.createDataFrame([("u1", DAY + dt.timedelta(days=10))], "pid string, day date"), 0)
-    assert {r.day for r in seen[0]} == {DAY + dt.timedelta(days=i) for i in range(10, 14)}
-
-
 def test_every_query_with_sql_names_the_same_columns():
     assert set(plans.oracle_sql()) <= set(plans.queries())
 
