@@ -215,15 +215,8 @@ def test_sources(spark):
     assert [(r.pid, r.stress) for r in O.stress_daily(a).collect()] == [("u01", 2.0)]
     put("f.jsonl", '{"action": "accept"}\nnot json\n')
     assert [r.action for r in readers.read_feedback(spark, tmp + "/f.jsonl").collect()] == ["accept"]
-    text = "Entry #1\nCreated: a\nPeriod: am\n\nfirst\n" + "=" * 45 + "\nnoise\n" + "=" * 40 + "\nEntry #2\nCreated: b\nPeriod: pm\n\nsecond\n"
-    j = readers.parse_journals(spark.createDataFrame([("old", 1, "x"), ("new", 2, text)], "path string, modified int, text string")).collect()
-    assert [(r.number, r.period, r.content) for r in j] == [(2, "pm", "second"), (1, "am", "first")]
     logs = spark.createDataFrame([(1, 5, "battery", '{"level": 3}'), (2, 6, "battery", "{bad"), (3, 7, "x", "{}")], "id int, timestamp int, type string, content string")
     assert [r.level for r in readers.decode_logs(logs, "battery", "level int").collect()] == [3]
-    assert readers.recent_logs(logs, 2).count() == 2 and readers.logs_between(logs, F.lit(5), F.lit(7)).count() == 2
-    out = readers.export_journals(spark.createDataFrame([("u", "t", "am", "hi")], "user string, created string, period string, content string"))
-    readers.write_table(out, tmp + "/out", "json")
-    assert spark.read.json(tmp + "/out").first().text.startswith("Entry #1")
 
 
 def streamed(spark, df, job, mode="append"):
