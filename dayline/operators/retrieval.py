@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayline.functions.columns import clip, json_object
+from dayline.functions.staging import staged
 
 
 def chunk_pages(pages: DataFrame, n: int = 6, fallback: str = "untitled") -> DataFrame:
@@ -111,30 +113,56 @@ def _kept(top: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return np.take_along_axis(top, order, 1), np.take_along_axis(ids, order, 1)
 
 
+def _search_cell(k: int, skip_self: bool):
+    """The k best of the rows (id, vector, category) of a cogroup's right side for each query (id, vector, category) of its left side."""
+
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        empty = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+        if not queries.num_rows or not rows.num_rows:
+            return empty
+        same = "category" in queries.column_names
+        search = _search(queries.column("id").to_numpy(), _units(queries.column("vector").to_pylist()), queries.column("category").to_numpy() if same else None, k, skip_self)
+        return pa.Table.from_batches(search(iter(rows.select(["id", "vector", *(["category"] if same else [])]).to_batches())))
+
+    return run
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "id")
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def _vectors(df: DataFrame, key: str, same: str | None = None) -> DataFrame:
+    """(id, vector[, category]) of usable vectors."""
+    extra = [F.col(same).cast("long").alias("category")] if same else []
+    return df.where(_usable(F.col("vector"))).select(F.col(key).cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), *extra)
+
+
+_FOUND = "query_id long, id long, cosine double"
+
+
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, same: str | None = None, skip_self: bool = False, block: int = 16_384) -> DataFrame:
     """(query_id, id, cosine, place): the k nearest rows of corpus (id, vector) for each of (query_id, vector).
 
-    Exact: queries against all rows, in blocks of about `block` queries. A block is counted, travels to all tasks, and each
-    task multiplies its rows with it and sends on the k best of each query. `same` names an integer column that must be
-    equal in both; `skip_self` leaves out the row whose id is the query's. Cosines are rounded to 9 decimals, equal ones go
-    by id. Vectors that are null, empty, zero or hold null or NaN find nothing and are never found.
+    Exact: queries against all rows. Up to `block` counted queries travel to all tasks, so the rows stay where they are.
+    More of them meet the rows in cells of a part of the queries and a part of the rows, each of about `block`: every
+    query goes to all parts of the rows and every row to all parts of the queries, as one plan whatever their number.
+    A cell sends on the k best of each of its queries. `same` names an integer column that must be equal in both;
+    `skip_self` leaves out the row whose id is the query's. Cosines are rounded to 9 decimals, equal ones go by id.
+    Vectors that are null, empty, zero or hold null or NaN find nothing and are never found.
     """
-    extra = [F.col(same).cast("long").alias("category")] if same else []
-    q = queries.where(_usable(F.col("vector"))).select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"), *extra)
-    c = corpus.where(_usable(F.col("vector"))).select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), *extra)
-    blocks = max(1, -(-q.count() // block))
-    found = None
-    for b in range(blocks):
-        t = (q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else q).toArrow()  # about `block` rows
-        category = t.column("category").to_numpy() if same else None
+    q, c = _vectors(queries, "query_id", same), _vectors(corpus, "id", same)
+    many = q.count()
+    if many <= block:
+        t = q.toArrow()  # `block` rows at most
         units = _units(t.column("vector").to_pylist()) if t.num_rows else np.empty((0, 0))
-        if t.num_rows:
-            part = c.mapInArrow(_search(t.column("query_id").to_numpy(), units, category, k, skip_self), "query_id long, id long, cosine double")
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = c.limit(0).select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("cosine"))
-    w = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "id")
-    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+        search = _search(t.column("id").to_numpy(), units, t.column("category").to_numpy() if same else None, k, skip_self)
+        found = c.mapInArrow(search, _FOUND) if t.num_rows else c.limit(0).select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("cosine"))
+        return _top(found, k)
+    parts = {"qs": -(-many // block), "rs": max(1, -(-c.count() // block))}
+    spread = lambda df, own, other: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(parts[own]))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts[other] - 1).cast("long"))))
+    cells = lambda df, own, other: spread(df, own, other).groupBy("qs", "rs")
+    return _top(cells(q, "qs", "rs").cogroup(cells(c, "rs", "qs")).applyInArrow(_search_cell(k, skip_self), _FOUND), k)
 
 
 def _cells_of(centres: np.ndarray, probes: int):
@@ -150,53 +178,77 @@ def _cells_of(centres: np.ndarray, probes: int):
     return run
 
 
-def _cell_search(k: int, skip_self: bool):
-    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
-        if not queries.num_rows or not rows.num_rows:
-            return empty
-        search = _search(queries.column("id").to_numpy(), _units(queries.column("vector").to_pylist()), None, k, skip_self)
-        return pa.Table.from_batches(search(iter(rows.select(["id", "vector"]).to_batches())))
+@dataclass
+class CellIndex:
+    """Vectors filed by the nearest of k-means centres, for an approximate search that looks into a query's nearest cells.
 
-    return run
+    `rows` (id, vector, cell) is every row of the corpus, written; `sizes` (cell, n) counts them.
+    """
+
+    centres: np.ndarray
+    rows: DataFrame
+    sizes: DataFrame
+
+    @classmethod
+    def fit(cls, corpus: DataFrame, cell: int = 1000, seed: int = 3, sample: int = 64) -> CellIndex:
+        """Centres, one for `cell` rows, 2 to 4,096 of them, fitted on `sample` rows for each, drawn by hash; then all rows are filed."""
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
+
+        rows = _vectors(corpus, "id")
+        n = rows.count()
+        cells = max(2, min(4096, n // cell))
+        drawn = _drawn(rows, sample * cells, n, seed).select(array_to_vector("vector").alias("features"))
+        fit = KMeans(k=cells, seed=seed, distanceMeasure="cosine", maxIter=10).fit(drawn)
+        centres = _units([list(c) for c in fit.clusterCenters()])
+        filed = staged(rows.mapInArrow(_cells_of(centres, 1), "id long, vector array<double>, cell int"), "cell-index")
+        return cls(centres, filed, staged(filed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell-sizes"))
+
+    def probing(self, queries: DataFrame, probes: int) -> DataFrame:
+        """(id, vector, cell): each query (query_id, vector) with its `probes` nearest cells."""
+        return _vectors(queries, "query_id").mapInArrow(_cells_of(self.centres, probes), "id long, vector array<double>, cell int")
+
+    def probes_for(self, queries: DataFrame, k: int, recall: float, skip_self: bool = False, trials: int = 256, seed: int = 3) -> int:
+        """How many nearest cells hold the share `recall` of true neighbours, measured: `trials` queries drawn by hash are answered exactly."""
+        asked = _vectors(queries, "query_id")
+        trial = _drawn(asked, trials, asked.count(), seed).limit(2 * trials)
+        trial = staged(trial if not trial.isEmpty() else asked.limit(trials), "trial-queries").withColumnRenamed("id", "query_id")
+        true = vector_topk(trial, self.rows, k, skip_self=skip_self).select("query_id", "id")
+        order = self.probing(trial, len(self.centres)).groupBy("id").agg(F.collect_list("cell").alias("order"))  # 2 * trials at most
+        ranks = true.join(self.rows.select("id", "cell"), "id").join(F.broadcast(order.withColumnRenamed("id", "query_id")), "query_id").select(F.array_position("order", F.col("cell")).alias("rank"))
+        return int(np.ceil(ranks.agg(F.coalesce(F.percentile("rank", F.lit(recall)), F.lit(1.0))).first()[0]))
+
+    def search(self, queries: DataFrame, k: int, probes: int, skip_self: bool = False, part: int = 4096) -> DataFrame:
+        """(query_id, id, cosine, place) among the rows of each query's cells.
+
+        Queries and rows meet by cell, in parts of about `part` of either, so that a hot cell is many tasks.
+        """
+        probing = self.probing(queries, probes)
+        asked = probing.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / part).alias("qs"))
+        sizes = F.broadcast(asked.join(self.sizes.select("cell", F.ceil(F.col("n") / part).alias("rs")), "cell"))  # a row for each cell
+        spread = lambda df, own, other: df.join(sizes, "cell").select("id", "vector", "cell", F.pmod(F.xxhash64("id"), F.col(own)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other))
+        keys = ["cell", "qs", "rs"]
+        return _top(spread(probing, "qs", "rs").groupBy(*keys).cogroup(spread(self.rows, "rs", "qs").groupBy(*keys)).applyInArrow(_search_cell(k, skip_self), _FOUND), k)
+
+    def work(self, queries: DataFrame, probes: int) -> DataFrame:
+        """(query_id, compared): how many rows each query is compared with."""
+        return self.probing(queries, probes).join(F.broadcast(self.sizes), "cell").groupBy(F.col("id").alias("query_id")).agg(F.sum("n").alias("compared"))
+
+
+def _drawn(rows: DataFrame, wanted: int, of: int, seed: int) -> DataFrame:
+    """About `wanted` of the `of` rows, by hash of their ids."""
+    return rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, wanted / max(of, 1)))))
 
 
 def vector_topk_lsh(queries: DataFrame, corpus: DataFrame, k: int, recall: float = 0.95, skip_self: bool = False, cell: int = 1000, part: int = 4096, seed: int = 3) -> DataFrame:
-    """(query_id, id, cosine, place) of an approximate search: every row is indexed by the nearest of k-means centres.
+    """(query_id, id, cosine, place) of an approximate search through a CellIndex that holds every row of corpus.
 
-    The centres are fitted on 64 rows for each of them, drawn by hash, one centre for `cell` rows, 4,096 at most. How
-    many cells a query probes is measured, not guessed: 256 queries drawn by hash are answered exactly, and `probes` is the
-    number of nearest cells that hold the share `recall` of their true neighbours. Queries and rows meet by cell, in parts
-    of about `part` of either, so that a hot cell is many tasks; within a part cosines are exact.
+    How many cells a query looks into is measured for the wanted `recall`. Queries without a usable vector find nothing.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = corpus.where(_usable(F.col("vector"))).select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
-    asked = queries.where(_usable(F.col("vector"))).select(F.col("query_id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
-    n, many = rows.count(), asked.count()
-    cells = max(1, min(4096, n // cell))
-    drawn = lambda df, wanted, of: df.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, wanted / max(of, 1)))))
-    if cells == 1 or not many:
+    if _vectors(queries, "query_id").isEmpty() or _vectors(corpus, "id").isEmpty():
         return vector_topk(queries, corpus, k, skip_self=skip_self)
-    fit = KMeans(k=cells, seed=seed, distanceMeasure="cosine", maxIter=10).fit(drawn(rows, 64 * cells, n).select(array_to_vector("vector").alias("features")))
-    centres = _units([list(c) for c in fit.clusterCenters()])
-    trial = drawn(asked, 256, many)
-    trial = trial if not trial.isEmpty() else asked.limit(256)
-    true = vector_topk(trial.select(F.col("id").alias("query_id"), "vector"), rows, k, skip_self=skip_self).select("query_id", "id")
-    at_home = rows.mapInArrow(_cells_of(centres, 1), "id long, vector array<double>, cell int")
-    order = trial.mapInArrow(_cells_of(centres, len(centres)), "id long, vector array<double>, cell int").groupBy("id").agg(F.collect_list("cell").alias("order"))  # 256 queries
-    ranks = true.join(at_home.select("id", "cell"), "id").join(F.broadcast(order.withColumnRenamed("id", "query_id")), "query_id").select(F.array_position("order", F.col("cell")).alias("rank"))
-    probes = int(np.ceil(ranks.agg(F.coalesce(F.percentile("rank", F.lit(recall)), F.lit(1.0))).first()[0]))
-
-    probing = asked.mapInArrow(_cells_of(centres, probes), "id long, vector array<double>, cell int")
-    parts = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / part).alias(name))
-    sizes = F.broadcast(parts(probing, "qs").join(parts(at_home, "rs"), "cell"))  # a row for each cell
-    spread = lambda df, own, other: df.join(sizes, "cell").select("id", "vector", "cell", F.pmod(F.xxhash64("id"), F.col(own)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other))
-    keys = ["cell", "qs", "rs"]
-    found = spread(probing, "qs", "rs").groupBy(*keys).cogroup(spread(at_home, "rs", "qs").groupBy(*keys)).applyInArrow(_cell_search(k, skip_self), "query_id long, id long, cosine double")
-    w = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "id")
-    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    index = CellIndex.fit(corpus, cell, seed)
+    return index.search(queries, k, index.probes_for(queries, k, recall, skip_self, seed=seed), skip_self, part)
 
 
 def nearest_category(rows: DataFrame, centres: DataFrame, most: int = 4096) -> DataFrame:

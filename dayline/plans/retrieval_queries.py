@@ -58,12 +58,20 @@ def q_vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return _hits(spark, d).select("query_id", "id", *r6("cosine"), "place")
 
 
+#: Rows of a cell of the approximate search: the smallest table has several.
+CELL = 64
+
+
 def q_vector_topk_lsh(spark: SparkSession, d: str) -> DataFrame:
-    """How much of the exact answer the approximate search finds, over all queries."""
+    """What an approximate search over several cells finds of each query's true neighbours, and how many of all rows it compares."""
     q, c = _queries(spark, d), _corpus(spark, d)
-    near = R.vector_topk_lsh(q, c, K, skip_self=True).select("query_id", "id", F.lit(1).alias("found"))
-    both = R.vector_topk(q, c, K, skip_self=True).select("query_id", "id").join(near, ["query_id", "id"], "left")
-    return both.agg(F.count(F.lit(1)).alias("wanted"), (F.count("found") / F.count(F.lit(1)) >= 0.9).alias("recall_reached"))
+    index = R.CellIndex.fit(c, CELL)
+    probes = index.probes_for(q, K, 0.95, skip_self=True)
+    near = index.search(q, K, probes, skip_self=True).select("query_id", "id", F.lit(1).alias("found"))
+    true = R.vector_topk(q, c, K, skip_self=True).select("query_id", "id").join(near, ["query_id", "id"], "left")
+    per = true.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"), F.count("found").alias("found"))
+    whole = F.broadcast(per.agg((F.sum("found") / F.sum("wanted")).alias("recall")).join(index.sizes.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("cells"))))  # one row
+    return per.join(index.work(q, probes), "query_id").join(whole).withColumn("probes", F.lit(probes))
 
 
 def _filtered(spark, d):
@@ -168,7 +176,6 @@ t as (select item_id as title_id, list_distinct(regexp_extract_all(lower(text),
 select file_id, title_id, round(score, 6) as score from (select *, row_number() over (partition by file_id order by score desc, title_id) as rn from (select file_id, title_id, len(list_intersect(ft, tt)) / len(ft)::double as score from f, t where len(ft) > 0) where score >= 0.3) where rn = 1""",
     "vector_topk": _TOP + "select query_id, id, round(cosine, 6) as cosine, place from h",
     "topk_fallback": _TOP + f"select query_id, id, round(cosine, 6) as cosine, place from (select *, row_number() over (partition by query_id order by cosine desc, id) as place from s where query_id % 100 <> 0 or category = wanted) where place <= {K}",
-    "vector_topk_lsh": _TOP + "select count(*) as wanted, true as recall_reached from h",
     "nearest_category": f"""with e as (select vec_id, label, {_U} as u from embeddings), l as (select label, i, avg(x) as x from (select label, unnest(u) as x, generate_subscripts(u, 1) as i from e) group by all),
 c as (select label, list(x order by i) as v from l group by label), cu as (select label, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as v from c)
 select vec_id, label as category from (select vec_id, c.label, row_number() over (partition by vec_id order by round(list_dot_product(u, v), 9) desc, c.label) as rn from e, cu c) where rn = 1""",

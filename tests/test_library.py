@@ -324,6 +324,15 @@ def test_vector_searches_equal_brute_force(spark):
         assert {(r.query_id, r.place): r.id for r in got} == {(i, p + 1): j for i in range(0, 900, 20) for p, j in enumerate(want(i))}
     got = retrieval.vector_topk(queries, corpus, 5, same="kind", skip_self=True).collect()
     assert {(r.query_id, r.place): r.id for r in got} == {(i, p + 1): j for i in range(0, 900, 20) for p, j in enumerate(want(i, i % 3))}
+    got = retrieval.vector_topk(queries, corpus, 5, same="kind", skip_self=True, block=11).collect()
+    assert {(r.query_id, r.place): r.id for r in got} == {(i, p + 1): j for i in range(0, 900, 20) for p, j in enumerate(want(i, i % 3))}
+    index = retrieval.CellIndex.fit(corpus, 60)
+    assert len(index.centres) == 15 and index.sizes.agg(F.sum("n")).first()[0] == 900
+    probes = index.probes_for(queries, 5, 0.95, skip_self=True)
+    work = [r.compared for r in index.work(queries, probes).collect()]
+    assert len(work) == 45 and sum(work) < 0.8 * 45 * 900
+    assert sorted(map(tuple, index.search(queries, 5, len(index.centres), skip_self=True, part=50).collect())) == sorted(map(tuple, retrieval.vector_topk(queries, corpus, 5, skip_self=True).collect()))
+    assert retrieval.vector_topk_lsh(queries, corpus.limit(0), 5).count() == 0 and retrieval.vector_topk_lsh(queries.limit(0), corpus, 5).count() == 0
     near = retrieval.vector_topk_lsh(queries, corpus, 5, skip_self=True, cell=60, part=50).collect()
     found = {(r.query_id, r.id) for r in near}
     assert len(found) == len(near) and sum((i, j) in found for i in range(0, 900, 20) for j in want(i)) >= 0.9 * 45 * 5
