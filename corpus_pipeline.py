@@ -1,7 +1,9 @@
 """A corpus pipeline: five stages over `documents`, each an operator of dayline.llm on what the stage before it kept.
 
-Every stage takes any table with the columns of documents; further columns are left out, whatever their names. Null and
-repeated ids are documents like others, told apart by a row number. Each stage gives an empty table for an empty one.
+Every stage takes any table with the columns of documents; further columns are left out, whatever their names but ROW.
+The first stage numbers the rows under that name, afresh even where its input has such a column, and the others go by it;
+called by itself a later stage numbers its rows too. So null and repeated ids are documents like others. Each stage gives
+an empty table for an empty one.
 """
 
 from __future__ import annotations
@@ -13,19 +15,21 @@ from pyspark.sql import functions as F
 from dayline.llm import bpe, exact_dedup, langid, mixing, near_dedup
 from dayline.llm.common import held_out, staged
 
-#: Columns of documents, which every stage but the last returns, with the row number of the first stage.
+#: Columns of documents, which every stage but the last returns with ROW.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The row number that the first stage gives; no other column may have this name.
+ROW = "_corpus_pipeline_row"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """Adds `row`, a number of its own for each row, in order of doc_id (nulls last); written, so that it stays the same.
-
-    Stages tell rows apart by it, so ids may be null or repeat: a row with a null id is a document like any other.
-    """
-    if "row" in docs.columns:
-        return docs.select(*COLUMNS, "row")
+    """The columns of documents and ROW, a number of its own for each row, in order of doc_id (nulls last); written, so that it stays the same."""
     keys = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
-    return staged(docs.select(COLUMNS).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+    return staged(docs.select(COLUMNS).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """The columns of documents and ROW of a stage's input; numbered here where no stage before has done it."""
+    return docs.select(*COLUMNS, ROW) if ROW in docs.columns else numbered(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +37,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts are compressed whole, however long; repeated rows are decided alike and all stay or go.
     """
-    found = langid.identify(numbered(docs), ~held_out(F.col("doc_id"), 4), carry=("text", "lang", "source", "n_chars", "row"))
-    return found.where("not rejected").select(*COLUMNS, "row")
+    found = langid.identify(numbered(docs), ~held_out(F.col("doc_id"), 4), carry=("text", "lang", "source", "n_chars", ROW))
+    return found.where("not rejected").select(*COLUMNS, ROW)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +46,9 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Null texts count as empty, and all empty texts are one group.
     """
-    docs = numbered(docs)
-    kept = exact_dedup.exact_duplicates(docs.select(F.col("row").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("row"))
-    return docs.join(kept, "row", "left_semi").select(*COLUMNS, "row")
+    docs = rows_of(docs)
+    kept = exact_dedup.exact_duplicates(docs.select(F.col(ROW).alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias(ROW))
+    return docs.join(kept, ROW, "left_semi").select(*COLUMNS, ROW)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +56,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Null and blank texts are near nothing and stay.
     """
-    docs = numbered(docs)
-    kept = near_dedup.near_duplicates(docs.select(F.col("row").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("row"))
-    return docs.join(kept, "row", "left_semi").select(*COLUMNS, "row")
+    docs = rows_of(docs)
+    kept = near_dedup.near_duplicates(docs.select(F.col(ROW).alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias(ROW))
+    return docs.join(kept, ROW, "left_semi").select(*COLUMNS, ROW)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,9 +66,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null texts have size 0; a null source is the last source.
     """
-    docs = numbered(docs)
-    taken = mixing.mix(docs, carry=("row",)).where("copies > 0").select("row", "copies")
-    return docs.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS, "row")
+    docs = rows_of(docs)
+    taken = mixing.mix(docs, carry=(ROW,)).where("copies > 0").select(ROW, "copies")
+    return docs.join(taken, ROW).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS, ROW)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
