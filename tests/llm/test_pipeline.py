@@ -31,6 +31,22 @@ def test_rows_with_null_and_repeated_ids(spark):
     assert Counter((r.doc_id, r.n_tokens) for r in coded) == Counter((r.doc_id, len(library.encode_ordinary(r.text))) for r in mixed.collect())
 
 
+def test_columns_with_clashing_names_change_nothing(spark):
+    """Every stage but the last, with extra columns named like what stages and operators make themselves."""
+    base = [" ".join(WORDS[30 * k : 30 * k + 30]) for k in range(6)]
+    rows = [(i, t, "aa" if i % 2 else "bb", "s", len(t)) for i, t in enumerate([*base, base[0], base[1] + " ", base[2] + " tail"])]
+    names = ["row", "id", "copies", "shard", "_0", "copy", "kept", "keep_id", "rejected", "component_id", "size", "_part"]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (P.exact_dedup_stage, P.near_dedup_stage, P.mixing_stage):
+        want = Counter(r.doc_id for r in stage(spark, plain, "").collect())
+        for value in (F.lit(0), F.lit("x")):
+            got = stage(spark, plain.select("*", *[value.alias(n) for n in names]), "")
+            assert Counter(r.doc_id for r in got.collect()) == want and set(got.columns) == {*P.COLUMNS, P.ROW}
+    assert sum(Counter(r.doc_id for r in P.near_dedup_stage(spark, P.exact_dedup_stage(spark, plain.select("*", F.lit(0).alias("row")), ""), "").collect()).values()) == 6
+    first = P.language_id(spark, plain.select("*", F.lit(0).alias("row"), F.lit("q").alias(P.ROW)), "").collect()
+    assert len({r[P.ROW] for r in first}) == len(first) == len(rows)
+
+
 def test_the_whole_pipeline_against_brute_force(spark, tmp_path):
     """run() on a folder: rejected rows go, then copies, then near copies; what is left is mixed and encoded."""
     rng = random.Random(17)
