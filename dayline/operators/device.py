@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,30 +66,39 @@ def reuse_context(rows: DataFrame, minutes: int = 60) -> DataFrame:
     return rows.withColumn("_l", last).withColumn("reused", F.when(F.col("context").isNull() & fresh, F.col("_l.context"))).drop("_l")
 
 
+def _contain(a: str | None, b: str | None) -> bool:
+    return a == b if a is None or b is None else a.lower() in b.lower() or b.lower() in a.lower()
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of windows that come sorted; one open segment is carried from batch to batch."""
+    held, schema = None, None
+    for b in batches:
+        out, schema = [], b.schema
+        for row in b.to_pylist():
+            same = held is not None and all(held[c] == row[c] for c in ("device", "day", "motion"))
+            if same and _contain(held["place"], row["place"]):
+                held["end"] = row["end"]
+                if held["place"] is None or len(row["place"]) >= len(held["place"]):
+                    held["place"] = row["place"]
+                continue
+            if held is not None:
+                out.append(held)
+            held = row
+        yield pa.RecordBatch.from_pylist(out, schema)
+    if held is not None:
+        yield pa.RecordBatch.from_pylist([held], schema)
+
+
 def refine_segments(windows: DataFrame) -> DataFrame:
     """Neighbouring windows (device, day, start, end, motion, place) folded where the motion is equal and one place contains the other.
 
-    The longer place stays. Windows with the motion and place of the one before are one first, and only runs of one motion
-    are folded, each in time in proportion to its length but for its places that don't fit: a list is a part of a device's day.
+    The longer place stays; equal missing places are one. A device's day is read once in order, in linear time, with only
+    the open segment held.
     """
-    w = Window.partitionBy("device", "day").orderBy("start", "end", "motion", "place")
-    rows = windows.withColumn("_m", (~F.lag("motion").over(w).eqNullSafe(F.col("motion"))).cast("int")).withColumn("_p", F.greatest("_m", (~F.lag("place").over(w).eqNullSafe(F.col("place"))).cast("int")))
-    rows = rows.withColumn("_run", F.sum("_m").over(w)).withColumn("_at", F.sum("_p").over(w))
-    same = rows.groupBy("device", "day", "_run", "_at").agg(F.min("start").alias("start"), F.max_by("end", F.struct("start", "end")).alias("end"), F.first("motion").alias("motion"), F.first("place").alias("place"))
-    logs = same.groupBy("device", "day", "_run").agg(F.sort_array(F.collect_list(F.struct("_at", "start", "end", "motion", "place"))).alias("logs"))
-
-    def step(done: Column, log: Column) -> Column:
-        last = F.element_at(done, -1)
-        a, b = F.lower(last["place"]), F.lower(log["place"])
-        fits = F.contains(a, b) | F.contains(b, a)
-        place = F.when(F.length(log["place"]) >= F.length(last["place"]), log["place"]).otherwise(last["place"])
-        merged = F.struct(last["_at"].alias("_at"), last["start"].alias("start"), log["end"].alias("end"), last["motion"].alias("motion"), place.alias("place"))
-        return F.when(F.coalesce(fits, F.lit(False)), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(merged))).otherwise(F.concat(done, F.array(log)))
-
-    kind = logs.schema["logs"].dataType
-    first = F.slice("logs", 1, 1).cast(kind)
-    folded = F.aggregate(F.slice("logs", 2, F.greatest(F.size("logs") - 1, F.lit(1))), first, step)
-    return logs.select("device", "day", F.explode(folded).alias("s")).select("device", "day", "s.start", "s.end", "s.motion", "s.place")
+    keys = ["device", "day", "start", "end", "motion", "place"]
+    rows = windows.select(keys)
+    return rows.repartition("device", "day").sortWithinPartitions(*keys).mapInArrow(_folded, rows.schema)
 
 
 def unchanged(periods: DataFrame) -> DataFrame:
@@ -110,14 +122,22 @@ def pair_on_off(rows: DataFrame, now: Column) -> DataFrame:
     return r.select("device", F.col("ts").alias("start"), F.coalesce("_ts", now).alias("end"), "lux").where("end > start")
 
 
-def night_episode(pairs: DataFrame, least_minutes: int = 60, dark: float = 20.0) -> DataFrame:
-    """The longest dark screen-off stretch of each night [day before 19:00, day 12:00); any stretch where none is dark."""
+def night_episode(pairs: DataFrame, events: DataFrame, least_minutes: int = 60, dark: float = 20.0) -> DataFrame:
+    """(device, day, start, end, hours, coverage): the longest dark screen-off stretch of each night [day before 19:00, day 12:00), any where none is dark.
+
+    Coverage is the part of the night between its first and its last screen event of `events` (device, ts); where the
+    night has none, the part that the stretch takes.
+    """
     days = F.explode(F.sequence(F.to_date("start"), F.date_add(F.to_date("end"), 1)))
     p = pairs.withColumn("day", days).withColumn("lo", F.col("day").cast("timestamp_ntz") - F.expr("INTERVAL 5 HOURS")).withColumn("hi", F.col("day").cast("timestamp_ntz") + F.expr("INTERVAL 12 HOURS"))
     p = p.withColumn("start", F.greatest("start", "lo")).withColumn("end", F.least("end", "hi")).withColumn("secs", seconds_between(F.col("start"), F.col("end"))).where(F.col("secs") >= least_minutes * 60)
     bright = (F.coalesce("lux", F.lit(0.0)) >= dark).cast("int")
     best = Window.partitionBy("device", "day").orderBy(bright, F.col("secs").desc(), "start")
-    return p.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("device", "day", "start", "end", (F.col("secs") / 3600).alias("hours"))
+    night = p.withColumn("_n", F.row_number().over(best)).where("_n = 1")
+    late = F.col("ts") + F.expr("INTERVAL 5 HOURS")  # a night is the first 17 hours of such a day
+    seen = events.where(F.hour(late) < 17).groupBy("device", F.to_date(late).alias("day")).agg(seconds_between(F.min("ts"), F.max("ts")).alias("_seen"))
+    covered = F.least(F.coalesce("_seen", "secs") / (17 * 3600), F.lit(1.0))
+    return night.join(seen, ["device", "day"], "left").select("device", "day", "start", "end", (F.col("secs") / 3600).alias("hours"), covered.alias("coverage"))
 
 
 def onset_regularity(nights: DataFrame) -> DataFrame:
@@ -174,19 +194,20 @@ def battery_runs(runs: DataFrame) -> DataFrame:
     return r.withColumn("warnings", F.array_compact(F.array(F.when(F.col("minutes") < 30, "short"), F.when(F.col("end_level") > F.col("start_level"), "charging"), F.when(F.col("start_level") < 50, "low start"))))
 
 
-def battery_pairs(runs: DataFrame, within: int = 15) -> DataFrame:
+def battery_pairs(runs: DataFrame, within: int = 15, primary: int = 30) -> DataFrame:
     """One row for each platform: its newest baseline and active run compared, or else its newest run alone, with the level of drain.
 
     Two runs are comparable when their minutes differ by at most `within`; `delta` is the active one's drain per hour less the
     baseline's. A platform without a comparable pair has `paired` false, no delta, and the level of its newest run.
+    `confidence` of a pair is 'full' when both its runs took `primary` minutes or more, else 'short'.
     """
     newest = lambda of: F.max_by(F.struct("per_hour", "minutes"), F.when(of, F.col("place")))
     last = runs.groupBy("platform").agg(newest(F.col("profile") == "baseline").alias("b"), newest(F.col("profile") == "active").alias("a"), newest(F.lit(True)).alias("any"))
     paired = F.coalesce(F.abs(F.col("a.minutes") - F.col("b.minutes")) <= within, F.lit(False))
-    d = last.select("platform", paired.alias("paired"), F.when(paired, F.col("a.per_hour") - F.col("b.per_hour")).alias("delta"), F.col("any.per_hour").alias("single"))
+    d = last.select("platform", paired.alias("paired"), F.when(paired, F.col("a.per_hour") - F.col("b.per_hour")).alias("delta"), F.col("any.per_hour").alias("single"), F.when(paired, F.when(F.least("a.minutes", "b.minutes") >= primary, "full").otherwise("short")).alias("confidence"))
     # fixed values: percent per hour of a difference and of a single run
     graded = lambda x, low, high: F.when(x <= low, "minimal").when(x <= high, "modest").otherwise("notable")
-    return d.select("platform", "paired", "delta", F.when(F.col("paired"), graded(F.col("delta"), 2, 5)).otherwise(graded(F.col("single"), 4, 8)).alias("level"))
+    return d.select("platform", "paired", "delta", F.when(F.col("paired"), graded(F.col("delta"), 2, 5)).otherwise(graded(F.col("single"), 4, 8)).alias("level"), "confidence")
 
 
 def battery_impact(pairs: DataFrame) -> DataFrame:
@@ -230,10 +251,10 @@ def marker_days(contexts: DataFrame, nights: DataFrame, comm: DataFrame, screen:
     """(device, day, markers, coverage): a device's days assembled from its logs, each marker with its coverage.
 
     `contexts` (device, day, place, secs, active_hour) give entropy, the share of the three longest places and the
-    nearness of the first active hour to the device's upper median; `nights` (device, day, start, hours) give onset and
-    duration, and the regularity of the device's onsets; `comm` (device, day, incoming, outgoing) gives reciprocity and
-    `screen` (screen_days) the screen minutes. Days of any table count; a marker without
-    its source is null with coverage 0.
+    nearness of the first active hour to the device's upper median; `nights` (night_episode) give onset and duration with
+    the night's coverage, and the regularity of the device's onsets, covered by the share of the device's days that have a
+    night; `comm` (comm_counts) gives reciprocity with its coverage and `screen` (screen_days) the screen minutes. Days of
+    any table count; a marker without its source is null with coverage 0.
     """
     stay = contexts.groupBy("device", "day", "place").agg(F.sum(F.greatest("secs", F.lit(0))).cast("double").alias("s"), F.min("active_hour").alias("hour"))
     part = F.when(F.col("s") > 0, F.col("s") * F.ln("s")).otherwise(0.0)
@@ -246,16 +267,17 @@ def marker_days(contexts: DataFrame, nights: DataFrame, comm: DataFrame, screen:
     seen = F.when(some, F.least(F.col("total") / (full_hours * 3600), F.lit(1.0))).otherwise(0.0)
     day = day.select("device", "day", seen.alias("seen"), F.when(some, F.ln("total") - F.col("sls") / F.col("total")).alias("mobility_entropy"), F.when(some, F.col("top") / F.col("total")).alias("location_revisit_ratio"), clip(1 - F.abs(F.col("hour") - F.col("usual")) / 3, 0.0, 1.0).alias("social_rhythm_metric"))
     onset = F.hour("start") + F.minute("start") / 60
-    night = nights.select("device", "day", F.when(onset < 12, onset + 24).otherwise(onset).alias("sleep_onset_hour"), F.col("hours").alias("sleep_duration_hours"))
-    night = night.join(onset_regularity(nights).select("device", F.col("regularity").alias("sleep_regularity_index")), "device", "left")
+    night = nights.select("device", "day", F.when(onset < 12, onset + 24).otherwise(onset).alias("sleep_onset_hour"), F.col("hours").alias("sleep_duration_hours"), F.col("coverage").alias("slept"))
+    night = night.join(onset_regularity(nights).select("device", "nights", F.col("regularity").alias("sleep_regularity_index")), "device", "left")
     both = F.col("incoming") + F.col("outgoing")
-    talk = comm.select("device", "day", F.when(both > 0, F.col("outgoing") / both).alias("comm_reciprocity"))
+    talk = comm.select("device", "day", F.when(both > 0, F.col("outgoing") / both).alias("comm_reciprocity"), F.col("coverage").alias("talked"))
     d = day.join(night, ["device", "day"], "full").join(talk, ["device", "day"], "full")
     if screen is None:
         d = d.select("*", *[F.lit(None).cast("double").alias(c) for c in ("total_screen_min", "late_night_screen_min", "screened")])
     else:
         d = d.join(screen.select("device", "day", "total_screen_min", "late_night_screen_min", F.col("coverage").alias("screened")), ["device", "day"], "full")
+    d = d.withColumn("regular", F.least(F.col("nights") / F.count(F.lit(1)).over(Window.partitionBy("device")), F.lit(1.0)))
     cover = {"mobility_entropy": F.coalesce("seen", F.lit(0.0)), "location_revisit_ratio": F.coalesce("seen", F.lit(0.0)), "social_rhythm_metric": F.coalesce("seen", F.lit(0.0)), **{m: F.coalesce("screened", F.lit(0.0)) for m in ("total_screen_min", "late_night_screen_min")}}
-    names = [*cover, "sleep_onset_hour", "sleep_duration_hours", "sleep_regularity_index", "comm_reciprocity"]
-    pairs = lambda f: F.create_map(*[x for m in names for x in (F.lit(m), f(m))])
-    return d.select("device", "day", pairs(F.col).alias("markers"), pairs(lambda m: F.when(F.col(m).isNotNull(), cover.get(m, F.lit(1.0))).otherwise(0.0)).alias("coverage"))
+    cover |= {m: F.coalesce(c, F.lit(0.0)) for m, c in (("sleep_onset_hour", "slept"), ("sleep_duration_hours", "slept"), ("sleep_regularity_index", "regular"), ("comm_reciprocity", "talked"))}
+    pairs = lambda f: F.create_map(*[x for m in cover for x in (F.lit(m), f(m))])
+    return d.select("device", "day", pairs(F.col).alias("markers"), pairs(lambda m: F.when(F.col(m).isNotNull(), cover[m]).otherwise(0.0)).alias("coverage"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,23 +99,63 @@ def sign_test(k: Column, n: Column) -> Column:
 def cluster_bootstrap(df: DataFrame, group: str, flag: str, y: str, reps: int = 1000, seed: str = "boot", least: int = 5, least_reps: int = 20, most: int = 200_000) -> DataFrame:
     """(reps, low, high): 95 % interval of the difference of means when whole groups are drawn with replacement.
 
-    Each group is four numbers; draw d of replicate r takes the group whose index is a hash of (seed, r, d), so the
-    result is the same under any partitioning. The draws, reps x groups numbers, are generated in parallel and meet the
-    groups where they are made: up to `most` counted groups travel to all tasks, and a task sends on sums of replicates.
+    Each group is four numbers. Up to `most` counted groups travel to all tasks: draw d of replicate r takes the group
+    whose index is a hash of (seed, r, d). More stay where they are: how often a replicate draws each group is drawn at
+    once (`drawn_counts`). Either way the result is the same under any partitioning, and a task sends on only its sums
+    of the replicates.
     """
     g = df.where(F.col(y).isNotNull()).groupBy(group).agg(F.count_if(flag).alias("n1"), F.sum(F.when(F.col(flag), F.col(y)).otherwise(0.0)).alias("s1"), F.count_if(~F.col(flag)).alias("n0"), F.sum(F.when(F.col(flag), 0.0).otherwise(F.col(y))).alias("s0"))
     g = staged(running_total(g.withColumn("one", F.lit(1).cast("long")), group, "one", "at").drop("one"), "bootstrap-groups")
     groups = g.count()
-    g = F.broadcast(g) if groups <= most else g
-    draws = df.sparkSession.range(reps).withColumnRenamed("id", "rep").withColumn("size", F.lit(groups)).where("size > 0").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size").cast("long") - 1)))
-    key = F.md5(F.concat_ws("|", F.lit(seed), "rep", "draw").cast("binary"))
-    draws = draws.select("rep", (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % F.col("size")).alias("at"))
-    s = draws.join(g, "at").groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("n1", "s1", "n0", "s0")]).where((F.col("n1") >= least) & (F.col("n0") >= least))
+    s = _hashed_draws(g, groups, reps, seed) if groups <= most else _counted_draws(g, groups, reps, seed)
+    s = s.groupBy("rep").agg(*[F.sum(c).alias(c) for c in _SUMS]).where((F.col("n1") >= least) & (F.col("n0") >= least))
     s = s.select((F.col("s1") / F.col("n1") - F.col("s0") / F.col("n0")).alias("diff"))
     out = s.agg(F.count(F.lit(1)).alias("reps"), F.percentile("diff", F.lit(0.025)).alias("low"), F.percentile("diff", F.lit(0.975)).alias("high"))
     return out.select("reps", *[F.when(F.col("reps") >= least_reps, F.col(c)).alias(c) for c in ("low", "high")])
 
 
+_SUMS = ["n1", "s1", "n0", "s0"]
+
+
+def _hashed_draws(g: DataFrame, groups: int, reps: int, seed: str) -> DataFrame:
+    """(rep, sums of a drawn group) for every draw; the draws meet the groups where they are made."""
+    draws = g.sparkSession.range(reps).withColumnRenamed("id", "rep").withColumn("size", F.lit(groups)).where("size > 0").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size").cast("long") - 1)))
+    key = F.md5(F.concat_ws("|", F.lit(seed), "rep", "draw").cast("binary"))
+    draws = draws.select("rep", (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % F.col("size")).alias("at"))
+    return draws.join(F.broadcast(g), "at")
+
+
+def drawn_counts(groups: int, block: int, part: int, rep: int, seed: str) -> np.ndarray:
+    """How often each group of one block is drawn when `groups` draws are made with replacement from all of them.
+
+    The draws that fall into the left half of the blocks are binomial given those of both halves, and so on down to the
+    block, within which they are multinomial. Each split has a generator of its own, named by its place in the tree, so
+    that all blocks of a replicate see the same splits without meeting.
+    """
+    named = lambda *name: np.random.default_rng(int.from_bytes(hashlib.md5("|".join(map(str, (seed, rep, *name))).encode()).digest(), "big"))
+    size = lambda lo, hi: min(hi * block, groups) - lo * block
+    lo, hi, left = 0, -(-groups // block), groups
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        first = int(named(lo, hi).binomial(left, size(lo, mid) / size(lo, hi)))
+        lo, hi, left = (lo, mid, first) if part < mid else (mid, hi, left - first)
+    n = size(part, part + 1)
+    return named("block", part).multinomial(left, np.full(n, 1 / n))
+
+
+def _counted_draws(g: DataFrame, groups: int, reps: int, seed: str, block: int = 65_536) -> DataFrame:
+    """(rep, sums over a block's drawn groups): a row for each replicate and block of `block` groups."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("at")
+        values = np.stack([t.column(c).to_numpy().astype(float) for c in _SUMS])
+        part = int(t.column("at")[0].as_py()) // block
+        sums = np.array([values @ drawn_counts(groups, block, part, rep, seed) for rep in range(reps)])
+        return pa.table({"rep": pa.array(range(reps), pa.int64()), **{c: pa.array(sums[:, i]) for i, c in enumerate(_SUMS)}})
+
+    return g.groupBy(F.floor(F.col("at") / block).alias("block")).applyInArrow(run, "rep long, n1 double, s1 double, n0 double, s0 double")
+
+
 def mixed_model(df: DataFrame, group: str, x: str, y: str, grid: int = 241, rounds: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
     """Random-intercept model by maximum likelihood, one row for each value of `by`: estimate, se, p, variances, ICC and likelihood ratio.
 

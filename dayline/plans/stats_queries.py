@@ -143,6 +143,11 @@ def q_cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return S.cluster_bootstrap(_joined(spark, d), "pid", "any_pattern", "stress").select("reps", *r6("low", "high"))
 
 
+def q_cluster_bootstrap_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The interval by drawn counts, as for more people than travel to all tasks: other draws of the same law."""
+    return S.cluster_bootstrap(_joined(spark, d), "pid", "any_pattern", "stress", most=0).select("reps", *r6("low", "high"))
+
+
 def q_within_person(spark: SparkSession, d: str) -> DataFrame:
     return S.within_person(_joined(spark, d), "pid", "any_deviation", "stress").select("n", "n_positive", *r6("median_diff", "mean_diff", "percent_positive", "p"))
 

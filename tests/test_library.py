@@ -153,7 +153,23 @@ def test_mixed_model_is_the_dense_maximum(spark):
 
 def test_bootstrap_ignores_partitions(spark):
     df = spark.createDataFrame([(i % 15, i % 3 == 0, float(i % 7)) for i in range(400)], "g int, f boolean, y double")
-    assert S.cluster_bootstrap(df, "g", "f", "y", 100).first() == S.cluster_bootstrap(df.repartition(9), "g", "f", "y", 100).first()
+    for most in (200_000, 0):
+        assert S.cluster_bootstrap(df, "g", "f", "y", 100, most=most).first() == S.cluster_bootstrap(df.repartition(9), "g", "f", "y", 100, most=most).first()
+
+
+def test_drawn_counts_have_the_law_of_single_draws(spark):
+    """Blocks of one replicate put together: as many draws as groups, means and variances of multinomial counts; the interval agrees with that of single draws."""
+    import numpy as np
+
+    groups, block = 103, 10
+    counts = np.array([np.concatenate([S.drawn_counts(groups, block, p, rep, "s") for p in range(11)]) for rep in range(4000)])
+    assert counts.shape == (4000, groups) and (counts.sum(axis=1) == groups).all()
+    assert abs(counts.mean(axis=0) - 1).max() < 0.08 and abs(counts.var(axis=0) - (1 - 1 / groups)).max() < 0.15
+    assert abs(np.cov(counts[:, 0], counts[:, 102])[0, 1] + 1 / groups) < 0.06
+    df = spark.createDataFrame([(i % 60, (i * 7 + i % 60) % 3 == 0, float((i * 5 + i % 60) % 11)) for i in range(1200)], "g int, f boolean, y double")
+    one, two = (S.cluster_bootstrap(df, "g", "f", "y", 2000, most=most).first() for most in (1000, 0))
+    width = one.high - one.low
+    assert one.reps == two.reps == 2000 and abs(one.low - two.low) < 0.1 * width and abs(one.high - two.high) < 0.1 * width
 
 
 def test_proposals_may_touch_events_by_a_minute(spark):
@@ -287,15 +303,16 @@ def test_raw_records_have_their_own_windows(spark):
 
 def test_device_days_without_a_source_have_no_coverage(spark):
     contexts = spark.createDataFrame([("d", 1, "a", 21600, 8.0), ("d", 1, "b", 0, None), ("d", 2, "a", 43200, None), ("d", 3, None, 0, 9.5)], "device string, day int, place string, secs long, active_hour double")
-    nights = spark.sql("select 'd' device, 4 day, timestamp_ntz'2024-01-04 01:30:00' start, 6.5d hours")
-    comm = spark.createDataFrame([("d", 1, 1, 3), ("d", 2, 0, 0)], "device string, day int, incoming long, outgoing long")
+    nights = spark.sql("select 'd' device, 4 day, timestamp_ntz'2024-01-04 01:30:00' start, 6.5d hours, 0.4d coverage")
+    comm = spark.createDataFrame([("d", 1, 1, 3, 0.5), ("d", 2, 0, 0, 1.0)], "device string, day int, incoming long, outgoing long, coverage double")
     got = {r.day: (r.markers, r.coverage) for r in D.marker_days(contexts, nights, comm).collect()}
     assert set(got) == {1, 2, 3, 4}
     markers, coverage = got[1]
     assert abs(markers["mobility_entropy"]) < 1e-12 and markers["location_revisit_ratio"] == 1.0 and markers["social_rhythm_metric"] == 0.5 and markers["comm_reciprocity"] == 0.75
-    assert coverage["mobility_entropy"] == 0.5 and coverage["comm_reciprocity"] == 1.0 and coverage["sleep_onset_hour"] == 0.0
+    assert coverage["mobility_entropy"] == 0.5 and coverage["comm_reciprocity"] == 0.5 and coverage["sleep_onset_hour"] == 0.0
     assert got[2][0]["social_rhythm_metric"] is None and got[2][0]["comm_reciprocity"] is None
     assert got[3][0]["mobility_entropy"] is None and got[3][1]["mobility_entropy"] == 0.0
+    assert got[2][1]["comm_reciprocity"] == 0.0 and got[4][1]["sleep_onset_hour"] == got[4][1]["sleep_duration_hours"] == 0.4
     assert got[4][0]["sleep_onset_hour"] == 25.5 and got[4][0]["sleep_duration_hours"] == 6.5 and got[4][0]["mobility_entropy"] is None
 
 
@@ -396,6 +413,9 @@ def test_field_paths_and_fixed(spark):
     docs = spark.createDataFrame([('{"a": {"b": [1, {"c": 2}]}}',), ('{"a": 3, "d": []}',), ("not json",), (None,)], "doc string")
     assert {tuple(r) for r in T.field_paths(docs, "doc").collect()} == {("a", 2), ("a.b", 1), ("a.b[]", 2), ("a.b[].c", 1), ("d", 1)}
     assert T.field_paths(docs.where("false"), "doc").count() == 0
+    odd = spark.createDataFrame([('{"a": 1, "a": 2}',), ("NaN",), ("[[1, [2]], {}]",), ('"x"',), ("",), ('{"a.b": {"": null}}',), ("[" * 3000 + "]" * 3000,)], "doc string")
+    assert {tuple(r) for r in T.field_paths(odd, "doc").where("length(path) < 20").collect()} >= {("[][]", 3), ("[][][]", 2), ("a.b", 1), ("a.b.", 1)}
+    assert T.field_paths(docs, "doc")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     x = spark.createDataFrame([(2.5,), (0.285,), (-0.0,), (None,)], "x double").select(T.fixed(F.col("x"), 0), T.fixed(F.col("x"), 2)).collect()
     assert [tuple(r) for r in x] == [("3", "2.50"), ("0", "0.29"), ("0", "0.00"), (None, None)]
 
@@ -419,10 +439,27 @@ def test_session_tables(spark, tmp_path):
     assert sizes == {"users": 2, "journal_sessions": 5, "wellbeing_assessments": 2, "recommendations": 2, "raw_journals": 3, "calendar_proposals": 2}
 
 
+def test_a_night_is_covered_as_far_as_its_events_reach(spark):
+    t = lambda day, h: dt.datetime(2024, 5, day, h)
+    pairs = spark.createDataFrame([(1, t(1, 23), t(2, 0), 1.0), (2, t(1, 23), t(2, 7), 1.0), (3, t(1, 10), t(3, 15), 1.0)], "device long, start timestamp_ntz, end timestamp_ntz, lux double")
+    events = spark.createDataFrame([(1, t(1, 23)), (1, t(2, 0)), (1, t(2, 13)), (2, t(1, 18)), (2, t(1, 20)), (2, t(2, 7)), (2, t(2, 11)), (3, t(1, 10)), (3, t(3, 15))], "device long, ts timestamp_ntz")
+    nights = D.night_episode(pairs, events)
+    got = {(r.device, r.day.day): (r.hours, round(r.coverage * 17, 6)) for r in nights.collect()}
+    # one dark hour seen; a night seen from 20:00 to 11:00; nights without an event, spanned by one stretch
+    assert got == {(1, 2): (1.0, 1.0), (2, 2): (8.0, 15.0), (3, 1): (2.0, 0.0), (3, 2): (17.0, 17.0), (3, 3): (17.0, 17.0)}
+    contexts = spark.createDataFrame([], "device long, day date, place string, secs long, active_hour double")
+    comm = spark.createDataFrame([(1, dt.date(2024, 5, d), 1, 1, 0.5) for d in (2, 3, 4, 5)], "device long, day date, incoming long, outgoing long, coverage double")
+    days = {(r.device, r.day.day): r.coverage for r in D.marker_days(contexts, nights, comm).collect()}
+    assert round(days[1, 2]["sleep_onset_hour"] * 17, 6) == 1.0 and days[1, 2]["sleep_regularity_index"] == 0.0 and days[1, 3]["comm_reciprocity"] == 0.5
+    assert days[3, 2]["sleep_regularity_index"] == 1.0 and days[3, 1]["sleep_duration_hours"] == 0.0
+
+
 def test_battery_and_map_labels(spark):
     runs = spark.createDataFrame([("p", "baseline", 1.0, 40, 1), ("p", "active", 7.0, 50, 2), ("q", "active", 9.0, 50, 3), ("q", "baseline", 1.0, 20, 2)], "platform string, profile string, per_hour double, minutes int, place int")
     pairs = D.battery_pairs(runs)
-    assert {tuple(r) for r in pairs.collect()} == {("p", True, 6.0, "notable"), ("q", False, None, "notable")}
+    assert {tuple(r) for r in pairs.collect()} == {("p", True, 6.0, "notable", "full"), ("q", False, None, "notable", None)}
+    short = spark.createDataFrame([("p", "baseline", 1.0, 20, 1), ("p", "active", 1.5, 31, 2)], runs.schema)
+    assert tuple(D.battery_pairs(short).first()) == ("p", True, 0.5, "minimal", "short")
     assert tuple(D.battery_impact(pairs).first()) == (2, "notable") and tuple(D.battery_impact(pairs.where("false")).first()) == (0, "unknown")
     tags = spark.createDataFrame([(1, i, t) for i, t in enumerate([{"amenity": "bench", "building": "yes", "name": "Hall"}, {"leisure": "park"}, {"building": " "}, {"building": "no"}, {}])] + [(2, 0, None)], "k int, place int, tags map<string, string>")
     assert [tuple(r) for r in D.feature_summary(tags, ["k"]).collect()] == [(1, "Nearby map features: buildings, green space. Named places/features: Hall")]
