@@ -3,33 +3,59 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayline.llm.common import staged
 
-#: Rows that a source partition holds on average.
-ROWS_PER_PARTITION = 50_000
+#: Rows that a source partition holds on average, unless that makes more than MOST_PARTITIONS.
+ROWS_PER_PARTITION, MOST_PARTITIONS = 50_000, 65_536
 #: Parts of a shard that are permuted on their own.
 PARTS = 256
 
 
+def matrix_row(before: np.ndarray, partition: int, shards: int, seed: int) -> np.ndarray:
+    """How many rows of one partition go to each shard, in an exact multivariate hypergeometric matrix; `before` sums the partitions' rows up.
+
+    The partitions are halved again and again. What the left half gives to each shard, given what both halves give, is
+    one draw with a generator named by the half's place, so all partitions see the same draws and each works out its own
+    row by itself. Shard sizes differ by one at most.
+    """
+    rows = int(before[-1])
+    left = [rows // shards + (j < rows % shards) for j in range(shards)]
+    lo, hi = 0, len(before) - 1
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        rng = np.random.Generator(np.random.Philox(key=[seed, lo << 32 | hi]))
+        need, rest, taken = int(before[mid] - before[lo]), sum(left), []
+        for n in left:
+            rest -= n
+            taken.append(_hypergeometric(rng, n, rest, need))
+            need -= taken[-1]
+        if partition < mid:
+            hi, left = mid, taken
+        else:
+            lo, left = mid, [n - t for n, t in zip(left, taken, strict=True)]
+    return np.array(left, np.int64)
+
+
 def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
-    """counts[p] rows of partition p dealt to shards whose sizes differ by one at most: exact multivariate hypergeometric rows."""
-    rows = sum(counts)
-    left = np.array([rows // shards + (j < rows % shards) for j in range(shards)], dtype=np.int64)
-    rng = np.random.Generator(np.random.Philox(seed))
-    out = np.zeros((len(counts), shards), dtype=np.int64)
-    for p, n in enumerate(counts):
-        need, rest = int(n), int(left.sum())
-        for j in range(shards):
-            rest -= int(left[j])
-            out[p, j] = take = _hypergeometric(rng, int(left[j]), rest, need)
-            need -= take
-        left -= out[p]
-    return out
+    """All rows of the matrix for counts[p] rows in partition p."""
+    before = np.r_[0, np.cumsum(np.array(counts, np.int64))]
+    return np.array([matrix_row(before, p, shards, seed) for p in range(len(counts))]).reshape(len(counts), shards)
+
+
+def _matrix_rows(before: np.ndarray, shards: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [np.cumsum(matrix_row(before, p, shards, seed)).tolist() for p in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int64()))], ["from", "upto"])
+
+    return run
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -65,28 +91,37 @@ def shuffle_into_shards(rows: DataFrame, identity: list[str], shards: int = 24,
     """`rows` with `shard` (0 to shards-1) and `slot` (gapless from 0 in each shard): one uniform random permutation.
 
     Rows are put into logical partitions by hash, and a communication matrix fixes how many rows of each go to each
-    shard. Every partition permutes its rows (order of a seeded hash), deals them out by the matrix, and after the
+    shard; each partition's row of it is drawn in a task of its own, from the partitions' counts, MOST_PARTITIONS numbers
+    at most. Every partition permutes its rows (order of a seeded hash), deals them out by the matrix, and after the
     exchange every shard is permuted again, in parts: a part is a range of a second hash, and the counts of the
     bounded table (shard, part) give where its slots start, so no shard needs to fit one task.
 
     `identity` names the columns that tell rows apart; rows equal in all of them are interchangeable. All columns of
-    `rows` pass through, so name none of them shard or slot. Nulls in any column are values like others. Counts of
-    shards differ by one at most, however the ids, texts or sources are distributed; an empty table gives an empty
-    table. The same rows and seed give the same result under any partitioning.
+    `rows` pass through, whatever their names, but that the result's shard and slot stand in place of columns so called.
+    Nulls in any column are values like others. Counts of shards differ by one at most, however the ids, texts or
+    sources are distributed; an empty table gives an empty table. The same rows and seed give the same result under any
+    partitioning.
     """
     spark = rows.sparkSession
-    mark = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), *identity)
-    n = rows.count()
-    logical = max(1, -(-n // rows_per_partition))
-    dealt = rows.withColumn("_from", F.pmod(mark("partition"), F.lit(logical)))
-    counts = {r["_from"]: r["count"] for r in dealt.groupBy("_from").count().collect()}  # a number for each partition
-    matrix = communication_matrix([counts.get(p, 0) for p in range(logical)], shards, seed)
-    upto = spark.createDataFrame([(p, np.cumsum(matrix[p]).tolist()) for p in range(logical)], "_from long, _upto array<long>")
-    local = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_from").orderBy(mark("local"), *identity)) - 1)
-    sent = local.join(upto, "_from").withColumn("shard", F.size(F.filter("_upto", lambda x: x <= F.col("_at"))).cast("int"))
-    sent = staged(sent.withColumn("_mark", mark("shard")).withColumn("_part", F.pmod(F.shiftrightunsigned("_mark", 40), F.lit(PARTS))).drop("_from", "_at", "_upto"), "shards")
-    sizes = sent.groupBy("shard", "_part").count()
-    starts = sizes.select(F.col("shard").alias("_s"), F.col("_part").alias("_p"), F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    within = F.row_number().over(Window.partitionBy("shard", "_part").orderBy("_mark", *identity)) - 1
-    out = sent.withColumn("slot", within).join(starts, (F.col("shard") == F.col("_s")) & (F.col("_part") == F.col("_p")))
-    return out.withColumn("slot", (F.col("slot") + F.col("_start")).cast("long")).drop("_mark", "_part", "_s", "_p", "_start")
+    keys = [f"k{i}" for i in range(len(identity))]
+    kept = [c for c in rows.columns if c not in ("shard", "slot")]
+    mark = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), *keys)
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    packed = rows.select(F.struct(*map(quoted, kept)).alias("row"), *[quoted(c).alias(k) for c, k in zip(identity, keys, strict=True)])
+    n = packed.count()
+    logical = max(1, min(MOST_PARTITIONS, -(-n // rows_per_partition)))
+    dealt = packed.withColumn("from", F.pmod(mark("partition"), F.lit(logical)))
+    counts = np.zeros(logical + 1, np.int64)
+    for p, c in dealt.groupBy("from").agg(F.count(F.lit(1))).collect():  # a number for each partition
+        counts[p + 1] = c
+    tasks = min(logical, max(1, spark.sparkContext.defaultParallelism))
+    upto = spark.range(0, logical, 1, tasks).mapInArrow(_matrix_rows(np.cumsum(counts), shards, seed), "from long, upto array<long>")
+    local = dealt.withColumn("at", F.row_number().over(Window.partitionBy("from").orderBy(mark("local"), *keys)) - 1)
+    sent = local.join(upto, "from").withColumn("shard", F.size(F.filter("upto", lambda x: x <= F.col("at"))).cast("int"))
+    sent = staged(sent.withColumn("mark", mark("shard")).withColumn("part", F.pmod(F.shiftrightunsigned("mark", 40), F.lit(PARTS))).drop("from", "at", "upto"), "shards")
+    sizes = sent.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("shard", "part").orderBy("mark", *keys)) - 1
+    out = sent.withColumn("within", within).join(starts, ["shard", "part"])
+    return out.select("row.*", "shard", (F.col("within") + F.col("start")).cast("long").alias("slot"))

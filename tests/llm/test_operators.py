@@ -339,6 +339,27 @@ def test_sharding_is_a_permutation_with_exact_sizes(spark):
     assert m.sum(axis=1).tolist() == [10, 0, 300] and set(m.sum(axis=0)) <= {44, 45}
 
 
+def test_sharding_passes_columns_of_any_name(spark):
+    names = ["row", "k0", "from", "at", "upto", "mark", "part", "start", "n", "within", "_from", "_mark", "a.b", "id"]
+    plain = spark.range(300).select(F.col("id").alias("doc_id"))
+    want = {r.doc_id: (r.shard, r.slot) for r in sharding.shuffle_into_shards(plain, ["doc_id"], 7, rows_per_partition=20).collect()}
+    more = plain.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in names], F.lit("x").alias("shard"), F.lit("y").alias("slot"))
+    got = sharding.shuffle_into_shards(more, ["doc_id"], 7, rows_per_partition=20)
+    assert got.columns == ["doc_id", *names, "shard", "slot"]
+    assert all(want[r.doc_id] == (r.shard, r.slot) and all(r[c] == f"{c}{r.doc_id}" for c in names) for r in got.collect())
+
+
+def test_matrix_rows_are_drawn_apart_and_have_the_law_of_one_draw():
+    counts, shards = [40, 0, 25, 35], 3
+    drawn = np.array([sharding.communication_matrix(counts, shards, s) for s in range(3000)])
+    assert (drawn.sum(axis=2) == counts).all() and (drawn.sum(axis=1) == [34, 33, 33]).all() and (drawn >= 0).all()
+    mean = np.outer(counts, [34, 33, 33]) / 100
+    var = mean * (1 - np.array([34, 33, 33]) / 100) * ((100 - np.array(counts)[:, None]) / 99)
+    assert np.abs(drawn.mean(axis=0) - mean).max() < 0.3 and np.abs(drawn.var(axis=0) - var).max() < 0.08 * var.max()
+    # a partition's row takes some ten halvings of the draws, however many partitions there are
+    assert sharding.matrix_row(np.arange(1025) * 100, 700, 24, 1).sum() == 100
+
+
 def test_large_hypergeometric_draws_have_the_right_mean():
     rng = np.random.default_rng(0)
     draws = [sharding._hypergeometric(rng, 2_000_000_000, 6_000_000_000, 400) for _ in range(300)]
