@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayline.functions.columns import behavioural_day, seconds_between
+from dayline.functions.staging import staged
 from dayline.operators.intervals import clip_intervals, day_windows, intersect_intervals, merge_intervals
 
 
@@ -22,7 +23,7 @@ def sleep_episodes(locked: DataFrame, dark: DataFrame, spine: DataFrame, least_h
     stretches are cut to it first; if none of these will do, the plain ones are taken.
     """
     w = day_windows(spine, "-4 hours", "11 hours")
-    whole = merge_intervals(clip_intervals(locked, w), ["pid", "day"])
+    whole = staged(merge_intervals(clip_intervals(locked, w), ["pid", "day"]), "merged-nights")  # read three times
     dim = clip_intervals(dark, w).select("pid", "day", "start", "end")
     cut = intersect_intervals(whole, dim, ["pid", "day"])
     undimmed = whole.join(dim.select("pid", "day").distinct(), ["pid", "day"], "left_anti")

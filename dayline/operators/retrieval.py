@@ -32,21 +32,24 @@ def token_set(text: Column) -> Column:
 def fuzzy_match(files: DataFrame, titles: DataFrame, threshold: float = 0.30) -> DataFrame:
     """Best title of each file: shared tokens over the file's tokens, first title on ties, at least `threshold`.
 
-    A file of n tokens that shares ceil(threshold * n) of them with a title shares one of any n - ceil(threshold * n) + 1,
-    so files (file_id, name) meet titles (title_id, title) on their tokens that the fewest titles hold only; what meets is
-    scored on the whole token sets. Files with equal token sets are scored once.
+    Only tokens that some title holds matter: a file of n tokens needs ceil(threshold * n) such tokens, or it has no
+    title. One with m of them shares that many with a title only if it shares one of its m - ceil(threshold * n) + 1
+    that the fewest titles hold, so files (file_id, name) meet titles (title_id, title) on those. What meets is scored
+    on the whole sets. Files with equal token sets are scored once.
     """
     f = files.select("file_id", F.array_sort(token_set(F.col("name"))).alias("toks")).where(F.size("toks") > 0)
-    sets = f.select("toks").distinct().withColumn("key", F.xxhash64("toks"))
+    f = staged(f.withColumn("key", F.sha2(F.concat_ws(" ", "toks"), 256)), "file-tokens")
     t = titles.select("title_id", token_set(F.col("title")).alias("held"))
-    tok = t.select("title_id", F.explode("held").alias("tok"))
+    tok = staged(t.select("title_id", F.explode("held").alias("tok")), "title-tokens")
     common = tok.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    long = sets.select("key", F.size("toks").alias("n"), F.explode("toks").alias("tok")).join(common, "tok", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    rare = long.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("df", "tok"))).where(F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
-    pairs = rare.where("df > 0").join(tok, "tok").select("key", "title_id").distinct()
-    s = pairs.join(sets, "key").join(t, "title_id").select("toks", "title_id", (F.size(F.array_intersect("toks", "held")) / F.size("toks")).alias("score")).where(F.col("score") >= threshold)
-    best = s.groupBy("toks").agg(F.max(F.struct(F.col("score"), (-F.col("title_id")).alias("minus"))).alias("best"))
-    return f.join(best, "toks").select("file_id", (-F.col("best.minus")).alias("title_id"), F.col("best.score").alias("score"))
+    need = F.ceil(F.lit(threshold) * F.col("n"))
+    found = f.select("key", F.size("toks").alias("n"), F.explode("toks").alias("tok")).join(common, "tok").groupBy("key", "n").agg(F.sort_array(F.collect_set(F.struct("df", "tok"))).alias("m"))
+    found = staged(found.where((F.size("m") >= need)).select("key", "n", F.col("m.tok").alias("m")), "matched-tokens")
+    rare = found.select("key", F.explode(F.slice("m", F.lit(1), (F.size("m") - need + 1).cast("int"))).alias("tok"))
+    pairs = rare.join(tok, "tok").select("key", "title_id").distinct()
+    s = pairs.join(found, "key").join(t, "title_id").select("key", "title_id", (F.size(F.array_intersect("m", "held")) / F.col("n")).alias("score")).where(F.col("score") >= threshold)
+    best = s.groupBy("key").agg(F.max(F.struct(F.col("score"), (-F.col("title_id")).alias("minus"))).alias("best"))
+    return f.select("file_id", "key").join(best, "key").select("file_id", (-F.col("best.minus")).alias("title_id"), F.col("best.score").alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:

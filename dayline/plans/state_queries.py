@@ -132,15 +132,6 @@ def q_accept_latest(spark: SparkSession, d: str) -> DataFrame:
     return o.join(new, "o_orderkey", "left").select("o_orderkey", F.coalesce("ok", F.lit(False)).alias("accepted"))
 
 
-def q_session_children(spark: SparkSession, d: str) -> DataFrame:
-    """Recommendations of session documents, one row each; the older name of the time field is read too."""
-    k = F.col("turn")
-    doc = F.when(k % 2 == 0, F.concat(F.lit('{"recommendations":[{"title":"'), "role", F.lit('","when":"am"},{"title":"x","when_to_do":"pm"}]}'))).otherwise(F.lit('{"recommendations":[]}'))
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.from_json(doc, "recommendations array<struct<title: string, when: string, when_to_do: string>>").alias("d"))
-    x = c.select("conv_id", "turn", F.posexplode("d.recommendations").alias("n", "r"))
-    return x.select("conv_id", "turn", "n", F.col("r.title").alias("title"), F.coalesce("r.when", "r.when_to_do").alias("timing"))
-
-
 def _sessions(spark, d):
     """One document for each conversation: even turns are recommendations, odd ones journals, every third a proposed change."""
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
@@ -156,6 +147,12 @@ def _sessions(spark, d):
     return c.select(F.col("conv_id").alias("session"), (F.col("conv_id") % 500).alias("user"), F.to_json(doc).alias("doc"))
 
 
+def q_session_children(spark: SparkSession, d: str) -> DataFrame:
+    """Recommendations of session documents, one row each, with their whole texts; the older name of the time field is read too."""
+    r = M.explode_session(_sessions(spark, d))["recommendations"]
+    return r.select("session", F.col("n").cast("long").alias("n"), F.length("action").alias("chars"), F.md5(F.col("action").cast("binary")).alias("action"), F.col("when_to_do").alias("timing"))
+
+
 def q_session_tables(spark: SparkSession, d: str) -> DataFrame:
     """The rows of all child tables of a session, each with its main content."""
     t = M.explode_session(_sessions(spark, d))
@@ -320,7 +317,7 @@ SQL = {
     "dedupe_journals": 'with j as (select conv_id as u, case when turn % 5 > 0 then turn % 3 end as journal_id, turn as place from conversations) select u as "user", journal_id, min(place) as place from j where journal_id is not null and not (u % 4 = 0 and journal_id = 1) group by all union all select u, journal_id, place from j where journal_id is null',
     "enrollments": 'select o_custkey as "user", o_orderpriority as study, first(o_orderkey order by o_orderdate, o_orderkey) as o_orderkey from orders group by 1, 2',
     "accept_latest": "select o_orderkey, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1 as accepted from orders",
-    "session_children": "select conv_id, turn, n::int as n, case n when 0 then role else 'x' end as title, case n when 0 then 'am' else 'pm' end as timing from conversations, (select unnest([0, 1]) as n) where turn % 2 = 0",
+    "session_children": "select conv_id as session, row_number() over (partition by conv_id order by turn, role, text) - 1 as n, length(text) as chars, md5(text) as action, role as timing from conversations where turn % 2 = 0",
     "risk_trend": f'with {_ASS}{_TREND} select user_ as "user", trend from trend',
     "latest_risk": f'with {_ASS}{_TREND} select user_ as "user", level from latest',
     "feedback_history": f"""with {_FEED} select user_ as "user", string_agg(suggestion, ',' order by place, suggestion, action) as last from (select *, row_number() over (partition by user_ order by place desc, suggestion desc, action desc) as n from feed) where n <= 5 group by 1""",
