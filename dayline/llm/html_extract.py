@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import html
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -217,12 +219,19 @@ def _runs(judged: list[list[str]], hashes: WordHash) -> np.ndarray:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("region", pa.int32()), ("text", pa.string())]))
+    """Pages with their blocks, compressed: they are what travels to a page's host."""
+    pack = zstandard.ZstdCompressor(3).compress
     for whole in batches:
         for lo in range(0, whole.num_rows, 512):
             b = whole.slice(lo, 512)
-            parsed = [[{"region": r, "text": t} for r, t in blocks_of(x.as_py())] for x in b.column("html")]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("host"), b.column("chunk"), pa.array(parsed, kind)], ["page_id", "url", "host", "chunk", "blocks"])
+            parsed = [pack(json.dumps(blocks_of(x.as_py()), ensure_ascii=False).encode("utf-8", "surrogatepass")) for x in b.column("html")]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("host"), b.column("chunk"), pa.array(parsed, pa.binary())], ["page_id", "url", "host", "chunk", "blocks"])
+
+
+def _unpacked(blocks: pa.Array | pa.ChunkedArray) -> list[list[dict]]:
+    """The blocks of every page."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [[{"region": r, "text": t} for r, t in json.loads(unpack(x).decode("utf-8", "surrogatepass"))] for x in blocks.to_pylist()]
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +241,7 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     hashes = WordHash()
     for b in batches:
-        pages = b.column("blocks").to_pylist()
+        pages = _unpacked(b.column("blocks"))
         groups: dict[tuple[str, int], int] = {}
         group = np.array([groups.setdefault(k, len(groups)) for k in zip(b.column("host").to_pylist(), b.column("chunk").to_pylist(), strict=True)], np.int64)
         runs = [np.unique(_runs(_judged(p), hashes)) for p in pages]
@@ -275,7 +284,7 @@ def _texts(group: pa.Table, pages: list, judged: list, cover: list[np.ndarray])
 def _extracted(group: pa.Table) -> pa.Table:
     """Texts of a whole host's pages."""
     ids: dict[str, int] = {}
-    pages = group.column("blocks").to_pylist()
+    pages = _unpacked(group.column("blocks"))
     judged = [_judged(p) for p in pages]
     cover = repeated([np.array([ids.setdefault(w, len(ids)) for ws in p for w in ws], np.int64) for p in judged], contents=[_content(p) for p in pages])
     return _texts(group, pages, judged, cover)
@@ -283,7 +292,7 @@ def _extracted(group: pa.Table) -> pa.Table:
 
 def _extracted_by(group: pa.Table, marked: pa.Table) -> pa.Table:
     """Texts of a part of a host's pages, by the runs that are repeated in the whole host."""
-    hashes, pages = WordHash(), group.column("blocks").to_pylist()
+    hashes, pages = WordHash(), _unpacked(group.column("blocks"))
     judged, runs = [_judged(p) for p in pages], marked.column("run").to_numpy()
     cover = [_covered(np.flatnonzero(np.isin(_runs(ws, hashes), runs)), sum(map(len, ws)), RUN) for ws in judged]
     return _texts(group, pages, judged, cover)
@@ -313,8 +322,7 @@ def extract(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     # few hosts are that large: once written, the table's size tells Spark whether to broadcast it, so that the pages
     # needn't move for this join
     sizes = staged(p.groupBy("host").agg(F.ceil(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))) / chunk_bytes).alias("chunks")).where("chunks > 1"), "page-hosts")
-    kind = "array<struct<region: int, text: string>>"
-    parsed = lambda df: df.select("page_id", "url", "host", "chunk", "html").mapInArrow(_parsed, f"page_id long, url string, host string, chunk long, blocks {kind}")
+    parsed = lambda df: df.select("page_id", "url", "host", "chunk", "html").mapInArrow(_parsed, "page_id long, url string, host string, chunk long, blocks binary")
     out = "page_id long, url string, text string"
     if sizes.isEmpty():
         return parsed(p.withColumn("chunk", F.lit(0).cast("long"))).groupBy("host").applyInArrow(_extracted, out)
