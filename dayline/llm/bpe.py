@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 
 from dayline.llm.common import small_batches
 
-#: Entries of an encoder's two memos before each starts anew, and bytes of the longest piece remembered: some 40 MB at most.
-PIECES, PAIRS, SHORT = 60_000, 150_000, 32
+#: Entries of an encoder's two memos before each starts anew, and bytes of the longest piece remembered and of a leaf of the tree: some 100 MB at most.
+PIECES, PAIRS, SHORT = 300_000, 150_000, 32
 
 
 class TreeEncoder:
-    """Encodes the matches of `pattern` by the merge ranks, each by a balanced tree over its bytes.
+    """Encodes the matches of `pattern` by the merge ranks, each by a balanced tree over its bytes, whose leaves of up to SHORT bytes are merged plainly.
 
     The encodings of the two halves of a piece are joined at their boundary. A sequence of tokens is the encoding of
     its bytes exactly when every two neighbours are the encoding of theirs, so if the tokens at the boundary pass, the
@@ -40,18 +40,22 @@ class TreeEncoder:
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def merged(self, raw: bytes) -> tuple[int, ...]:
-        """Encoding of the bytes of two tokens by the merges themselves: lowest rank first, leftmost of equals."""
-        ranks, parts = self.ranks, [raw[i : i + 1] for i in range(len(raw))]
-        while len(parts) > 1:
-            low, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (low is None or r < low):
-                    low, at = r, i
-            if low is None:
+        """Encoding of some bytes by the merges themselves: lowest rank first, leftmost of equals."""
+        get, none = self.ranks.get, 1 << 62
+        parts = [raw[i : i + 1] for i in range(len(raw))]
+        pairs = [get(raw[i : i + 2], none) for i in range(len(raw) - 1)]
+        while pairs:
+            low = min(pairs)
+            if low == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return tuple(ranks[p] for p in parts)
+            i = pairs.index(low)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+        return tuple([self.ranks[p] for p in parts])
 
     def passes(self, a: int, b: int) -> bool:
         """Whether the encoding of the two tokens' bytes is just these two."""
@@ -107,6 +111,8 @@ class TreeEncoder:
         rank = self.ranks.get(raw)
         if rank is not None:
             got = (rank,)
+        elif len(raw) <= SHORT:
+            got = self.merged(raw)
         else:
             half = len(raw) // 2
             got = self.join(self.piece(raw[:half]), self.piece(raw[half:]))
