@@ -89,10 +89,15 @@ def within_person(df: DataFrame, group: str, flag: str, y: str, least: int = 2)
 
 
 def sign_test(k: Column, n: Column) -> Column:
-    """Exact two-sided p of k of n signs, by logarithms of factorials."""
-    log_factorial = lambda m: F.aggregate(F.sequence(F.lit(0), m.cast("int")), F.lit(0.0), lambda a, i: a + F.ln(F.greatest(i, F.lit(1)).cast("double")))
-    far = F.greatest(k, n - k).cast("int")
-    terms = F.aggregate(F.sequence(far, n.cast("int")), F.lit(0.0), lambda a, i: a + F.exp(log_factorial(n) - log_factorial(i) - log_factorial(n - i) - n * math.log(2)))
+    """Exact two-sided p of k of n signs, by logarithms, in a number of steps that grows with n.
+
+    The first term of the tail is the fold of its binomial coefficient, each further one follows from the one before.
+    """
+    k, n = k.cast("int"), n.cast("int")
+    far = F.greatest(k, n - k)
+    first = F.aggregate(F.sequence(F.lit(0), n - far), -n * math.log(2), lambda a, i: a + F.when(i > 0, F.ln((far + i) / i)).otherwise(0.0))
+    step = lambda a, j: F.struct((a["p"] + F.exp(a["term"])).alias("p"), F.when(j < n, a["term"] + F.ln((n - j) / (j + 1))).alias("term"))
+    terms = F.aggregate(F.sequence(far, n), F.struct(F.lit(0.0).alias("p"), first.alias("term")), step, lambda a: a["p"])
     return F.when(n > 0, F.least(F.lit(1.0), 2 * terms))
 
 
