@@ -40,9 +40,9 @@ def baseline_stats(long: DataFrame, first: int, last: int) -> DataFrame:
     """Statistics of the usable values in days [first, last] relative to each row; null below three values."""
     df = long.join(F.broadcast(registry.marker_table(long.sparkSession).select("marker", "least_std")), "marker", "left")
     w, v, a = _frame(first, last), _usable(), F.col("_a")
-    df = df.select("*", F.array_sort(F.collect_list(v).over(w)).alias("_a"), F.avg(v).over(w).alias("_mean"), F.stddev_pop(v).over(w).alias("_std"))
+    df = df.select("*", F.sort_array(F.collect_list(v).over(w)).alias("_a"), F.avg(v).over(w).alias("_mean"), F.stddev_pop(v).over(w).alias("_std"))
     df = df.withColumn("_median", C.quantile(a, 0.5))
-    deviation = F.array_sort(F.transform(a, lambda x: F.abs(x - F.col("_median"))))
+    deviation = F.sort_array(F.transform(a, lambda x: F.abs(x - F.col("_median"))))
     df = df.withColumn("_mad", deviation)
     stats = {
         "n": F.size(a),
@@ -115,16 +115,26 @@ def _scored(long: DataFrame, recent: int, baseline: int, least: str) -> DataFram
     return df.withColumn("hit", F.coalesce(F.col("mean").isNotNull() & (F.size("recent") >= max(2, recent // 2)) & (magnitude_rank(F.col("magnitude")) >= registry.MAGNITUDES.index(least)), F.lit(False)))
 
 
+def _course() -> Column:
+    return trajectory(F.transform("recent", lambda v: F.round((v - F.col("mean")) / F.col("std"), 9)))
+
+
 def deviations(long: DataFrame, recent: int = 4, baseline: int = 28, least: str = "mild") -> DataFrame:
     """Markers whose recent mean leaves the preceding baseline, one row for each (pid, day, marker)."""
     df = _scored(long, recent, baseline, least).where("hit")
-    zs = F.transform("recent", lambda v: F.round((v - F.col("mean")) / F.col("std"), 9))
     return df.select(
-        "pid", "day", "marker", "magnitude", trajectory(zs).alias("trajectory"), "direction", F.col("coverage_class").alias("coverage"),
+        "pid", "day", "marker", "magnitude", _course().alias("trajectory"), "direction", F.col("coverage_class").alias("coverage"),
         "recent_mean", F.col("mean").alias("baseline_mean"), F.col("std").alias("baseline_std"), F.size("recent").alias("recent_days"), "z",
     )
 
 
+def scored_deviations(long: DataFrame, recent: int = 4, baseline: int = 28, least: str = "mild", days: int = 7) -> DataFrame:
+    """Every row of `long` with what `deviations` says of it where it deviates (`hit`) and its `quality` over the last `days` days, in one sort."""
+    df = coverage_quality(_scored(long, recent, baseline, least), days)
+    course = F.when(F.col("hit"), _course())
+    return df.select("pid", "day", "marker", "hit", "magnitude", course.alias("trajectory"), "direction", "coverage_class", "recent_mean", F.col("mean").alias("baseline_mean"), "quality")
+
+
 def coherent_patterns(devs: DataFrame, least_circadian: int = 1) -> DataFrame:
     """(pid, day, pattern, implicated array): every required marker deviates in its direction; optional ones are added."""
     rules = registry.rule_table(devs.sparkSession)
@@ -136,7 +146,7 @@ def coherent_patterns(devs: DataFrame, least_circadian: int = 1) -> DataFrame:
     return found.where((F.col("pattern") != "circadian-instability") | (F.size("implicated") >= least_circadian))
 
 
-def _fires(devs: Column, pattern: str, least_circadian: int) -> Column:
+def fires(devs: Column, pattern: str, least_circadian: int = 1) -> Column:
     """Whether an array of a day's deviations (marker, direction, magnitude) holds all that a pattern requires."""
     rules = [r for r in registry.RULES if r[0] == pattern]
 
@@ -152,6 +162,12 @@ def _fires(devs: Column, pattern: str, least_circadian: int) -> Column:
     return out
 
 
+def implicated(devs: Column, pattern: str) -> Column:
+    """The markers of a pattern that an array of a day's deviations holds, in the order of the rules."""
+    met = lambda r: F.exists(devs, lambda d: (d["marker"] == r[1]) & (d["direction"] == r[2]) & (F.lit(not r[3]) | (d["magnitude"] != "within-typical")))
+    return F.filter(F.array(*[F.when(met(r), F.lit(r[1])) for r in registry.RULES if r[0] == pattern]), lambda x: x.isNotNull())
+
+
 def daily_pipeline(long: DataFrame, warmup: int = 10, recent: int = 4, baseline: int = 21, least: str = "mild", least_circadian: int = 1) -> DataFrame:
     """One row for each (pid, day): risk index, deviations and patterns; days before the warm-up have none.
 
@@ -162,7 +178,7 @@ def daily_pipeline(long: DataFrame, warmup: int = 10, recent: int = 4, baseline:
     dev = F.struct(F.coalesce(F.try_element_at(place, F.col("marker")), F.lit(-1)).alias("position"), "marker", "direction", "magnitude", magnitude_rank(F.col("magnitude")).alias("rank"))
     known = F.col("hit") & F.col("marker").isin(registry.NAMES)
     days = _scored(long, recent, baseline, least).groupBy("pid", "day").agg(F.count_if(F.col("coverage") >= USABLE).alias("n_markers_present"), F.sort_array(F.collect_list(F.when(known, dev))).alias("m"))
-    fired = F.filter(F.array(*[F.when(_fires(F.col("m"), p, least_circadian), F.lit(p)) for p in registry.PATTERNS]), lambda x: x.isNotNull())
+    fired = F.filter(F.array(*[F.when(fires(F.col("m"), p, least_circadian), F.lit(p)) for p in registry.PATTERNS]), lambda x: x.isNotNull())
     weight = F.aggregate("m", F.lit(0), lambda a, d: a + d["rank"])
     out = warmth(days.withColumn("q", fired), warmup)
     warm, zero = F.col("warm"), F.lit(0)

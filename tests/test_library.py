@@ -127,13 +127,30 @@ def test_mobility(spark):
 def test_statistics(spark):
     one = spark.range(1)
     assert round(one.select(S.sign_test(F.lit(13), F.lit(22))).first()[0], 3) == 0.523
-    # its steps grow with n: by n times n this one would take hours
+    # so many signs take as many steps, not their square
     assert round(one.select(S.sign_test(F.lit(270500), F.lit(540000))).first()[0], 4) == 0.174
     assert abs(one.select(S.t_tail(F.lit(2.228138851986), F.lit(10.0))).first()[0] - 0.05) < 1e-8
     df = spark.createDataFrame([(float(v), float(v)) for v in [0, 0, 1, 2] * 4], "x double, y double")
     assert abs(S.spearman(df, "x", "y").first().r - 1) < 1e-12
 
 
+def test_a_state_document_computes_its_frames_once_in_one_shuffle(spark):
+    from dayline.operators import state
+
+    rows = [(p, DAY + dt.timedelta(days=i), m, float((i * 7 + (p or 0)) % 5 + (90 if i > 30 else 0)), 1.0 if i % 9 else 0.2) for p in (1, 2, None) for i in range(36) for m in ("sleep_onset_hour", "late_night_screen_min", "mobility_entropy", "own_marker")]
+    long = spark.createDataFrame(rows, "pid long, day date, marker string, value double, coverage double").withColumn("day_num", F.datediff("day", F.lit("1970-01-01").cast("date")))
+    doc = state.state_documents(long)
+    plan = doc._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+    devs = B.deviations(long, 4, 21)
+    days = B.warmth(long.where("pid is not null").select("pid", "day").distinct(), 10)
+    key = lambda d, c: {(r.pid, r.day): r[c] for r in d.collect()}
+    assert key(doc, "confidence") == key(state.overall_confidence(long.where("pid is not null"), devs), "confidence")
+    assert key(state.risk_of_state(doc), "risk") == key(state.risk_level(devs.where("marker <> 'own_marker'"), B.coherent_patterns(devs), days), "risk")
+    found = {(r.pid, r.day, r.pattern): r.implicated for r in B.coherent_patterns(devs).join(days.where("warm"), ["pid", "day"]).collect()}
+    assert found == {(r.pid, r.day, p.pattern): p.implicated for r in doc.collect() for p in r.patterns or []} and found
+
+
 def test_mixed_model_is_the_dense_maximum(spark):
     import numpy as np
 
