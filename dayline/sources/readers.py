@@ -17,40 +17,54 @@ def local_time(epoch_seconds: Column, zone: str = ZONE) -> Column:
 PID = r"(u\d+)[^/]*$"
 
 
-def with_pid(df: DataFrame, pattern: str = PID) -> DataFrame:
-    """Adds `pid` from the path of the file that a row is read from; all files are one scan."""
+def with_pid(df: DataFrame, pattern: str | None = PID) -> DataFrame:
+    """Adds `pid` from the path of the file that a row is read from; all files are one scan.
+
+    Without a pattern the rows bring their own: a folder for each of many participants costs more to write, list and
+    open than its rows do, so that many share a file whose first column is `pid`.
+    """
+    if pattern is None:
+        return df.withColumn("pid", F.trim("pid"))
     return df.withColumn("pid", F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
 
 
+def _own(pattern: str | None) -> str:
+    return "pid string, " if pattern is None else ""
+
+
+def _named(pattern: str | None) -> list[str]:
+    return ["pid"] if pattern is None else []
+
+
 def _csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("enforceSchema", True).csv(path)
 
 
-def read_intervals(spark: SparkSession, path: str, zone: str = ZONE, pid: str = PID) -> DataFrame:
+def read_intervals(spark: SparkSession, path: str, zone: str = ZONE, pid: str | None = PID) -> DataFrame:
     """(pid, start, end) of files whose first two columns are epochs; rows that don't end after their start are dropped."""
-    raw = with_pid(spark.read.option("header", True).schema("start string, end string").csv(path).select("*", "_metadata"), pid)
+    raw = with_pid(spark.read.option("header", True).schema(_own(pid) + "start string, end string").csv(path).select("*", "_metadata"), pid)
     e = raw.select("pid", F.trim("start").try_cast("double").alias("s"), F.trim("end").try_cast("double").alias("e")).where("e > s")
     return e.select("pid", local_time(F.col("s"), zone).alias("start"), local_time(F.col("e"), zone).alias("end"))
 
 
-def read_locations(spark: SparkSession, path: str, zone: str = ZONE, pid: str = PID) -> DataFrame:
+def read_locations(spark: SparkSession, path: str, zone: str = ZONE, pid: str | None = PID) -> DataFrame:
     """(pid, time, location) of files with a comma at the end of each row; blank places are dropped."""
-    raw = with_pid(spark.read.option("header", True).schema("time string, location string, rest string").csv(path).select("*", "_metadata"), pid)
+    raw = with_pid(spark.read.option("header", True).schema(_own(pid) + "time string, location string, rest string").csv(path).select("*", "_metadata"), pid)
     t = raw.select("pid", F.trim("time").try_cast("double").alias("t"), F.trim("location").alias("location")).where("t is not null and location <> ''")
     return t.select("pid", local_time(F.col("t"), zone).alias("time"), "location")
 
 
-def read_apps(spark: SparkSession, path: str, time: str = "timestamp", package: str = "RUNNING_TASKS_topActivity_mPackage", zone: str = ZONE, pid: str = PID) -> DataFrame:
+def read_apps(spark: SparkSession, path: str, time: str = "timestamp", package: str = "RUNNING_TASKS_topActivity_mPackage", zone: str = ZONE, pid: str | None = PID) -> DataFrame:
     """(pid, time, package): two of many columns."""
-    raw = with_pid(_csv(spark, path).select(time, package, "_metadata"), pid)
+    raw = with_pid(_csv(spark, path).select(*_named(pid), time, package, "_metadata"), pid)
     t = raw.select("pid", F.col(time).try_cast("double").alias("t"), F.col(package).alias("package")).where("t is not null and package is not null")
     return t.select("pid", local_time(F.col("t"), zone).alias("time"), "package")
 
 
-def read_comm(spark: SparkSession, path: str, kind: str, zone: str = ZONE, pid: str = PID) -> DataFrame:
+def read_comm(spark: SparkSession, path: str, kind: str, zone: str = ZONE, pid: str | None = PID) -> DataFrame:
     """(pid, time, outgoing, channel) of message or call files with epochs in milliseconds; type 2 goes out."""
     prefix = {"sms": "MESSAGES", "call": "CALLS"}[kind]
-    raw = with_pid(_csv(spark, path).select(f"{prefix}_date", f"{prefix}_type", "_metadata"), pid)
+    raw = with_pid(_csv(spark, path).select(*_named(pid), f"{prefix}_date", f"{prefix}_type", "_metadata"), pid)
     t = raw.select("pid", F.col(f"{prefix}_date").try_cast("double").alias("t"), F.col(f"{prefix}_type").try_cast("int").alias("k")).where("t is not null and k is not null")
     return t.select("pid", local_time(F.col("t") / 1000, zone).alias("time"), (F.col("k") == 2).alias("outgoing"), F.lit(kind).alias("channel"))
 

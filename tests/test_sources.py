@@ -77,3 +77,15 @@ def test_recent_logs_sort_only_the_newest_days(spark, tmp_path):
         assert "TakeOrderedAndProject" in plan and "day#" in partition_filters(got)
         assert [r.id for r in got.collect()] == [i for _, i in sorted(((r[1], r[0]) for r in rows), reverse=True)][:n]
     assert readers.recent_logs(table.where("false"), 5).count() == 0
+
+
+def test_many_participants_share_a_bounded_number_of_files(spark, tmp_path):
+    from dayline.functions.staging import shared_dir
+    from dayline.plans import source_queries
+
+    shared_dir(spark)
+    lines = spark.range(300).select(F.col("id").alias("pid"), F.concat_ws(",", F.col("id") + 10, F.col("id") + 20).alias("line"))
+    path = source_queries._bundled(lines, " pid , start , end ", ["x,9", "5,5", "7,", ""], "bundled", 4)
+    assert len(spark.read.format("binaryFile").load(path).select("path").collect()) == 4
+    got = readers.read_intervals(spark, path, pid=None)
+    assert sorted(r.pid for r in got.collect()) == sorted(f"u{i}" for i in range(300)) and {(r.end - r.start).seconds for r in got.collect()} == {10}
