@@ -62,12 +62,27 @@ def drop_conflicts(proposals: DataFrame, events: DataFrame) -> DataFrame:
     return add.join(conflicts(add, events), "pkey", "left_anti")
 
 
+def with_free_day(slots: DataFrame, events: DataFrame, days: int = 7) -> DataFrame:
+    """Slots (skey, pid, today, minute, minutes) with `free_day`, the first of the next `days` days whose slot is free, else the next one.
+
+    Slots and events meet in blocks of days + 1 days, two for most slots, and a pair tells all days on which it conflicts:
+    no slot is multiplied by its days.
+    """
+    block = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / (days + 1))
+    blocks = lambda first, last: F.explode(F.sequence(block(first), block(last))).alias("_block")
+    at = lambda offset: F.timestamp_add("MINUTE", F.col("minute"), F.date_add("today", offset).cast("timestamp_ntz"))
+    until = lambda offset: F.timestamp_add("MINUTE", F.col("minutes"), at(offset))
+    s = slots.select("skey", "pid", "today", "minute", "minutes", blocks(F.to_date(at(F.lit(1))), F.to_date(until(F.lit(days)))))
+    e = events.select("pid", F.col("start").alias("_s"), F.col("end").alias("_e"), blocks(F.to_date("start"), F.to_date("end")))
+    busy = F.filter(F.sequence(F.lit(1), F.lit(days)), lambda o: (at(o) < F.col("_e") - F.expr(MINUTE)) & (F.col("_s") < until(o) - F.expr(MINUTE)))
+    taken = s.join(e, ["pid", "_block"]).select("skey", F.explode(busy).alias("offset")).groupBy("skey").agg(F.collect_set("offset").alias("_busy"))
+    free = F.array_min(F.array_except(F.sequence(F.lit(1), F.lit(days)), F.coalesce("_busy", F.array().cast("array<int>"))))
+    return slots.join(taken, "skey", "left").withColumn("free_day", F.date_add("today", F.coalesce(free, F.lit(1)))).drop("_busy")
+
+
 def first_free_day(slots: DataFrame, events: DataFrame, days: int = 7) -> DataFrame:
-    """(skey, free_day): the first of the next `days` days whose slot is free, else the next one; slots (skey, pid, today, minute, minutes)."""
-    o = slots.withColumn("offset", F.explode(F.sequence(F.lit(1), F.lit(days)))).withColumn("start", F.timestamp_add("MINUTE", F.col("minute"), F.date_add("today", F.col("offset")).cast("timestamp_ntz")))
-    o = o.withColumn("end", F.timestamp_add("MINUTE", F.col("minutes"), F.col("start"))).withColumn("pkey", F.concat_ws("|", F.col("skey").cast("string"), F.col("offset").cast("string")))
-    free = o.join(conflicts(o, events), "pkey", "left_anti").groupBy("skey").agg(F.min("offset").alias("offset"))
-    return slots.join(free, "skey", "left").select("skey", F.date_add("today", F.coalesce("offset", F.lit(1))).alias("free_day"))
+    """(skey, free_day) of `with_free_day`."""
+    return with_free_day(slots, events, days).select("skey", "free_day")
 
 
 def dedupe_key(title: Column, start: Column) -> Column:

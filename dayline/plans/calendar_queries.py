@@ -65,7 +65,7 @@ def q_first_free_slot(spark: SparkSession, d: str) -> DataFrame:
 def q_promote_suggestions(spark: SparkSession, d: str) -> DataFrame:
     """Clock-time suggestions put on their first free day for 30 minutes, rolled past midnight; conflicts stay out."""
     s = _slots(spark, d)
-    p = s.join(C.first_free_day(s, _calendar(spark, d)), "skey").withColumn("start", F.timestamp_add("MINUTE", F.col("minute"), F.col("free_day").cast("timestamp_ntz"))).withColumn("end", F.timestamp_add("MINUTE", F.lit(30), F.col("start")))
+    p = C.with_free_day(s, _calendar(spark, d)).withColumn("start", F.timestamp_add("MINUTE", F.col("minute"), F.col("free_day").cast("timestamp_ntz"))).withColumn("end", F.timestamp_add("MINUTE", F.lit(30), F.col("start")))
     p = p.withColumn("pkey", F.col("skey").cast("string")).withColumn("action", F.lit("add"))
     return C.drop_conflicts(p, _calendar(spark, d)).select("skey", "pid", "start", "end")
 

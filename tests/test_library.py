@@ -482,3 +482,12 @@ def test_battery_and_map_labels(spark):
     assert tuple(D.battery_impact(pairs).first()) == (2, "notable") and tuple(D.battery_impact(pairs.where("false")).first()) == (0, "unknown")
     tags = spark.createDataFrame([(1, i, t) for i, t in enumerate([{"amenity": "bench", "building": "yes", "name": "Hall"}, {"leisure": "park"}, {"building": " "}, {"building": "no"}, {}])] + [(2, 0, None)], "k int, place int, tags map<string, string>")
     assert [tuple(r) for r in D.feature_summary(tags, ["k"]).collect()] == [(1, "Nearby map features: buildings, green space. Named places/features: Hall")]
+
+
+def test_a_slot_is_not_multiplied_by_the_days_it_may_take(spark):
+    at = lambda day, hour: dt.datetime.combine(DAY + dt.timedelta(days=day), dt.time(hour))
+    events = spark.createDataFrame([(1, at(1, 9), at(1, 11)), (1, at(2, 22), at(4, 12)), (2, at(1, 0), at(30, 0)), (1, None, at(9, 0))], "pid long, start timestamp_ntz, end timestamp_ntz")
+    slots = spark.createDataFrame([(1, 1, DAY, 600, 30), (2, 2, DAY, 600, 30), (3, 1, DAY, 1430, 30), (4, 3, DAY, 600, 30), (5, 1, DAY, None, 30)], "skey long, pid long, today date, minute int, minutes int")
+    out = K.first_free_day(slots, events)
+    assert {r.skey: (r.free_day - DAY).days for r in out.collect()} == {1: 2, 2: 1, 3: 1, 4: 1, 5: 1}
+    assert "LeftAnti" not in out._jdf.queryExecution().optimizedPlan().toString()  # slots times days against their conflicts
