@@ -7,7 +7,6 @@ than others but before that count like any.
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -59,111 +58,155 @@ def new_journals(journals: DataFrame, late: str = "7 days") -> DataFrame:
 
 
 class InOrder(StatefulProcessor):
-    """Folds the rows of a key in order of time, whichever batch they come in.
+    """Folds the rows of each device in order of time, whichever batch they come in.
 
-    Rows wait in a list until the watermark has passed them, and are then handed to `fold` sorted. The state that the
-    fold keeps is closed by a timer once the watermark has passed `closes`, so neither rows nor states stay for ever.
-    Rows are tuples whose first entry is their time. Times are naive ones of UTC, the zone of the session.
+    Rows wait until the watermark has passed them, and are then handed to `fold` sorted. The state that the fold keeps
+    is closed by a timer once the watermark has passed `closes`, so neither rows nor states stay for ever. Rows are
+    tuples whose first entry is their time, in microseconds of UTC.
+
+    A key is a part of the devices, not a device: each call of the state store from Python is a round trip, and a
+    device has few rows. A part's waiting rows are blocks, each an array for each column, one block for each frame
+    that comes in; its states are one block more.
     """
 
-    #: Columns and types of the rows that wait, of the state, and of the results.
+    #: Columns and types of the rows that wait and of the state, whose times are longs, and of the results.
     row = state = out = ""
 
-    def fold(self, key: tuple, state: tuple | None, row: tuple) -> tuple[tuple | None, list[tuple]]:
+    def fold(self, device: int | None, state: tuple | None, row: tuple) -> tuple[tuple | None, list[tuple]]:
         """The state after the row, and the results it brings."""
         raise NotImplementedError
 
-    def closes(self, state: tuple) -> dt.datetime:
+    def closes(self, state: tuple) -> int:
         """When a state ends by itself."""
         raise NotImplementedError
 
-    def finish(self, key: tuple, state: tuple) -> list[tuple]:
+    def finish(self, device: int | None, state: tuple) -> list[tuple]:
         """The results of a state that ends by itself."""
         return []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row)
-        self.kept = handle.getValueState("kept", self.state)
-        self.names = [c.split()[0] for c in self.row.split(", ")]
+        self.waiting = handle.getListState("waiting", _block("device string, " + self.row))
+        self.kept = handle.getValueState("kept", _block("device string, " + self.state))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        self.waiting.appendList([tuple(_plain(v) for v in r) for part in rows for r in part[self.names].itertuples(index=False)])
-        yield self._go_on(key, timerValues)
+        fields = _fields("device string, " + self.row)
+        blocks = [tuple(_values(part[c], kind) for c, kind in fields) for part in rows]
+        first = min((min(b[1]) for b in blocks if b[1]), default=None)
+        if first is None:
+            return
+        self.waiting.appendList([b for b in blocks if b[1]])
+        if first // 1000 <= timerValues.getCurrentWatermarkInMs():
+            yield self._go_on(timerValues)
+        else:
+            self._wake(first, min(self.handle.listTimers(), default=None))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._go_on(key, timerValues)
+        yield self._go_on(timerValues)
 
-    def _go_on(self, key, timerValues) -> pd.DataFrame:
+    def _go_on(self, timerValues) -> pd.DataFrame:
         now = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(_plain(v) for v in r) for r in self.waiting.get()] if self.waiting.exists() else []
-        due = sorted((r for r in held if _millis(r[0]) <= now), key=lambda r: tuple((v is not None, v) for v in r))
-        state, out = tuple(_plain(v) for v in self.kept.get()) if self.kept.exists() else None, []
-        for r in due:
-            if state is not None and r[0] >= self.closes(state):
-                out += self.finish(key, state)
+        due, rest, out = {}, [], []
+        for block in self.waiting.get() if self.waiting.exists() else ():
+            for device, *r in zip(*block):
+                if r[0] // 1000 <= now:
+                    due.setdefault(device, []).append(tuple(r))
+                else:
+                    rest.append((device, *r))
+        states = {device: tuple(s) for device, *s in zip(*self.kept.get())} if self.kept.exists() else {}
+        for name in [*due, *(d for d in states if d not in due)]:
+            state, device = states.pop(name, None), None if name is None else int(name)
+            for r in sorted(due.get(name, ()), key=lambda r: tuple((v is not None, v) for v in r)):
+                if state is not None and r[0] >= self.closes(state):
+                    out += self.finish(device, state)
+                    state = None
+                state, found = self.fold(device, state, r)
+                out += found
+            if state is not None and self.closes(state) // 1000 <= now:
+                out += self.finish(device, state)
                 state = None
-            state, found = self.fold(key, state, r)
-            out += found
-        if state is not None and _millis(self.closes(state)) <= now:
-            out += self.finish(key, state)
-            state = None
-        rest = [r for r in held if _millis(r[0]) > now]
+            if state is not None:
+                states[name] = state
         if due:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        self.kept.clear() if state is None else self.kept.update(state)
+            self.waiting.put([tuple(list(c) for c in zip(*rest))]) if rest else self.waiting.clear()
+        self.kept.update(tuple(list(c) for c in zip(*((d, *s) for d, s in states.items())))) if states else self.kept.clear()
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        wake = [_millis(r[0]) for r in rest] + ([_millis(self.closes(state))] if state is not None else [])
-        if wake:
-            self.handle.registerTimer(min(wake) + 1)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in self.out.split(", ")])
+        ends = [r[1] for r in rest] + [self.closes(s) for s in states.values()]
+        if ends:
+            self._wake(min(ends), None)
+        return _frame(out, self.out)
+
+    def _wake(self, micros: int, before: int | None) -> None:
+        """Sets a timer for when the watermark has passed a time, unless one comes no later; a timer fires once the watermark is beyond it."""
+        at = micros // 1000 - 1
+        if before is None or at < before:
+            self.handle.registerTimer(at)
+
+
+def _fields(columns: str) -> list[tuple[str, str]]:
+    return [tuple(c.split()) for c in columns.split(", ")]
+
+
+def _block(columns: str) -> str:
+    return ", ".join(f"{c} array<{kind}>" for c, kind in _fields(columns))
 
 
-def _plain(v):
-    """A value as the state store takes it: no NaN, no NaT, no pandas or numpy scalar."""
-    if v is None or v != v:
-        return None
-    if isinstance(v, pd.Timestamp):
-        return v.to_pydatetime().replace(tzinfo=None)
-    return v.item() if hasattr(v, "item") else v
+def _values(column: pd.Series, kind: str) -> list:
+    """A column's values as a block takes them: times as microseconds, no NaN, no pandas or numpy scalar."""
+    if pd.api.types.is_datetime64_any_dtype(column.dtype):
+        column = column.astype("datetime64[us]").astype("int64").where(column.notna())
+    if not column.hasnans:
+        return column.astype("int64").tolist() if kind == "long" else column.tolist()
+    return [None if v is None or v != v else int(v) if kind == "long" else v for v in column.tolist()]
 
 
-def _millis(t: dt.datetime) -> int:
-    return (t.replace(tzinfo=None) - dt.datetime(1970, 1, 1)) // dt.timedelta(milliseconds=1)
+def _frame(rows: list[tuple], columns: str) -> pd.DataFrame:
+    """Results as a frame, their times and dates made of microseconds."""
+    fields = _fields(columns)
+    frame = pd.DataFrame(rows, columns=[c for c, _ in fields], dtype=object)
+    for c, kind in fields:
+        if kind in ("timestamp", "date"):
+            times = pd.to_datetime(frame[c].astype("Int64"), unit="us")
+            frame[c] = times.dt.date if kind == "date" else times
+    return frame
+
+
+#: Microseconds of an hour.
+_HOUR = 3_600_000_000
 
 
 class PairOnOff(InOrder):
     """Keeps a device's last screen-off; a screen-on closes it into an interval, and so does a timer when none comes in time."""
 
-    row, state, out = "ts timestamp, seq long, off boolean, lux double", "at timestamp, lux double", "device long, start timestamp, end timestamp, lux double"
+    row, state, out = "ts long, seq long, off boolean, lux double", "at long, lux double", "device long, start timestamp, end timestamp, lux double"
 
     def __init__(self, longest_hours: float) -> None:
-        self.longest = dt.timedelta(hours=longest_hours)
+        self.longest = round(longest_hours * _HOUR)
 
-    def fold(self, key, state, row):
+    def fold(self, device, state, row):
         ts, _, off, lux = row
-        out = [(key[0], state[0], ts, state[1])] if state and not off else []
+        out = [(device, state[0], ts, state[1])] if state and not off else []
         return ((ts, lux) if off else None), out
 
     def closes(self, state):
         return state[0] + self.longest
 
-    def finish(self, key, state):
-        return [(key[0], state[0], self.closes(state), state[1])]
+    def finish(self, device, state):
+        return [(device, state[0], self.closes(state), state[1])]
 
 
 class ChangedOnly(InOrder):
     """Lets a period pass when its fingerprint differs from the device's last, which is forgotten after `ttl_days` without one."""
 
-    row, state, out = "ts timestamp, fingerprint string", "at timestamp, fingerprint string", "device long, ts timestamp, fingerprint string"
+    row, state, out = "ts long, fingerprint string", "at long, fingerprint string", "device long, ts timestamp, fingerprint string"
 
     def __init__(self, ttl_days: float) -> None:
-        self.ttl = dt.timedelta(days=ttl_days)
+        self.ttl = round(ttl_days * 24 * _HOUR)
 
-    def fold(self, key, state, row):
+    def fold(self, device, state, row):
         ts, fingerprint = row
-        return (ts, fingerprint), ([] if state and state[1] == fingerprint else [(key[0], ts, fingerprint)])
+        return (ts, fingerprint), ([] if state and state[1] == fingerprint else [(device, ts, fingerprint)])
 
     def closes(self, state):
         return state[0] + self.ttl
@@ -172,45 +215,55 @@ class ChangedOnly(InOrder):
 class OpenSegment(InOrder):
     """Keeps a device's open segment; a window that doesn't fit closes it, and so does the end of its day."""
 
-    row, state = "ts timestamp, end timestamp, motion string, place string", "start timestamp, end timestamp, motion string, place string"
+    row, state = "ts long, end long, motion string, place string", "start long, end long, motion string, place string"
     out = "device long, day date, start timestamp, end timestamp, motion string, place string"
 
-    def fold(self, key, state, row):
+    def fold(self, device, state, row):
         ts, end, motion, place = row
         if state and state[2] == motion and _contain(state[3], place):
             longer = place if state[3] is None or len(place) >= len(state[3]) else state[3]
             return (state[0], end, motion, longer), []
-        return row, (self.finish(key, state) if state else [])
+        return row, (self.finish(device, state) if state else [])
 
     def closes(self, state):
-        return dt.datetime.combine(state[0].date() + dt.timedelta(days=1), dt.time())
+        return (state[0] // (24 * _HOUR) + 1) * 24 * _HOUR
 
-    def finish(self, key, state):
-        return [(key[0], state[0].date(), *state)]
+    def finish(self, device, state):
+        return [(device, state[0], *state)]
 
 
 def _contain(a: str | None, b: str | None) -> bool:
     return a == b if a is None or b is None else a.lower() in b.lower() or b.lower() in a.lower()
 
 
-def _in_order(rows: DataFrame, processor: InOrder, late: str) -> DataFrame:
-    """Runs a processor over rows (device, ts, ...), in a session whose zone is UTC and whose state store is RocksDB."""
-    return rows.withWatermark("ts", late).groupBy("device").transformWithStateInPandas(processor, processor.out, "append", "eventTime")
+def _in_order(rows: DataFrame, processor: InOrder, late: str, parts: int) -> DataFrame:
+    """Runs a processor over rows (device, ts, ...), in a session whose zone is UTC and whose state store is RocksDB.
+
+    The devices fall into `parts`, as many as the checkpoint was begun with. A part's rows of a batch are together in
+    memory, so a larger fleet takes more parts. Rows without a time are left out: the watermark never passes them.
+    """
+    # as text, an id is exact in pandas beside nulls
+    rows = rows.withWatermark("ts", late).where("ts is not null").withColumn("part", F.pmod(F.xxhash64("device"), F.lit(parts))).withColumn("device", F.col("device").cast("string"))
+    return rows.groupBy("part").transformWithStateInPandas(processor, processor.out, "append", "eventTime")
+
+
+#: Parts of the devices in the state of jobs that fold rows in order.
+PARTS = 256
 
 
-def pair_on_off(rows: DataFrame, late: str = "10 minutes", longest_hours: float = 24.0) -> DataFrame:
+def pair_on_off(rows: DataFrame, late: str = "10 minutes", longest_hours: float = 24.0, parts: int = PARTS) -> DataFrame:
     """Screen-off intervals of (device, ts, seq, off, lux), across batches. The last off before an on counts; one that stays open ends after `longest_hours`."""
-    return _in_order(rows, PairOnOff(longest_hours), late)
+    return _in_order(rows, PairOnOff(longest_hours), late, parts)
 
 
-def changed_periods(rows: DataFrame, late: str = "1 day", ttl_days: float = 30.0) -> DataFrame:
+def changed_periods(rows: DataFrame, late: str = "1 day", ttl_days: float = 30.0, parts: int = PARTS) -> DataFrame:
     """Periods (device, ts, fingerprint) whose fingerprint differs from that of the device's period before."""
-    return _in_order(rows, ChangedOnly(ttl_days), late)
+    return _in_order(rows, ChangedOnly(ttl_days), late, parts)
 
 
-def refined_segments(windows: DataFrame, late: str = "1 hour") -> DataFrame:
+def refined_segments(windows: DataFrame, late: str = "1 hour", parts: int = PARTS) -> DataFrame:
     """Neighbouring windows (device, ts, end, motion, place) of a day folded where the motion is equal and one place contains the other."""
-    return _in_order(windows, OpenSegment(), late)
+    return _in_order(windows, OpenSegment(), late, parts)
 
 
 def journal_ingest(folder: str, parts: int = 64) -> Callable[[DataFrame, int], None]:

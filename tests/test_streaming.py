@@ -64,6 +64,88 @@ def test_pairs_across_batches_in_any_order(spark):
     assert [(r.device, r.start, r.end, r.lux) for r in got] == [(1, at(1), at(9), 5.0), (2, at(2), at(26), None)]
 
 
+class _Held:
+    """State and timers of one part in memory; counts the calls."""
+
+    def __init__(self):
+        self.calls, self.states, self.timers = 0, {}, []
+
+    def getListState(self, name, schema):
+        return _Held._Of(self, name)
+
+    getValueState = getListState
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+    class _Of:
+        def __init__(self, held, name):
+            self.held, self.name = held, name
+
+        def __getattr__(self, call):
+            def run(value=None):
+                states = self.held.states
+                self.held.calls += 1
+                if call == "exists":
+                    return self.name in states
+                if call == "get":
+                    return states[self.name]
+                if call == "clear":
+                    states.pop(self.name, None)
+                else:
+                    states[self.name] = states.get(self.name, []) + value if call == "appendList" else value
+
+            return run
+
+
+class _At:
+    def __init__(self, hours):
+        self.now = int(at(hours).replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_calls_of_the_state_store_dont_grow_with_the_devices():
+    import pandas as pd
+
+    def calls(devices):
+        held, job = _Held(), jobs.PairOnOff(24.0)
+        job.init(held)
+        rows = [(str(d), at(h), d, h < 2, float(d) if h < 2 else None) for h in (3, 1) for d in range(devices)]
+        frame = pd.DataFrame(rows, columns=["device", "ts", "seq", "off", "lux"])
+        assert list(job.handleInputRows((0,), iter([frame[:devices], frame[devices:]]), _At(0))) == [] and held.timers == [_At(1).now - 1]
+        got = pd.concat(job.handleExpiredTimer((0,), _At(2), None))
+        assert got.empty and held.timers == [_At(3).now - 1]  # all are off and wait for their ons
+        got = pd.concat(job.handleExpiredTimer((0,), _At(4), None))
+        assert sorted(got.itertuples(index=False, name=None)) == [(d, at(1), at(3), float(d)) for d in range(devices)]
+        assert not held.states and not held.timers
+        return held.calls
+
+    assert calls(500) == calls(2)
+
+
+def test_many_devices_share_parts_and_keep_their_ids(spark):
+    ids = [None, 2**53 + 1, 2**53, -4, *range(40)]
+    rows = [(d, at(h + i % 3), None if i % 4 == 0 else i, h == 1, None if i % 5 else 1.5, int(h > 1)) for i, d in enumerate(ids) for h in (1, 7)]
+    rows += [(7, None, 0, True, 0.0, 0), (99, at(480), 5, False, None, 2)]  # a row without a time is in no interval
+    df = spark.createDataFrame(rows, "device long, ts timestamp, seq long, off boolean, lux double, step int")
+    key = lambda rows: sorted(rows, key=str)
+    want = key((d, at(1 + i % 3), at(7 + i % 3), None if i % 5 else 1.5) for i, d in enumerate(ids))
+    for parts in (1, 3):
+        got = replay(df, F.col("step"), 3, lambda s: jobs.pair_on_off(s, "10 hours", parts=parts), "t").collect()
+        assert key((r.device, r.start, r.end, r.lux) for r in got) == want
+
+
 def test_segments_stream_as_they_refine(spark):
     w = lambda d, h, m, p: (d, at(h), at(h + 1), m, p)
     rows = [w(1, 1, "still", "Cafe"), w(1, 2, "still", "Cafe North"), w(1, 3, "still", "cafe"), w(1, 4, "walk", "cafe"), w(1, 5, "walk", None), w(1, 6, "walk", None), w(1, 26, "walk", None), w(2, 23, None, "x"), w(2, 25, None, "x")]
