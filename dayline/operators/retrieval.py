@@ -66,8 +66,14 @@ def unit(v: Column) -> Column:
     return bound(norm, lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)))
 
 
-def _units(rows: list[list[float]]) -> np.ndarray:
-    x = np.array(rows, np.float64)
+def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of vectors of one length as a matrix, without a Python number for each component."""
+    flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def _units(rows: np.ndarray | list[list[float]]) -> np.ndarray:
+    x = np.asarray(rows, np.float64)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -95,7 +101,7 @@ def _search(query_ids: np.ndarray, q: np.ndarray, category: np.ndarray | None, k
             for lo in range(0, whole.num_rows, max(1, step // max(len(q), 1))):
                 b = whole.slice(lo, max(1, step // max(len(q), 1)))
                 own = b.column(0).to_numpy(zero_copy_only=False)
-                score = np.round(q @ _units(b.column(1).to_pylist()).T, 9)
+                score = np.round(q @ _units(_matrix(b.column(1))).T, 9)
                 if category is not None:
                     score[category[:, None] != b.column(2).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
                 if skip_self:
@@ -124,7 +130,7 @@ def _search_cell(k: int, skip_self: bool):
         if not queries.num_rows or not rows.num_rows:
             return empty
         same = "category" in queries.column_names
-        search = _search(queries.column("id").to_numpy(), _units(queries.column("vector").to_pylist()), queries.column("category").to_numpy() if same else None, k, skip_self)
+        search = _search(queries.column("id").to_numpy(), _units(_matrix(queries.column("vector"))), queries.column("category").to_numpy() if same else None, k, skip_self)
         return pa.Table.from_batches(search(iter(rows.select(["id", "vector", *(["category"] if same else [])]).to_batches())))
 
     return run
@@ -158,7 +164,7 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, same: str | None
     many = q.count()
     if many <= block:
         t = q.toArrow()  # `block` rows at most
-        units = _units(t.column("vector").to_pylist()) if t.num_rows else np.empty((0, 0))
+        units = _units(_matrix(t.column("vector"))) if t.num_rows else np.empty((0, 0))
         search = _search(t.column("id").to_numpy(), units, t.column("category").to_numpy() if same else None, k, skip_self)
         found = c.mapInArrow(search, _FOUND) if t.num_rows else c.limit(0).select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("cosine"))
         return _top(found, k)
@@ -168,15 +174,38 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, same: str | None
     return _top(cells(q, "qs", "rs").cogroup(cells(c, "rs", "qs")).applyInArrow(_search_cell(k, skip_self), _FOUND), k)
 
 
-def _cells_of(centres: np.ndarray, probes: int):
-    """A row (id, vector, cell) for each of the `probes` nearest cells of a vector."""
+def _nearest(b: pa.RecordBatch, centres: np.ndarray, probes: int, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of a batch (id, vector) and the `probes` nearest cells of their vectors, nearest first.
+
+    A slice has about `most` cosines, and a sixteenth of that in nearest cells, so that its size doesn't grow with the centres.
+    """
+    step = max(1, min(most // len(centres), most // 16 // probes))
+    for lo in range(0, b.num_rows, step):
+        part = b.slice(lo, step)
+        yield part, np.argsort(-(_units(_matrix(part.column(1))) @ centres.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+
+
+def _cells_of(centres: np.ndarray, probes: int, vectors: bool = True):
+    """A row (id, vector, cell), or without `vectors` (id, cell), for each of the `probes` nearest cells of a vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, near in _nearest(b, centres, probes):
+                take = pa.array(np.repeat(np.arange(part.num_rows), near.shape[1]))
+                kept = part.select(["id", "vector"] if vectors else ["id"]).take(take)
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(near.ravel())], [*kept.schema.names, "cell"])
+
+    return run
+
+
+def _orders(centres: np.ndarray):
+    """A row (id, order) for each vector: all cells, nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                near = np.argsort(-(_units(b.column(1).to_pylist()) @ centres.T), axis=1, kind="stable")[:, :probes]
-                take = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(near.ravel().astype(np.int32))], ["id", "vector", "cell"])
+            for part, near in _nearest(b, centres, len(centres)):
+                ends = pa.array(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(near.ravel()))], ["id", "order"])
 
     return run
 
@@ -217,7 +246,7 @@ class CellIndex:
         trial = _drawn(asked, trials, asked.count(), seed).limit(2 * trials)
         trial = staged(trial if not trial.isEmpty() else asked.limit(trials), "trial-queries").withColumnRenamed("id", "query_id")
         true = vector_topk(trial, self.rows, k, skip_self=skip_self).select("query_id", "id")
-        order = self.probing(trial, len(self.centres)).groupBy("id").agg(F.collect_list("cell").alias("order"))  # 2 * trials at most
+        order = _vectors(trial, "query_id").mapInArrow(_orders(self.centres), "id long, order array<int>")  # 2 * trials at most
         ranks = true.join(self.rows.select("id", "cell"), "id").join(F.broadcast(order.withColumnRenamed("id", "query_id")), "query_id").select(F.array_position("order", F.col("cell")).alias("rank"))
         return int(np.ceil(ranks.agg(F.coalesce(F.percentile("rank", F.lit(recall)), F.lit(1.0))).first()[0]))
 
@@ -235,7 +264,8 @@ class CellIndex:
 
     def work(self, queries: DataFrame, probes: int) -> DataFrame:
         """(query_id, compared): how many rows each query is compared with."""
-        return self.probing(queries, probes).join(F.broadcast(self.sizes), "cell").groupBy(F.col("id").alias("query_id")).agg(F.sum("n").alias("compared"))
+        cells = _vectors(queries, "query_id").mapInArrow(_cells_of(self.centres, probes, vectors=False), "id long, cell int")
+        return cells.join(F.broadcast(self.sizes), "cell").groupBy(F.col("id").alias("query_id")).agg(F.sum("n").alias("compared"))
 
 
 def _drawn(rows: DataFrame, wanted: int, of: int, seed: int) -> DataFrame:

@@ -375,6 +375,27 @@ def test_vector_searches_equal_brute_force(spark):
     assert retrieval.vector_topk(queries.limit(0), corpus, 5).count() == 0 and retrieval.vector_topk(queries, corpus.limit(0), 5).count() == 0
 
 
+def test_nearest_cells_come_in_batches_that_dont_grow_with_the_centres():
+    import numpy as np
+    import pyarrow as pa
+
+    from dayline.operators import retrieval
+
+    rng = np.random.default_rng(3)
+    v, centres = rng.normal(size=(700, 4)), retrieval._units(rng.normal(size=(900, 4)))
+    batch = pa.record_batch([pa.array(range(720)), pa.array([[1.0] * 4] * 20 + v.tolist())], ["id", "vector"]).slice(20)
+    want = np.argsort(-(retrieval._units(v) @ centres.T), axis=1, kind="stable")
+    for probes in (1, 3, 900):
+        for vectors in (True, False):
+            out = list(retrieval._cells_of(centres, probes, vectors)(iter([batch])))
+            assert max(b.num_rows for b in out) <= max(1 << 16, probes)
+            got = pa.Table.from_batches(out)
+            assert got.column_names == (["id", "vector", "cell"] if vectors else ["id", "cell"])
+            assert got.column("id").to_pylist() == np.repeat(range(20, 720), probes).tolist() and got.column("cell").to_pylist() == want[:, :probes].ravel().tolist()
+    orders = pa.Table.from_batches(retrieval._orders(centres)(iter([batch])))
+    assert orders.column("id").to_pylist() == list(range(20, 720)) and orders.column("order").to_pylist() == want.tolist()
+
+
 def test_fuzzy_match_equals_brute_force(spark):
     import random
 
