@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DataType, IntegerType, LongType, StructField, StructType
 
+from dayline.functions.staging import staged
 from dayline.operators import device
 from dayline.operators.memory import first_rows
 
@@ -311,18 +312,20 @@ def deviation_ingest(folder: str, detect: Callable[[DataFrame], DataFrame], reac
 
     A late day changes its own results and those of the `reach_days` after it. The batch's rows, and the results of all
     days it touches, each go to a folder of the batch's own, which a second try replaces: the same batch twice gives one
-    result. Only people in the batch are read again. A touched day has a row without marker, so that results that no
-    longer hold go (`current_deviations`).
+    result. Of the people in the batch, only the touched days and the `reach_days` before them are read again, however
+    long their history is. A touched day has a row without marker, so that results that no longer hold go
+    (`current_deviations`).
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{folder}/history/batch={number}")
+        mine = spark.read.schema(batch.schema).parquet(f"{folder}/history/batch={number}")
+        touched = staged(mine.groupBy("pid").agg(F.min("day").alias("since"), F.date_add(F.max("day"), reach_days).alias("until")), "touched")
         history = spark.read.schema(_with(batch, batch=LongType())).parquet(f"{folder}/history").where(F.col("batch") <= number)
-        mine = history.where(F.col("batch") == number)
-        touched = mine.groupBy("pid").agg(F.min("day").alias("since"), F.date_add(F.max("day"), reach_days).alias("until"))
-        newest = Window.partitionBy("pid", "day", "marker").orderBy(F.col("batch").desc())
-        days = history.join(touched.select("pid"), "pid", "left_semi").withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n", "batch")
+        days = history.join(touched, "pid").where(F.col("day").between(F.date_sub("since", reach_days), F.col("until"))).drop("since", "until")
+        newest = Window.partitionBy("pid", "marker", "day").orderBy(F.col("batch").desc())
+        days = days.repartition("pid").withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n", "batch")  # one shuffle for all windows
         again = detect(days).join(touched, "pid").where("day between since and until").drop("since", "until")
         marks = touched.select("pid", F.explode(F.sequence("since", "until")).alias("day"))
         again.unionByName(marks, allowMissingColumns=True).write.mode("overwrite").parquet(f"{folder}/results/batch={number}")

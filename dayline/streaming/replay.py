@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from dayline.functions.staging import shared_dir
 
@@ -31,14 +32,17 @@ def feed(rows: DataFrame, step: Column, steps: int, start: Callable[[DataFrame,
     """Writes the rows of each `step` (0 to steps - 1) to a folder and lets a job take in what is new there; returns the job's folder.
 
     `start` gets the stream and the job's folder and gives the writer. Each step is a run of its own from the checkpoint
-    before (availableNow), as a job is that is started now and then; the watermark moves between steps.
+    before (availableNow), as a job is that is started now and then; the watermark moves between steps. `rows` are
+    worked out once, and written by step.
     """
     spark = rows.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    rows.withColumn("_step", step.cast("int")).write.partitionBy("_step").parquet(f"{folder}/steps")
+    sorted_out = spark.read.schema(StructType([*rows.schema.fields, StructField("_step", IntegerType())])).parquet(f"{folder}/steps")
     for i in range(steps):
-        rows.where(step == i).write.mode("append").parquet(f"{folder}/in")
+        sorted_out.where(F.col("_step") == i).drop("_step").write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
         start(stream, folder).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return folder

@@ -211,6 +211,38 @@ def test_late_days_change_the_days_that_they_reach(spark):
     assert key(jobs.current_deviations(spark, folder)) == key(_running(days(spark, changed)))
 
 
+def test_a_batch_reads_only_the_days_that_it_can_change_and_those_before_that_they_need(spark):
+    seen = []
+
+    def watching(history):
+        seen.append(sorted((r.pid, r.day) for r in history.select("pid", "day").collect()))
+        return _running(history)
+
+    day = lambda d: T0.date() + dt.timedelta(days=d)
+    folder = tempfile.mkdtemp()
+    ingest = jobs.deviation_ingest(folder, watching, 2)
+    rows = [(p, d, "m", float(d % 4 + p)) for p in (1, 2) for d in range(60)]
+    ingest(days(spark, [r for r in rows if r[1] != 30]), 0)
+    ingest(days(spark, [r for r in rows if r[1] == 30 and r[0] == 1]), 1)
+    assert seen[1] == [(1, day(d)) for d in range(28, 33)]
+    ingest(days(spark, [r for r in rows if r[1] == 30 and r[0] == 2]), 2)
+    key = lambda d: sorted((r.pid, r.day, r.marker, r.total) for r in d.collect())
+    assert key(jobs.current_deviations(spark, folder)) == key(_running(days(spark, rows)))
+
+
+def test_the_rows_of_a_replay_are_worked_out_once(spark):
+    worked = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for part in parts:
+            worked.add(len(part))
+            yield part
+
+    df = spark.createDataFrame([(1, at(i), float(i), i % 3) for i in range(60)] + [(1, at(9), 0.0, None)], "pid int, ts timestamp, value double, step int")
+    out = replay(df.mapInPandas(count, df.schema), F.col("step"), 4, jobs.behavioural_days, "t")  # nothing comes in the last step
+    assert out.agg(F.sum("n")).first()[0] > 0 and worked.value == 61
+
+
 def test_a_stopped_stream_goes_on_from_its_checkpoint(spark):
     df = spark.createDataFrame([(1, at(i), float(i)) for i in range(60)], "pid int, ts timestamp, value double")
     folder = feed(df, (F.hour("ts") % 2).cast("int") * 0 + F.when(F.col("ts") < F.lit(at(30)), 0).otherwise(1), 2, lambda s, to: jobs.behavioural_days(s).writeStream.format("parquet").option("path", f"{to}/out"), "t")
